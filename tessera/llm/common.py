@@ -48,7 +48,13 @@ def with_row_id(df: DataFrame, name: str = "_row") -> DataFrame:
 
     The number follows from the input split and the place in it, so ``df`` must
     be read from files (or staged): then every scan of it gives the same ids.
+    Splits also depend on how many cores the cluster has just now, unless
+    spark.sql.files.minPartitionNum is set; it is pinned here, so that a lost
+    executor between two scans moves no row.
     """
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.files.minPartitionNum", None) is None:
+        conf.set("spark.sql.files.minPartitionNum", df.sparkSession.sparkContext.defaultParallelism)
     return df.withColumn(name, F.monotonically_increasing_id())
 
 

@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
-from . import quality_rules, sharding
+from . import (
+    decontamination,
+    html_extraction,
+    line_dedup,
+    ngram_join,
+    packing,
+    pii,
+    quality_rules,
+    sharding,
+)
 
-_MODULES = (sharding, quality_rules)
+_MODULES = (pii, line_dedup, decontamination, sharding, ngram_join, packing, quality_rules, html_extraction)
 
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
