@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from . import chains, models, panels, sources_q
+
+_MODULES = (panels, sources_q, models, chains)
+
 
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    return panels.flagship(spark, sf_dir)
 
 
 def queries():
-    return {}
+    return {name: f for m in _MODULES for name, (f, _) in m.REGISTERED.items()}
 
 
 def oracle_sql():
-    return {}
+    return {name: sql for m in _MODULES for name, (_, sql) in m.REGISTERED.items() if sql}
