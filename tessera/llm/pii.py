@@ -79,6 +79,19 @@ def _seed_kind(core: Column) -> Column:
     return found.when(core.rlike(SECRET_FORM), F.lit(SECRET))
 
 
+def _match_of(kind: str):
+    def around(column: Column, side, name: str) -> Column:
+        return (side(column, F.lit(CONTEXT_CHARS)) if kind == "token" else F.lit("")).alias(name)
+
+    def match(x, i):
+        return F.struct(
+            F.lit(kind).alias("kind"), i.alias("i"), F.length(x["g"]).alias("gap"), x["m"].alias("match"),
+            around(x["g"], F.right, "before"), around(x["n"], F.left, "after"),
+        )
+
+    return match
+
+
 def occurrences(docs: DataFrame, text: str = "text") -> DataFrame:
     """(_row, kind, start, match, before, after) of all matches of the four forms and of tokens (kind "token")."""
     rows = common.with_row_id(docs.select(common.text_or_empty(text).alias("t")))
@@ -96,16 +109,7 @@ def occurrences(docs: DataFrame, text: str = "text") -> DataFrame:
     for kind in names:
         gaps = F.col(f"g_{kind}")
         zipped = F.arrays_zip(F.col(f"m_{kind}").alias("m"), gaps.alias("g"), F.slice(gaps, F.lit(2), F.greatest(F.size(gaps) - 1, F.lit(0))).alias("n"))
-        found.append(
-            F.transform(
-                zipped,
-                lambda x, i, kind=kind: F.struct(
-                    F.lit(kind).alias("kind"), i.alias("i"), F.length(x["g"]).alias("gap"), x["m"].alias("match"),
-                    F.right(x["g"], F.lit(CONTEXT_CHARS)).alias("before") if kind == "token" else F.lit("").alias("before"),
-                    F.left(x["n"], F.lit(CONTEXT_CHARS)).alias("after") if kind == "token" else F.lit("").alias("after"),
-                ),
-            )
-        )
+        found.append(F.transform(zipped, _match_of(kind)))
     empty = F.array().cast("array<struct<kind:string,i:int,gap:int,match:string,before:string,after:string>>")
     every = F.concat(*[F.coalesce(F.filter(x, lambda s: s["match"].isNotNull()), empty) for x in found])
     each = rows.select("_row", F.explode(every).alias("x")).select("_row", "x.*")

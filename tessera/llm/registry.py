@@ -6,14 +6,16 @@ from . import (
     decontamination,
     html_extraction,
     line_dedup,
+    lm_scoring,
     ngram_join,
     packing,
     pii,
     quality_rules,
     sharding,
+    substring_dedup,
 )
 
-_MODULES = (pii, line_dedup, decontamination, sharding, ngram_join, packing, quality_rules, html_extraction)
+_MODULES = (pii, lm_scoring, line_dedup, decontamination, sharding, ngram_join, packing, quality_rules, html_extraction, substring_dedup)
 
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
