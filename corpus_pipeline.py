@@ -23,7 +23,7 @@ def drop_copied_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     done = line_dedup.dedup_lines(docs, counts=True)
     left = (F.col("n_removed") == 0) | (F.trim(F.translate("text", "\t\n\x0b\f\r", "")) != "")
     n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return done.filter(left).withColumn("n_chars", n_chars).select(*docs.columns)
+    return common.filter_after(done.withColumn("n_chars", n_chars), left).select(*docs.columns)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -97,3 +97,14 @@ def free_name(df: DataFrame, wanted: str) -> str:
     while wanted.lower() in taken:
         wanted += "_"
     return wanted
+
+
+def filter_after(df: DataFrame, condition: Column) -> DataFrame:
+    """Filters on computed columns, after they are computed.
+
+    A plain filter is pushed below the projections with their expressions copied
+    into it; an array that a lambda looks up would then be made anew for each
+    element. A mark that is not deterministic keeps the filter in its place.
+    """
+    mark = free_name(df, "_mark")
+    return df.withColumn(mark, F.monotonically_increasing_id()).filter(condition & (F.col(mark) >= 0)).drop(mark)

@@ -162,7 +162,7 @@ def keep(docs: DataFrame, rules=RULES, text: str = "text") -> DataFrame:
     """The documents that break no rule, with the input's columns only."""
     broken = common.free_name(docs, "broken_rules_of_text")
     figures = with_figures(docs.select(*[F.col(c).alias(f"_in_{c}") for c in docs.columns]), f"_in_{text}")
-    passed = figures.withColumn(broken, compiled(rules)).filter(F.size(broken) == 0)
+    passed = common.filter_after(figures.withColumn(broken, compiled(rules)), F.size(broken) == 0)
     return passed.select(*[F.col(f"_in_{c}").alias(c) for c in docs.columns])
 
 
