@@ -71,9 +71,9 @@ def coverage(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return a.join(b, keys, "left").agg(F.count("*").alias("n_keys"), F.count("_has").alias("n_covered"))
 
 
-def dense_grid(dimensions: list[DataFrame], observed: DataFrame, keys: list[str]) -> DataFrame:
-    """The product of small dimension tables with the observed rows where there are any."""
+def dense_grid(dimensions: list[DataFrame]) -> DataFrame:
+    """The product of small dimension tables; the first may be long, the others are broadcast."""
     grid = dimensions[0]
     for d in dimensions[1:]:
         grid = grid.crossJoin(F.broadcast(d))
-    return grid.join(observed, keys, "left")
+    return grid

@@ -194,13 +194,18 @@ def reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
 RECONCILED = f"""WITH {STACK} SELECT p.geo1, p.year, round(sum(quantity), 4) AS component_sum, bool_or(fallback) AS any_fallback, min(quantity) < 0 AS any_negative, round(sum(quantity) - any_value(target), 4) AS difference FROM parts p JOIN pq USING (geo1, year) GROUP BY ALL"""
 
 
-def channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _channels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Channels as columns, then solved per channel over alphas, then summed up."""
     keys = ["geo1", "year"]
     wide = segments.channel_wide(_stack(spark, sf_dir)[0], keys)
     s = base.state(spark, sf_dir).select(*keys, F.col("price").alias("base_price"), (F.col("population") * F.col("imputed_share")).alias("unpaid"), F.lit(0.4).alias("demand_elasticity"), F.lit(1.5).alias("supply_elasticity"))
     rows = segments.channel_scenarios(segments.channel_inputs(wide, s, keys), scenario.grid(spark, alpha=scenario.ALPHAS))
-    return base.rounded(segments.scenario_summary(rows, keys), 3)
+    return segments.scenario_summary(rows, keys)
+
+
+def channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G13-G20 as a table."""
+    return base.rounded(_channels(spark, sf_dir), 3)
 
 
 CHANNELS = f"""WITH {STACK}, w AS (SELECT geo1, year, coalesce(sum(quantity) FILTER (component = 'private_unsubsidised'), 0) AS a, coalesce(sum(quantity) FILTER (component = 'private_subsidised'), 0) AS b, coalesce(sum(quantity) FILTER (component = 'public'), 0) AS c FROM parts GROUP BY ALL),
@@ -211,14 +216,14 @@ SELECT geo1, year, alpha, round(sum(qs), 3) AS private_quantity, round(any_value
 
 def headline_alpha(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The scenario row nearest the headline alpha, with its difference to alpha 0."""
-    rows = channels(spark, sf_dir)
+    rows = _channels(spark, sf_dir)
     zero = rows.filter("alpha = 0").select("geo1", "year", F.col("private_price").alias("base"))
     near = segments.nearest_alpha(rows.filter("alpha <> 0.5"), ["geo1", "year"]).join(zero, ["geo1", "year"])
-    return base.rounded(near.select("geo1", "year", "alpha", "private_price", *account.compared(near, "private_price", "base")[:1]), 2)
+    return base.rounded(near.select("geo1", "year", "alpha", "private_price", *account.compared(near, "private_price", "base")[:1]), 3)
 
 
-HEADLINE = CHANNELS.replace("SELECT geo1, year, alpha, round(sum(qs), 3)", ", s AS (SELECT geo1, year, alpha, round(sum(qs), 3)") + """)
-SELECT a.geo1, a.year, a.alpha, round(a.private_price, 2) AS private_price, round(a.private_price - b.private_price, 2) AS private_price_delta FROM s a JOIN s b USING (geo1, year) WHERE a.alpha = 0.25 AND b.alpha = 0"""
+HEADLINE = CHANNELS[: CHANNELS.rindex("SELECT geo1, year, alpha, round(sum(qs), 3)")].rstrip() + """, s AS (SELECT geo1, year, alpha, coalesce(sum(p * qs) / nullif(sum(qs), 0), 0) AS private_price FROM f GROUP BY ALL)
+SELECT a.geo1, a.year, a.alpha, round(a.private_price, 3) AS private_price, round(a.private_price - b.private_price, 3) AS private_price_delta FROM s a JOIN s b USING (geo1, year) WHERE a.alpha = 0.25 AND b.alpha = 0"""
 
 
 def support_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -336,7 +341,7 @@ _RULES = "ru AS (SELECT geo1, p_type AS rule, year, avg(p_size) AS value FROM mi
 def harmonised(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The dense rule grid carried forward, with status and reference year."""
     r = _rules(spark, sf_dir).withColumn("sign", F.when(F.col("rule") == "SMALL", -1.0).otherwise(1.0))
-    grid = lookups.dense_grid([r.select("geo1").distinct(), r.select("year").distinct()], r.select("rule").distinct().withColumn("_x", F.lit(1)), []) if False else r.select("geo1").distinct().crossJoin(F.broadcast(r.select("year").distinct())).crossJoin(F.broadcast(r.select("rule").distinct()))
+    grid = lookups.dense_grid([r.select(c).distinct() for c in ("geo1", "year", "rule")])
     out = rules.harmonised(grid, r, ["geo1", "rule"], "year", "value", "sign")
     return base.rounded(out.select("geo1", "rule", "year", "support_status", "harmonised", "reference_year", "signed"))
 

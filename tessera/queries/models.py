@@ -70,7 +70,7 @@ def shocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return supply.rule_shocks(r, "geo1", "year", ["r1", "r2", "r3"])
 
 
-SHOCK = """shock0 AS (SELECT geo1, year, avg(weight) FILTER (line = 1) AS r1, avg(weight) FILTER (line = 2) AS r2, CASE WHEN geo1 % 3 <> 0 THEN max(weight) FILTER (line = 7) END AS r3 FROM micro GROUP BY ALL),
+SHOCK = """shock0 AS (SELECT geo1, year, avg(weight) FILTER (line = 1) AS r1, avg(weight) FILTER (line = 2) AS r2, CASE WHEN geo1 % 3 <> 0 THEN max(weight) FILTER (line = 7) END AS r3 FROM micro GROUP BY geo1, year),
 shock1 AS (SELECT *, list_avg(list_filter([1 / r1, 1 / r2, 1 / r3], lambda x: x IS NOT NULL)) AS index FROM shock0),
 shocks AS (SELECT *, index - first_value(index IGNORE NULLS) OVER (PARTITION BY geo1 ORDER BY year ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS shock FROM shock1)"""
 

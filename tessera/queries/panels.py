@@ -70,7 +70,7 @@ def weighted_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
         W.weighted_mean_nulls_zero("v", "w").alias("a4"), W.quantity_price("price", "w").alias("a5"), W.ratio_of_sums("v", "weight").alias("a6"),
         W.weighted_total("price", "weight", 52.0).alias("a7"), W.rate_of_sums(F.col("w"), F.col("weight"), F.col("discount")).alias("a8"),
         W.share_positive(F.col("imputed")).alias("share_imputed"), F.bool_or("imputed").alias("any_imputed"), F.bool_and("observed").alias("all_observed"),
-        W.first_known("v", F.struct("orderkey", "line")).alias("first_v"), W.first_text(F.when(F.col("line") > 1, F.col("provider")), F.struct("orderkey", "line")).alias("first_text"),
+        W.first_known("v", F.struct("orderkey", "line", "partkey", "suppkey", "price")).alias("first_v"), W.first_text(F.when(F.col("line") > 1, F.col("provider")), F.struct("orderkey", "line", "partkey", "suppkey", "price")).alias("first_text"),
         W.joined_texts("flag").alias("flags"), F.count_distinct("geo2").alias("n_counties"),
     ))
 
@@ -82,8 +82,8 @@ SELECT geo1, year, round(sum(price * weight) / sum(weight), 6) AS a1, round({bas
   round(coalesce(sum(price * w) / nullif(sum(w), 0), 0), 6) AS a5, round(coalesce(sum(v * weight), 0) / greatest(sum(weight), 1e-9), 6) AS a6,
   round(sum(price * weight * 52), 6) AS a7, round(coalesce(sum(w) / nullif(sum(weight), 0), avg(discount)), 6) AS a8,
   round(avg(CASE WHEN imputed THEN 1.0 ELSE 0.0 END), 6) AS share_imputed, bool_or(imputed) AS any_imputed, bool_and(observed) AS all_observed,
-  round(arg_min(v, (orderkey, line)) FILTER (v IS NOT NULL), 6) AS first_v,
-  coalesce(arg_min(provider, (orderkey, line)) FILTER (line > 1), 'missing') AS first_text, array_to_string(list_sort(list_distinct(list(flag))), '|') AS flags, count(DISTINCT geo2) AS n_counties
+  round(arg_min(v, (orderkey, line, partkey, suppkey, price)) FILTER (v IS NOT NULL), 6) AS first_v,
+  coalesce(arg_min(provider, (orderkey, line, partkey, suppkey, price)) FILTER (line > 1), 'missing') AS first_text, array_to_string(list_sort(list_distinct(list(flag))), '|') AS flags, count(DISTINCT geo2) AS n_counties
 FROM m GROUP BY geo1, year"""
 
 
@@ -228,12 +228,12 @@ def value_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and shares of source labels, and a pivot of statuses."""
     m = base.micro(spark, sf_dir)
     shares = W.value_shares(m, ["geo1"], "provider")
-    wide = m.groupBy("geo1", "provider").pivot("flag", ["A", "N", "R"]).count().fillna(0)
+    wide = m.groupBy("geo1", "provider").pivot("flag", ["A", "N", "R"]).count().fillna(0).withColumnsRenamed({f: f"flag_{f}" for f in "ANR"})
     return base.rounded(shares.join(wide, ["geo1", "provider"]))
 
 
-COUNTS = f"""WITH {base.MICRO} SELECT geo1, provider, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY geo1), 6) AS share,
-  count(*) FILTER (flag = 'A') AS A, count(*) FILTER (flag = 'N') AS N_, count(*) FILTER (flag = 'R') AS R FROM micro GROUP BY ALL"""
+COUNTS = f"""WITH {base.MICRO}, c AS (SELECT geo1, provider, count(*) AS n, count(*) FILTER (flag = 'A') AS flag_A, count(*) FILTER (flag = 'N') AS flag_N, count(*) FILTER (flag = 'R') AS flag_R FROM micro GROUP BY geo1, provider)
+SELECT geo1, provider, n, round(n / sum(n) OVER (PARTITION BY geo1), 6) AS share, flag_A, flag_N, flag_R FROM c"""
 
 
 def top_states(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -279,6 +279,6 @@ REGISTERED = {
     "flagship_state_prices": (flagship, FLAGSHIP), "county_panel": (county_panel, COUNTY_PANEL), "weighted_means": (weighted_variants, VARIANTS),
     "labour_ladder": (labour_ladder, LABOUR), "median_imputation": (median_imputation, MEDIANS), "sample_ladder": (sample_ladder, LADDER),
     "year_maps": (year_maps, YEAR_MAPS), "bridge_rollup": (bridge, BRIDGE), "panel_coverage": (coverage, COVERAGE), "home_jobs": (home_jobs, HOME),
-    "state_hours": (state_hours, HOURS), "price_medians": (medians, MEDIAN_SQL), "label_counts": (value_counts, COUNTS.replace("N_", "N")),
+    "state_hours": (state_hours, HOURS), "price_medians": (medians, MEDIAN_SQL), "label_counts": (value_counts, COUNTS),
     "priority_states": (top_states, TOP), "satellite_account": (satellite, SATELLITE), "window_summary": (window_summary, WINDOW),
 }
