@@ -52,12 +52,23 @@ def event_study(outcomes: DataFrame, timing: DataFrame, geo: str, year: str, val
 
 
 def leave_one_out_iv(panel: DataFrame, y: str, x: str, cluster: str, year: str) -> DataFrame:
-    """The clustered slope with each cluster left out, all folds in one pass over (omitted, rows); ``none`` is the baseline."""
-    clusters = panel.select(F.col(cluster).cast("string").alias("omitted")).distinct().union(panel.sparkSession.createDataFrame([("none",)], "omitted string"))
-    folds = panel.crossJoin(F.broadcast(clusters)).filter(F.col(cluster).cast("string") != F.col("omitted"))
-    demeaned = folds
-    for c in (y, x):
-        demeaned = demeaned.withColumn(c, F.col(c) - F.avg(c).over(Window.partitionBy("omitted", year)))
-    out = supply.clustered_slope(demeaned, y, x, cluster, ["omitted"])
+    """The clustered, year-demeaned slope with each cluster left out; ``none`` is the baseline.
+
+    One scan sums up clusters by year; the folds work on that table, which has a
+    row per cluster and year, so the facts are never copied per fold.
+    """
+    ok = panel.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    xc, yc = F.col(x), F.col(y)
+    cells = ok.groupBy(cluster, year).agg(F.count("*").alias("n"), F.sum(xc).alias("sx"), F.sum(yc).alias("sy"), F.sum(xc * yc).alias("sxy"), F.sum(xc * xc).alias("sxx"), F.sum(yc * yc).alias("syy"))
+    omitted = cells.select(F.col(cluster).cast("string").alias("omitted")).distinct().union(panel.sparkSession.createDataFrame([("none",)], "omitted string"))
+    folds = cells.crossJoin(F.broadcast(omitted)).filter(F.col(cluster).cast("string") != F.col("omitted"))
+    w = Window.partitionBy("omitted", year)
+    folds = folds.withColumns({"mx": F.sum("sx").over(w) / F.sum("n").over(w), "my": F.sum("sy").over(w) / F.sum("n").over(w)})
+    n, mx, my = F.col("n"), F.col("mx"), F.col("my")
+    sums = folds.groupBy("omitted", cluster).agg(
+        F.sum(F.col("sxy") - mx * F.col("sy") - my * F.col("sx") + n * mx * my).alias("xy"), F.sum(F.col("sxx") - 2 * mx * F.col("sx") + n * mx * mx).alias("xx"),
+        F.sum(F.col("syy") - 2 * my * F.col("sy") + n * my * my).alias("yy"), F.sum("n").alias("n"),
+    )
+    out = supply.clustered_from_sums(sums, ["omitted"])
     base = out.filter("omitted = 'none'").select(F.col("beta").alias("_base"))
     return out.crossJoin(F.broadcast(base)).withColumn("delta", F.col("beta") - F.col("_base")).drop("_base")

@@ -102,6 +102,11 @@ def clustered_slope(df: DataFrame, y: str, x: str, cluster: str, by: list[str] |
     by = by or []
     ok = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(cluster).isNotNull())
     sums = ok.groupBy(*by, cluster).agg(F.sum(F.col(x) * F.col(y)).alias("xy"), F.sum(F.col(x) * F.col(x)).alias("xx"), F.sum(F.col(y) * F.col(y)).alias("yy"), F.count("*").alias("n"))
+    return clustered_from_sums(sums, by)
+
+
+def clustered_from_sums(sums: DataFrame, by: list[str]) -> DataFrame:
+    """M19 on a row per cluster with xy, xx, yy and n."""
     total = sums.groupBy(*by).agg(
         F.sum("xy").alias("sxy"), F.sum("xx").alias("sxx"), F.sum("yy").alias("syy"), F.sum("n").alias("n_obs"), F.count("*").alias("n_clusters"),
         F.sum(F.col("xy") * F.col("xy")).alias("a"), F.sum(F.col("xy") * F.col("xx")).alias("b"), F.sum(F.col("xx") * F.col("xx")).alias("c"),
