@@ -87,7 +87,7 @@ def shard_table(docs: DataFrame, shards: int, seed: int = 0, key: str = "doc_id"
 
 
 def write_shards(docs: DataFrame, path: str, shards: int, seed: int = 0, key: str = "doc_id", text: str = "text") -> None:
-    """Writes whole rows in slot order, one folder for each shard.
+    """Writes whole rows, one folder for each shard, its files in slot order (a shard may be many tasks' work).
 
     The plan is joined back on (key, hash of the text); rows that agree in both
     are told apart by their order, as they are interchangeable.
@@ -104,7 +104,7 @@ def write_shards(docs: DataFrame, path: str, shards: int, seed: int = 0, key: st
     rows = rows.withColumn("_n", F.row_number().over(same.orderBy(F.xxhash64(t))))
     on = [rows[c].eqNullSafe(plan[c]) for c in ("_key", "_crc", "_size", "_n")]
     joined = rows.join(plan, on).select(*[rows[c] for c in docs.columns], plan["shard"], plan["slot"])
-    joined.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    joined.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
 def op5_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
