@@ -30,7 +30,7 @@ from . import common
 CAPACITY, CLOSING, GROUP = 2048, 0, 8192
 #: Bins filled less than this share go into the next round.
 NEARLY_FULL = 0.98
-_CACHE, _LONGEST_CACHED = 300_000, 64
+_CACHE, _LONGEST_CACHED = 400_000, 64
 
 
 def default_vocabulary() -> str:
@@ -50,35 +50,57 @@ def _tokenizer(path: str):
 
 
 class _Ids(dict):
-    """Word to its ids as bytes. This vocabulary's words end at white space, so a text's ids are those of its words."""
+    """Word to its ids as bytes. This vocabulary's words end at white space, so a text's ids are those of its words.
+
+    Two generations bound the memory: when the young one is full it becomes the
+    old one, and words met again move back to the young.
+    """
 
     def __init__(self, path: str):
-        self.path = path
+        self.path, self.old = path, {}
 
     def of(self, text: str | None) -> bytes:
         words = (text or "").replace("\n", " ").split(" ")
-        missing = list({w for w in words if w not in self})
-        if len(self) + len(missing) > _CACHE:
-            self.clear()
-            missing = list(set(words))
+        missing = {w for w in words if w not in self}
         if missing:
-            for w, e in zip(missing, _tokenizer(self.path).encode_batch(missing, add_special_tokens=False), strict=True):
-                self[w] = np.array(e.ids, "<u4").tobytes()
+            if len(self) + len(missing) > _CACHE:
+                self.old = dict(self)
+                self.clear()
+                missing = set(words)
+            known = missing & self.old.keys()
+            self.update((w, self.old[w]) for w in known)
+            self._learn(list(missing - known))
         out = b"".join(map(self.__getitem__, words))
         for w in missing:
             if len(w) > _LONGEST_CACHED:
                 del self[w]
         return out
 
+    def _learn(self, words: list[str]) -> None:
+        """One call for many words: where a token starts in the joined text tells its word."""
+        if not words:
+            return
+        found = _tokenizer(self.path).encode(" ".join(words), add_special_tokens=False)
+        size = np.array([len(w) + 1 for w in words])
+        starts = np.cumsum(size) - size
+        places = np.array([a for a, _ in found.offsets], np.int64)
+        ends = 4 * np.cumsum(np.bincount(np.searchsorted(starts, places, "right") - 1, minlength=len(words)))
+        data, begin = np.array(found.ids, "<u4").tobytes(), 0
+        for w, end in zip(words, ends.tolist(), strict=True):
+            self[w], begin = data[begin:end], end
+
 
-_ids: dict[str, _Ids] = {}
+@lru_cache(1)
+def _ids_of(path: str) -> _Ids:
+    """The worker's cache, kept from task to task."""
+    return _Ids(path)
 
 
 def _pieces(path: str, capacity: int, closing: int):
     width, end = 4 * capacity, np.array([closing], "<u4").tobytes()
 
     def cut(frames):
-        ids = _ids.setdefault(path, _Ids(path))
+        ids = _ids_of(path)
         for frame in frames:
             for row, key, t in zip(frame["_row"], frame["key"], frame["t"], strict=True):
                 data = ids.of(t) + end
