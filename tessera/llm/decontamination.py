@@ -8,8 +8,8 @@ window of 2w, so that every item lies wholly in one. In a partition the Jaccard
 similarity of item and window is at least ``t * w/2 / (w/2 + 2w - t * w/2)``
 for containment t, which gives the number of hash functions for the target
 recall (one row a band, as similarities are low). A window that shares a
-minimum with an item makes (document, item) a candidate; the candidate counts
-if the document's shingle set holds ``threshold`` of the item's.
+minimum with an item makes (document, item) a candidate (windows may reach into
+the next document of a batch, both are then candidates); the candidate counts if the document's shingle set holds ``threshold`` of the item's.
 
 The items are the stated query set: they are taken in blocks of at most
 ``MOST_SHINGLES`` shingles, sorted by hash so that item repeats do not matter,
@@ -35,6 +35,9 @@ from . import common, shingles
 THRESHOLD, RECALL, SEED = 0.8, 0.999, 4
 #: Shingles of one block of items that a task holds: 32 MB of hashes.
 MOST_SHINGLES = 4_000_000
+#: Words of documents that are looked at together, so that a hash function is one pass over many texts.
+_TOGETHER = 100_000
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def functions_for(threshold: float, recall: float, width: int) -> int:
@@ -46,11 +49,15 @@ def functions_for(threshold: float, recall: float, width: int) -> int:
 
 
 class _Items:
-    """A block of items in the form tasks search: per (words in a shingle, width) the sorted minima."""
+    """A block of items in the form tasks search: per (words in a shingle, width) and hash function the sorted minima.
+
+    A bitmap over some mixed bits of the minima tells most windows at once that
+    no item has their minimum; only the rest are looked up.
+    """
 
     def __init__(self, texts: list[str | None], threshold: float, recall: float):
         self.sets, self.lengths = [], []
-        groups: dict[tuple[int, int], list[int]] = {}
+        groups: dict[int, dict[int, list[int]]] = {}
         for i, t in enumerate(texts):
             words = shingles.words_of(t)
             n = min(shingles.WORDS, len(words))
@@ -58,51 +65,67 @@ class _Items:
             self.sets.append(s)
             self.lengths.append(n)
             if n:
-                groups.setdefault((n, 1 << (len(s) - 1).bit_length()), []).append(i)
-        self.parts = []
-        for (n, width), own in sorted(groups.items()):
-            a, b = shingles.permutations(functions_for(threshold, recall, width), SEED)
-            minima = []
-            for x, y in zip(a, b, strict=True):
-                low = np.array([(self.sets[i] * x + y).min() for i in own], np.uint64)
-                order = np.argsort(low, kind="stable")
-                minima.append((x, y, low[order], np.array(own)[order]))
-            self.parts.append((n, width, minima))
-
-    def candidates(self, by_words: dict[int, np.ndarray]) -> set[int]:
-        found: set[int] = set()
-        for n, width, minima in self.parts:
-            s = by_words[n]
-            if not len(s):
-                continue
-            starts = np.arange(0, len(s), width)
-            for x, y, low, own in minima:
-                block = np.minimum.reduceat(s * x + y, starts)
+                groups.setdefault(n, {}).setdefault(1 << (len(s) - 1).bit_length(), []).append(i)
+        self.parts: dict[int, list[tuple[np.uint64, list]]] = {}
+        for n, by_width in sorted(groups.items()):
+            counts = {w: functions_for(threshold, recall, w) for w in sorted(by_width)}
+            factors, _ = shingles.permutations(max(counts.values()), SEED)
+            self.parts[n] = [(x, [self._minima(x, w, by_width[w]) for w, k in counts.items() if f < k]) for f, x in enumerate(factors)]
+
+    def _minima(self, factor: np.uint64, width: int, own: list[int]):
+        low = np.array([(self.sets[i] * factor).min() for i in own], np.uint64)
+        order = np.argsort(low, kind="stable")
+        shift = np.uint64(64 - min(24, max(12, len(own).bit_length() + 7)))
+        bits = np.zeros(1 << int(64 - shift), bool)
+        bits[(low * _SPREAD) >> shift] = True
+        return width, low[order], np.array(own)[order], bits, shift
+
+    def candidates(self, n: int, s: np.ndarray, ends: np.ndarray) -> set[tuple[int, int]]:
+        """(document, item) for documents that stand one behind the other in ``s`` and end at ``ends``."""
+        found: set[tuple[int, int]] = set()
+        for factor, parts in self.parts[n]:
+            at, block = 1, s * factor
+            for width, low, own, bits, shift in parts:
+                if width > at:
+                    block, at = np.minimum.reduceat(block, np.arange(0, len(block), width // at)), width
                 window = np.minimum(block[:-1], block[1:]) if len(block) > 1 else block
-                left, right = np.searchsorted(low, window, "left"), np.searchsorted(low, window, "right")
-                for k in np.flatnonzero(left < right):
-                    found.update(own[left[k] : right[k]].tolist())
+                for w in np.flatnonzero(bits[(window * _SPREAD) >> shift]).tolist():
+                    left, right = np.searchsorted(low, window[w], "left"), np.searchsorted(low, window[w], "right")
+                    if left < right:
+                        first, last = np.searchsorted(ends, [w * width, min((w + 2) * width, len(s)) - 1], "right")
+                        found.update((d, i) for d in range(int(first), int(last) + 1) for i in own[left:right].tolist())
         return found
 
 
 def _hits(items: _Items, ids: list, threshold: float):
-    lengths, lengths_of = sorted({n for n, _, _ in items.parts}), items.lengths
+    def found_in(rows: list, hashes: list[np.ndarray]) -> list:
+        out, unique = [], {}
+        for n in items.parts:
+            own = [shingles.shingle_hashes(w, n) if len(w) >= n else w[:0] for w in hashes]
+            ends = np.cumsum([len(x) for x in own])
+            if not ends[-1]:
+                continue
+            for d, i in sorted(items.candidates(n, np.concatenate(own), ends)):
+                if (d, n) not in unique:
+                    unique[d, n] = np.unique(own[d])
+                s = items.sets[i]
+                shared = len(np.intersect1d(s, unique[d, n], assume_unique=True)) if items.lengths[i] == n else 0
+                if shared >= threshold * len(s) - 1e-9:
+                    out.append((*rows[d], ids[i], shared, len(s)))
+        return out
 
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = []
+            out, rows, hashes, size = [], [], [], 0
             for row, key, t in zip(frame["_row"], frame["key"], frame["t"], strict=True):
-                words = shingles.hash_words(shingles.words_of(t))
-                by_words = {n: shingles.shingle_hashes(words, n) if len(words) >= n else words[:0] for n in lengths}
-                sets: dict[int, np.ndarray] = {}
-                for i in sorted(items.candidates(by_words)):
-                    s = items.sets[i]
-                    n = lengths_of[i]
-                    if n not in sets:
-                        sets[n] = np.unique(by_words[n])
-                    shared = len(np.intersect1d(s, sets[n], assume_unique=True))
-                    if shared >= threshold * len(s) - 1e-9:
-                        out.append((row, key, ids[i], shared, len(s)))
+                rows.append((row, key))
+                hashes.append(shingles.hash_words(shingles.words_of(t)))
+                size += len(hashes[-1])
+                if size >= _TOGETHER:
+                    out += found_in(rows, hashes)
+                    rows, hashes, size = [], [], 0
+            if rows:
+                out += found_in(rows, hashes)
             yield pd.DataFrame(out, columns=["_row", "key", "item", "n_shared", "n_shingles"]).astype({"key": "Int64", "item": "Int64"})
 
     return search
