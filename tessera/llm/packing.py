@@ -49,6 +49,15 @@ def _tokenizer(path: str):
     return found
 
 
+def _folded(text: str) -> str:
+    """Lower case where that changes no id: in Latin-1 the tokenizer's own folding is the same, letter by letter."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
+
+
 class _Ids(dict):
     """Word to its ids as bytes. This vocabulary's words end at white space, so a text's ids are those of its words.
 
@@ -60,7 +69,7 @@ class _Ids(dict):
         self.path, self.old = path, {}
 
     def of(self, text: str | None) -> bytes:
-        words = (text or "").replace("\n", " ").split(" ")
+        words = _folded(text or "").replace("\n", " ").split(" ")
         missing = {w for w in words if w not in self}
         if missing:
             if len(self) + len(missing) > _CACHE:
