@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import scalars as S
 from tessera.functions import weighted as W
 from tessera.operators import account, eav, lookups, rules, scenario, segments
+from tessera.sources import tables
 
 from . import base
 
@@ -153,9 +154,10 @@ def pooled_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
 GAP = f"""WITH {base.MICRO} SELECT geo1, year, round(sum(price * weight) / sum(weight), 6) AS pooled_price, round(sum(weight), 6) AS pooled_weight, count(DISTINCT age) AS n_segments, round(sum(price * weight) / sum(weight), 6) AS benchmark_price, true AS within_tolerance FROM micro GROUP BY ALL"""
 
 
-def _stack(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _stack(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Components, targets and the state panel; the panel is used many times, so it is written once."""
     keys = ["geo1", "year"]
-    s = base.state(spark, sf_dir)
+    s = tables.staged(base.state(spark, sf_dir))
     rates = s.filter("year in (1996, 1999)").groupBy("year").agg((F.avg("observed_share") / 2).alias("rate"))
     carried = lookups.carried_rates(s, rates, "rate")
     targets = s.join(F.broadcast(carried), "year").select(*keys, (F.col("population") * F.col("rate")).alias("target"))
@@ -165,7 +167,7 @@ def _stack(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     public = public.select(*keys, "public_slots", "slot_status", (F.col("public_slots") * 0.3).alias("subsidised_slots"))
     seg = segments.segment_prices(base.micro(spark, sf_dir), _segments(spark), DIMENSIONS, keys).filter("segment_id like '%/*' and segment_id <> '*/*'")
     shares = segments.shares_of_total(seg, keys, "segment_weight", "segment_rows")
-    return segments.quantities(targets, public, shares, keys), targets
+    return segments.quantities(targets, public, shares, keys), targets, s
 
 
 STACK = f"""{base.STATE}, {SEGMENTS}, rt AS (SELECT year AS a, avg(observed_share) / 2 AS v FROM state WHERE year IN (1996, 1999) GROUP BY year),
@@ -187,7 +189,7 @@ QUANTITIES = f"WITH {STACK} SELECT geo1, year, component, segment_id, round(quan
 
 def reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component sums against targets."""
-    parts, targets = _stack(spark, sf_dir)
+    parts, targets, _ = _stack(spark, sf_dir)
     return base.rounded(segments.reconciled(parts, targets, ["geo1", "year"]), 4)
 
 
@@ -197,8 +199,9 @@ RECONCILED = f"""WITH {STACK} SELECT p.geo1, p.year, round(sum(quantity), 4) AS
 def _channels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Channels as columns, then solved per channel over alphas, then summed up."""
     keys = ["geo1", "year"]
-    wide = segments.channel_wide(_stack(spark, sf_dir)[0], keys)
-    s = base.state(spark, sf_dir).select(*keys, F.col("price").alias("base_price"), (F.col("population") * F.col("imputed_share")).alias("unpaid"), F.lit(0.4).alias("demand_elasticity"), F.lit(1.5).alias("supply_elasticity"))
+    parts, _, s = _stack(spark, sf_dir)
+    wide = segments.channel_wide(parts, keys)
+    s = s.select(*keys, F.col("price").alias("base_price"), (F.col("population") * F.col("imputed_share")).alias("unpaid"), F.lit(0.4).alias("demand_elasticity"), F.lit(1.5).alias("supply_elasticity"))
     rows = segments.channel_scenarios(segments.channel_inputs(wide, s, keys), scenario.grid(spark, alpha=scenario.ALPHAS))
     return segments.scenario_summary(rows, keys)
 

@@ -39,9 +39,9 @@ dec AS (SELECT *, CASE WHEN price IS NOT NULL AND direct_raw IS NOT NULL THEN gr
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """County prices, decomposed, rolled up to state and year."""
     rows = decomposition(spark, sf_dir)
-    out = W.to_groups(rows, ["geo1", "year"], ["price", "direct_price", "residual_price", "direct_share", "implied_wage"], "population", "population")
-    clip = rows.groupBy("geo1", "year").agg(W.share_positive(F.col("clip_binds")).alias("clip_share"))
-    return base.rounded(out.join(clip, ["geo1", "year"])).orderBy("geo1", "year")
+    means = [W.weighted_mean_or_mean(c, "population").alias(c) for c in ("price", "direct_price", "residual_price", "direct_share", "implied_wage")]
+    out = rows.groupBy("geo1", "year").agg(*means, F.sum("population").alias("population"), W.share_positive(F.col("clip_binds")).alias("clip_share"))
+    return base.rounded(out).orderBy("geo1", "year")
 
 
 _FLAG = ["price", "direct_price", "residual_price", "direct_share", "implied_wage"]
