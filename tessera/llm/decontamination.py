@@ -143,8 +143,8 @@ def _blocks(benchmark: DataFrame, key: str, text: str, most: int) -> Iterator[tu
     dealt = slim.withColumn("c", (F.col("i") / 4096).cast("long")).join(before, "c")
     dealt = common.staged(dealt.withColumn("b", ((F.col("before") + F.coalesce(inside, F.lit(0))) / most).cast("long")))
     for (b,) in dealt.select("b").distinct().orderBy("b").toLocalIterator():
-        own = dealt.filter(F.col("b") == b).select("key", "t").toPandas()
-        yield [None if pd.isna(k) else int(k) for k in own["key"]], list(own["t"])
+        own = dealt.filter(F.col("b") == b).select("key", "t").toArrow()
+        yield own["key"].to_pylist(), own["t"].to_pylist()
 
 
 def contaminated(

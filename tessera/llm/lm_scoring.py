@@ -124,11 +124,12 @@ def train(docs: DataFrame, good: DataFrame, key: str = "doc_id", text: str = "te
     rows = docs.join(marked, docs[key] == F.col("_good"), "left").select(F.col(text).alias("t"), F.col("_good").isNotNull().alias("good"))
     parts = rows.mapInPandas(_counts(model.known, buckets), "kind int, place long, target long, background long")
     # as many rows as the model has parameters, whatever the size of the corpus
-    total = parts.groupBy("kind", "place").agg(F.sum("target").alias("target"), F.sum("background").alias("background")).toPandas()
+    total = parts.groupBy("kind", "place").agg(F.sum("target").alias("target"), F.sum("background").alias("background")).toArrow()
+    kinds = total["kind"].to_numpy()
     for kind, table in enumerate((model.unigrams, model.contexts, model.bigrams)):
-        own = total[total["kind"] == kind]
-        place = own["place"].to_numpy()
-        table[0, place], table[1, place] = own["target"], own["background"]
+        own = kinds == kind
+        place = total["place"].to_numpy()[own]
+        table[0, place], table[1, place] = total["target"].to_numpy()[own], total["background"].to_numpy()[own]
     return model
 
 
