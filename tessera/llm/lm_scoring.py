@@ -5,38 +5,50 @@ counts the documents labelled good, the background model all documents. A
 document's score is the mean over its tokens of target loss minus background
 loss, in nats: the lower, the more like the target.
 
-Counts cover every document. The vocabulary is the ``VOCABULARY`` most frequent
-words of the corpus (ties: by the word), all others are one unknown word; bigrams
-are counted in ``BUCKETS`` hashed buckets. Both are model parameters, so what a
-task holds and what the driver turns into the model does not grow with the
-corpus, while what is counted and shuffled does. A bigram's count never exceeds
-those of its words, which takes most of a bucket's collisions back.
+Counts cover every word, context and bigram of every document: the model grows
+with the corpus and is never in one place. Documents are put in chunks of about
+``CHUNK`` tokens, as numbers into the chunk's list of words. A chunk asks once
+for each word, context and bigram in it, as a 64-bit hash with the chunk's own
+counts; these requests are dealt by the hash's high bits into parts, whose number
+follows the number of chunks. A part sums up its keys and answers each chunk in
+the order of its requests. So a hot bigram is one entry for each chunk, a task
+holds one chunk or one part, and only three sums reach the driver.
 
 Defined results: null and blank texts have no tokens and null losses; labels
 that are null or for unknown documents count nothing, a document labelled twice
 is good if any label says so; repeated rows are counted and scored each; without
-labelled documents the target model is uniform smoothing.
+labelled documents the target model is uniform smoothing. A caller may ask for a
+vocabulary of the ``size`` most frequent words (ties: by the word), all others
+are then one unknown word; the query does not.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, shingles
+from . import batches, common, shingles
 
-VOCABULARY, BUCKETS, PRIOR = 50_000, 1 << 20, 50.0
+PRIOR = 50.0
+#: Tokens of a chunk (a document is never cut), and the least number of parts, as a power of two.
+CHUNK, LEAST_BITS = 1_000_000, 10
 #: Labels that are broadcast to the documents; beyond it the join shuffles.
 MOST_BROADCAST_LABELS = 1_000_000
 _FLUSH = 400_000
-UNKNOWN, START = 0, 1
+UNKNOWN, START = np.uint64(0), np.uint64(1)
+_WORD = np.uint64(1)
+_CONTEXT = np.uint64(0x5851F42D4C957F2D)
+_PAIR = np.uint64(0x9E3779B97F4A7C15)
 
 
-def vocabulary(docs: DataFrame, size: int = VOCABULARY, text: str = "text") -> list[str]:
+def vocabulary(docs: DataFrame, size: int, text: str = "text") -> list[str]:
     """The most frequent words of all documents."""
 
     def count(frames):
@@ -54,98 +66,201 @@ def vocabulary(docs: DataFrame, size: int = VOCABULARY, text: str = "text") -> l
     return [r.word for r in top.collect()]
 
 
-def _ids(text: str | None, known: dict[str, int]) -> np.ndarray:
-    """START and a number for each word."""
-    words = shingles.words_of(text)
-    out = np.empty(len(words) + 1, np.int64)
-    out[0] = START
-    out[1:] = [known.get(w, UNKNOWN) for w in words]
-    return out
-
-
-def _bucket(ids: np.ndarray, buckets: int) -> np.ndarray:
-    pairs = ids[:-1].astype(np.uint64) << np.uint64(32) | ids[1:].astype(np.uint64)
-    return (shingles.mixed(pairs) % np.uint64(buckets)).astype(np.int64)
-
-
+@dataclass
 class Model:
-    """Counts of words, contexts and bigram buckets, for target (row 0) and background (row 1)."""
-
-    def __init__(self, words: list[str], buckets: int):
-        self.known = {w: i for i, w in enumerate(words, START + 1)}
-        self.unigrams = np.zeros((2, len(words) + 2))
-        self.contexts = np.zeros((2, len(words) + 2))
-        self.bigrams = np.zeros((2, buckets), np.float32)
-
-    def losses(self, text: str | None) -> tuple[int, float | None, float | None]:
-        ids = _ids(text, self.known)
-        if len(ids) < 2:
-            return 0, None, None
-        before, word, bucket = ids[:-1], ids[1:], _bucket(ids, self.bigrams.shape[1])
-        out = []
-        for model in (0, 1):
-            n, own = self.unigrams[model], self.contexts[model][before]
-            alone = (n[word] + 0.5) / (n.sum() + 0.5 * len(n))
-            pair = np.minimum(np.minimum(self.bigrams[model][bucket], own), n[word])
-            out.append(float(-np.log((pair + PRIOR * alone) / (own + PRIOR)).mean()))
-        return len(word), out[0], out[1]
+    """Documents to count, with ``good`` marking those of the target; ``words`` is null for the whole vocabulary."""
 
+    docs: DataFrame
+    rows: DataFrame
+    words: list[str] | None
 
-def _counts(known: dict[str, int], buckets: int):
-    size = len(known) + 2
 
-    def count(frames):
-        unigrams, contexts = np.zeros((2, size), np.int64), np.zeros((2, size), np.int64)
-        bigrams = np.zeros((2, buckets), np.int64)
-        for frame in frames:
-            for t, good in zip(frame["t"], frame["good"], strict=True):
-                ids = _ids(t, known)
-                if len(ids) < 2:
-                    continue
-                bucket = _bucket(ids, buckets)
-                for model in (0, 1) if good else (1,):
-                    np.add.at(unigrams[model], ids[1:], 1)
-                    np.add.at(contexts[model], ids[:-1], 1)
-                    np.add.at(bigrams[model], bucket, 1)
-        for kind, table in enumerate((unigrams, contexts, bigrams)):
-            some = np.flatnonzero(table[1])
-            yield pd.DataFrame({"kind": np.full(len(some), kind, np.int32), "place": some, "target": table[0][some], "background": table[1][some]})
-
-    return count
-
-
-def train(docs: DataFrame, good: DataFrame, key: str = "doc_id", text: str = "text", size: int = VOCABULARY, buckets: int = BUCKETS) -> Model:
+def train(docs: DataFrame, good: DataFrame, key: str = "doc_id", text: str = "text", size: int | None = None) -> Model:
     """``good`` has the keys of the target documents in column ``key``."""
-    words = vocabulary(docs, size, text)
-    model = Model(words, buckets)
     marked = good.select(F.col(key).alias("_good")).where(F.col("_good").isNotNull()).distinct()
     if marked.count() <= MOST_BROADCAST_LABELS:
         marked = F.broadcast(marked)
-    rows = docs.join(marked, docs[key] == F.col("_good"), "left").select(F.col(text).alias("t"), F.col("_good").isNotNull().alias("good"))
-    parts = rows.mapInPandas(_counts(model.known, buckets), "kind int, place long, target long, background long")
-    # as many rows as the model has parameters, whatever the size of the corpus
-    total = parts.groupBy("kind", "place").agg(F.sum("target").alias("target"), F.sum("background").alias("background")).toArrow()
-    kinds = total["kind"].to_numpy()
-    for kind, table in enumerate((model.unigrams, model.contexts, model.bigrams)):
-        own = kinds == kind
-        place = total["place"].to_numpy()[own]
-        table[0, place], table[1, place] = total["target"].to_numpy()[own], total["background"].to_numpy()[own]
-    return model
+    weight = F.when(F.col("_good").isNull(), 1).otherwise(2)
+    rows = docs.join(marked, docs[key] == F.col("_good"), "left").select(F.col(key).alias("key"), F.col(text).alias("t"), weight.alias("weight"))
+    return Model(docs, rows, None if size is None else vocabulary(docs, size, text))
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """Whole numbers in their narrowest width, byte by byte of all, compressed."""
+    x = x.astype(np.min_scalar_type(int(x.max(initial=0))))
+    planes = x.view(np.uint8).reshape(len(x), x.itemsize).T
+    return bytes([x.itemsize]) + len(x).to_bytes(8, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)
+
+
+def _unpacked(blob: bytes, kind: type = np.int64) -> np.ndarray:
+    width, n = blob[0], int.from_bytes(blob[1:9], "little")
+    planes = np.frombuffer(pa.decompress(blob[9:], n * width, "zstd", asbytes=True), np.uint8).reshape(width, n)
+    return np.ascontiguousarray(planes.T).view(f"u{width}").ravel().astype(kind)
+
+
+def _steps(keys: np.ndarray) -> bytes:
+    """Ascending keys by their differences, which need fewer bytes."""
+    return _packed(np.diff(keys, prepend=np.uint64(0)))
+
+
+def _chunks(known: np.ndarray | None, most: int):
+    """Rows (key, t, weight) as chunks; weight 2 counts in both models, 1 in the background, 0 in none."""
+
+    def packed(place, hashes, weights, keys):
+        codes, words = pd.factorize(np.concatenate(hashes))
+        own = pa.concat_arrays(keys)
+        blobs = [words.astype(np.uint64), codes, np.array([len(h) for h in hashes]), np.array(weights)]
+        columns = [pa.array([place], pa.int64()), *[pa.array([_packed(x)], pa.binary()) for x in blobs]]
+        columns.append(pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own))
+        return pa.RecordBatch.from_arrays(columns, ["chunk", "words", "codes", "sizes", "weights", "keys"])
+
+    def chunk(record_batches):
+        place = TaskContext.get().partitionId() << 32
+        hashes, weights, keys, tokens = [], [], [], 0
+        for batch in record_batches:
+            start = 0
+            for i, (t, weight) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                h = shingles.hash_words(shingles.words_of(t))
+                if known is not None:
+                    h[~np.isin(h, known)] = UNKNOWN
+                hashes.append(h)
+                weights.append(weight)
+                tokens += len(h)
+                if tokens >= most:
+                    keys.append(batch.column(0).slice(start, i + 1 - start))
+                    yield packed(place, hashes, weights, keys)
+                    hashes, weights, keys, tokens, start, place = [], [], [], 0, i + 1, place + 1
+            if start < batch.num_rows:
+                keys.append(batch.column(0).slice(start))
+        if hashes:
+            yield packed(place, hashes, weights, keys)
+
+    return chunk
+
+
+class _Chunk:
+    """A chunk's tokens as places in its lists of words and distinct bigrams, and its sorted request keys."""
+
+    def __init__(self, words: bytes, codes: bytes, sizes: bytes, weights: bytes):
+        hashes = np.append(_unpacked(words, np.uint64), START)
+        self.word, self.sizes = _unpacked(codes), _unpacked(sizes)
+        self.text = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        self.weight = _unpacked(weights)[self.text]
+        self.n_words = len(hashes)
+        self.before = np.empty_like(self.word)
+        self.before[1:] = self.word[:-1]
+        self.before[(np.cumsum(self.sizes) - self.sizes)[self.sizes > 0]] = self.n_words - 1
+        self.pair, pairs = pd.factorize(self.before * self.n_words + self.word)
+        self.pair_before, self.pair_word = pairs // self.n_words, pairs % self.n_words
+        mixed = shingles.mixed
+        two = mixed(mixed(hashes[self.pair_before]) * _PAIR + hashes[self.pair_word])
+        # the last bit tells words from contexts and bigrams
+        keys = np.concatenate([mixed(hashes) | _WORD, mixed(hashes ^ _CONTEXT) & ~_WORD, two & ~_WORD])
+        self.order = np.argsort(keys)
+        self.keys = keys[self.order]
+
+    def cuts(self, bits: int) -> np.ndarray:
+        """Where the keys of each part begin and end."""
+        return np.searchsorted(self.keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+
+    def counts(self) -> list[np.ndarray]:
+        """The chunk's own counts (target, background) in order of the keys."""
+        out = []
+        for least in (2, 1):
+            some = self.weight >= least
+            own = [np.bincount(x[some], minlength=n) for x, n in ((self.word, self.n_words), (self.before, self.n_words), (self.pair, len(self.pair_word)))]
+            out.append(np.concatenate(own)[self.order])
+        return out
 
+    def losses(self, counts: np.ndarray, n_tokens: int, n_words: int) -> np.ndarray:
+        """Each text's loss, out of the model's counts in order of the keys."""
+        all_ = np.empty(len(counts), np.int64)
+        all_[self.order] = counts
+        alone, own, pair = np.split(all_, [self.n_words, 2 * self.n_words])
+        smooth = (alone[self.pair_word] + 0.5) / (n_tokens + 0.5 * n_words)
+        loss = -np.log((pair + PRIOR * smooth) / (own[self.pair_before] + PRIOR))
+        return np.bincount(self.text, loss[self.pair], len(self.sizes)) / np.maximum(self.sizes, 1)
+
+
+_BLOBS = ("words", "codes", "sizes", "weights")
 
-def scored(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_tokens, target_loss, background_loss, score) of every document."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
 
-    def score(frames):
+def _requests(bits: int):
+    def ask(frames):
         for frame in frames:
-            found = [held.value.losses(t) for t in frame["t"]]
-            n, target, background = zip(*found) if found else ((), (), ())
-            out = pd.DataFrame({"key": frame["key"], "n_tokens": n, "target_loss": target, "background_loss": background})
-            yield out.astype({"n_tokens": "int64", "target_loss": float, "background_loss": float})
+            for row in frame.itertuples():
+                chunk = _Chunk(*[getattr(row, x) for x in _BLOBS])
+                target, background = chunk.counts()
+                cuts = chunk.cuts(bits)
+                some = np.flatnonzero(cuts[1:] > cuts[:-1])
+                spans = [slice(cuts[i], cuts[i + 1]) for i in some]
+                yield pd.DataFrame({
+                    "part": some, "chunk": row.chunk, "keys": [_steps(chunk.keys[s]) for s in spans],
+                    "target": [_packed(target[s]) for s in spans], "background": [_packed(background[s]) for s in spans],
+                })
+
+    return ask
+
+
+def _answers(frames):
+    for part in batches.groups(frames, ["part"]):
+        each = [np.cumsum(_unpacked(k, np.uint64)) for k in part["keys"]]
+        sizes = [len(k) for k in each]
+        keys = np.concatenate(each)
+        order = np.argsort(keys)
+        keys = keys[order]
+        new = np.append(True, keys[1:] != keys[:-1])
+        first, group = np.flatnonzero(new), np.cumsum(new) - 1
+        words = (keys[first] & _WORD) == _WORD
+        out, sums = {}, []
+        for name in ("target", "background"):
+            own = np.concatenate([_unpacked(b) for b in part[name]])
+            total = np.add.reduceat(own[order], first)
+            sums.append(total[words])
+            answer = np.empty(len(keys), np.int64)
+            answer[order] = total[group]
+            out[name] = [_packed(x) for x in np.split(answer, np.cumsum(sizes)[:-1])]
+        # the part's sums stand in one of its rows
+        one = np.arange(len(sizes)) == 0
+        sums = {"n_target": sums[0].sum(), "n_background": sums[1].sum(), "n_words": (sums[1] > 0).sum()}
+        yield pd.DataFrame({"part": part["part"], "chunk": part["chunk"], **out, **{k: one * int(v) for k, v in sums.items()}})
+
+
+def _scores(tokens: tuple[int, int], n_words: int):
+    def score(chunks: pa.Table, answers: pa.Table) -> pa.Table:
+        row = {c: chunks.column(c)[0] for c in chunks.column_names}
+        chunk = _Chunk(*[row[x].as_py() for x in _BLOBS])
+        answers = answers.sort_by("part")
+        found = []
+        for name, n in zip(("target", "background"), tokens, strict=True):
+            counts = np.concatenate([_unpacked(b) for b in answers.column(name).to_pylist()])
+            found.append(pa.array(chunk.losses(counts, n, n_words)))
+        return pa.table([row["keys"].values, pa.array(chunk.sizes), *found], ["key", "n_tokens", "target_loss", "background_loss"])
+
+    return score
 
-    form = f"key {dict(docs.dtypes)[key]}, n_tokens long, target_loss double, background_loss double"
-    out = docs.select(F.col(key).alias("key"), F.col(text).alias("t")).mapInPandas(score, form)
+
+def scored(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n_tokens, target_loss, background_loss, score) of every document."""
+    kind = dict(docs.dtypes)[key]
+    known = None if model.words is None else shingles.hash_words(model.words)
+    form = f"chunk long, words binary, codes binary, sizes binary, weights binary, keys array<{kind}>"
+    rows = model.rows if docs is model.docs else docs.select(F.col(key).alias("key"), F.col(text).alias("t"), F.lit(0).alias("weight"))
+    chunks = common.staged(rows.mapInArrow(_chunks(known, CHUNK), form))
+    counted = chunks
+    if docs is not model.docs:
+        # chunks that only count get numbers below zero and are not scored
+        other = model.rows.withColumn("key", F.lit(None).cast(kind)).mapInArrow(_chunks(known, CHUNK), form)
+        counted = common.staged(chunks.unionByName(other.withColumn("chunk", -1 - F.col("chunk"))))
+    bits = max(LEAST_BITS, (counted.count() // 2).bit_length())
+    asked = counted.select("chunk", *_BLOBS).mapInPandas(_requests(bits), "part long, chunk long, keys binary, target binary, background binary")
+    form = "part long, chunk long, target binary, background binary, n_target long, n_background long, n_words long"
+    answers = common.staged(batches.by_key(asked, ["part"]).mapInPandas(_answers, form))
+    sums = answers.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n_target", "n_background", "n_words")]).first()
+    n_words = (sums[2] if model.words is None else len(model.words)) + 2
+    replies = answers.filter("chunk >= 0").select("part", "chunk", "target", "background").groupBy("chunk")
+    form = f"key {kind}, n_tokens long, target_loss double, background_loss double"
+    out = chunks.groupBy("chunk").cogroup(replies).applyInArrow(_scores((sums[0], sums[1]), n_words), form)
     losses = {c: F.when(F.col("n_tokens") > 0, F.round(c, 6)) for c in ("target_loss", "background_loss")}
     out = out.withColumn("score", F.when(F.col("n_tokens") > 0, F.round(F.col("target_loss") - F.col("background_loss"), 6)))
     return out.withColumns(losses)

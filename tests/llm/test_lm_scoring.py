@@ -45,3 +45,32 @@ def test_no_documents(table, spark):
     frame = table([(1, "a")]).filter("doc_id > 1")
     good = spark.createDataFrame([], "doc_id long")
     assert lm_scoring.scored(frame, lm_scoring.train(frame, good)).count() == 0
+
+
+@pytest.mark.parametrize("chunk", [3, 1_000_000])
+def test_every_word_and_bigram_counts(table, spark, monkeypatch, chunk):
+    """More words than the former vocabulary of 50,000: the rare ones keep their own counts, in chunks of any size."""
+    monkeypatch.setattr(lm_scoring, "CHUNK", chunk)
+    n = 30 if chunk == 3 else 55_000
+    docs = [(0, " ".join(f"w{i} w{i}" for i in range(n))), (1, "zz1 zz2 zz1 zz2"), (2, "zz3 zz4"), (3, "zz4 zz3"), (4, None)]
+    frame = table(docs)
+    good = spark.createDataFrame([(1,), (2,)], "doc_id long")
+    got = {r.key: r for r in lm_scoring.scored(frame, lm_scoring.train(frame, good)).collect()}
+    tokens = {k: ["<s>", *(t or "").split()] for k, t in docs}
+    size = len({w for t in tokens.values() for w in t[1:]}) + 2
+
+    def loss(chosen, t):
+        u, c, b = Counter(), Counter(), Counter()
+        for k in chosen:
+            u.update(tokens[k][1:]), c.update(tokens[k][:-1]), b.update(zip(tokens[k], tokens[k][1:]))
+        n, pairs = sum(u.values()), list(zip(t, t[1:]))
+        prior = lm_scoring.PRIOR
+        return -sum(math.log((b[p, w] + prior * (u[w] + 0.5) / (n + 0.5 * size)) / (c[p] + prior)) for p, w in pairs) / len(pairs)
+
+    assert set(got) == set(tokens) and got[4].score is None
+    for k in range(4):
+        assert got[k].target_loss == pytest.approx(loss([1, 2], tokens[k]), abs=2e-6)
+        assert got[k].background_loss == pytest.approx(loss(tokens, tokens[k]), abs=2e-6)
+    other = table([(9, "zz3 zz4")])
+    (r,) = lm_scoring.scored(other, lm_scoring.train(frame, good)).collect()
+    assert (r.key, r.target_loss, r.background_loss) == (9, got[2].target_loss, got[2].background_loss)
