@@ -8,7 +8,8 @@ share of a pattern's instances that are believed to be of a kind), confident
 patterns give belief to unseen instances, and so on for some rounds over the
 pattern-instance graph, whose edges are distinct pairs with no row per
 occurrence. Instances believed in the end add spans; spans of the fixed forms
-always stay, and an added span never overlaps one.
+always stay, and an added span never overlaps one; of added spans within each other
+the longest stays.
 
 Positions come from the texts between the matches (a split by the same
 pattern), summed up per document. Patterns are possessive forms of the stated
@@ -42,7 +43,7 @@ SECRET_FORM = r"^(?:[0-9a-f]{32,}|[0-9A-F]{32,}|(?=[A-Za-z_-]*[0-9])(?=[0-9_-]*[
 _OCTET = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{0,2})"
 IP_VALID = rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"
 
-CONTEXT_CHARS, LONGEST_INSTANCE = 60, 80
+CONTEXT_CHARS = 60
 ROUNDS, LEAST_SUPPORT, LEAST_CONFIDENCE, LEAST_BELIEF = 3, 3.0, 0.8, 0.8
 
 
@@ -118,10 +119,33 @@ def occurrences(docs: DataFrame, text: str = "text") -> DataFrame:
     return each.withColumn("start", (end - F.length("match")).cast("long")).drop("gap", "i")
 
 
+def _parts(runs: DataFrame) -> DataFrame:
+    """The single tokens of runs of several, with their own places and surroundings."""
+    in_run = Window.partitionBy("_row", "run_start").orderBy("i")
+    size = F.length("tok") + 1
+    out = runs.withColumnsRenamed({"start": "run_start", "core": "run_core"}).select(
+        "_row", "run_start", "from", "run_core", "before", "after", F.posexplode(F.split("match", " ")).alias("i", "tok")
+    )
+    near = {"b2": F.lag("tok", 2).over(in_run), "b1": F.lag("tok", 1).over(in_run), "a1": F.lead("tok", 1).over(in_run)}
+    out = out.withColumns({"at": F.sum(size).over(in_run.rowsBetween(Window.unboundedPreceding, 0)) - size, **near})
+    return out.select(
+        "_row", (F.col("from") + F.col("at")).alias("start"), F.col("tok").alias("match"), (F.col("i") > 0).alias("counted"), "run_core",
+        F.concat_ws(" ", F.when(F.col("i") < 2, F.rtrim("before")), "b2", "b1").alias("before"),
+        F.coalesce("a1", "after").alias("after"),
+    )
+
+
 def instances(tokens: DataFrame) -> DataFrame:
-    """Tokens cut to their core, with its place, seed kind and patterns."""
-    core = F.regexp_extract("match", CORE, 0)
-    out = tokens.withColumn("core", core).filter((F.col("core") != "") & (F.length("core") <= LONGEST_INSTANCE))
+    """Tokens cut to their core, with its place, seed kind and patterns.
+
+    A run of tokens is an instance as a whole; where it is no seed, each of its tokens is one too, with the
+    run's core as run_core. The first token shares the run's pattern and is not counted there once more.
+    """
+    whole = tokens.withColumns({"from": F.col("start"), "core": F.regexp_extract("match", CORE, 0)})
+    some = whole.filter(F.col("match").contains(" ") & _seed_kind(F.col("core")).isNull())
+    columns = ["_row", "start", "match", "counted", "run_core", "before", "after"]
+    whole = tokens.withColumns({"counted": F.lit(True), "run_core": F.lit(None).cast("string")}).select(*columns)
+    out = whole.unionByName(_parts(some).select(*columns)).withColumn("core", F.regexp_extract("match", CORE, 0)).filter(F.col("core") != "")
     out = out.withColumns({
         "start": F.col("start") + F.call_function("locate", F.col("core"), F.col("match")) - 1,
         "words": F.split(F.translate(F.lower(F.trim("before")), "0123456789", "0000000000"), r"\s+"),
@@ -131,16 +155,18 @@ def instances(tokens: DataFrame) -> DataFrame:
     patterns = F.array(
         F.concat(F.lit("1 "), last), F.concat(F.lit("2 "), last2, F.lit(" "), last), F.concat(F.lit("3 "), last, F.lit(" _ "), F.col("next"))
     )
-    return out.select("_row", "start", "core", _seed_kind(F.col("core")).alias("seed"), F.when(last != "", F.array_compact(patterns)).alias("patterns"))
+    patterns = F.when(last != "", F.array_compact(patterns)).alias("patterns")
+    return out.select("_row", "start", "core", "counted", "run_core", _seed_kind(F.col("core")).alias("seed"), patterns)
 
 
 def believed(found: DataFrame) -> DataFrame:
     """(core, kind) of the instances that the graph's confident patterns discover; seeds are not among them.
 
-    ``found`` has core, seed and patterns for each occurrence.
+    ``found`` has core, seed, patterns and counted for each occurrence.
     """
-    edges = common.staged(found.select("core", "seed", F.explode("patterns").alias("pattern")).distinct())
-    sizes = edges.groupBy("pattern").agg(F.count("*").alias("n"))
+    each = found.select("core", "seed", "counted", F.explode("patterns").alias("pattern"))
+    edges = common.staged(each.groupBy("core", "seed", "pattern").agg(F.max("counted").alias("counted")))
+    sizes = edges.filter("counted").groupBy("pattern").agg(F.count("*").alias("n"))
     seeds = edges.filter("seed is not null").select("core", F.col("seed").alias("kind")).distinct().withColumn("belief", F.lit(1.0))
     belief = seeds
     for _ in range(ROUNDS):
@@ -166,13 +192,19 @@ def pii_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     enough = (F.length(F.regexp_replace("core", "[^0-9]", "")) >= 4) | F.col("core").contains("@")
     new = believed(tokens).filter(enough)
     kinds = tokens.filter(F.col("seed") == SECRET).select("core").distinct().withColumn("kind", F.lit(SECRET)).unionByName(new)
-    added = tokens.join(kinds, "core").select("_row", "kind", "start", (F.col("start") + F.length("core")).alias("end"), F.lit(False).alias("base"))
+    # a token has its own kind, or its run's: where a run meets a base span, its other tokens stay
+    of_run = tokens.filter("run_core is not null").filter(enough).join(kinds.withColumnRenamed("core", "run_core"), "run_core")
+    both = tokens.join(kinds, "core").select("_row", "start", "core", "kind").unionByName(of_run.select("_row", "start", "core", "kind"))
+    added = both.select("_row", "kind", "start", (F.col("start") + F.length("core")).alias("end"), F.lit(False).alias("base"))
     in_row = Window.partitionBy("_row").orderBy("start", "end")
     earlier = F.max(F.when(F.col("base"), F.col("end"))).over(in_row.rowsBetween(Window.unboundedPreceding, -1))
     later = F.min(F.when(F.col("base"), F.col("start"))).over(in_row.rowsBetween(1, Window.unboundedFollowing))
     both = base.unionByName(added).withColumns({"_earlier": earlier, "_later": later})
     free = (F.coalesce("_earlier", F.lit(0)) <= F.col("start")) & (F.coalesce("_later", F.col("end")) >= F.col("end"))
-    return both.filter(F.col("base") | free).drop("_earlier", "_later")
+    # of added spans that lie in each other the longest stays
+    wide = Window.partitionBy("_row", "base").orderBy("start", F.desc("end"), "kind").rowsBetween(Window.unboundedPreceding, -1)
+    kept = common.filter_after(both, F.col("base") | free).withColumn("_covered", F.max("end").over(wide) >= F.col("end"))
+    return kept.filter(F.col("base") | ~F.coalesce("_covered", F.lit(False))).drop("_earlier", "_later", "_covered")
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

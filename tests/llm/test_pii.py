@@ -57,3 +57,14 @@ def test_patterns_discover_unseen_identifiers(table):
 @pytest.mark.parametrize("rows", [[], [(None, None)], [(None, "x@y.zz"), (None, "x@y.zz")]])
 def test_odd_tables(table, rows):
     assert pii.pii_spans(table([(1, "")] + rows)).count() == sum(t is not None for _, t in rows)
+
+
+def test_secrets_in_runs_and_long_keys(table):
+    key = hashlib.md5(b"key").hexdigest()
+    long = hashlib.sha512(b"key").hexdigest()
+    docs = table([(0, f"token = {key} 4111111111111111 end"), (1, f"key {long} end"), (2, f"see 7 {key} 8 end")])
+    rows = pii.common.with_row_id(docs.select("doc_id"))
+    spans = pii.pii_spans(docs).join(rows, "_row").collect()
+    assert {(s.doc_id, s.kind, s.start, s.end) for s in spans} == {
+        (0, "secret", 8, 40), (0, "card", 41, 57), (1, "secret", 4, 132), (2, "secret", 6, 38)
+    }
