@@ -1,25 +1,39 @@
 """Substring dedup with compact windows.
 
-A text is its sequence of five-word shingles. Under one hash function, the
-node of the Cartesian tree (by hash value) at place c with extent [l, r] is the
-compact window (l, c, r): it stands for all passages [i, j] with l <= i <= c <=
-j <= r, whose min-hash is the value at c. Only windows of ``LEAST`` shingles
-(50 words) or more are made, about 2/LEAST of a text's length for each function.
-
-Windows of different documents with one value join through the value's first
-window, and through the first that also agrees with them 23 shingles to the
-left, or to the right, so that documents which merely share one phrase do not
-hide a longer passage that two others share. So a value's group yields rows in
-proportion to its size. For each pair of documents the windows of the ``FUNCTIONS``
-functions are joined as intervals: a pair is a candidate where windows of two
-functions overlap by a passage's length in both, or where one agrees also in
-its surroundings. Candidates are verified on the texts: the alignment is grown
-from c to both sides over small edits, and the passages' shingle sets must
-have 50 words or more and a Jaccard similarity of 0.8 or more.
-
-Defined results: null and short texts have no passages; repeated rows share
-their whole text; a passage repeated within one document only is not reported;
-null ids are kept (rows are told apart by place); other columns are ignored.
+Equal texts are one class and go on as its first row (by key and place). A text
+is its sequence of five-word shingles. Under one hash function, the node of the
+Cartesian tree (by hash value) at place c with extent [l, r] is the compact
+window (l, c, r): it stands for all passages [i, j] with l <= i <= c <= j <= r,
+whose min-hash is the value at c. Only windows of ``LEAST`` shingles (50 words)
+or more are made, about 2/LEAST of a text's length for each function.
+
+Windows of one value are linked to the value's first; those that do not agree
+with it 23 shingles to the left or to the right also to the first that shares
+their left, and their right. This is done for the texts of a batch first: only
+a batch's first windows are shuffled, so a value that a third of all texts hold
+is a few rows of each batch. A pair of texts is a candidate where windows of two
+functions overlap by a passage's length in both, or where one agrees also in its
+surroundings. Candidates are verified on the texts: the alignment is grown from
+c to both sides over edits (of 16 shingles, or a quarter of what has been
+aligned so far), and the passages' shingle sets must have 50 words or more and
+a Jaccard similarity of 0.8 or more.
+
+Where a link of a value that agreed in its surroundings fails this test (the
+first window shares a phrase only, too short for a passage), all windows of that
+value meet once more, without the first window's help: under each of the 46
+pairs of places (c-i, c-i+45) at which both ends agree. Two texts that share a
+passage with c in it share such a pair of ends, except where edits hit them.
+
+Rows that come out link each passage to an earlier one; passages that many texts
+hold form stars or short trees, never all pairs. A window whose link has been
+verified looks no further under its value.
+
+Defined results: null, empty and short texts have no passages; rows of equal
+text are one class, linked to its first row over their whole length (if that is
+50 words or more); a passage repeated within one text is reported if the two
+places do not overlap; null ids are kept (rows are told apart by place); a text
+of any length is taken whole; an empty table gives no rows; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -37,11 +51,14 @@ FUNCTIONS, SEED = 4, 10
 LEAST_WORDS, THRESHOLD = 50, 0.8
 LEAST = LEAST_WORDS - shingles.WORDS + 1
 _ASIDE = LEAST // 2
-#: Shingles that an edit may replace before the alignment must go on.
-_EDIT = 16
+#: Shingles that an edit may replace before the alignment must go on; later in a passage a share of it.
+_EDIT, _EDIT_SHARE = 16, 4
 #: Shingles of texts that are looked at together.
-_TOGETHER = 200_000
-_SEED = ("c", "c1", "l", "r", "l1", "r1", "f", "sure")
+_TOGETHER = 1_000_000
+#: Parts in which the rows of one class of copies, or of one failed value, are joined.
+_SALTS = 16
+_FAR = (1 << 15) - 1
+_LOW = np.uint64(0xFFFFFFFF)
 
 
 def _slide(x: np.ndarray, width: int, least: bool) -> np.ndarray:
@@ -78,12 +95,26 @@ def compact_windows(h: np.ndarray, least: int = LEAST) -> np.ndarray:
     return out[out[:, 2] - out[:, 0] + 1 >= least]
 
 
-def _windows_of(rows: list[int], texts: list[np.ndarray]) -> pd.DataFrame:
-    """Windows of several texts at once: zeros between them are smaller than any hash, so no window crosses."""
+def _place(c: np.ndarray, left: np.ndarray | int, right: np.ndarray | int, f: np.ndarray | int) -> np.ndarray:
+    """A window's place, its reach to both sides (as far as that matters) and its function, in one number."""
+    return c.astype(np.int64) << 32 | np.minimum(left, _FAR) << 17 | np.minimum(right, _FAR) << 2 | f
+
+
+def _place_of(x: np.ndarray) -> dict[str, np.ndarray]:
+    c = x >> 32
+    return {"c": c, "l": c - (x >> 17 & _FAR), "r": c + (x >> 2 & _FAR), "f": x & 3}
+
+
+def _joined(texts: list[np.ndarray], margin: int) -> tuple[np.ndarray, np.ndarray]:
+    """Several texts one behind the other with zeros between them, and where each starts."""
     size = np.array([len(t) for t in texts])
-    gap = np.zeros(_ASIDE, np.uint64)
-    s = np.concatenate([x for t in texts for x in (gap, t)] + [gap])
-    starts = np.cumsum(size + _ASIDE) - size
+    gap = np.zeros(margin, np.uint64)
+    return np.concatenate([x for t in texts for x in (gap, t)] + [gap]), np.cumsum(size + margin) - size
+
+
+def _windows_of(rows: list[int], texts: list[np.ndarray]) -> dict[str, np.ndarray]:
+    """Windows of several texts at once: the zeros between them are smaller than any hash, so no window crosses."""
+    s, starts = _joined(texts, _ASIDE)
     inside = s != 0
     a, b = shingles.permutations(FUNCTIONS, SEED)
     found = []
@@ -92,71 +123,140 @@ def _windows_of(rows: list[int], texts: list[np.ndarray]) -> pd.DataFrame:
         w = compact_windows(h)
         w = w[inside[w[:, 1]]]
         c = w[:, 1]
-        aside = (s[c - _ASIDE] & np.uint64(0xFFFFFFFF)) << np.uint64(32) | s[c + _ASIDE] & np.uint64(0xFFFFFFFF)
-        found.append((np.full(len(w), f, np.int8), (h[c] ^ np.uint64(2 * f)).view(np.int64), w, aside.view(np.int64)))
-    w = np.concatenate([x[2] for x in found])
-    text = np.searchsorted(starts, w[:, 1], "right") - 1
-    w = (w - starts[text][:, None]).astype(np.int32)
-    join = lambda i: np.concatenate([x[i] for x in found])
-    return pd.DataFrame({"_row": np.array(rows)[text], "f": join(0), "value": join(1), "l": w[:, 0], "c": w[:, 1], "r": w[:, 2], "aside": join(3)})
+        aside = (s[c - _ASIDE] & _LOW) << np.uint64(32) | s[c + _ASIDE] & _LOW
+        text = np.searchsorted(starts, c, "right") - 1
+        place = _place(c - starts[text], c - w[:, 0], w[:, 2] - c, f)
+        found.append(((h[c] ^ np.uint64(2 * f)).view(np.int64), np.array(rows, np.int64)[text], place, aside.view(np.int64)))
+    return dict(zip(("value", "row", "place", "aside"), map(np.concatenate, zip(*found)), strict=True))
 
 
-def _windows(frames):
-    for frame in frames:
-        rows, texts, size = [], [], 0
-        for row, t in zip(frame["_row"], frame["t"], strict=True):
-            s = shingles.shingle_hashes(shingles.hash_words(shingles.words_of(t)))
-            if len(s) >= LEAST:
-                rows.append(row)
-                texts.append(s)
-                size += len(s)
-            if size >= _TOGETHER:
-                yield _windows_of(rows, texts)
-                rows, texts, size = [], [], 0
-        if rows:
-            yield _windows_of(rows, texts)
-
-
-def _candidates(windows: DataFrame) -> DataFrame:
-    """(row1, row2, c, c1, l, ...): pairs of documents with the windows that bring them together, as arrays in order of c.
-
-    A window that agrees with its value's first window in its surroundings is done;
-    the others also look for a first window among those that share their surroundings.
+def _firsts(order: np.ndarray, keys: list[np.ndarray]) -> np.ndarray:
+    """The first row of each row's group, for rows in order and the group's keys."""
+    new = np.ones(len(order), bool)
+    new[1:] = False
+    for k in keys:
+        new[1:] |= k[order][1:] != k[order][:-1]
+    return order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+
+
+def _stars(w: dict[str, np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Links (member, first, sure) of windows that share a value, and a mask of those that others may still have to meet.
+
+    A member that agrees with its value's first window in its surroundings is sure
+    and done. Another also meets the first of those that share its left, and its right.
+    Windows of an ``old`` batch come first.
     """
-    w = F.struct("_row", "c", "l", "r", "aside")
-    left, right = F.shiftrightunsigned("aside", 32), F.col("aside").bitwiseAND(F.lit(0xFFFFFFFF))
-    same_left = (left == F.shiftrightunsigned("first.aside", 32)) & (left != 0)
-    same_right = (right == F.col("first.aside").bitwiseAND(F.lit(0xFFFFFFFF))) & (right != 0)
-
-    def joined(rows: DataFrame, on: list[str]) -> DataFrame:
-        first = rows.groupBy(*on).agg(F.min(w).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-        return rows.join(first, on).withColumn("sure", same_left | same_right)
-
-    all_ = joined(windows, ["value"])
-    rest = common.staged(all_.filter(~F.col("sure")).drop("first", "sure"))
-    pairs = all_
+    rank = (w["place"], w["row"], ~w["old"])
+    order = np.lexsort((*rank, w["value"]))
+    first = np.empty(len(order), np.int64)
+    first[order] = _firsts(order, [w["value"]])
+    left, right = w["aside"].view(np.uint64) >> np.uint64(32), w["aside"].view(np.uint64) & _LOW
+    lone = first == np.arange(len(order))
+    sure = ((left == left[first]) & (left != 0) | (right == right[first]) & (right != 0)) & ~lone
+    links, ahead = [(np.flatnonzero(~lone), first[~lone], sure[~lone])], lone.copy()
+    rest = np.flatnonzero(~sure & ~lone)
     for side in (left, right):
-        found = joined(rest.withColumn("side", side).filter(F.col("side") != 0), ["value", "side"])
-        pairs = pairs.unionByName(found.drop("side"))
-    pairs = pairs.filter(F.col("_row") != F.col("first._row")).select(
-        F.col("first._row").alias("row1"), F.col("_row").alias("row2"), F.struct("c", F.col("first.c").alias("c1"), "l", "r", F.col("first.l").alias("l1"), F.col("first.r").alias("r1"), F.col("f").cast("int").alias("f"), F.col("sure").cast("int").alias("sure")).alias("seed")
-    )
-    grouped = pairs.groupBy("row1", "row2").agg(F.sort_array(F.collect_list("seed")).alias("seeds"), F.max("seed.sure").alias("sure"), F.min("seed.f").alias("f_min"), F.max("seed.f").alias("f_max"))
+        own = rest[side[rest] != 0]
+        if len(own):
+            own = own[np.lexsort((*[x[own] for x in rank], side[own], w["value"][own]))]
+            one = _firsts(own, [w["value"], side])
+            met = one != own
+            links.append((own[met], one[met], np.ones(int(met.sum()), bool)))
+            ahead[one] = True
+    ahead[rest[w["aside"][rest] == 0]] = True
+    return [np.concatenate(x) for x in zip(*links, strict=True)], ahead
+
+
+_WINDOWS = "deal long, value long, row long, place long, aside long, row1 long, place1 long"
+
+
+def _linked(w: dict[str, np.ndarray], member: np.ndarray, first: np.ndarray, sure: np.ndarray) -> pd.DataFrame:
+    """New links as rows, the earlier place as row1; ``aside`` tells if the link is sure. Near places of one text are none."""
+    row1, row2, p1, p2 = w["row"][first], w["row"][member], w["place"][first], w["place"][member]
+    good = ~w["old"][member] & ((row1 != row2) | (np.abs((p1 >> 32) - (p2 >> 32)) >= LEAST))
+    row1, row2, p1, p2, value, sure = (x[good] for x in (row1, row2, p1, p2, w["value"][member], sure))
+    back = (row1 > row2) | (row1 == row2) & (p1 > p2)
+    row1, row2, p1, p2 = np.where(back, row2, row1), np.where(back, row1, row2), np.where(back, p2, p1), np.where(back, p1, p2)
+    deal = shingles.mixed(row1.view(np.uint64) * np.uint64(31) + row2.view(np.uint64)).view(np.int64)
+    return pd.DataFrame({"deal": deal, "value": value, "row": row2, "place": p2, "aside": sure.astype(np.int64), "row1": row1, "place1": p1})
+
+
+def _batched(windows_of):
+    """Texts in batches of ``_TOGETHER`` shingles: the links among a batch's windows, and the windows that must meet other batches'."""
+
+    def gathered(w: dict[str, np.ndarray]):
+        w["old"] = np.zeros(len(w["row"]), bool)
+        links, ahead = _stars(w)
+        yield _linked(w, *links)
+        own = {k: w[k][ahead] for k in ("value", "row", "place", "aside")}
+        yield pd.DataFrame({"deal": own["value"], **own, "row1": -1, "place1": -1})
+
+    def run(frames):
+        held, size = [], 0
+        for frame in frames:
+            for x in zip(*[frame[c] for c in frame.columns], strict=True):
+                s = _shingles_of(x[1])
+                if len(s) >= LEAST:
+                    held.append((x[0], s, *x[2:]))
+                    size += len(s)
+                if size >= _TOGETHER:
+                    yield from gathered(windows_of(*zip(*held, strict=True)))
+                    held, size = [], 0
+        if held:
+            yield from gathered(windows_of(*zip(*held, strict=True)))
+
+    return run
+
+
+def _met(frames):
+    """Links among the batches' windows, sorted by value; of a value that goes on in the next frame the first windows are kept."""
+    kept = None
+    for frame in frames:
+        link = frame["row1"].to_numpy() >= 0
+        yield frame[link]
+        w = {c: frame[c].to_numpy()[~link] for c in ("value", "row", "place", "aside")}
+        if not len(w["row"]):
+            continue
+        w["old"] = np.zeros(len(w["row"]), bool)
+        if kept is not None:
+            w = {c: np.concatenate([kept[c], v]) for c, v in w.items()}
+        links, ahead = _stars(w)
+        yield _linked(w, *links)
+        on = ahead & (w["value"] == w["value"][-1])
+        on &= (w["aside"] != 0) | (np.cumsum(on) == 1)
+        kept = {c: v[on] for c, v in w.items()}
+        kept["old"] = np.ones(int(on.sum()), bool)
+
+
+def _links(windows: DataFrame) -> DataFrame:
+    """Every link once, out of the batches' rows."""
+    return common.staged(windows.repartition("deal").sortWithinPartitions("deal").mapInPandas(_met, _WINDOWS))
+
+
+def _candidates(links: DataFrame) -> DataFrame:
+    """(row1, row2, place, place1, sure, value): pairs of texts with the links that bring them together, as arrays in order of place."""
+    seed = F.struct("place", "place1", F.col("aside").alias("sure"), "value").alias("seed")
+    f = F.col("seed.place").bitwiseAND(F.lit(3))
+    pairs = links.select("row1", F.col("row").alias("row2"), seed)
+    grouped = pairs.groupBy("row1", "row2").agg(F.array_sort(F.collect_list("seed")).alias("seeds"), F.max("seed.sure").alias("sure"), F.min(f).alias("f_min"), F.max(f).alias("f_max"))
     kept = common.filter_after(grouped, (F.col("sure") == 1) | (F.col("f_min") < F.col("f_max")))
     return kept.select("row1", "row2", *[F.col(f"seeds.{name}").alias(name) for name in _SEED])
 
 
+_SEED = ("place", "place1", "sure", "value")
+
+
 def _supported(seeds: dict[str, np.ndarray]) -> np.ndarray:
     """Places of seeds that agree in their surroundings, or overlap with one of another function by a passage in both texts.
 
     Seeds stand in order of c; windows that overlap around one passage are near each other there.
     """
-    out = seeds["sure"] > 0
+    out, two, one = seeds["sure"] > 0, _place_of(seeds["place"]), _place_of(seeds["place1"])
     for d in range(1, min(2 * FUNCTIONS, len(out) - 1) + 1):
         a, b = slice(None, -d), slice(d, None)
-        met = seeds["f"][a] != seeds["f"][b]
-        for low, high in (("l", "r"), ("l1", "r1")):
-            met &= np.minimum(seeds[high][a], seeds[high][b]) - np.maximum(seeds[low][a], seeds[low][b]) >= LEAST - 1
+        met = two["f"][a] != two["f"][b]
+        for w in (two, one):
+            met &= np.minimum(w["r"][a], w["r"][b]) - np.maximum(w["l"][a], w["l"][b]) >= LEAST - 1
         out[a] |= met
         out[b] |= met
     return np.flatnonzero(out)
@@ -174,21 +274,37 @@ def _run(a: np.ndarray, b: np.ndarray) -> int:
     return n
 
 
+def _nearest(x: np.ndarray, y: np.ndarray) -> tuple[int, int] | None:
+    """The nearest places (p, q) with x[p] == y[q]."""
+    if len(x) * len(y) <= 4 * _EDIT * _EDIT:
+        p, q = np.nonzero(x[:, None] == y[None, :])
+    else:
+        values, at = np.unique(y, return_index=True)
+        near = np.minimum(np.searchsorted(values, x), len(values) - 1)
+        p = np.flatnonzero(values[near] == x)
+        q = at[near[p]]
+    if not len(p):
+        return None
+    k = int(np.argmin(np.maximum(p, q) * (len(x) + len(y)) + p + q))
+    return int(p[k]), int(q[k])
+
+
 def _ahead(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int]]:
-    """Equal blocks (place in a, place in b, length) from the start on, with small edits between them."""
-    i = j = 0
+    """Equal blocks (place in a, place in b, length) from the start on, with edits between them."""
+    i = j = same = 0
     out = []
     while True:
         run = _run(a[i:], b[j:])
         if run:
             out.append((i, j, run))
-            i, j = i + run, j + run
-        x, y = a[i : i + _EDIT], b[j : j + _EDIT]
-        p, q = np.nonzero(x[:, None] == y[None, :])
-        if not len(p):
+            i, j, same = i + run, j + run, same + run
+        near = None
+        for edit in (_EDIT, same // _EDIT_SHARE):
+            if near is None and edit >= _EDIT and i < len(a) and j < len(b):
+                near = _nearest(a[i : i + edit], b[j : j + edit])
+        if near is None:
             return out
-        k = int(np.argmin(np.maximum(p, q) * _EDIT + p + q))
-        i, j = i + int(p[k]), j + int(q[k])
+        i, j = i + near[0], j + near[1]
 
 
 def _alignment(s1: np.ndarray, s2: np.ndarray, c1: int, c2: int) -> np.ndarray:
@@ -222,71 +338,134 @@ def _similarity(a: np.ndarray, b: np.ndarray) -> float:
     return shared / (len(x) + len(y) - shared)
 
 
-def passages(s1: np.ndarray, s2: np.ndarray, seeds: list[tuple[int, int]]) -> list[tuple[int, int, int, int, float]]:
+def passages(s1: np.ndarray, s2: np.ndarray, seeds: list[tuple[int, int]], within: bool = False) -> list[tuple[int, int, int, int, float]]:
     """Verified passages (start2, end2, start1, end1 in words, similarity) of two shingle sequences, around (c2, c1) places in order of c2.
 
     A place on an alignment that has been followed already is not followed again.
+    ``within``: both are one text, and passages must not overlap.
     """
-    out, done, seen = [], -1, np.empty((0, 3), np.int64)
+    out, done, seen = [], -1, {}
     for c2, c1 in seeds:
         if c2 <= done or c1 >= len(s1) or c2 >= len(s2) or s1[c1] != s2[c2]:
             continue
-        if ((seen[:, 1] <= c2) & (c2 < seen[:, 1] + seen[:, 2]) & (seen[:, 0] - seen[:, 1] == c1 - c2)).any():
+        start, end = seen.get(c1 - c2, (0, 0))
+        if start <= c2 < end:
             continue
         blocks = _alignment(s1, s2, c1, c2)
-        seen = np.concatenate([seen, blocks])
+        for a, b, n in blocks.tolist():
+            seen[a - b] = (b, b + n)
         for x, y in _stretches(blocks):
             a1, a2 = blocks[x, :2].tolist()
             b1, b2 = (blocks[y, :2] + blocks[y, 2]).tolist()
+            over = b1 + shingles.WORDS - 1 - a2
+            if within and over > 0:
+                b1, b2 = b1 - over, b2 - over
+            if min(b1 - a1, b2 - a2) < LEAST or a2 <= done:
+                continue
             similarity = _similarity(s1[a1:b1], s2[a2:b2])
-            if similarity >= THRESHOLD and a2 > done:
+            if similarity >= THRESHOLD:
                 out.append((a2, b2 + shingles.WORDS - 1, a1, b1 + shingles.WORDS - 1, round(similarity, 6)))
                 done = b2 - 1
     return out
 
 
-@lru_cache(64)
-def _shingled(text: str) -> np.ndarray:
+def _shingles_of(text: str | None) -> np.ndarray:
     return shingles.shingle_hashes(shingles.hash_words(shingles.words_of(text)))
 
 
+_shingled = lru_cache(64)(_shingles_of)
+_VERIFIED = "row1 long, row2 long, start long, end long, start1 long, end1 long, similarity double, failed long"
+
+
 def _verify(frames):
+    """Passages of candidate pairs, and (as failed) the values of sure links that lie in none."""
+    names = [x.split()[0] for x in _VERIFIED.split(", ")]
     for frame in frames:
         found = []
         for pair in frame.itertuples():
             seeds = {k: np.asarray(getattr(pair, k)) for k in _SEED}
             chosen = _supported(seeds)
             if len(chosen):
-                places = list(zip(seeds["c"][chosen].tolist(), seeds["c1"][chosen].tolist()))
-                found += [(pair.row1, pair.row2, *p) for p in passages(_shingled(pair.t1), _shingled(pair.t2), places)]
-        yield pd.DataFrame(found, columns=["row1", "row2", "start", "end", "start1", "end1", "similarity"])
+                c2, c1 = seeds["place"][chosen] >> 32, seeds["place1"][chosen] >> 32
+                own = passages(_shingled(pair.t1), _shingled(pair.t2), list(zip(c2.tolist(), c1.tolist())), pair.row1 == pair.row2)
+                found += [(pair.row1, pair.row2, *p, None) for p in own]
+                lost = seeds["sure"][chosen] > 0
+                for start, end, *_ in own:
+                    lost &= (c2 < start) | (c2 > end - shingles.WORDS)
+                found += [(pair.row1, pair.row2, None, None, None, None, None, v) for v in set(seeds["value"][chosen[lost]].tolist())]
+        columns = zip(*found, strict=True) if found else [[]] * len(names)
+        yield pd.DataFrame({c: pd.array(v, "Float64" if c == "similarity" else "Int64") for c, v in zip(names, columns, strict=True)})
+
+
+def _verified(links: DataFrame, rows: DataFrame) -> DataFrame:
+    found = common.staged(_candidates(links))
+    needed = found.select(F.col("row1").alias("_row")).union(found.select("row2")).distinct()
+    texts = common.staged(rows.select("_row", "t").join(needed, "_row"))
+    one = texts.select(F.col("_row").alias("row1"), F.col("t").alias("t1"))
+    two = texts.select(F.col("_row").alias("row2"), F.col("t").alias("t2"))
+    return common.staged(found.join(two, "row2").join(one, "row1").select("row1", "row2", "t1", "t2", *_SEED).mapInPandas(_verify, _VERIFIED))
+
+
+def _ends_of(rows, texts, values, places) -> dict[str, np.ndarray]:
+    """For places of texts, a window for each pair of ends around it; a passage's least length apart."""
+    s, starts = _joined(list(texts), LEAST)
+    size = [len(x) for x in places]
+    at = np.concatenate([np.asarray(x, np.int64) for x in places]) + np.repeat(starts, size)
+    row, value = np.repeat(np.array(rows, np.int64), size), np.concatenate([np.asarray(x, np.int64) for x in values]).view(np.uint64)
+    found = []
+    for i in range(LEAST):
+        low, high = s[at - i], s[at - i + LEAST - 1]
+        some = (low != 0) & (high != 0)
+        key = shingles.mixed(shingles.mixed(shingles.mixed(value[some] + np.uint64(i)) + low[some]) + high[some])
+        place = _place((at - np.repeat(starts, size))[some], i, LEAST - 1 - i, 0)
+        found.append((key.view(np.int64), row[some], place, np.ones(int(some.sum()), np.int64)))
+    return dict(zip(("value", "row", "place", "aside"), map(np.concatenate, zip(*found)), strict=True))
+
+
+def _again(links: DataFrame, failed: DataFrame, rows: DataFrame) -> DataFrame:
+    """Links by both ends of a passage, among all windows of the values that had a failure."""
+    salt = F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1)))
+    failed = failed.withColumn("salt", salt)
+    one, two = links.select("value", F.col("row1").alias("_row"), F.col("place1").alias("place")), links.select("value", F.col("row").alias("_row"), "place")
+    of_value = one.union(two).withColumn("salt", F.pmod(F.xxhash64("_row"), F.lit(_SALTS)).cast("int")).join(failed, ["value", "salt"], "left_semi")
+    places = of_value.groupBy("_row").agg(F.collect_set(F.struct("value", F.shiftright("place", 32).alias("c"))).alias("x"))
+    held = rows.select("_row", "t").join(places, "_row").select("_row", "t", "x.value", "x.c")
+    return _links(held.mapInPandas(_batched(_ends_of), _WINDOWS))
+
+
+def copies(rows: DataFrame) -> DataFrame:
+    """(_row, first): rows whose text an earlier row has, and the first such row. ``rows`` has _row, key, t."""
+    digest = rows.filter("t <> ''").select("_row", "key", F.unhex(F.md5("t")).alias("digest"))
+    digest = digest.withColumn("salt", F.pmod(F.xxhash64("_row"), F.lit(_SALTS)).cast("int"))
+    firsts = digest.groupBy("digest").agg(F.min(F.struct("key", "_row")).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    firsts = firsts.select("digest", F.col("first._row").alias("first"), F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt"))
+    return digest.join(firsts, ["digest", "salt"]).filter("_row <> first").select("_row", "first")
 
 
 def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key2, start, end, key1, start1, end1, similarity), places in words, ends exclusive.
 
-    Each row is a passage of a document and its match in the first document that
-    has it. ``docs`` must be read from files.
+    Each row is a passage of a document and its match in an earlier one, or
+    earlier in the same one. ``docs`` must be read from files.
     """
     rows = common.with_row_id(docs.select(F.col(key).alias("key"), F.col(text).alias("t")))
-    form = "_row long, f byte, value long, l int, c int, r int, aside long"
-    windows = rows.select("_row", "t").mapInPandas(_windows, form)
-    repeated = common.staged(windows.groupBy("value").agg(F.count("*").alias("n")).filter("n > 1").select("value"))
-    shared = common.staged(windows.join(repeated, "value"))
-    found = common.staged(_candidates(shared))
-    needed = found.select(F.col("row1").alias("_row")).union(found.select("row2")).distinct()
-    texts = common.staged(rows.join(needed, "_row"))
-    one = texts.select(F.col("_row").alias("row1"), F.col("t").alias("t1"))
-    two = texts.select(F.col("_row").alias("row2"), F.col("t").alias("t2"))
-    form = "row1 long, row2 long, start long, end long, start1 long, end1 long, similarity double"
-    verified = found.join(two, "row2").join(one, "row1").select("row1", "row2", "t1", "t2", *_SEED).mapInPandas(_verify, form)
-    keys = texts.select("_row", "key")
-    out = verified.join(keys.withColumnsRenamed({"_row": "row1", "key": "key1"}), "row1").join(keys.withColumnsRenamed({"_row": "row2", "key": "key2"}), "row2")
-    return out.select("key2", "start", "end", "key1", "start1", "end1", "similarity").distinct()
+    same = common.staged(copies(rows))
+    of_class = rows.join(same.select("_row"), "_row", "left_anti")
+    links = _links(of_class.select("_row", "t").mapInPandas(_batched(_windows_of), _WINDOWS))
+    found = _verified(links, rows)
+    failed = found.filter("failed is not null").select(F.col("failed").alias("value")).distinct()
+    found = found.union(_verified(_again(links, failed, rows), rows)).filter("failed is null").drop("failed")
+    n_words = F.size(F.split(F.trim(F.regexp_replace("t", r"(?U)\s+", " ")), " ")).cast("long")
+    whole = rows.join(same, "_row").withColumn("end", n_words).filter(F.col("end") >= LEAST_WORDS)
+    whole = whole.select(F.col("first").alias("row1"), F.col("_row").alias("row2"), F.lit(0).cast("long").alias("start"), "end", F.lit(0).cast("long").alias("start1"), F.col("end").alias("end1"), F.lit(1.0).alias("similarity"))
+    found = found.distinct().unionByName(whole)
+    keys = rows.select("_row", "key")
+    out = found.join(keys.withColumnsRenamed({"_row": "row1", "key": "key1"}), "row1").join(keys.withColumnsRenamed({"_row": "row2", "key": "key2"}), "row2")
+    return out.select("key2", "start", "end", "key1", "start1", "end1", "similarity")
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every repeated passage of 50 words or more, with the document that has it first."""
+    """Every repeated passage of 50 words or more, with an earlier place that has it; a copy is linked to its class's first document."""
     found = repeated_passages(common.read(spark, sf_dir, "documents"))
     return found.withColumnsRenamed({"key2": "doc_id", "key1": "first_doc_id", "start": "start_word", "end": "end_word", "start1": "first_start_word", "end1": "first_end_word"})
 
