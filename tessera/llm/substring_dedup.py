@@ -18,11 +18,13 @@ c to both sides over edits (of 16 shingles, or a quarter of what has been
 aligned so far), and the passages' shingle sets must have 50 words or more and
 a Jaccard similarity of 0.8 or more.
 
-Where a link of a value that agreed in its surroundings fails this test (the
-first window shares a phrase only, too short for a passage), all windows of that
-value meet once more, without the first window's help: under each of the 46
-pairs of places (c-i, c-i+45) at which both ends agree. Two texts that share a
-passage with c in it share such a pair of ends, except where edits hit them.
+Where a link that agreed in its surroundings fails this test (the first window
+shares a phrase only, too short for a passage), its windows meet others of their
+value once more, without the first window's help: under each of the 46 pairs of
+places (c-i, c-i+45) at which both ends agree. Two texts that share a passage
+with c in it share such a pair of ends, except where edits hit them. Windows of
+the value whose own links held, and that share a side with a failed one, take
+part with every ninth pair, which finds all passages of 58 words or more.
 
 Rows that come out link each passage to an earlier one; passages that many texts
 hold form stars or short trees, never all pairs. A window whose link has been
@@ -57,6 +59,8 @@ _EDIT, _EDIT_SHARE = 16, 4
 _TOGETHER = 1_000_000
 #: Parts in which the rows of one class of copies, or of one failed value, are joined.
 _SALTS = 16
+#: Of the windows whose own link held, every so many pairs of ends meet the failed ones.
+_STEP = 9
 _FAR = (1 << 15) - 1
 _LOW = np.uint64(0xFFFFFFFF)
 
@@ -112,6 +116,21 @@ def _joined(texts: list[np.ndarray], margin: int) -> tuple[np.ndarray, np.ndarra
     return np.concatenate([x for t in texts for x in (gap, t)] + [gap]), np.cumsum(size + margin) - size
 
 
+def _thinned(values: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Which windows to keep of those whose value comes again within half a passage, as in "la la la": of such a chain the first, the last, and one in each half passage."""
+    order = np.lexsort((c, values))
+    values, c = values[order], c[order]
+    new = np.ones(len(c), bool)
+    new[1:] = (values[1:] != values[:-1]) | (c[1:] - c[:-1] >= _ASIDE)
+    first = c[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(c) else c
+    step = (c - first) // _ASIDE
+    keep = new.copy()
+    keep[1:] |= step[1:] != step[:-1]
+    keep[:-1] |= new[1:]
+    keep[-1:] = True
+    return np.sort(order[keep])
+
+
 def _windows_of(rows: list[int], texts: list[np.ndarray]) -> dict[str, np.ndarray]:
     """Windows of several texts at once: the zeros between them are smaller than any hash, so no window crosses."""
     s, starts = _joined(texts, _ASIDE)
@@ -122,6 +141,7 @@ def _windows_of(rows: list[int], texts: list[np.ndarray]) -> dict[str, np.ndarra
         h = np.where(inside, s * a[f] + b[f] | np.uint64(1), np.uint64(0))
         w = compact_windows(h)
         w = w[inside[w[:, 1]]]
+        w = w[_thinned(h[w[:, 1]], w[:, 1])]
         c = w[:, 1]
         aside = (s[c - _ASIDE] & _LOW) << np.uint64(32) | s[c + _ASIDE] & _LOW
         text = np.searchsorted(starts, c, "right") - 1
@@ -167,18 +187,19 @@ def _stars(w: dict[str, np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
     return [np.concatenate(x) for x in zip(*links, strict=True)], ahead
 
 
-_WINDOWS = "deal long, value long, row long, place long, aside long, row1 long, place1 long"
+_WINDOWS = "deal long, value long, row long, place long, aside long, row1 long, place1 long, aside1 long, sure byte"
+_OWN = ("value", "row", "place", "aside")
 
 
 def _linked(w: dict[str, np.ndarray], member: np.ndarray, first: np.ndarray, sure: np.ndarray) -> pd.DataFrame:
-    """New links as rows, the earlier place as row1; ``aside`` tells if the link is sure. Near places of one text are none."""
+    """New links as rows, the earlier place as row1. Near places of one text are none."""
     row1, row2, p1, p2 = w["row"][first], w["row"][member], w["place"][first], w["place"][member]
     good = ~w["old"][member] & ((row1 != row2) | (np.abs((p1 >> 32) - (p2 >> 32)) >= LEAST))
-    row1, row2, p1, p2, value, sure = (x[good] for x in (row1, row2, p1, p2, w["value"][member], sure))
     back = (row1 > row2) | (row1 == row2) & (p1 > p2)
-    row1, row2, p1, p2 = np.where(back, row2, row1), np.where(back, row1, row2), np.where(back, p2, p1), np.where(back, p1, p2)
-    deal = shingles.mixed(row1.view(np.uint64) * np.uint64(31) + row2.view(np.uint64)).view(np.int64)
-    return pd.DataFrame({"deal": deal, "value": value, "row": row2, "place": p2, "aside": sure.astype(np.int64), "row1": row1, "place1": p1})
+    one, two = np.where(back, member, first)[good], np.where(back, first, member)[good]
+    deal = shingles.mixed(w["row"][one].view(np.uint64) * np.uint64(31) + w["row"][two].view(np.uint64)).view(np.int64)
+    first_ = {f"{k}1": w[k][one] for k in ("row", "place", "aside")}
+    return pd.DataFrame({"deal": deal, **{k: w[k][two] for k in _OWN}, **first_, "sure": sure[good].astype(np.int8)})
 
 
 def _batched(windows_of):
@@ -188,8 +209,8 @@ def _batched(windows_of):
         w["old"] = np.zeros(len(w["row"]), bool)
         links, ahead = _stars(w)
         yield _linked(w, *links)
-        own = {k: w[k][ahead] for k in ("value", "row", "place", "aside")}
-        yield pd.DataFrame({"deal": own["value"], **own, "row1": -1, "place1": -1})
+        own = {k: w[k][ahead] for k in _OWN}
+        yield pd.DataFrame({"deal": own["value"], **own, "row1": -1, "place1": -1, "aside1": 0, "sure": np.int8(0)})
 
     def run(frames):
         held, size = [], 0
@@ -214,7 +235,7 @@ def _met(frames):
     for frame in frames:
         link = frame["row1"].to_numpy() >= 0
         yield frame[link]
-        w = {c: frame[c].to_numpy()[~link] for c in ("value", "row", "place", "aside")}
+        w = {c: frame[c].to_numpy()[~link] for c in _OWN}
         if not len(w["row"]):
             continue
         w["old"] = np.zeros(len(w["row"]), bool)
@@ -235,7 +256,7 @@ def _links(windows: DataFrame) -> DataFrame:
 
 def _candidates(links: DataFrame) -> DataFrame:
     """(row1, row2, place, place1, sure, value): pairs of texts with the links that bring them together, as arrays in order of place."""
-    seed = F.struct("place", "place1", F.col("aside").alias("sure"), "value").alias("seed")
+    seed = F.struct("place", "place1", "sure", "value").alias("seed")
     f = F.col("seed.place").bitwiseAND(F.lit(3))
     pairs = links.select("row1", F.col("row").alias("row2"), seed)
     grouped = pairs.groupBy("row1", "row2").agg(F.array_sort(F.collect_list("seed")).alias("seeds"), F.max("seed.sure").alias("sure"), F.min(f).alias("f_min"), F.max(f).alias("f_max"))
@@ -406,30 +427,41 @@ def _verified(links: DataFrame, rows: DataFrame) -> DataFrame:
     return common.staged(found.join(two, "row2").join(one, "row1").select("row1", "row2", "t1", "t2", *_SEED).mapInPandas(_verify, _VERIFIED))
 
 
-def _ends_of(rows, texts, values, places) -> dict[str, np.ndarray]:
-    """For places of texts, a window for each pair of ends around it; a passage's least length apart."""
+def _ends_of(rows, texts, values, places, steps) -> dict[str, np.ndarray]:
+    """For places of texts, a window for each pair of ends around it, a passage's least length apart (or for each pair at its step)."""
     s, starts = _joined(list(texts), LEAST)
     size = [len(x) for x in places]
     at = np.concatenate([np.asarray(x, np.int64) for x in places]) + np.repeat(starts, size)
+    step = np.concatenate([np.asarray(x, np.int64) for x in steps])
     row, value = np.repeat(np.array(rows, np.int64), size), np.concatenate([np.asarray(x, np.int64) for x in values]).view(np.uint64)
     found = []
     for i in range(LEAST):
         low, high = s[at - i], s[at - i + LEAST - 1]
-        some = (low != 0) & (high != 0)
+        some = (low != 0) & (high != 0) & (i % step == 0)
         key = shingles.mixed(shingles.mixed(shingles.mixed(value[some] + np.uint64(i)) + low[some]) + high[some])
         place = _place((at - np.repeat(starts, size))[some], i, LEAST - 1 - i, 0)
         found.append((key.view(np.int64), row[some], place, np.ones(int(some.sum()), np.int64)))
-    return dict(zip(("value", "row", "place", "aside"), map(np.concatenate, zip(*found)), strict=True))
+    return dict(zip(_OWN, map(np.concatenate, zip(*found)), strict=True))
 
 
 def _again(links: DataFrame, failed: DataFrame, rows: DataFrame) -> DataFrame:
-    """Links by both ends of a passage, among all windows of the values that had a failure."""
-    salt = F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1)))
-    failed = failed.withColumn("salt", salt)
-    one, two = links.select("value", F.col("row1").alias("_row"), F.col("place1").alias("place")), links.select("value", F.col("row").alias("_row"), "place")
-    of_value = one.union(two).withColumn("salt", F.pmod(F.xxhash64("_row"), F.lit(_SALTS)).cast("int")).join(failed, ["value", "salt"], "left_semi")
-    places = of_value.groupBy("_row").agg(F.collect_set(F.struct("value", F.shiftright("place", 32).alias("c"))).alias("x"))
-    held = rows.select("_row", "t").join(places, "_row").select("_row", "t", "x.value", "x.c")
+    """Links by both ends of a passage, among the windows of failed links and those that share a value and a side with them."""
+    lost = common.staged(links.join(failed, ["row1", "row", "value"], "left_semi"))
+
+    def windows(of: DataFrame) -> DataFrame:
+        return of.select(*_OWN).union(of.select("value", "row1", "place1", "aside1")).distinct()
+
+    def sided(of: DataFrame) -> DataFrame:
+        left, right = F.shiftrightunsigned("aside", 32), F.col("aside").bitwiseAND(F.lit(0xFFFFFFFF)).bitwiseOR(F.lit(1 << 40))
+        return of.withColumn("side", F.explode(F.array(left, right))).filter(F.col("side").bitwiseAND(F.lit(0xFFFFFFFF)) != 0)
+
+    lost = windows(lost)
+    sides = sided(lost).select("value", "side").distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    near = sided(windows(links)).withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(_SALTS)).cast("int")).join(sides, ["value", "side", "salt"], "left_semi")
+    every = lost.select("value", "row", "place", F.lit(1).alias("step")).union(near.select("value", "row", "place", F.lit(_STEP).alias("step")))
+    every = every.groupBy("value", "row", F.shiftright("place", 32).alias("c")).agg(F.min("step").alias("step"))
+    places = every.groupBy("row").agg(F.collect_list(F.struct("value", "c", "step")).alias("x")).withColumnRenamed("row", "_row")
+    held = rows.select("_row", "t").join(places, "_row").select("_row", "t", "x.value", "x.c", "x.step")
     return _links(held.mapInPandas(_batched(_ends_of), _WINDOWS))
 
 
@@ -453,7 +485,7 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text")
     of_class = rows.join(same.select("_row"), "_row", "left_anti")
     links = _links(of_class.select("_row", "t").mapInPandas(_batched(_windows_of), _WINDOWS))
     found = _verified(links, rows)
-    failed = found.filter("failed is not null").select(F.col("failed").alias("value")).distinct()
+    failed = found.filter("failed is not null").select("row1", F.col("row2").alias("row"), F.col("failed").alias("value"))
     found = found.union(_verified(_again(links, failed, rows), rows)).filter("failed is null").drop("failed")
     n_words = F.size(F.split(F.trim(F.regexp_replace("t", r"(?U)\s+", " ")), " ")).cast("long")
     whole = rows.join(same, "_row").withColumn("end", n_words).filter(F.col("end") >= LEAST_WORDS)
