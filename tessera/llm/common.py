@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -43,6 +44,16 @@ def staged(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(df: DataFrame) -> None:
+    """Deletes a staged frame's files; nothing may read it any more."""
+    spark = df.sparkSession
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if re.fullmatch("[0-9a-f]{32}", folder.rsplit("/", 1)[1]):
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
+
+
 def with_row_id(df: DataFrame, name: str = "_row") -> DataFrame:
     """A long that tells rows apart, repeated ones too.
 
@@ -87,6 +98,24 @@ def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
     )
 
 
+#: A key with more than one in so many of all rows is hot; fewer keys than this can be.
+HOT = 1000
+
+
+def join_groups(rows: DataFrame, side: DataFrame, on: list[str], hot: DataFrame | None = None, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``side``, which has one row for each key; no task gets all rows of a hot key.
+
+    Both should be staged, for they are read more than once. Keys that hold more than
+    one in ``HOT`` of the rows, fewer than ``HOT`` by count, are broadcast; the rest
+    is joined by Spark's choice. ``hot`` has their keys where the caller knows them.
+    """
+    if hot is None:
+        hot = rows.groupBy(*on).agg(F.count("*").alias("_n")).filter(F.col("_n") * HOT > rows.count()).select(*on)
+    hot = F.broadcast(staged(hot))
+    few = F.broadcast(side.join(hot, on, "left_semi"))
+    return rows.join(hot, on, "left_semi").join(few, on, how).unionByName(rows.join(hot, on, "left_anti").join(side, on, how))
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

@@ -19,12 +19,13 @@ aligned so far), and the passages' shingle sets must have 50 words or more and
 a Jaccard similarity of 0.8 or more.
 
 Where a link that agreed in its surroundings fails this test (the first window
-shares a phrase only, too short for a passage), its windows meet others of their
-value once more, without the first window's help: under each of the 46 pairs of
-places (c-i, c-i+45) at which both ends agree. Two texts that share a passage
-with c in it share such a pair of ends, except where edits hit them. Windows of
-the value whose own links held, and that share a side with a failed one, take
-part with every ninth pair, which finds all passages of 58 words or more.
+shares a phrase only, too short for a passage), its window meets others once more.
+Two windows share more with each other than with their first one only if they
+part from it at the same distance to the left or to the right (where first ones
+differ by batch, failed windows of equal distances meet too). Such windows are
+linked under each of the 46 pairs of places (c-i, c-i+45) at which both ends
+agree: two texts that share a passage with c in it share such a pair, except
+where edits hit it.
 
 Rows that come out link each passage to an earlier one; passages that many texts
 hold form stars or short trees, never all pairs. A window whose link has been
@@ -57,12 +58,13 @@ _ASIDE = LEAST // 2
 _EDIT, _EDIT_SHARE = 16, 4
 #: Shingles of texts that are looked at together.
 _TOGETHER = 1_000_000
-#: Parts in which the rows of one class of copies, or of one failed value, are joined.
+#: Parts in which the rows of one class of copies are joined.
 _SALTS = 16
-#: Of the windows whose own link held, every so many pairs of ends meet the failed ones.
-_STEP = 9
+#: Rows of copies that are broadcast; beyond it the join shuffles.
+MOST_BROADCAST = 1_000_000
 _FAR = (1 << 15) - 1
-_LOW = np.uint64(0xFFFFFFFF)
+#: Bits of the shingles to both sides of a window that travel with it.
+_SIDE, _LOW = np.uint64(20), np.uint64((1 << 20) - 1)
 
 
 def _slide(x: np.ndarray, width: int, least: bool) -> np.ndarray:
@@ -143,7 +145,7 @@ def _windows_of(rows: list[int], texts: list[np.ndarray]) -> dict[str, np.ndarra
         w = w[inside[w[:, 1]]]
         w = w[_thinned(h[w[:, 1]], w[:, 1])]
         c = w[:, 1]
-        aside = (s[c - _ASIDE] & _LOW) << np.uint64(32) | s[c + _ASIDE] & _LOW
+        aside = (s[c - _ASIDE] & _LOW) << _SIDE | s[c + _ASIDE] & _LOW
         text = np.searchsorted(starts, c, "right") - 1
         place = _place(c - starts[text], c - w[:, 0], w[:, 2] - c, f)
         found.append(((h[c] ^ np.uint64(2 * f)).view(np.int64), np.array(rows, np.int64)[text], place, aside.view(np.int64)))
@@ -170,7 +172,7 @@ def _stars(w: dict[str, np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
     order = np.lexsort((*rank, w["value"]))
     first = np.empty(len(order), np.int64)
     first[order] = _firsts(order, [w["value"]])
-    left, right = w["aside"].view(np.uint64) >> np.uint64(32), w["aside"].view(np.uint64) & _LOW
+    left, right = w["aside"].view(np.uint64) >> _SIDE, w["aside"].view(np.uint64) & _LOW
     lone = first == np.arange(len(order))
     sure = ((left == left[first]) & (left != 0) | (right == right[first]) & (right != 0)) & ~lone
     links, ahead = [(np.flatnonzero(~lone), first[~lone], sure[~lone])], lone.copy()
@@ -187,7 +189,7 @@ def _stars(w: dict[str, np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
     return [np.concatenate(x) for x in zip(*links, strict=True)], ahead
 
 
-_WINDOWS = "deal long, value long, row long, place long, aside long, row1 long, place1 long, aside1 long, sure byte"
+_WINDOWS = "value long, row long, place long, aside long, row1 long, place1 long, sure byte"
 _OWN = ("value", "row", "place", "aside")
 
 
@@ -197,9 +199,8 @@ def _linked(w: dict[str, np.ndarray], member: np.ndarray, first: np.ndarray, sur
     good = ~w["old"][member] & ((row1 != row2) | (np.abs((p1 >> 32) - (p2 >> 32)) >= LEAST))
     back = (row1 > row2) | (row1 == row2) & (p1 > p2)
     one, two = np.where(back, member, first)[good], np.where(back, first, member)[good]
-    deal = shingles.mixed(w["row"][one].view(np.uint64) * np.uint64(31) + w["row"][two].view(np.uint64)).view(np.int64)
-    first_ = {f"{k}1": w[k][one] for k in ("row", "place", "aside")}
-    return pd.DataFrame({"deal": deal, **{k: w[k][two] for k in _OWN}, **first_, "sure": sure[good].astype(np.int8)})
+    first_ = {f"{k}1": w[k][one] for k in ("row", "place")}
+    return pd.DataFrame({**{k: w[k][two] for k in _OWN}, **first_, "sure": sure[good].astype(np.int8)})
 
 
 def _batched(windows_of):
@@ -209,8 +210,7 @@ def _batched(windows_of):
         w["old"] = np.zeros(len(w["row"]), bool)
         links, ahead = _stars(w)
         yield _linked(w, *links)
-        own = {k: w[k][ahead] for k in _OWN}
-        yield pd.DataFrame({"deal": own["value"], **own, "row1": -1, "place1": -1, "aside1": 0, "sure": np.int8(0)})
+        yield pd.DataFrame({**{k: w[k][ahead] for k in _OWN}, "row1": -1, "place1": -1, "sure": np.int8(0)})
 
     def run(frames):
         held, size = [], 0
@@ -251,7 +251,8 @@ def _met(frames):
 
 def _links(windows: DataFrame) -> DataFrame:
     """Every link once, out of the batches' rows."""
-    return common.staged(windows.repartition("deal").sortWithinPartitions("deal").mapInPandas(_met, _WINDOWS))
+    deal = F.when(F.col("row1") < 0, F.col("value")).otherwise(F.xxhash64("row1", "row"))
+    return common.staged(windows.repartition(deal).sortWithinPartitions("value").mapInPandas(_met, _WINDOWS))
 
 
 def _candidates(links: DataFrame) -> DataFrame:
@@ -359,22 +360,22 @@ def _similarity(a: np.ndarray, b: np.ndarray) -> float:
     return shared / (len(x) + len(y) - shared)
 
 
-def passages(s1: np.ndarray, s2: np.ndarray, seeds: list[tuple[int, int]], within: bool = False) -> list[tuple[int, int, int, int, float]]:
-    """Verified passages (start2, end2, start1, end1 in words, similarity) of two shingle sequences, around (c2, c1) places in order of c2.
+def passages(s1: np.ndarray, s2: np.ndarray, c2: np.ndarray, c1: np.ndarray, within: bool = False) -> tuple[list[tuple[int, int, int, int, float]], np.ndarray, np.ndarray]:
+    """Verified passages (start2, end2, start1, end1 in words, similarity) of two shingle sequences, around the places (c2, c1), in order of c2.
 
     A place on an alignment that has been followed already is not followed again.
-    ``within``: both are one text, and passages must not overlap.
+    ``within``: both are one text, and passages must not overlap. Also, for each place
+    how many shingles around it agree to the left and to the right, -1 if it was not looked at.
     """
-    out, done, seen = [], -1, {}
-    for c2, c1 in seeds:
-        if c2 <= done or c1 >= len(s1) or c2 >= len(s2) or s1[c1] != s2[c2]:
+    out, done = [], -1
+    left, right = np.full(len(c2), -1), np.full(len(c2), -1)
+    for k in range(len(c2)):
+        x2, x1 = int(c2[k]), int(c1[k])
+        if left[k] >= 0 or x2 <= done or x1 >= len(s1) or x2 >= len(s2) or s1[x1] != s2[x2]:
             continue
-        start, end = seen.get(c1 - c2, (0, 0))
-        if start <= c2 < end:
-            continue
-        blocks = _alignment(s1, s2, c1, c2)
-        for a, b, n in blocks.tolist():
-            seen[a - b] = (b, b + n)
+        blocks = _alignment(s1, s2, x1, x2)
+        on, l, r = _reach(blocks, c2[k:], c1[k:])
+        left[k:][on], right[k:][on] = l, r
         for x, y in _stretches(blocks):
             a1, a2 = blocks[x, :2].tolist()
             b1, b2 = (blocks[y, :2] + blocks[y, 2]).tolist()
@@ -387,7 +388,16 @@ def passages(s1: np.ndarray, s2: np.ndarray, seeds: list[tuple[int, int]], withi
             if similarity >= THRESHOLD:
                 out.append((a2, b2 + shingles.WORDS - 1, a1, b1 + shingles.WORDS - 1, round(similarity, 6)))
                 done = b2 - 1
-    return out
+    return out, left, right
+
+
+def _reach(blocks: np.ndarray, c2: np.ndarray, c1: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which places lie in the blocks, and how far their blocks go on to the left and to the right."""
+    a, b, n = blocks.T
+    at = np.maximum(np.searchsorted(b, c2, "right") - 1, 0)
+    on = np.flatnonzero((b[at] <= c2) & (c2 < b[at] + n[at]) & (a[at] - b[at] == c1 - c2))
+    at = at[on]
+    return on, c2[on] - b[at], b[at] + n[at] - 1 - c2[on]
 
 
 def _shingles_of(text: str | None) -> np.ndarray:
@@ -395,74 +405,82 @@ def _shingles_of(text: str | None) -> np.ndarray:
 
 
 _shingled = lru_cache(64)(_shingles_of)
-_VERIFIED = "row1 long, row2 long, start long, end long, start1 long, end1 long, similarity double, failed long"
+_PASSAGE = "row1:long,row2:long,start:long,end:long,start1:long,end1:long,similarity:double"
+_VERIFIED = f"passages array<struct<{_PASSAGE}>>, seeds array<struct<value:long,row:long,row1:long,c:int,c1:int,left:int,right:int,failed:boolean>>"
 
 
 def _verify(frames):
-    """Passages of candidate pairs, and (as failed) the values of sure links that lie in none."""
-    names = [x.split()[0] for x in _VERIFIED.split(", ")]
+    """For each candidate pair its passages, and the sure links with their reach; such a link has failed if it lies in no passage."""
     for frame in frames:
-        found = []
+        found, looked_at = [], []
         for pair in frame.itertuples():
             seeds = {k: np.asarray(getattr(pair, k)) for k in _SEED}
             chosen = _supported(seeds)
+            own, tried = [], []
             if len(chosen):
                 c2, c1 = seeds["place"][chosen] >> 32, seeds["place1"][chosen] >> 32
-                own = passages(_shingled(pair.t1), _shingled(pair.t2), list(zip(c2.tolist(), c1.tolist())), pair.row1 == pair.row2)
-                found += [(pair.row1, pair.row2, *p, None) for p in own]
-                lost = seeds["sure"][chosen] > 0
+                own, left, right = passages(_shingled(pair.t1), _shingled(pair.t2), c2, c1, pair.row1 == pair.row2)
+                failed = np.ones(len(c2), bool)
                 for start, end, *_ in own:
-                    lost &= (c2 < start) | (c2 > end - shingles.WORDS)
-                found += [(pair.row1, pair.row2, None, None, None, None, None, v) for v in set(seeds["value"][chosen[lost]].tolist())]
-        columns = zip(*found, strict=True) if found else [[]] * len(names)
-        yield pd.DataFrame({c: pd.array(v, "Float64" if c == "similarity" else "Int64") for c, v in zip(names, columns, strict=True)})
+                    failed &= (c2 < start) | (c2 > end - shingles.WORDS)
+                sure = (seeds["sure"][chosen] > 0) & (left >= 0)
+                tried = list(zip(*[x[sure].tolist() for x in (seeds["value"][chosen], c2, c1, left, right, failed)], strict=True))
+            found.append([(pair.row1, pair.row2, *p) for p in own])
+            looked_at.append([(v, pair.row2, pair.row1, *x) for v, *x in tried])
+        yield pd.DataFrame({"passages": found, "seeds": looked_at})
 
 
-def _verified(links: DataFrame, rows: DataFrame) -> DataFrame:
+def _verified(links: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The passages of the linked texts, and the sure links that have been looked at."""
     found = common.staged(_candidates(links))
-    needed = found.select(F.col("row1").alias("_row")).union(found.select("row2")).distinct()
-    texts = common.staged(rows.select("_row", "t").join(needed, "_row"))
-    one = texts.select(F.col("_row").alias("row1"), F.col("t").alias("t1"))
-    two = texts.select(F.col("_row").alias("row2"), F.col("t").alias("t2"))
-    return common.staged(found.join(two, "row2").join(one, "row1").select("row1", "row2", "t1", "t2", *_SEED).mapInPandas(_verify, _VERIFIED))
+    one = rows.select(F.col("_row").alias("row1"), F.col("t").alias("t1"))
+    two = rows.select(F.col("_row").alias("row2"), F.col("t").alias("t2"))
+    pairs = found.join(two, "row2").join(one, "row1").select("row1", "row2", "t1", "t2", *_SEED)
+    out = common.staged(pairs.mapInPandas(_verify, _VERIFIED))
+    common.release(found)
+    return out.select(F.inline("passages")), out.select(F.inline("seeds"))
 
 
-def _ends_of(rows, texts, values, places, steps) -> dict[str, np.ndarray]:
-    """For places of texts, a window for each pair of ends around it, a passage's least length apart (or for each pair at its step)."""
+def _ends_of(rows, texts, values, places) -> dict[str, np.ndarray]:
+    """For places of texts, a window for each pair of ends around it, a passage's least length apart."""
     s, starts = _joined(list(texts), LEAST)
     size = [len(x) for x in places]
     at = np.concatenate([np.asarray(x, np.int64) for x in places]) + np.repeat(starts, size)
-    step = np.concatenate([np.asarray(x, np.int64) for x in steps])
     row, value = np.repeat(np.array(rows, np.int64), size), np.concatenate([np.asarray(x, np.int64) for x in values]).view(np.uint64)
     found = []
     for i in range(LEAST):
         low, high = s[at - i], s[at - i + LEAST - 1]
-        some = (low != 0) & (high != 0) & (i % step == 0)
+        some = (low != 0) & (high != 0)
         key = shingles.mixed(shingles.mixed(shingles.mixed(value[some] + np.uint64(i)) + low[some]) + high[some])
         place = _place((at - np.repeat(starts, size))[some], i, LEAST - 1 - i, 0)
         found.append((key.view(np.int64), row[some], place, np.ones(int(some.sum()), np.int64)))
     return dict(zip(_OWN, map(np.concatenate, zip(*found)), strict=True))
 
 
-def _again(links: DataFrame, failed: DataFrame, rows: DataFrame) -> DataFrame:
-    """Links by both ends of a passage, among the windows of failed links and those that share a value and a side with them."""
-    lost = common.staged(links.join(failed, ["row1", "row", "value"], "left_semi"))
-
-    def windows(of: DataFrame) -> DataFrame:
-        return of.select(*_OWN).union(of.select("value", "row1", "place1", "aside1")).distinct()
-
-    def sided(of: DataFrame) -> DataFrame:
-        left, right = F.shiftrightunsigned("aside", 32), F.col("aside").bitwiseAND(F.lit(0xFFFFFFFF)).bitwiseOR(F.lit(1 << 40))
-        return of.withColumn("side", F.explode(F.array(left, right))).filter(F.col("side").bitwiseAND(F.lit(0xFFFFFFFF)) != 0)
-
-    lost = windows(lost)
-    sides = sided(lost).select("value", "side").distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
-    near = sided(windows(links)).withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(_SALTS)).cast("int")).join(sides, ["value", "side", "salt"], "left_semi")
-    every = lost.select("value", "row", "place", F.lit(1).alias("step")).union(near.select("value", "row", "place", F.lit(_STEP).alias("step")))
-    every = every.groupBy("value", "row", F.shiftright("place", 32).alias("c")).agg(F.min("step").alias("step"))
-    places = every.groupBy("row").agg(F.collect_list(F.struct("value", "c", "step")).alias("x")).withColumnRenamed("row", "_row")
-    held = rows.select("_row", "t").join(places, "_row").select("_row", "t", "x.value", "x.c", "x.step")
-    return _links(held.mapInPandas(_batched(_ends_of), _WINDOWS))
+def _again(seeds: DataFrame, found: DataFrame, rows: DataFrame) -> DataFrame:
+    """Links by both ends of a passage, among the windows of failed links and those that part from the same window at the same distance."""
+    parted = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("left").alias("reach")), F.struct(F.lit(1).alias("side"), F.col("right").alias("reach"))))
+    sides = seeds.withColumn("p", parted).select("value", "row", "row1", "c", "c1", "failed", "p.side", "p.reach")
+    total = seeds.count()
+
+    def met(of: DataFrame, on: list[str]) -> DataFrame:
+        keys = common.staged(of.groupBy(*on).agg(F.max("failed").alias("any"), F.count("*").alias("n")).filter("any and n > 1").drop("any"))
+        return common.join_groups(of, keys.drop("n"), on, keys.filter(F.col("n") * common.HOT > total).select(*on)).select("value", "row", "c")
+
+    # by the window they part from, or, of failed links only, wherever that lies: a shared phrase ends where it ends
+    failed = sides.filter("failed").select("value", "row", "c", "failed", "side", "reach", "row1", "c1")
+    both = failed.drop("row1", "c1").union(failed.select("value", "row1", "c1", "failed", "side", "reach")).distinct()
+    every = met(sides, ["value", "row1", "c1", "side", "reach"]).union(met(both, ["value", "side", "reach"])).distinct()
+    places = every.groupBy("row").agg(F.collect_list(F.struct("value", "c")).alias("x")).withColumnRenamed("row", "_row")
+    held = rows.select("_row", "t").join(places, "_row").select("_row", "t", "x.value", "x.c")
+    links = _links(held.mapInPandas(_batched(_ends_of), _WINDOWS))
+    # not where the two texts have a passage already
+    known = found.select("row1", F.col("row2").alias("row"), "start", "end")
+    c = F.shiftright("place", 32)
+    inside = (links["row1"] == known["row1"]) & (links["row"] == known["row"]) & (c >= F.col("start")) & (c <= F.col("end") - shingles.WORDS)
+    new = common.staged(links.join(known, inside, "left_anti"))
+    common.release(links)
+    return new
 
 
 def copies(rows: DataFrame) -> DataFrame:
@@ -482,11 +500,15 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text")
     """
     rows = common.with_row_id(docs.select(F.col(key).alias("key"), F.col(text).alias("t")))
     same = common.staged(copies(rows))
-    of_class = rows.join(same.select("_row"), "_row", "left_anti")
+    gone = same.select("_row")
+    of_class = rows.join(F.broadcast(gone) if same.count() <= MOST_BROADCAST else gone, "_row", "left_anti")
     links = _links(of_class.select("_row", "t").mapInPandas(_batched(_windows_of), _WINDOWS))
-    found = _verified(links, rows)
-    failed = found.filter("failed is not null").select("row1", F.col("row2").alias("row"), F.col("failed").alias("value"))
-    found = found.union(_verified(_again(links, failed, rows), rows)).filter("failed is null").drop("failed")
+    first, seeds = _verified(links, rows)
+    common.release(links)
+    links = _again(seeds, first, rows)
+    second, _ = _verified(links, rows)
+    common.release(links)
+    found = first.union(second)
     n_words = F.size(F.split(F.trim(F.regexp_replace("t", r"(?U)\s+", " ")), " ")).cast("long")
     whole = rows.join(same, "_row").withColumn("end", n_words).filter(F.col("end") >= LEAST_WORDS)
     whole = whole.select(F.col("first").alias("row1"), F.col("_row").alias("row2"), F.lit(0).cast("long").alias("start"), "end", F.lit(0).cast("long").alias("start1"), F.col("end").alias("end1"), F.lit(1.0).alias("similarity"))
