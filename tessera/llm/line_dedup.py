@@ -4,20 +4,26 @@ The corpus is a sequence of line IDs with an end mark after each document.
 Level k of the doubling ranks every suffix by its first 2^k lines: the ranks of
 level k-1 at i and at i + 2^(k-1), sorted, give those of level k. Suffixes that
 share a rank are one interval of the suffix array whose longest common prefix
-is at least 2^k lines. A suffix alone in its interval takes part no longer, so
-a level holds only places where a run of 2^k lines occurs twice or more.
-
-In each interval the first place (by doc_id, row, line) keeps its run; at the
-others the run is a later copy. A repeated run of any length is the union of
-its windows of 2^k lines, so the covered lines are those of the maximal
-repeated runs. Only windows of ``min_chars`` characters or more count, so that
-short lines met by chance stay.
+is at least 2^k lines; for a height w between 2^k and 2^(k+1) the interval is
+that of two ranks of level k, at i and at i + w - 2^k. A suffix alone in its
+interval takes part no longer, so a level holds only places where a run of 2^k
+lines occurs twice or more.
+
+A run is deleted where it has ``min_chars`` characters or more and occurs
+earlier (by doc_id, row, line). A maximal repeated run is the union of its least
+windows: from each of its lines on, and up to each of its lines, the fewest
+lines with ``min_chars`` characters. Each such window is looked up in the
+interval of its own height, and all but the interval's first place are copies;
+so runs of any number of lines count with the length they have, the tests need
+no more levels than a window of ``min_chars`` one-letter lines, and the first
+text of a run stays whole.
 
 Blank lines are no part of the sequence and stay as they are. Defined results:
 null text counts as empty and has no lines to delete; null doc_ids sort first; repeated
 rows are told apart by their place in the input, the first stays whole; a
-document all of whose lines are copies gets an empty text; other columns pass.
-Only DataFrame functions are used.
+document all of whose lines are copies gets an empty text; texts and lines of any
+length are taken whole; an empty table gives no rows; other columns pass, whatever
+their names. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
@@ -41,31 +47,60 @@ def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     )
 
 
-def _ranked(groups: DataFrame, order: list[str]) -> DataFrame:
-    return common.numbered(groups, order, "rank")
+def _windows(lines: DataFrame, min_chars: int) -> DataFrame:
+    """(_row, start, width, level): from each line on, and up to each, the fewest lines of at least ``min_chars`` characters."""
+    in_row = Window.partitionBy("_row").orderBy("idx")
+    sums = lines.select("_row", "idx", "chars").withColumn("end", F.sum("chars").over(in_row.rowsBetween(Window.unboundedPreceding, 0)))
+    sums = sums.withColumn("begin", F.col("end") - F.col("chars")).withColumn("all", F.max("end").over(Window.partitionBy("_row")))
+    more = F.count("*").over(Window.partitionBy("_row").orderBy("begin").rangeBetween(0, min_chars - 1))
+    less = F.count("*").over(Window.partitionBy("_row").orderBy("end").rangeBetween(1 - min_chars, 0))
+    sums = sums.withColumns({"more": more, "less": less})
+    ahead = sums.filter(F.col("begin") + min_chars <= F.col("all")).select("_row", F.col("idx").alias("start"), F.col("more").alias("width"))
+    back = sums.filter(F.col("end") >= min_chars).select("_row", (F.col("idx") - F.col("less") + 1).alias("start"), F.col("less").alias("width"))
+    found = ahead.union(back).select("_row", F.col("start").cast("int").alias("start"), F.col("width").cast("int").alias("width")).distinct()
+    return found.withColumn("level", (F.length(F.bin("width")) - 1).cast("int"))
+
+
+def _with_group(rows: DataFrame, groups: DataFrame, on: list[str]) -> DataFrame:
+    """``rows`` (staged) with the columns of their group; ``groups`` (staged) has n > 1, the size."""
+    hot = groups.filter(F.col("n") * common.HOT > rows.count()).select(*on)
+    return common.join_groups(rows, groups.drop("n"), on, hot)
+
+
+def _intervals(rows: DataFrame, on: list[str]) -> DataFrame:
+    """(on, n, first) of the groups with two places or more; first is the least place."""
+    place = F.min(F.struct("key", "_row", "idx")).alias("first")
+    return rows.groupBy(*on).agg(F.count("*").alias("n"), place).filter("n > 1")
+
 
+def repeated_runs(lines: DataFrame, min_chars: int = MIN_CHARS) -> tuple[DataFrame, DataFrame]:
+    """Places (_row, idx, line) of repeated lines, and the windows (_row, idx, width) that are copies of an earlier one.
 
-def repeated_runs(lines: DataFrame, min_chars: int = MIN_CHARS) -> tuple[DataFrame, list[DataFrame]]:
-    """Places of repeated lines, and per level the (row, idx, width, copy) of its intervals' members."""
-    place = F.struct("key", "_row", "idx").alias("place")
-    both = [F.count("*").alias("n"), F.min(place).alias("first")]
-    groups = lines.groupBy("h1", "h2").agg(*both).filter("n > 1")
-    level = common.staged(lines.join(_ranked(groups, ["h1", "h2"]), ["h1", "h2"]).drop("h1", "h2", "n"))
-    first_level, width, levels = level, 1, []
+    ``lines`` must be staged.
+    """
+    min_chars = max(1, min_chars)
+    wanted = common.staged(_windows(lines, min_chars))
+    on, width, places, copied = ["h1", "h2"], 1, None, None
+    level = lines
     while True:
-        copy = F.struct("key", "_row", "idx") != F.col("first")
-        levels.append(level.filter(copy & (F.col("chars") >= min_chars)).select("_row", "idx", F.lit(width).alias("width")))
-        ahead = level.select("_row", (F.col("idx") - width).alias("idx"), F.col("rank").alias("rank2"), F.col("chars").alias("chars2"))
-        pairs = common.staged(
-            level.drop("first").join(ahead, ["_row", "idx"]).withColumn("chars", F.col("chars") + F.col("chars2")).drop("chars2")
-        )
-        groups = pairs.groupBy("rank", "rank2").agg(*both).filter("n > 1").withColumnRenamed("rank", "rank1")
-        ranked = _ranked(groups, ["rank1", "rank2"])
-        if ranked.isEmpty():
-            return first_level, levels
-        pairs = pairs.withColumnRenamed("rank", "rank1")
-        level = common.staged(pairs.join(ranked, ["rank1", "rank2"]).drop("rank1", "rank2", "n"))
-        width *= 2
+        ranked = common.numbered(_intervals(level, on).drop("first"), on, "rank")
+        level = common.staged(_with_group(level, common.staged(ranked), on).drop(*on))
+        places = level if places is None else places
+        # windows at least as high as this level, and not as the next one
+        own = wanted.filter(F.col("level") == width.bit_length() - 1)
+        begin = level.select("key", "_row", "idx", F.col("rank").alias("rank1"))
+        end = level.select("_row", F.col("idx").alias("at"), F.col("rank").alias("rank2"))
+        high = own.withColumn("at", F.col("start") + F.col("width") - width).withColumnRenamed("start", "idx")
+        high = common.staged(high.join(begin, ["_row", "idx"]).join(end, ["_row", "at"]).drop("at", "level"))
+        every = ["width", "rank1", "rank2"]
+        members = _with_group(high, common.staged(_intervals(high, every)), every)
+        members = members.filter(F.struct("key", "_row", "idx") != F.col("first")).select("_row", "idx", "width")
+        copied = members if copied is None else copied.unionByName(members)
+        if 2 * width > min_chars or level.isEmpty():
+            return places, copied
+        ahead = level.select("_row", (F.col("idx") - width).alias("idx"), F.col("rank").alias("rank2"))
+        level = common.staged(level.withColumnRenamed("rank", "rank1").join(ahead, ["_row", "idx"]))
+        on, width = ["rank1", "rank2"], 2 * width
 
 
 def _between(lines: str, gone: str) -> Column:
@@ -87,10 +122,7 @@ def dedup_lines(
     ``counts`` adds n_lines (all lines) and n_removed. ``docs`` must be read from files.
     """
     lines = common.staged(_lines(docs, key, text))
-    places, levels = repeated_runs(lines, min_chars)
-    starts = levels[0]
-    for level in levels[1:]:
-        starts = starts.unionByName(level)
+    places, starts = repeated_runs(lines, min_chars)
     starts = starts.groupBy("_row", "idx").agg(F.max("width").alias("width"))
     reach = F.max(F.col("idx") + F.col("width")).over(Window.partitionBy("_row").orderBy("idx"))
     removed = (
@@ -100,8 +132,8 @@ def dedup_lines(
         .filter("gone")
     )
     touched = removed.groupBy("_row").agg(F.sort_array(F.collect_list("line")).alias("gone"))
-    names = {c: f"_in_{c}" for c in docs.columns}
-    rows = common.with_row_id(docs.select(*[F.col(c).alias(n) for c, n in names.items()]))
+    names = {c: f"_in_{i}" for i, c in enumerate(docs.columns)}
+    rows = common.with_row_id(docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]))
     joined = rows.join(touched, "_row", "left")
     joined = joined.withColumn("_split", F.split(common.text_or_empty(names[text]), "\n"))
     kept = F.when(F.col("gone").isNull(), F.col(names[text])).otherwise(F.array_join(_between("_split", "gone"), "\n"))
@@ -120,26 +152,24 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-#: Windows of 32 lines hold 20 characters or more, so that six levels cover all runs.
-_LEVELS = 6
-
-
 def _sql(docs: str) -> str:
-    """Deduped documents as common table expressions; the last is ld_out (the columns of docs, n_lines, n_removed)."""
+    """Deduped documents as common table expressions; the last is ld_out (the columns of docs, n_lines, n_removed).
+
+    Windows of every width up to ``MIN_CHARS`` lines are compared. A longer repeated run is made up of such ones,
+    as a window of that many lines that are not blank has enough characters.
+    """
     parts = [
         f"ld_d AS (SELECT row_number() OVER (ORDER BY doc_id NULLS FIRST) AS rid, * FROM {docs})",
         "ld_a AS (SELECT rid, unnest(string_split(coalesce(text, ''), chr(10))) AS s, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS ln FROM ld_d)",
-        r"ld_0 AS (SELECT rid, ln, s AS g, length(s) AS c, row_number() OVER (PARTITION BY rid ORDER BY ln) AS i FROM ld_a WHERE regexp_replace(s, '[\x20\x09-\x0D]+', '', 'g') <> '')",
+        r"ld_0 AS (SELECT rid, ln, s AS g, md5(s) AS h, length(s) AS c, row_number() OVER (PARTITION BY rid ORDER BY ln) AS i FROM ld_a WHERE regexp_replace(s, '[\x20\x09-\x0D]+', '', 'g') <> '')",
+        "ld_l AS (SELECT rid, i, h, c FROM ld_0)",
+        "ld_1 AS (SELECT rid, i, h AS g, c FROM ld_0)",
     ]
-    for k in range(1, _LEVELS):
-        w = 2 ** (k - 1)
-        parts.append(
-            f"ld_{k} AS (SELECT * FROM (SELECT rid, ln, i, md5(g || '|' || lead(g, {w}) OVER v) AS g, c + lead(c, {w}) OVER v AS c "
-            f"FROM ld_{k - 1} WINDOW v AS (PARTITION BY rid ORDER BY i)) WHERE g IS NOT NULL)"
-        )
+    for w in range(2, MIN_CHARS + 1):
+        parts.append(f"ld_{w} AS (SELECT a.rid, a.i, md5(a.g || b.h) AS g, a.c + b.c AS c FROM ld_{w - 1} a JOIN ld_l b ON a.rid = b.rid AND b.i = a.i + {w - 1})")
     windows = " UNION ALL ".join(
-        f"SELECT rid, i, {2**k} AS w FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY rid, i) AS n FROM ld_{k}) WHERE n > 1 AND c >= {MIN_CHARS}"
-        for k in range(_LEVELS)
+        f"SELECT rid, i, {w} AS w FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY rid, i) AS n FROM ld_{w} WHERE c >= {MIN_CHARS}) WHERE n > 1"
+        for w in range(1, MIN_CHARS + 1)
     )
     parts += [
         f"ld_w AS (SELECT rid, i, max(w) AS w FROM ({windows}) GROUP BY rid, i)",

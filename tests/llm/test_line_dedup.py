@@ -1,3 +1,5 @@
+import random
+
 from tessera.llm import line_dedup
 
 
@@ -16,7 +18,7 @@ def brute(docs, least=20):
                 if w in seen and sum(map(len, w)) >= least:
                     gone[i] |= {n for n, _ in s[at : at + width]}
                 seen.add(w)
-        width *= 2
+        width += 1
     return {i: "\n".join(s for n, s in enumerate((docs[i][1] or "").split("\n")) if n not in gone[i]) for i in order}
 
 
@@ -35,6 +37,31 @@ def test_matches_brute_force(table, prose):
     assert got[5].text is None and got[1].text == a and got[11].text == ""
 
 
+def test_short_lines_count_together(table):
+    """Runs count with all their lines, whatever their number, and windows that start or end them."""
+    three, five = "alpha on\nbeta two\ngamma xy", "a\nbb\nccc\ndddd\neeeee\nffffff"
+    docs = [
+        (1, "first line here\n" + three), (2, "another start\n" + three + "\nz"), (3, three),
+        (4, "x" * 40 + "\nfive5\n5five"), (5, "q\n" + "x" * 40 + "\nfive5\n5five\nr"), (6, "five5\n5five"),
+        (7, five), (8, "9\n" + five + "\n8"), (9, "bb\nccc\ndddd\neeeee"), (10, "bb\nccc\ndddd\neeeee\nffffff"),
+        (11, "\n".join("abcdefghijklmnopqrstuvwxyz")), (12, "1\n" + "\n".join("cdefghijklmnopqrstuvwxy") + "\n2"), (13, "\n".join("cdefghijklmnopqrstu")),
+    ]
+    want = brute(docs)
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(table(docs)).collect()}
+    assert got == {key: want[i] for i, (key, _) in enumerate(docs)}
+    assert got[2] == "another start\nz" and got[3] == "" and got[5] == "q\nr" and got[6] == "five5\n5five" and got[12] == "1\n2"
+
+
+def test_random_lines_match_brute_force(table):
+    r = random.Random(3)
+    docs = [(i, "\n".join(r.choice(["a", "bb", "cccc", "dddddd", "e" * 9, "f" * 21, " "]) for _ in range(r.randrange(40)))) for i in range(80)]
+    docs.append((500, "\n".join(f"line {i % 700}" for i in range(5000))))
+    want = brute(docs[:-1])
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(table(docs)).collect()}
+    assert {k: t for k, t in got.items() if k != 500} == {key: want[i] for i, (key, _) in enumerate(docs[:-1])}
+    assert got[500] == "\n".join(f"line {i}" for i in range(700))
+
+
 def test_repeated_rows_and_empty_tables(table, prose):
     text = prose(3, 50, 5)
     docs = table([(1, text), (1, text), (None, text), (None, None)])
