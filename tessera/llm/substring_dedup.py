@@ -342,6 +342,8 @@ def _stretches(blocks: np.ndarray) -> list[tuple[int, int]]:
     """Runs of blocks, as long as they can be from each start, that agree at the threshold and have a passage's length."""
     a, b, n = blocks.T
     total, out, s = np.concatenate([[0], np.cumsum(n)]), [], 0
+    if total[-1] < THRESHOLD * LEAST:
+        return out
     while s < len(n):
         span1, span2 = a[s:] + n[s:] - a[s], b[s:] + n[s:] - b[s]
         same = total[s + 1 :] - total[s]
@@ -441,44 +443,58 @@ def _verified(links: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return out.select(F.inline("passages")), out.select(F.inline("seeds"))
 
 
-def _ends_of(rows, texts, values, places) -> dict[str, np.ndarray]:
-    """For places of texts, a window for each pair of ends around it, a passage's least length apart."""
+def _ends_of(rows, texts, values, places, lows, highs) -> dict[str, np.ndarray]:
+    """For places of texts, a window for each pair of ends (c-i, c-i+45) with i in the place's range."""
     s, starts = _joined(list(texts), LEAST)
     size = [len(x) for x in places]
-    at = np.concatenate([np.asarray(x, np.int64) for x in places]) + np.repeat(starts, size)
-    row, value = np.repeat(np.array(rows, np.int64), size), np.concatenate([np.asarray(x, np.int64) for x in values]).view(np.uint64)
+    flat = lambda x: np.concatenate([np.asarray(y, np.int64) for y in x])
+    c, low, high = flat(places), flat(lows), flat(highs)
+    at = c + np.repeat(starts, size)
+    row, value = np.repeat(np.array(rows, np.int64), size), flat(values).view(np.uint64)
     found = []
     for i in range(LEAST):
-        low, high = s[at - i], s[at - i + LEAST - 1]
-        some = (low != 0) & (high != 0)
-        key = shingles.mixed(shingles.mixed(shingles.mixed(value[some] + np.uint64(i)) + low[some]) + high[some])
-        place = _place((at - np.repeat(starts, size))[some], i, LEAST - 1 - i, 0)
-        found.append((key.view(np.int64), row[some], place, np.ones(int(some.sum()), np.int64)))
+        one, two = s[at - i], s[at - i + LEAST - 1]
+        some = (one != 0) & (two != 0) & (low <= i) & (i <= high)
+        key = shingles.mixed(shingles.mixed(shingles.mixed(value[some] + np.uint64(i)) + one[some]) + two[some])
+        found.append((key.view(np.int64), row[some], _place(c[some], 0, 0, 0), np.ones(int(some.sum()), np.int64)))
     return dict(zip(_OWN, map(np.concatenate, zip(*found)), strict=True))
 
 
 def _again(seeds: DataFrame, found: DataFrame, rows: DataFrame) -> DataFrame:
-    """Links by both ends of a passage, among the windows of failed links and those that part from the same window at the same distance."""
-    parted = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("left").alias("reach")), F.struct(F.lit(1).alias("side"), F.col("right").alias("reach"))))
-    sides = seeds.withColumn("p", parted).select("value", "row", "row1", "c", "c1", "failed", "p.side", "p.reach")
+    """Links by both ends of a passage, among the windows of failed links and those that part from the same window at the same distance.
+
+    A failed link counts that agrees without an edit as far as its side, so that what is shared is a phrase.
+    """
+    phrase = F.greatest("left", "right") >= _ASIDE
+    seeds = seeds.withColumn("failed", F.col("failed") & phrase)
     total = seeds.count()
+    # a passage that goes beyond the first window's on one side only, or on both
+    last = LEAST - 1
+    right = F.struct(F.lit(1).alias("side"), F.col("right").alias("reach"), F.lit(0).alias("low"), F.least(last - 1 - F.col("right"), F.col("left")).alias("high"))
+    left = F.struct(F.lit(0).alias("side"), F.col("left").alias("reach"), F.greatest(F.col("left") + 1, last - F.col("right")).alias("low"), F.lit(last).alias("high"))
+    sides = seeds.withColumn("p", F.explode(F.array(left, right))).select("value", "row", "row1", "c", "c1", "failed", "p.*").filter("low <= high")
 
     def met(of: DataFrame, on: list[str]) -> DataFrame:
         keys = common.staged(of.groupBy(*on).agg(F.max("failed").alias("any"), F.count("*").alias("n")).filter("any and n > 1").drop("any"))
-        return common.join_groups(of, keys.drop("n"), on, keys.filter(F.col("n") * common.HOT > total).select(*on)).select("value", "row", "c")
+        return common.join_groups(of, keys.drop("n"), on, keys.filter(F.col("n") * common.HOT > total).select(*on)).select("value", "row", "c", "side", "low", "high")
 
     # by the window they part from, or, of failed links only, wherever that lies: a shared phrase ends where it ends
-    failed = sides.filter("failed").select("value", "row", "c", "failed", "side", "reach", "row1", "c1")
-    both = failed.drop("row1", "c1").union(failed.select("value", "row1", "c1", "failed", "side", "reach")).distinct()
-    every = met(sides, ["value", "row1", "c1", "side", "reach"]).union(met(both, ["value", "side", "reach"])).distinct()
-    places = every.groupBy("row").agg(F.collect_list(F.struct("value", "c")).alias("x")).withColumnRenamed("row", "_row")
-    held = rows.select("_row", "t").join(places, "_row").select("_row", "t", "x.value", "x.c")
+    failed = sides.filter("failed")
+    own = ["failed", "side", "reach", "low", "high"]
+    both = failed.select("value", "row", "c", *own).union(failed.select("value", "row1", "c1", *own)).distinct()
+    every = met(sides, ["value", "row1", "c1", "side", "reach"]).union(met(both, ["value", "side", "reach"]))
+    # on both sides: every pair of ends that is not within what both share with the first
+    every = every.groupBy("value", "row", "c").agg(F.count_distinct("side").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+    every = every.select("value", "row", "c", F.when(F.col("n") > 1, 0).otherwise(F.col("low")).alias("low"), F.when(F.col("n") > 1, last).otherwise(F.col("high")).alias("high"))
+    places = every.groupBy("row").agg(F.collect_list(F.struct("value", "c", "low", "high")).alias("x")).withColumnRenamed("row", "_row")
+    held = rows.select("_row", "t").join(places, "_row").select("_row", "t", "x.value", "x.c", "x.low", "x.high")
     links = _links(held.mapInPandas(_batched(_ends_of), _WINDOWS))
+    each = links.select("row1", "row", "place", "place1", "sure", F.lit(0).cast("long").alias("value")).distinct()
     # not where the two texts have a passage already
     known = found.select("row1", F.col("row2").alias("row"), "start", "end")
     c = F.shiftright("place", 32)
-    inside = (links["row1"] == known["row1"]) & (links["row"] == known["row"]) & (c >= F.col("start")) & (c <= F.col("end") - shingles.WORDS)
-    new = common.staged(links.join(known, inside, "left_anti"))
+    inside = (each["row1"] == known["row1"]) & (each["row"] == known["row"]) & (c >= F.col("start")) & (c <= F.col("end") - shingles.WORDS)
+    new = common.staged(each.join(known, inside, "left_anti"))
     common.release(links)
     return new
 
