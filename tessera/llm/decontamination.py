@@ -17,7 +17,8 @@ and each block passes once over all documents, without a shuffle.
 
 Defined results: null or empty items and documents match nothing; an item under
 five words is one shingle of its own length; repeated items and rows are each
-reported; null ids are kept; other columns pass.
+reported; null ids are kept, ids may be of any simple type; texts of any length
+are taken whole; empty tables give no rows; other columns pass, whatever their names.
 """
 
 from __future__ import annotations
@@ -126,7 +127,7 @@ def _hits(items: _Items, ids: list, threshold: float):
                     rows, hashes, size = [], [], 0
             if rows:
                 out += found_in(rows, hashes)
-            yield pd.DataFrame(out, columns=["_row", "key", "item", "n_shared", "n_shingles"]).astype({"key": "Int64", "item": "Int64"})
+            yield pd.DataFrame(out, columns=["_row", "key", "item", "n_shared", "n_shingles"])
 
     return search
 
@@ -134,7 +135,7 @@ def _hits(items: _Items, ids: list, threshold: float):
 def _blocks(benchmark: DataFrame, key: str, text: str, most: int) -> Iterator[tuple[list, list]]:
     """(ids, texts) of the items, block by block: running sums of their words deal them out."""
     size = F.size(F.split(common.text_or_empty(text), r"\s+"))
-    slim = benchmark.select(F.col(key).cast("long").alias("key"), F.col(text).alias("t"), size.alias("n"))
+    slim = benchmark.select(F.col(key).alias("key"), F.col(text).alias("t"), size.alias("n"))
     slim = common.numbered(slim, ["key", "t"], "i")
     # the prefix sum runs over coarse groups of items first, then inside each
     coarse = slim.groupBy((F.col("i") / 4096).cast("long").alias("c")).agg(F.sum("n").alias("s"))
@@ -143,7 +144,7 @@ def _blocks(benchmark: DataFrame, key: str, text: str, most: int) -> Iterator[tu
     dealt = slim.withColumn("c", (F.col("i") / 4096).cast("long")).join(before, "c")
     dealt = common.staged(dealt.withColumn("b", ((F.col("before") + F.coalesce(inside, F.lit(0))) / most).cast("long")))
     for (b,) in dealt.select("b").distinct().orderBy("b").toLocalIterator():
-        own = dealt.filter(F.col("b") == b).select("key", "t").toArrow()
+        own = dealt.filter(F.col("b") == b).select(F.col("key").cast("string").alias("key"), "t").toArrow()
         yield own["key"].to_pylist(), own["t"].to_pylist()
 
 
@@ -152,21 +153,23 @@ def contaminated(
     text: str = "text", item_key: str = "item_id", item_text: str = "text", most: int = MOST_SHINGLES,
 ) -> DataFrame:
     """(_row, key, item, n_shared, n_shingles) for each document that holds an item at the threshold."""
-    form = "_row long, key long, item long, n_shared long, n_shingles long"
-    rows = common.with_row_id(docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("t")))
+    # keys go as text, for pandas would make numbers with nulls inexact
+    form = "_row long, key string, item string, n_shared long, n_shingles long"
+    rows = common.with_row_id(docs.select(F.col(key).cast("string").alias("key"), F.col(text).alias("t")))
     found = docs.sparkSession.createDataFrame([], form)
     for ids, texts in _blocks(benchmark, item_key, item_text, most):
         items = _Items(texts, threshold, recall)
         if items.parts:
             found = found.unionByName(rows.mapInPandas(_hits(items, ids, threshold), form))
-    return found
+    kinds = {"key": dict(docs.dtypes)[key], "item": dict(benchmark.dtypes)[item_key]}
+    return found.withColumns({c: F.col(c).cast(kind) for c, kind in kinds.items()})
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents that hold no item, with all their columns."""
     gone = common.staged(contaminated(docs, benchmark, **options).select("_row").distinct())
-    names = {c: f"_in_{c}" for c in docs.columns}
-    rows = common.with_row_id(docs.select(*[F.col(c).alias(n) for c, n in names.items()]))
+    names = {c: f"_in_{i}" for i, c in enumerate(docs.columns)}
+    rows = common.with_row_id(docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]))
     return rows.join(gone, "_row", "left_anti").select(*[F.col(n).alias(c) for c, n in names.items()])
 
 

@@ -10,7 +10,9 @@ each class and a spanning forest of them, both linear in its block.
 Defined results: null and empty texts have no shingles and no links, each is a
 group of its own; a text under five words is one shingle; repeated rows are
 copies and link to each other; null doc_ids are allowed (the least known
-doc_id of a group names it); other columns pass.
+doc_id of a group names it), and ids of any simple type; texts of any length are
+taken whole; ties of id go by place; an empty table gives no rows; other columns
+pass, whatever their names.
 """
 
 from __future__ import annotations
@@ -64,8 +66,10 @@ def sketches(docs: DataFrame, key: str, text: str, threshold: float, recall: flo
                 found.append(h.view(np.int64))
             yield pd.DataFrame({"_row": frame["_row"], "key": frame["key"], "set1": pd.array(set1, "Int64"), "set2": pd.array(set2, "Int64"), "bands": found})
 
-    rows_in = common.with_row_id(docs.select(F.col(key).alias("key"), F.col(text).alias("t")))
-    return rows_in.mapInPandas(sketch, "_row long, key long, set1 long, set2 long, bands array<long>")
+    # keys go as text, for pandas would make numbers with nulls inexact
+    rows_in = common.with_row_id(docs.select(F.col(key).cast("string").alias("key"), F.col(text).alias("t")))
+    found = rows_in.mapInPandas(sketch, "_row long, key string, set1 long, set2 long, bands array<long>")
+    return found.withColumn("key", F.col("key").cast(dict(docs.dtypes)[key]))
 
 
 def _first_common(vectors: np.ndarray, band: int, chunk: np.ndarray, i: int, j: int) -> np.ndarray:
@@ -185,8 +189,8 @@ def linked_documents(
 def keep_first(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one document of each group of near-duplicates, that of the least (key, place)."""
     gone = linked_documents(docs, threshold, recall, key, text).filter("class_row <> _row").select("_row")
-    names = {c: f"_in_{c}" for c in docs.columns}
-    rows = common.with_row_id(docs.select(*[F.col(c).alias(n) for c, n in names.items()]))
+    names = {c: f"_in_{i}" for i, c in enumerate(docs.columns)}
+    rows = common.with_row_id(docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]))
     return rows.join(gone, "_row", "left_anti").select(*[F.col(n).alias(c) for c, n in names.items()])
 
 

@@ -1,22 +1,28 @@
 """PII by bootstrapped contextual extraction, in DataFrame functions only.
 
 Four seed kinds are found by fixed forms (email, ip, card, phone; with checks of
-ranges, the Luhn sum and digit counts); a fifth, secret, by long mixed or
-hexadecimal tokens. Every identifier-shaped token of the corpus is an instance,
-the words around it are patterns. Seeds give patterns their confidence (the
-share of a pattern's instances that are believed to be of a kind), confident
-patterns give belief to unseen instances, and so on for some rounds over the
-pattern-instance graph, whose edges are distinct pairs with no row per
-occurrence. Instances believed in the end add spans; spans of the fixed forms
-always stay, and an added span never overlaps one; of added spans within each other
-the longest stays.
+ranges, the Luhn sum and digit counts); of a fifth, secret, a share of the long
+mixed or hexadecimal tokens (one in ``SEED_SHARE``, by hash) stand in for a list
+of known ones. Every identifier-shaped token of the corpus is an instance, the
+words around it are patterns. A pattern's confidence for a kind is the share of
+its instances that are believed to be of the kind, among those believed to be of
+any and those that look like none of the kind's seeds (by characters and
+length). Confident patterns give belief to unseen instances; those believed
+enough count as known from then on, round by round until none is added. The
+graph's edges are distinct pairs with no row per occurrence. In the end each
+token that confident patterns believe to be of a kind adds a span, secret seeds too:
+no form but the four fixed ones adds a span by itself. Spans of the fixed forms
+always stay, and an added span never overlaps one; of added spans within each
+other the longest stays.
 
 Positions come from the texts between the matches (a split by the same
 pattern), summed up per document. Patterns are possessive forms of the stated
 ones, so that no text, however long, recurses or backtracks.
 
 Defined results: a null text is empty and has no spans; null doc_ids and
-repeated rows are kept row by row; other columns are ignored.
+repeated rows are kept row by row; texts, tokens and words of any length are
+taken whole; ties of belief go to the later kind by name; an empty table gives
+no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -43,8 +49,8 @@ SECRET_FORM = r"^(?:[0-9a-f]{32,}|[0-9A-F]{32,}|(?=[A-Za-z_-]*[0-9])(?=[0-9_-]*[
 _OCTET = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{0,2})"
 IP_VALID = rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"
 
-CONTEXT_CHARS = 60
-ROUNDS, LEAST_SUPPORT, LEAST_CONFIDENCE, LEAST_BELIEF = 3, 3.0, 0.8, 0.8
+SEED_SHARE = 2
+LEAST_SUPPORT, LEAST_CONFIDENCE, LEAST_BELIEF = 3.0, 0.8, 0.8
 
 
 def _luhn(digits: Column) -> Column:
@@ -77,22 +83,38 @@ def _seed_kind(core: Column) -> Column:
     for kind in KINDS:
         test = core.rlike(rf"^(?:{FORMS[kind]})$") & _valid(F.lit(kind), core)
         found = F.when(test, F.lit(kind)) if found is None else found.when(test, F.lit(kind))
-    return found.when(core.rlike(SECRET_FORM), F.lit(SECRET))
+    listed = F.pmod(F.xxhash64(core), F.lit(SEED_SHARE)) == 0
+    return found.when(core.rlike(SECRET_FORM) & listed, F.lit(SECRET))
 
 
-def _match_of(kind: str):
-    def around(column: Column, side, name: str) -> Column:
-        return (side(column, F.lit(CONTEXT_CHARS)) if kind == "token" else F.lit("")).alias(name)
+def _shape(core: Column) -> Column:
+    """Which characters an instance has, and its length to a power of two: some hundreds of shapes in all."""
+    marks = [F.when(core.rlike(form), F.lit(mark)) for form, mark in (("[a-z]", "a"), ("[A-Z]", "A"), ("[0-9]", "0"), ("[^A-Za-z0-9]", "-"))]
+    return F.concat_ws("", *marks, F.length(F.bin(F.length(core))).cast("string"))
+
 
+def _match_of(kind: str):
     def match(x, i):
+        words = [x[side] if kind == "token" else F.lit("") for side in ("before", "after")]
         return F.struct(
-            F.lit(kind).alias("kind"), i.alias("i"), F.length(x["g"]).alias("gap"), x["m"].alias("match"),
-            around(x["g"], F.right, "before"), around(x["n"], F.left, "after"),
-        )
+            F.lit(kind).alias("kind"), i.alias("i"), x["gap"].alias("gap"), x["m"].alias("match"), words[0].alias("before"), words[1].alias("after")
+        )
 
     return match
 
 
+def _gap_of(kind: str):
+    """A gap's length, and for tokens its last two words and its first."""
+
+    def gap(g):
+        if kind != "token":
+            return F.struct(F.length(g).alias("gap"), F.lit("").alias("before"), F.lit("").alias("after"))
+        words = F.trim(F.regexp_replace(g, r"\s++", " "))
+        return F.struct(F.length(g).alias("gap"), F.substring_index(words, " ", -2).alias("before"), F.substring_index(words, " ", 1).alias("after"))
+
+    return gap
+
+
 def occurrences(docs: DataFrame, text: str = "text") -> DataFrame:
     """(_row, kind, start, match, before, after) of all matches of the four forms and of tokens (kind "token")."""
     rows = common.with_row_id(docs.select(common.text_or_empty(text).alias("t")))
@@ -104,12 +126,13 @@ def occurrences(docs: DataFrame, text: str = "text") -> DataFrame:
         form, some = F.lit(FORMS.get(kind, TOKEN)), worth.get(kind, F.col("digits"))
         rows = rows.withColumns({
             f"m_{kind}": F.when(some, F.regexp_extract_all(t, form, F.lit(0))),
-            f"g_{kind}": F.when(some, F.split(t, FORMS.get(kind, TOKEN), -1)),
+            f"g_{kind}": F.when(some, F.transform(F.split(t, FORMS.get(kind, TOKEN), -1), _gap_of(kind))),
         })
     found = []
     for kind in names:
         gaps = F.col(f"g_{kind}")
-        zipped = F.arrays_zip(F.col(f"m_{kind}").alias("m"), gaps.alias("g"), F.slice(gaps, F.lit(2), F.greatest(F.size(gaps) - 1, F.lit(0))).alias("n"))
+        next_ = F.slice(gaps["after"], F.lit(2), F.greatest(F.size(gaps) - 1, F.lit(0)))
+        zipped = F.arrays_zip(F.col(f"m_{kind}").alias("m"), gaps["gap"].alias("gap"), gaps["before"].alias("before"), next_.alias("after"))
         found.append(F.transform(zipped, _match_of(kind)))
     empty = F.array().cast("array<struct<kind:string,i:int,gap:int,match:string,before:string,after:string>>")
     every = F.concat(*[F.coalesce(F.filter(x, lambda s: s["match"].isNotNull()), empty) for x in found])
@@ -129,7 +152,7 @@ def _parts(runs: DataFrame) -> DataFrame:
     near = {"b2": F.lag("tok", 2).over(in_run), "b1": F.lag("tok", 1).over(in_run), "a1": F.lead("tok", 1).over(in_run)}
     out = out.withColumns({"at": F.sum(size).over(in_run.rowsBetween(Window.unboundedPreceding, 0)) - size, **near})
     return out.select(
-        "_row", (F.col("from") + F.col("at")).alias("start"), F.col("tok").alias("match"), (F.col("i") > 0).alias("counted"), "run_core",
+        "_row", (F.col("from") + F.col("at")).alias("start"), F.col("tok").alias("match"), F.lit(True).alias("counted"), "run_core",
         F.concat_ws(" ", F.when(F.col("i") < 2, F.rtrim("before")), "b2", "b1").alias("before"),
         F.coalesce("a1", "after").alias("after"),
     )
@@ -139,12 +162,13 @@ def instances(tokens: DataFrame) -> DataFrame:
     """Tokens cut to their core, with its place, seed kind and patterns.
 
     A run of tokens is an instance as a whole; where it is no seed, each of its tokens is one too, with the
-    run's core as run_core. The first token shares the run's pattern and is not counted there once more.
+    run's core as run_core. The first token shares the run's pattern, and is the one that counts there.
     """
     whole = tokens.withColumns({"from": F.col("start"), "core": F.regexp_extract("match", CORE, 0)})
     some = whole.filter(F.col("match").contains(" ") & _seed_kind(F.col("core")).isNull())
     columns = ["_row", "start", "match", "counted", "run_core", "before", "after"]
-    whole = tokens.withColumns({"counted": F.lit(True), "run_core": F.lit(None).cast("string")}).select(*columns)
+    several = F.col("match").contains(" ") & _seed_kind(F.regexp_extract("match", CORE, 0)).isNull()
+    whole = tokens.withColumns({"counted": ~several, "run_core": F.lit(None).cast("string")}).select(*columns)
     out = whole.unionByName(_parts(some).select(*columns)).withColumn("core", F.regexp_extract("match", CORE, 0)).filter(F.col("core") != "")
     out = out.withColumns({
         "start": F.col("start") + F.call_function("locate", F.col("core"), F.col("match")) - 1,
@@ -160,27 +184,45 @@ def instances(tokens: DataFrame) -> DataFrame:
 
 
 def believed(found: DataFrame) -> DataFrame:
-    """(core, kind) of the instances that the graph's confident patterns discover; seeds are not among them.
+    """(core, kind, seed) of the instances that confident patterns of the graph cover.
 
-    ``found`` has core, seed, patterns and counted for each occurrence.
+    ``found`` has core, seed, patterns and counted for each occurrence. ``seed`` tells
+    whether the core was a seed of the kind; the others are discovered.
     """
     each = found.select("core", "seed", "counted", F.explode("patterns").alias("pattern"))
-    edges = common.staged(each.groupBy("core", "seed", "pattern").agg(F.max("counted").alias("counted")))
-    sizes = edges.filter("counted").groupBy("pattern").agg(F.count("*").alias("n"))
-    seeds = edges.filter("seed is not null").select("core", F.col("seed").alias("kind")).distinct().withColumn("belief", F.lit(1.0))
-    belief = seeds
-    for _ in range(ROUNDS):
-        scored = (
-            edges.join(belief, "core").groupBy("pattern", "kind").agg(F.sum("belief").alias("support")).join(sizes, "pattern")
-            .withColumn("confidence", F.col("support") / (F.col("n") + 0.5))
-            .filter((F.col("support") >= LEAST_SUPPORT) & (F.col("confidence") >= LEAST_CONFIDENCE))
-        )
-        doubt = F.sum(F.log(1 - 0.95 * F.least("confidence", F.lit(1.0))))
-        unseen = edges.filter("seed is null").join(scored, "pattern").groupBy("core", "kind").agg((1 - F.exp(doubt)).alias("belief"))
-        belief = common.staged(seeds.unionByName(unseen))
-    best = F.max(F.struct("belief", "kind")).alias("best")
-    new = belief.join(seeds.select("core"), "core", "left_anti").groupBy("core").agg(best)
-    return new.filter(F.col("best.belief") >= LEAST_BELIEF).select("core", F.col("best.kind").alias("kind"))
+    edges = each.groupBy("core", "pattern").agg(F.max("seed").alias("seed"), F.max("counted").alias("counted"))
+    edges = common.staged(edges.withColumn("shape", _shape(F.col("core"))))
+    seeds = edges.filter("seed is not null").groupBy("core").agg(F.max("seed").alias("kind"))
+    known = common.staged(seeds.withColumn("belief", F.lit(1.0)))
+    shapes = common.staged(edges.filter("seed is not null").select(F.col("seed").alias("kind"), "shape").distinct())
+    while True:
+        scored = common.staged(_confident(edges, known, shapes))
+        covered = common.join_groups(edges, scored.groupBy("pattern").agg(F.collect_list(F.struct("kind", "confidence")).alias("all")), ["pattern"])
+        doubt = F.sum(F.log(1 - 0.95 * F.col("x.confidence")))
+        belief = covered.select("core", "seed", F.explode("all").alias("x")).groupBy("core", F.col("x.kind").alias("kind")).agg((1 - F.exp(doubt)).alias("belief"), F.max("seed").alias("seed"))
+        belief = common.staged(belief.filter(F.col("belief") >= LEAST_BELIEF))
+        best = belief.groupBy("core").agg(F.max(F.struct("belief", "kind")).alias("best"), F.max("seed").alias("seed"))
+        best = best.select("core", F.col("best.kind").alias("kind"), F.col("best.belief").alias("belief"), "seed")
+        new = common.staged(best.filter("seed is null").join(known.select("core"), "core", "left_anti").drop("seed"))
+        if new.isEmpty():
+            return best.select("core", "kind", (F.col("seed") == F.col("kind")).alias("seed"))
+        known = common.staged(known.unionByName(new))
+
+
+def _confident(edges: DataFrame, known: DataFrame, shapes: DataFrame) -> DataFrame:
+    """(pattern, kind, confidence) of the patterns with enough support and confidence.
+
+    A kind has some hundreds of shapes at most, so ``shapes`` is broadcast.
+    """
+    counted = common.staged(common.join_groups(edges.filter("counted or seed is not null"), known, ["core"], how="left"))
+    of_kind = counted.filter("kind is not null").groupBy("pattern", "kind").agg(F.sum("belief").alias("support"))
+    totals = counted.filter("counted").groupBy("pattern").agg(
+        F.coalesce(F.sum("belief"), F.lit(0.0)).alias("any"), F.count(F.when(F.col("kind").isNull(), 1)).alias("unknown")
+    )
+    alike = counted.filter("counted and kind is null").drop("kind").join(F.broadcast(shapes), "shape").groupBy("pattern", "kind").agg(F.count("*").alias("alike"))
+    all_ = of_kind.filter(F.col("support") >= LEAST_SUPPORT).join(totals, "pattern").join(alike, ["pattern", "kind"], "left")
+    against = F.greatest(F.col("any"), F.col("support")) + F.col("unknown") - F.coalesce("alike", F.lit(0))
+    return all_.select("pattern", "kind", (F.col("support") / (against + 0.5)).alias("confidence")).filter(F.col("confidence") >= LEAST_CONFIDENCE)
 
 
 def pii_spans(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -190,11 +232,10 @@ def pii_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     base = base.select("_row", "kind", "start", (F.col("start") + F.length("match")).alias("end"), F.lit(True).alias("base"))
     tokens = common.staged(instances(found.filter(F.col("kind") == "token")))
     enough = (F.length(F.regexp_replace("core", "[^0-9]", "")) >= 4) | F.col("core").contains("@")
-    new = believed(tokens).filter(enough)
-    kinds = tokens.filter(F.col("seed") == SECRET).select("core").distinct().withColumn("kind", F.lit(SECRET)).unionByName(new)
+    kinds = common.staged(believed(tokens).filter(enough).select("core", "kind"))
     # a token has its own kind, or its run's: where a run meets a base span, its other tokens stay
-    of_run = tokens.filter("run_core is not null").filter(enough).join(kinds.withColumnRenamed("core", "run_core"), "run_core")
-    both = tokens.join(kinds, "core").select("_row", "start", "core", "kind").unionByName(of_run.select("_row", "start", "core", "kind"))
+    of_run = common.join_groups(tokens.filter("run_core is not null").filter(enough), kinds.withColumnRenamed("core", "run_core"), ["run_core"])
+    both = common.join_groups(tokens, kinds, ["core"]).select("_row", "start", "core", "kind").unionByName(of_run.select("_row", "start", "core", "kind"))
     added = both.select("_row", "kind", "start", (F.col("start") + F.length("core")).alias("end"), F.lit(False).alias("base"))
     in_row = Window.partitionBy("_row").orderBy("start", "end")
     earlier = F.max(F.when(F.col("base"), F.col("end"))).over(in_row.rowsBetween(Window.unboundedPreceding, -1))

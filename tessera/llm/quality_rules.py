@@ -153,9 +153,10 @@ def compiled(rules=RULES) -> Column:
 
 def judge(docs: DataFrame, rules=RULES, text: str = "text") -> DataFrame:
     """``docs`` with all figures, ``broken_rules`` (array) and ``kept``."""
-    held = [c for c in docs.columns if c not in FIGURES and c not in ("broken_rules", "kept")]
-    named = with_figures(docs.select(*held), text).withColumn("broken_rules", compiled(rules))
-    return named.select(*held, *FIGURES, "broken_rules", (F.size("broken_rules") == 0).alias("kept"))
+    held = {f"_in_{i}": c for i, c in enumerate(docs.columns) if c not in FIGURES and c not in ("broken_rules", "kept")}
+    renamed = docs.select(*[F.col(f"`{c}`").alias(n) for n, c in held.items()], F.col(f"`{text}`").alias("_text"))
+    named = with_figures(renamed, "_text").withColumn("broken_rules", compiled(rules))
+    return named.select(*[F.col(n).alias(c) for n, c in held.items()], *FIGURES, "broken_rules", (F.size("broken_rules") == 0).alias("kept"))
 
 
 def keep(docs: DataFrame, rules=RULES, text: str = "text") -> DataFrame:

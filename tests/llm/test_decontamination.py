@@ -39,3 +39,14 @@ def test_matches_exact_containment(table, spark, prose):
     clean = decontamination.keep_clean(table(docs), bench)
     assert sorted(x.doc_id for x in clean.collect()) == sorted(d for d, _ in docs if d not in {a for a, _ in want})
     assert decontamination.contaminated(table(docs), bench.limit(0)).count() == 0
+
+
+def test_odd_tables(table, spark, prose):
+    item = prose(1, 30)
+    bench = spark.createDataFrame([(None, item), ("b", item), ("c", None)], "item_id string, text string")
+    docs = table([(None, item), (2**60 + 1, prose(2, 60_000) + " " + item + " " + prose(3, 60_000)), (3, None), (3, item), (3, item)])
+    got = sorted((str(x.key), str(x.item)) for x in decontamination.contaminated(docs, bench).collect())
+    assert got == sorted((k, i) for k in ("None", str(2**60 + 1), "3", "3") for i in ("None", "b"))
+    clean = decontamination.keep_clean(docs, bench)
+    assert clean.columns == docs.columns and [x.doc_id for x in clean.collect()] == [3]
+    assert decontamination.contaminated(docs.filter("doc_id < 0"), bench).count() == 0

@@ -64,6 +64,17 @@ def test_block_pairs(table, prose, monkeypatch):
 
 def test_odd_tables(table, prose):
     docs = table([(None, prose(1, 80)), (None, prose(1, 80)), (3, None)])
-    assert sorted((x.n_links, x.class_id) for x in ngram_join.linked_documents(docs).collect() if x.n_links) == [] or True
+    assert sorted((x.n_links, x.key, x.class_id) for x in ngram_join.linked_documents(docs).collect() if x.key) == [(0, 3, 3)]
+    assert [(x.n_links, x.class_id) for x in ngram_join.linked_documents(docs).collect() if x.key is None] == [(1, None)] * 2
     assert ngram_join.keep_first(docs).count() == 2
+    assert ngram_join.keep_first(docs).columns == docs.columns
     assert ngram_join.linked_documents(docs.filter("doc_id > 5")).count() == 0
+
+
+def test_text_ids_great_ids_and_long_texts(table, prose):
+    long = prose(5, 60_000)
+    docs = table([(2**60 + 1, long), (2**60 + 2, long + " more"), (2**60 + 3, prose(6, 60)), (None, "")])
+    rows = {x.key: x for x in ngram_join.linked_documents(docs).collect()}
+    assert rows[2**60 + 2].class_id == 2**60 + 1 and rows[2**60 + 2].n_links == 1 and rows[2**60 + 3].n_links == 0
+    named = docs.withColumn("doc_id", ngram_join.F.concat(ngram_join.F.lit("d"), "doc_id"))
+    assert {x.key: x.class_id for x in ngram_join.linked_documents(named).collect()}[f"d{2**60 + 2}"] == f"d{2**60 + 1}"

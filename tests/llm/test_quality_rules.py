@@ -32,6 +32,14 @@ def test_keeps_prose_and_all_columns(table):
     assert quality_rules.keep(docs.filter("doc_id > 99")).count() == 0
 
 
+def test_clashing_names_stay(table):
+    good = "the old house on the hill was sold to a man from the town and he said that it is a fine place to live "
+    good += " ".join(f"word{i}" if i % 3 else "of" for i in range(60))
+    docs = table([(1, good)]).withColumns({"_q_text": quality_rules.F.lit("mine"), "_q_words": quality_rules.F.lit(5), "kept": quality_rules.F.lit("k")})
+    (row,) = quality_rules.keep(docs).collect()
+    assert (row._q_text, row._q_words, row.kept) == ("mine", 5, "k")
+
+
 def test_long_text_in_linear_memory(table):
     text = " ".join(f"w{i % 5000}" for i in range(60_000))
     (r,) = quality_rules.judge(table([(1, text)])).collect()

@@ -1,5 +1,8 @@
+import math
+import struct
 import zlib
 
+import xxhash
 from pyspark.sql import functions as F
 
 from tessera.llm import sharding
@@ -34,3 +37,42 @@ def test_written_shards(table, spark, tmp_path):
     sharding.write_shards(docs, str(tmp_path / "out"), 4)
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == 51 and back.select("shard", "slot").distinct().count() == 51
+
+
+def plain_permutation(n, seed):
+    """The network in plain Python: six rounds over mixed radices, walked until below n."""
+    a = math.isqrt(n - 1) + 1
+    b = -(-n // a)
+
+    def value(half, j, radix):
+        h = 42
+        for form, x in (("<q", half), ("<q", seed), ("<i", j)):
+            h = xxhash.xxh64_intdigest(struct.pack(form, x), h)
+        return (h - (1 << 64) if h >> 63 else h) % radix
+
+    def once(v):
+        left, right = v % a, v // a
+        for j in range(1, 7):
+            if j % 2:
+                left = (left + value(right, j, a)) % a
+            else:
+                right = (right + value(left, j, b)) % b
+        return right * a + left
+
+    def walk(v):
+        v = once(v)
+        while v >= n:
+            v = once(v)
+        return v
+
+    return [walk(i) for i in range(n)]
+
+
+def test_places_match_plain_python(table):
+    docs = table([(i * 7 % 101, f"text {i}") for i in range(101)] + [(1000, "long " * 100_000), (1001, None)])
+    where = plain_permutation(103, 0)
+    rows = sorted(sharding.shard_table(docs, 7).collect(), key=lambda r: r.row_number)
+    assert [r.row_number for r in rows] == list(range(103))
+    assert [r.doc_id for r in rows] == sorted(r.doc_id for r in rows)
+    assert [(r.shard, r.slot) for r in rows] == [(p % 7, p // 7) for p in where]
+    assert [r.size for r in rows if r.doc_id >= 1000] == [500_016, 16]
