@@ -165,7 +165,7 @@ def pieces(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "t
                 at += n
 
     kind = dict(docs.dtypes)[key]
-    rows = common.with_row_id(docs.select(F.col(key).alias("key"), F.col(text).alias("t")))
+    rows = common.with_row_id(docs.select(F.col(key).alias("key"), F.col(text).alias("t"))).select("_row", "key", "t")
     form = f"_row long, doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * ids
     return rows.mapInArrow(run, form)
 

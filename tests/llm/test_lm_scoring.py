@@ -74,3 +74,13 @@ def test_every_word_and_bigram_counts(table, spark, monkeypatch, chunk):
     other = table([(9, "zz3 zz4")])
     (r,) = lm_scoring.scored(other, lm_scoring.train(frame, good)).collect()
     assert (r.key, r.target_loss, r.background_loss) == (9, got[2].target_loss, got[2].background_loss)
+
+
+def test_very_long_text(table, spark):
+    """A text of more tokens than a chunk has is scored whole."""
+    long = " ".join(f"w{i % 997}" for i in range(1_100_000))
+    frame = table([(1, long), (2, "w1 w2 w3"), (2, "w1 w2 w3")])
+    good = spark.createDataFrame([(2,)], "doc_id long")
+    rows = lm_scoring.scored(frame, lm_scoring.train(frame, good)).collect()
+    assert sorted(r.n_tokens for r in rows) == [3, 3, 1_100_000]
+    assert len({r.score for r in rows if r.key == 2}) == 1 and all(r.score is not None for r in rows)

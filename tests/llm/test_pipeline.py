@@ -72,3 +72,14 @@ def test_run_matches_plain_python(table, spark, tmp_path, monkeypatch):
     for r in rows:
         fill[r.sequence_id] = fill.get(r.sequence_id, 0) + r.length
     assert max(fill.values()) <= 2048
+
+
+def test_empty_and_odd_tables(table, spark, tmp_path):
+    """No documents at all, and only null, repeated and short ones: no rows, in the same columns."""
+    for n, docs in enumerate(([(1, "x")], [(None, None), (None, None), (2, ""), (2, "")])):
+        path = str(tmp_path / f"sf{n}")
+        frame = table(docs)
+        (frame.filter("doc_id > 5") if n == 0 else frame).write.parquet(f"{path}/documents.parquet")
+        spark.createDataFrame([], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+        out = corpus_pipeline.run(spark, path)
+        assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and out.count() == 0

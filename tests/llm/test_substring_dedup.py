@@ -52,3 +52,96 @@ def test_finds_planted_passages_only(table, prose):
         b = texts[x.key2 if x.key2 is not None else 2][x.start : x.end]
         assert min(len(a), len(b)) >= 50 and x.similarity >= 0.8
     assert sd.repeated_passages(table(docs).filter("doc_id > 99")).count() == 0
+
+
+def common_run(a, b):
+    """Length in words of the longest run that two texts have in common."""
+    best, before = 0, [0] * (len(b) + 1)
+    for x in a:
+        now = [0] * (len(b) + 1)
+        for j, y in enumerate(b):
+            if x == y:
+                now[j + 1] = before[j] + 1
+        best, before = max(best, *now), now
+    return best
+
+
+def classes(links):
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        root[find(a)] = find(b)
+    return find
+
+
+def test_every_pair_of_a_small_corpus(table):
+    """All pairs by brute force: documents that share 50 words or more are linked, straight or through others, and no others are."""
+    r = random.Random(11)
+    vocabulary = ["".join(r.choices("abcdefghij", k=r.randint(3, 8))) for _ in range(3000)]
+    words = lambda n: r.choices(vocabulary, k=n)
+    phrases = [words(n) for n in (12, 30, 44, 48, 52, 60, 90, 150)]
+    texts = []
+    for _ in range(70):
+        w = words(r.randint(0, 60))
+        for p in r.sample(phrases, r.randint(0, 3)):
+            cut = r.choice([0, 0, 4, 8])
+            w += p[cut:] + words(r.randint(1, 60))
+        texts.append(w)
+    texts += [texts[3], texts[3] + ["more"], phrases[7][:60] + words(9) + phrases[7][:60], [], words(49)]
+    docs = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    got = sd.repeated_passages(table(docs)).collect()
+    want = {(i, j) for i in range(len(texts)) for j in range(i) if common_run(texts[i], texts[j]) >= 50}
+    found = classes([(x.key1, x.key2) for x in got])
+    lost = [p for p in want if found(p[0]) != found(p[1])]
+    assert len(lost) <= 0.01 * len(want), lost
+    true = classes(want)
+    assert all(true(x.key1) == true(x.key2) for x in got)
+    # passages within one text are found, and do not overlap
+    inside = [x for x in got if x.key1 == x.key2]
+    assert {x.key1 for x in inside} >= {72} and all(x.end1 <= x.start for x in inside)
+    for x in got:
+        a, b = texts[x.key1][x.start1 : x.end1], texts[x.key2][x.start : x.end]
+        assert min(len(a), len(b)) >= 50 and x.similarity >= 0.8
+
+
+def test_shared_phrases_hide_nothing(table):
+    """Two texts share a passage, a third only a phrase of it that is too short: the first window of all is no help."""
+    r = random.Random(5)
+    vocabulary = ["".join(r.choices("abcdefghij", k=r.randint(2, 7))) for _ in range(5000)]
+    words = lambda n: r.choices(vocabulary, k=n)
+    texts, want = [], []
+    for phrase, more, first in ((45, 8, False), (30, 25, True), (48, 2, False)) * 20:
+        p, e = words(phrase), words(more)
+        passage = e[: more // 2] + p + e[more // 2 :] if first else p + e
+        i = len(texts)
+        texts += [words(r.randint(30, 90)) + x + words(r.randint(30, 90)) for x in (p, passage, passage)]
+        want.append((i + 1, i + 2))
+    got = {tuple(sorted((x.key1, x.key2))) for x in sd.repeated_passages(table([(i, " ".join(t)) for i, t in enumerate(texts)])).collect()}
+    assert sum(p in got for p in want) >= 0.99 * len(want)
+    assert got <= set(want)
+
+
+def test_odd_texts(table, prose):
+    """Ties in one text, a very long text, and repeated rows with null ids."""
+    long = prose(31, 60_000)
+    part = " ".join(long.split()[40_000:40_080])
+    docs = [(1, "la " * 5000), (2, long), (3, "before it " + part + " after"), (None, prose(32, 80)), (None, prose(32, 80)), (4, "la " * 5000)]
+    got = sd.repeated_passages(table(docs)).collect()
+    pairs = {(x.key1, x.key2) for x in got}
+    assert {(2, 3), (None, None), (1, 4)} <= pairs
+    assert all(x.end1 <= x.start for x in got if x.key1 == x.key2 and x.key1 is not None)
+
+
+def test_values_meet_over_batches(table, prose, monkeypatch):
+    """A passage that all texts hold is linked as trees, never all pairs, whatever the batches."""
+    monkeypatch.setattr(sd, "_TOGETHER", 500)
+    passage = prose(50, 70)
+    docs = [(i, prose(100 + i, 40) + " " + passage + " " + prose(900 + i, 40)) for i in range(60)]
+    got = sd.repeated_passages(table(docs)).collect()
+    found = classes([(x.key1, x.key2) for x in got])
+    assert len({found(i) for i in range(60)}) == 1 and len(got) < 60 * 8
