@@ -2,18 +2,29 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions import scalars as S
 
 
 def melted(df: DataFrame, ids: list[str], columns: list[str]) -> DataFrame:
-    """A row per value with its text, its number and its kind; blanks are dropped. ``ids`` must hold a stable row id."""
-    texts = df.select(*ids, *[F.col(c).cast("string").alias(c) for c in columns])
-    long = texts.unpivot(ids, columns, "column_name", "value_text").filter(F.trim("value_text") != "")
-    number = F.col("value_text").try_cast("double")
-    return long.withColumns({"value_numeric": number, "value_kind": F.when(number.isNotNull(), "numeric").otherwise("text"), "column_slug": S.slug("column_name")})
+    """A row per value with its text, its number and its kind; blanks are dropped. ``ids`` must hold a stable row id.
+
+    Names and their slugs are literals, and a numeric column's number is the value itself, not its text read back.
+    """
+    kinds = dict(df.dtypes)
+
+    def one(c: str) -> Column:
+        text = F.col(f"`{c}`").cast("string")
+        plain = kinds[c] in ("double", "float", "int", "bigint", "smallint", "tinyint") or kinds[c].startswith("decimal")
+        number = F.col(f"`{c}`").cast("double") if plain else text.try_cast("double")
+        return F.struct(F.lit(c).alias("column_name"), text.alias("value_text"), number.alias("value_numeric"), F.lit(re.sub("[^a-z0-9]+", "_", c.lower()).strip("_")).alias("column_slug"))
+
+    long = df.select(*ids, F.explode(F.array(*[one(c) for c in columns])).alias("x")).select(*ids, "x.*").filter(F.trim("value_text") != "")
+    kind = F.when(F.col("value_numeric").isNotNull(), "numeric").otherwise("text")
+    return long.select(*ids, "column_name", "value_text", "value_numeric", kind.alias("value_kind"), "column_slug")
 
 
 def records(long: DataFrame, ids: list[str], slugs: list[str], position: str = "position") -> DataFrame:

@@ -73,27 +73,29 @@ def exposure_design(county: DataFrame, shocks: DataFrame) -> DataFrame:
     return joined.withColumn("instrument", F.col("exposure") * F.col("shock"))
 
 
-def two_way_demeaned(df: DataFrame, columns: list[str], a: str, b: str, most: int = 50, tolerance: float = 1e-10, every: int = 3, save=None) -> DataFrame:
+def demeaned(df: DataFrame, columns: list[str], key: str) -> DataFrame:
+    """Columns less their group's mean. Means are aggregated first, so a group of many rows is no one task's work; ``df`` is read twice."""
+    means = df.groupBy(key).agg(*[F.avg(c).alias(f"_m_{c}") for c in columns])
+    return df.join(means, key).withColumns({c: F.col(c) - F.col(f"_m_{c}") for c in columns}).drop(*[f"_m_{c}" for c in columns])
+
+
+def two_way_demeaned(df: DataFrame, columns: list[str], a: str, b: str, most: int = 50, tolerance: float = 1e-10, save=None) -> DataFrame:
     """Alternating projections on two groupings, from the grand mean, until nothing moves.
 
-    All columns go together, so an iteration is two shuffles whatever their number;
-    ``save`` (a function that writes and rereads, or checkpoint) cuts the lineage every few rounds.
+    ``a`` has many small groups (a window), ``b`` may have few and great ones (means first).
+    ``save`` (a function that writes and rereads, or checkpoint) cuts the lineage every round.
     """
     save = save or (lambda x: x.checkpoint())
     means = df.agg(*[F.avg(c).alias(f"_g_{c}") for c in columns])
     rows = df.crossJoin(F.broadcast(means)).withColumns({f"d_{c}": F.col(c) - F.col(f"_g_{c}") for c in columns}).drop(*[f"_g_{c}" for c in columns])
-    for turn in range(1, most + 1):
-        before = {f"_b_{c}": F.col(f"d_{c}") for c in columns}
-        check = turn % every == 0 or turn == most
-        rows = rows.withColumns(before) if check else rows
-        for key in (a, b):
-            rows = rows.withColumns({f"d_{c}": F.col(f"d_{c}") - F.avg(f"d_{c}").over(Window.partitionBy(key)) for c in columns})
-        if check:
-            rows = save(rows)
-            moved = rows.agg(*[F.max(F.abs(F.col(f"d_{c}") - F.col(f"_b_{c}"))).alias(c) for c in columns]).first()
-            rows = rows.drop(*before)
-            if all(x is None or x < tolerance for x in moved):
-                break
+    for _ in range(most):
+        rows = rows.withColumns({f"_b_{c}": F.col(f"d_{c}") for c in columns})
+        rows = save(rows.withColumns({f"d_{c}": F.col(f"d_{c}") - F.avg(f"d_{c}").over(Window.partitionBy(a)) for c in columns}))
+        rows = save(demeaned(rows, [f"d_{c}" for c in columns], b))
+        moved = rows.agg(*[F.max(F.abs(F.col(f"d_{c}") - F.col(f"_b_{c}"))).alias(c) for c in columns]).first()
+        rows = rows.drop(*[f"_b_{c}" for c in columns])
+        if all(x is None or x < tolerance for x in moved):
+            break
     return rows
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chains, models, panels, sources_q
+from . import chains, models, panels, reports, simulations, sources_q
 
-_MODULES = (panels, sources_q, models, chains)
+_MODULES = (panels, sources_q, models, chains, simulations, reports)
 
 
 def flagship(spark, sf_dir):

@@ -161,8 +161,8 @@ def _stack(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
     rates = s.filter("year in (1996, 1999)").groupBy("year").agg((F.avg("observed_share") / 2).alias("rate"))
     carried = lookups.carried_rates(s, rates, "rate")
     targets = s.join(F.broadcast(carried), "year").select(*keys, (F.col("population") * F.col("rate")).alias("target"))
-    program = s.filter("geo1 % 3 <> 0").select(*keys, (F.col("population") * 0.05).alias("program_slots"))
-    admin = s.filter("geo1 % 2 = 0").select(*keys, (F.col("population") * F.col("imputed_share") * 0.1).alias("admin_slots"))
+    program = s.select(*keys, F.when(F.col("geo1") % 3 != 0, F.col("population") * 0.05).alias("program_slots"))
+    admin = s.select(*keys, F.when(F.col("geo1") % 2 == 0, F.col("population") * F.col("imputed_share") * 0.1).alias("admin_slots"))
     public = segments.public_slots(program, admin, s.select(*keys, "population"), keys)
     public = public.select(*keys, "public_slots", "slot_status", (F.col("public_slots") * 0.3).alias("subsidised_slots"))
     seg = segments.segment_prices(base.micro(spark, sf_dir), _segments(spark), DIMENSIONS, keys).filter("segment_id like '%/*' and segment_id <> '*/*'")
@@ -218,7 +218,7 @@ SELECT geo1, year, alpha, round(sum(qs), 3) AS private_quantity, round(any_value
 
 
 def headline_alpha(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The scenario row nearest the headline alpha, with its difference to alpha 0."""
+    """The scenario row nearest the headline alpha, with its difference to alpha 0."""
     rows = _channels(spark, sf_dir)
     zero = rows.filter("alpha = 0").select("geo1", "year", F.col("private_price").alias("base"))
     near = segments.nearest_alpha(rows.filter("alpha <> 0.5"), ["geo1", "year"]).join(zero, ["geo1", "year"])
@@ -230,11 +230,11 @@ SELECT a.geo1, a.year, a.alpha, round(a.private_price, 3) AS private_price, roun
 
 
 def support_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Support labels of the slots by tier, shares of the total, priority states in order."""
+    """The report of the fifteen first priority states, by missing and proxy support (``support_by_state`` has all)."""
     keys = ["geo1", "year"]
     s = base.state(spark, sf_dir)
-    program = s.filter("geo1 % 3 <> 0").select(*keys, (F.col("population") * 0.05).alias("program_slots"))
-    admin = s.filter("geo1 % 2 = 0").select(*keys, (F.col("population") * F.col("imputed_share") * 2).alias("admin_slots"))
+    program = s.select(*keys, F.when(F.col("geo1") % 3 != 0, F.col("population") * 0.05).alias("program_slots"))
+    admin = s.select(*keys, F.when(F.col("geo1") % 2 == 0, F.col("population") * F.col("imputed_share") * 2).alias("admin_slots"))
     public = segments.public_slots(program, admin, s.select(*keys, "population"), keys).withColumn("tier", S.support_tier("slot_status"))
     out = public.groupBy("geo1").agg(F.count_if(F.col("tier") == "explicit").alias("explicit"), F.count_if(F.col("tier") == "proxy").alias("proxy"), F.count_if(F.col("tier") == "missing").alias("missing"), F.sum("public_slots").alias("slots"))
     issue = F.when(F.col("missing") > 0, "missing_slots").when(F.col("proxy") > 0, "large_gap").otherwise("none")
@@ -306,15 +306,16 @@ _CONTROLS = ["copay", "rate", "wait", "visit"]
 def _policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = base.table(spark, sf_dir, "events").withColumns({"geo": F.col("user_id") % 25, "month": F.month("ts")})
     name = F.element_at(F.array(*[F.lit(c) for c in _CONTROLS]), (F.col("user_id") % 4 + 1).cast("int"))
-    known = e.withColumn("control", name).filter((F.col("control") != "visit") | (F.col("geo") < 6))
+    # one control is known in few places only: its name is hidden elsewhere, no row is left out
+    known = e.withColumn("control", F.when((name != "visit") | (F.col("geo") < 6), name))
     return eav.policy_wide(known, ["geo"], "control", "value", "event_id", _CONTROLS)
 
 
-_POLICY = "e AS (SELECT *, user_id % 25 AS geo, ['copay', 'rate', 'wait', 'visit'][user_id % 4 + 1] AS control FROM events), w AS (SELECT geo, " + ", ".join(f"arg_max(value, event_id) FILTER (control = '{c}') AS {c}" for c in _CONTROLS) + ", count(DISTINCT control) AS n_controls FROM e WHERE control <> 'visit' OR geo < 6 GROUP BY geo)"
+_POLICY = "e AS (SELECT *, user_id % 25 AS geo, ['copay', 'rate', 'wait', 'visit'][user_id % 4 + 1] AS control FROM events), w AS (SELECT geo, " + ", ".join(f"arg_max(value, event_id) FILTER (control = '{c}') AS {c}" for c in _CONTROLS) + ", count(DISTINCT control) AS n_controls FROM (SELECT * REPLACE (CASE WHEN control <> 'visit' OR geo < 6 THEN control END AS control) FROM e) GROUP BY geo)"
 
 
 def policy_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Last value of each control by state."""
+    """Last value of each control by state."""
     return base.rounded(_policy(spark, sf_dir))
 
 
@@ -334,16 +335,18 @@ COVER = f"WITH {_POLICY}, c AS ({' UNION ALL '.join(f'''SELECT '{c}' AS control,
 
 def _rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = base.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("partkey"), F.col("p_type").alias("rule"), "p_size")
-    m = base.micro(spark, sf_dir).join(p, "partkey").filter((F.col("geo1") * 3 + F.col("year")) % 4 != 0)
-    return m.groupBy("geo1", "rule", "year").agg(F.avg("p_size").alias("value")).filter("rule <> 'PROMO' or geo1 % 2 = 0")
+    m = base.micro(spark, sf_dir).join(p, "partkey")
+    # every row is read; some values of the panel are hidden, so that there is something to carry forward
+    shown = ((F.col("geo1") * 3 + F.col("year")) % 4 != 0) & ((F.col("rule") != "PROMO") | (F.col("geo1") % 2 == 0))
+    return m.groupBy("geo1", "rule", "year").agg(F.avg("p_size").alias("value")).withColumn("value", F.when(shown, F.col("value")))
 
 
-_RULES = "ru AS (SELECT geo1, p_type AS rule, year, avg(p_size) AS value FROM micro JOIN part ON partkey = p_partkey WHERE (geo1 * 3 + year) % 4 <> 0 AND (p_type <> 'PROMO' OR geo1 % 2 = 0) GROUP BY ALL)"
+_RULES = "ru AS (SELECT geo1, rule, year, CASE WHEN (geo1 * 3 + year) % 4 <> 0 AND (rule <> 'PROMO' OR geo1 % 2 = 0) THEN value END AS value FROM (SELECT geo1, p_type AS rule, year, avg(p_size) AS value FROM micro JOIN part ON partkey = p_partkey GROUP BY ALL))"
 
 
 def harmonised(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The dense rule grid carried forward, with status and reference year."""
-    r = _rules(spark, sf_dir).withColumn("sign", F.when(F.col("rule") == "SMALL", -1.0).otherwise(1.0))
+    r = _rules(spark, sf_dir).withColumn("sign", F.when(F.col("value").isNotNull(), F.when(F.col("rule") == "SMALL", -1.0).otherwise(1.0)))
     grid = lookups.dense_grid([r.select(c).distinct() for c in ("geo1", "year", "rule")])
     out = rules.harmonised(grid, r, ["geo1", "rule"], "year", "value", "sign")
     return base.rounded(out.select("geo1", "rule", "year", "support_status", "harmonised", "reference_year", "signed"))
@@ -363,7 +366,7 @@ RULE_STATUS = f"SELECT geo1, count(*) FILTER (support_status = 'observed') AS ob
 
 
 def timing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Treatment timing by state and the event study on log prices."""
+    """Treatment timing by state and the event study on log prices."""
     s = base.state(spark, sf_dir).withColumns({"lp": F.ln("price"), "shock": F.when((F.col("geo1") % 4 == 0) & (F.col("year") >= 1997 + F.col("geo1") % 3), 1.0).otherwise(0.0)})
     t = rules.treatment_timing(s, "geo1", "year", "shock")
     return base.rounded(rules.event_study(s, t, "geo1", "year", "lp"))
@@ -377,7 +380,7 @@ SELECT k, round(treated_mean, 6) AS treated_mean, n_treated, round(control_mean,
 
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Artifacts grouped by status with their distinct notes."""
+    """Artifacts grouped by status with their distinct notes."""
     o = base.table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count_if(F.col("o_orderstatus") == "F").alias("f"), F.count("*").alias("n"))
     c = base.table(spark, sf_dir, "customer").join(o, F.col("c_custkey") == F.col("o_custkey"), "left").groupBy("c_nationkey").agg(F.sum("f").alias("f"), F.sum("n").alias("n"))
     c = c.withColumns({"status": F.when(F.col("f") / F.col("n") > 0.34, "ready").otherwise("review"), "note": F.concat(F.lit("share band "), F.floor(F.col("f") / F.col("n") * 20).cast("string")), "item": F.lpad(F.col("c_nationkey").cast("string"), 2, "0")})
@@ -391,7 +394,7 @@ SELECT status, array_to_string(list_sort(list(item)), ',') AS items, array_to_st
 
 
 def headline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row of headline counts and gates."""
+    """One row of headline counts and gates."""
     s = base.state(spark, sf_dir)
     return base.rounded(s.agg(F.count("*").alias("rows"), F.count_distinct("geo1").alias("states"), F.count_distinct("year").alias("years"), F.median("price").alias("median_price"), F.count_if(F.col("imputed_share") <= 0.34).alias("low_imputed"), (F.count_distinct("year") >= 6).alias("enough_years"), F.bool_and(F.col("price") > 0).alias("all_priced")))
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import scalars as S
 from tessera.functions import weighted as W
 from tessera.operators import lookups, moments, panel, rules, scenario, supply
+from tessera.sources import tables
 
 from . import base, panels
 
@@ -49,7 +50,7 @@ def piecewise(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slopes below and above each state's median price, pooled where a side is missing or not positive."""
     rows = supply_panel(spark, sf_dir)
     medians = rows.groupBy("geo1").agg(F.median("price").alias("baseline"))
-    return base.rounded(supply.piecewise_slopes(rows.join(F.broadcast(medians), "geo1"), ["geo1"], "baseline", "population"))
+    return base.rounded(supply.piecewise_slopes(rows.join(medians, "geo1"), ["geo1"], "baseline", "population"))
 
 
 def _side(op: str) -> str:
@@ -97,10 +98,9 @@ EXPOSURE = f"WITH {EXPOSURE_CTE} SELECT geo1, geo2, year, round(exposure, 6) AS
 
 
 def clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Year-demeaned log price on the instrument, errors clustered by state, with strength tiers."""
+    """Year-demeaned log price on the instrument, errors clustered by state, with strength tiers."""
     rows = supply.exposure_design(base.county(spark, sf_dir), shocks(spark, sf_dir)).filter("instrument is not null").withColumn("lp", F.ln("price"))
-    for c in ("lp", "instrument"):
-        rows = rows.withColumn(c, F.col(c) - F.avg(c).over(Window.partitionBy("year")))
+    rows = supply.demeaned(tables.staged(rows.select("geo1", "year", "lp", "instrument")), ["lp", "instrument"], "year")
     out = supply.clustered_slope(rows, "lp", "instrument", "geo1")
     return base.rounded(out.withColumns({"strength": S.first_stage_tier("f"), "use": S.use_tier("f", "n_clusters", "n_clusters")}))
 
@@ -133,9 +133,7 @@ SELECT omitted, round(beta, 6) AS beta, n_obs, n_clusters, round(beta - (SELECT
 
 
 def two_way(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The slope after county and year effects by alternating projections."""
-    from tessera.sources import tables
-
+    """The slope after county and year effects by alternating projections."""
     rows = supply.exposure_design(base.county(spark, sf_dir), shocks(spark, sf_dir)).filter("instrument is not null").withColumn("lp", F.ln("price"))
     out = supply.two_way_demeaned(rows.select("geo1", "geo2", "year", "lp", "instrument"), ["lp", "instrument"], "geo2", "year", save=tables.staged)
     return base.rounded(supply.clustered_slope(out, "d_lp", "d_instrument", "geo1"))
@@ -150,7 +148,7 @@ DEMAND = f"""{base.COUNTY}, dem AS (SELECT *, population AS hours, CAST(n AS DOU
 
 
 def weighted_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weighted least squares of price on the outside option by year, closed form on sums."""
+    """Weighted least squares of price on the outside option by year, closed form on sums."""
     rows = demand_rows(spark, sf_dir)
     return base.rounded(rows.groupBy("year").agg(*moments.weighted_slope("price", "outside", F.col("rw"))))
 
@@ -161,7 +159,7 @@ SELECT year, n, round(slope, 6) AS slope, round(y / w - slope * x / w, 6) AS int
 
 
 def instrumented(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two-stage least squares by imputation threshold; rows are exploded to the thresholds they pass, so all are one scan."""
+    """Two-stage least squares by imputation threshold; rows are exploded to the thresholds they pass, so all are one scan."""
     rows = demand_rows(spark, sf_dir)
     limits = F.array(*[F.lit(x) for x in (0.0, 0.1, 0.25, 0.5, 1.0)])
     rows = rows.withColumn("threshold", F.explode(F.filter(limits, lambda t: F.col("imputed_share") <= t)))
@@ -175,7 +173,7 @@ SELECT threshold, n, round(zp / zz, 4) AS first_stage, round((zp / zz) * (zp / z
 
 
 def demand_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Full two-stage fits of three samples from one moments scan."""
+    """Full two-stage fits of three samples from one moments scan."""
     rows = demand_rows(spark, sf_dir)
     core = F.col("year").between(base.CORE_FIRST, base.CORE_LAST) & (F.col("year") != base.SENSITIVITY)
     modes = F.array_compact(F.array(F.lit("broad"), F.when(core, "core"), F.when(core & (F.col("imputed_share") <= 0.25), "core_low_impute")))
@@ -190,7 +188,7 @@ def held_out(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def switching(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Do-it-yourself share by job group and year, the saturated linear probability model, clipped to [0, 1]."""
+    """Do-it-yourself share by job group and year, the saturated linear probability model, clipped to [0, 1]."""
     m = base.micro(spark, sf_dir)
     out = m.groupBy("age", "channel").agg(F.avg((F.col("flag") == "R").cast("double")).alias("p"), F.count("*").alias("n"))
     return base.rounded(out.withColumn("p", F.least(F.greatest("p", F.lit(0.0)), F.lit(1.0))))
@@ -242,7 +240,7 @@ SELECT geo1, year, alpha, round(price, 4) AS price, 'converged' AS status, round
 
 
 def dual_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prices under entry and cost shifts; medians, share of rows that fall, and the frontier's quantiles."""
+    """Prices under entry and cost shifts; medians, share of rows that fall, and the frontier's quantiles."""
     axes = scenario.grid(spark, kq=(0.0, 0.25, 0.5, 1.0), kc=(0.0, 0.1, 0.25)).withColumn("alpha", F.lit(0.5))
     rows = lookups.with_grid(scenario_inputs(spark, sf_dir), axes)
     rows = rows.withColumn("price", scenario.solved(entry="kq", cost="kc")["price"]).withColumn("frontier", scenario.frontier("market", "unpaid", "supply_elasticity", "kc"))
@@ -268,7 +266,7 @@ SELECT alpha, round(median(c), 4) AS median_constant, round(median(p), 4) AS med
 
 
 def bootstrap(spark: SparkSession, sf_dir: str, draws: int = 40) -> DataFrame:
-    """States drawn with replacement; each draw's fit is a reweighted sum of the states' moments; 10-90 % intervals."""
+    """States drawn with replacement; each draw's fit is a reweighted sum of the states' moments; 10-90 % intervals."""
     rows = demand_rows(spark, sf_dir)
     times = scenario.draw_multiplicities(rows.select("geo1"), "geo1", draws, 42)
     per_state = rows.groupBy("geo1").agg(*[F.sum(e).alias(n) for n, e in (("w", F.col("rw")), ("x", F.col("rw") * F.col("outside")), ("y", F.col("rw") * F.col("price")), ("xx", F.col("rw") * F.col("outside") * F.col("outside")), ("xy", F.col("rw") * F.col("outside") * F.col("price")))])
@@ -285,7 +283,7 @@ SELECT count(*) AS draws, round(avg(CASE WHEN slope > 0 THEN 1.0 ELSE 0.0 END),
 
 
 def sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The decomposition under nine staffing and fringe assumptions, medians of each case."""
+    """The decomposition under nine staffing and fringe assumptions, medians of each case."""
     rows = panels.decomposition(spark, sf_dir).select("price", "wage", "children_per_worker")
     cases = scenario.grid(spark, staffing=(0.8, 1.0, 1.2), fringe=(1.0, 1.2, 1.4))
     rows = lookups.with_grid(rows, cases)

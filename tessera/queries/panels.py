@@ -90,13 +90,14 @@ FROM m GROUP BY geo1, year"""
 def labour_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wages and outside options with their fallback labels."""
     c = base.county(spark, sf_dir).select("geo1", "geo2", "year", "wage", F.lit(None).cast("double").alias("outside"))
-    state = base.county(spark, sf_dir).filter("year <> 1997").groupBy("geo1", "year").agg((F.avg("population") * 2).alias("state_wage"), F.avg("outside").alias("state_outside"))
-    state = state.withColumn("state_outside", F.when((F.col("geo1") + F.col("year")) % 3 != 0, F.col("state_outside"))).filter("geo1 % 6 <> 1")
+    # all rows are read; one year's and some states' values are hidden, so that the ladder has gaps to fill
+    shown = (F.col("year") != 1997) & (F.col("geo1") % 6 != 1)
+    state = base.county(spark, sf_dir).groupBy("geo1", "year").agg((F.avg("population") * 2).alias("state_wage"), F.avg("outside").alias("state_outside"))
+    state = state.withColumns({"state_wage": F.when(shown, F.col("state_wage")), "state_outside": F.when(shown & ((F.col("geo1") + F.col("year")) % 3 != 0), F.col("state_outside"))})
     return base.rounded(panel.labour_panel(c, state))
 
 
-LABOUR = f"""WITH {base.COUNTY}, st AS (SELECT geo1, year, avg(population) * 2 AS state_wage, CASE WHEN (geo1 + year) % 3 <> 0 THEN avg(outside) END AS state_outside FROM county
-  WHERE year <> 1997 AND geo1 % 6 <> 1 GROUP BY geo1, year),
+LABOUR = f"""WITH {base.COUNTY}, st AS (SELECT geo1, year, CASE WHEN year <> 1997 AND geo1 % 6 <> 1 THEN avg(population) * 2 END AS state_wage, CASE WHEN year <> 1997 AND geo1 % 6 <> 1 AND (geo1 + year) % 3 <> 0 THEN avg(outside) END AS state_outside FROM county GROUP BY geo1, year),
 r AS (SELECT year, median(state_outside / state_wage) AS m FROM st WHERE state_wage > 0 AND state_outside > 0 GROUP BY year),
 a AS (SELECT median(state_outside / state_wage) AS m FROM st WHERE state_wage > 0 AND state_outside > 0),
 y AS (SELECT DISTINCT year FROM county),

@@ -71,7 +71,7 @@ def series_rows(df: DataFrame, payload: str) -> DataFrame:
 
 def upserted(old: DataFrame, new: DataFrame, key: str = "year") -> DataFrame:
     """Rows of the new batch replace all old rows of its years."""
-    return old.join(F.broadcast(new.select(key).distinct()), key, "left_anti").unionByName(new, allowMissingColumns=True)
+    return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
 def write_years(df: DataFrame, path: str, key: str = "year") -> None:

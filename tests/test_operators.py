@@ -145,3 +145,22 @@ def test_records_and_split(spark):
     assert sorted((r.id, r.column_slug, r.value_numeric) for r in long.collect()) == [(1, "a", None), (1, "b_b", 12.0), (2, "b_b", None), (2, "c", 7.0)]
     s = spark.createDataFrame([(10.0, 4.0, None, None), (10.0, 9.0, 9.0, None), (10.0, None, None, 0.3)], "t double, a double, b double, s double")
     assert [tuple(r.x) for r in s.select(eav.split_support("t", "a", "b", "s").alias("x")).collect()] == [(4.0, 6.0, "inferred_complement"), (9.0, 9.0, "inconsistent"), (3.0, 7.0, "proxy_share")]
+
+
+def test_bootstrap_rejects_draws_by_reason(spark):
+    """A draw with a wrong sign on either side is counted and not solved; the others give each row's interval."""
+    from tessera.operators import scenario, simulation
+    from tessera.sources import tables
+
+    fits = spark.createDataFrame([(0, 0.5, 1.0, None), (1, 0.5, 2.0, None), (2, None, 1.0, "demand_fit"), (3, 0.5, -1.0, "supply_fit")], "draw int, demand_elasticity double, supply_elasticity double, reason string")
+    rows = spark.createDataFrame([(1, 10.0, 4.0, 4.0), (2, 20.0, 4.0, 0.0)], "id int, base_price double, market double, unpaid double")
+    draws, record = simulation.bootstrap_prices(rows, fits, scenario.grid(spark, alpha=(1.0,)), tables.staged)
+    got = {r.id: r for r in simulation.intervals(draws, ["id"], 0.0, 1.0).collect()}
+    assert got[2].price_lower == got[2].price_upper == pytest.approx(20.0) and got[1].n_draws == 2
+    assert got[1].price_upper == pytest.approx(10 * 2 ** (1 / 1.5)) and got[1].price_lower == pytest.approx(10 * 2 ** (1 / 2.5))
+    (r,) = simulation.bootstrap_record(record).collect()
+    assert (r.requested, r.accepted, r.rejected_demand_fit, r.rejected_supply_fit, r.rejected_solver, r.passed) == (4, 2, 1, 1, 0, False)
+    # no root within 128 times the price: the whole draw goes
+    steep = spark.createDataFrame([(0, 0.001, 0.001, None), (1, 0.5, 1.0, None)], fits.schema)
+    draws, record = simulation.bootstrap_prices(rows, steep, scenario.grid(spark, alpha=(1.0,)), tables.staged)
+    assert {r.draw for r in draws.collect()} == {1} and {r.reason for r in record.collect()} == {None, "solver"}
