@@ -120,6 +120,38 @@ def two_stage_fits(rows: DataFrame, by: list[tuple[str, str]]) -> DataFrame:
 HELD_OUT = "groups long, rmse double, r2 double, elasticity_min double, elasticity_max double"
 
 
+def price_surface(df: DataFrame, target: str, features: list[str], weight: Column, year: str) -> DataFrame:
+    """M3: the complete rows with ``predicted`` and ``held_out``: weighted least squares without the last year, which is held out.
+
+    With a single year all rows are both. The fit is one row of moments, so the data are read once for it and once to predict.
+    """
+    rows = df.filter(" and ".join(f"{c} is not null" for c in (target, *features)))
+    ends = rows.agg(F.min(year).alias("_first"), F.max(year).alias("_last"))
+    rows = rows.crossJoin(F.broadcast(ends))
+    one = F.col("_first") == F.col("_last")
+    rows = rows.withColumns({"held_out": F.col(year) == F.col("_last"), "trained_on": one | (F.col(year) < F.col("_last"))}).drop("_first", "_last")
+    k = len(features)
+
+    def solve(frames):
+        for frame in frames:
+            yield pd.DataFrame({"_b": [fitted(square(m), list(range(k + 1)), k + 1).tolist() for m in frame["m"] if m[0] is not None]})
+
+    fit = moment_rows(rows.filter("trained_on"), [*features, target], weight, []).select("m").mapInPandas(solve, "_b array<double>")
+    predicted = sum((F.get("_b", F.lit(i + 1)) * F.col(c) for i, c in enumerate(features)), F.get("_b", F.lit(0)))
+    return rows.crossJoin(F.broadcast(fit)).withColumn("predicted", predicted)
+
+
+def surface_quality(df: DataFrame, target: str) -> DataFrame:
+    """M2, M3: one row: rows, root mean squared error and R2 of the rows trained on and of those held out."""
+    out = [F.count("*").alias("n_obs")]
+    for name, side in (("train", "trained_on"), ("test", "held_out")):
+        y = F.when(F.col(side), F.col(target))
+        error = F.when(F.col(side), (F.col(target) - F.col("predicted")) * (F.col(target) - F.col("predicted")))
+        total = F.var_pop(y) * F.count(y)
+        out += [F.sqrt(F.avg(error)).alias(f"rmse_{name}"), F.when(total == 0, 1.0).otherwise(1 - F.sum(error) / total).alias(f"r2_{name}")]
+    return df.agg(*out)
+
+
 def leave_one_out(folds: DataFrame) -> DataFrame:
     """M9: held-out errors from per-fold moments (fold, m, n): train = all - fold, so there is one scan and no refit.
 

@@ -73,10 +73,11 @@ def exposure_design(county: DataFrame, shocks: DataFrame) -> DataFrame:
     return joined.withColumn("instrument", F.col("exposure") * F.col("shock"))
 
 
-def demeaned(df: DataFrame, columns: list[str], key: str) -> DataFrame:
+def demeaned(df: DataFrame, columns: list[str], key: str | list[str]) -> DataFrame:
     """Columns less their group's mean. Means are aggregated first, so a group of many rows is no one task's work; ``df`` is read twice."""
-    means = df.groupBy(key).agg(*[F.avg(c).alias(f"_m_{c}") for c in columns])
-    return df.join(means, key).withColumns({c: F.col(c) - F.col(f"_m_{c}") for c in columns}).drop(*[f"_m_{c}" for c in columns])
+    keys = [key] if isinstance(key, str) else key
+    means = df.groupBy(*keys).agg(*[F.avg(c).alias(f"_m_{c}") for c in columns])
+    return df.join(means, keys).withColumns({c: F.col(c) - F.col(f"_m_{c}") for c in columns}).drop(*[f"_m_{c}" for c in columns])
 
 
 def two_way_demeaned(df: DataFrame, columns: list[str], a: str, b: str, most: int = 50, tolerance: float = 1e-10, save=None) -> DataFrame:

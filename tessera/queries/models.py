@@ -139,6 +139,48 @@ def two_way(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.rounded(supply.clustered_slope(out, "d_lp", "d_instrument", "geo1"))
 
 
+def _specified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = supply.exposure_design(base.county(spark, sf_dir), shocks(spark, sf_dir)).filter("instrument is not null").withColumn("lp", F.ln("price"))
+    core = F.col("year").between(base.CORE_FIRST, base.CORE_LAST) & (F.col("year") != base.SENSITIVITY)
+    specs = F.array_compact(F.array(F.lit("all_years"), F.when(core, "core_years"), F.when(F.col("imputed_share") <= 0.25, "low_imputed")))
+    rows = tables.staged(rows.withColumn("spec", F.explode(specs)).select("spec", "geo1", "year", "lp", "instrument"))
+    out = supply.clustered_slope(supply.demeaned(rows, ["lp", "instrument"], ["spec", "year"]), "lp", "instrument", "geo1", ["spec"])
+    return out.withColumns({"strength": S.first_stage_tier("f"), "use": S.use_tier("f", "n_clusters", "n_clusters")})
+
+
+def iv_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The clustered fit of each specification, its strength and what it may be used for."""
+    return base.rounded(_specified(spark, sf_dir))
+
+
+_TIERS = """CASE WHEN (beta / se) ** 2 >= 10 THEN 'strong' WHEN (beta / se) ** 2 >= 5 THEN 'moderate' ELSE 'weak' END AS strength,
+  CASE WHEN (beta / se) ** 2 >= 10 AND n_clusters >= 5 AND n_clusters >= 30 THEN 'headline' WHEN (beta / se) ** 2 >= 5 AND n_clusters >= 3 THEN 'supporting' ELSE 'diagnostic' END AS use"""
+_SPECS = f"""{EXPOSURE_CTE}, src AS (SELECT spec, geo1, year, ln(price) AS lp, instrument FROM (SELECT *, unnest(list_filter(['all_years', CASE WHEN year BETWEEN {base.CORE_FIRST} AND {base.CORE_LAST} AND year <> {base.SENSITIVITY} THEN 'core_years' END, CASE WHEN imputed_share <= 0.25 THEN 'low_imputed' END], lambda x: x IS NOT NULL)) AS spec FROM ex WHERE instrument IS NOT NULL)), {_clustered_sql("spec")}"""
+IV_RESULTS = f"""WITH {_SPECS} SELECT spec, round(beta, 6) AS beta, round(se, 6) AS se, round(beta / se, 6) AS t, round((beta / se) * (beta / se), 6) AS f, round(1 - (syy - 2 * beta * sxy + beta * beta * sxx) / syy, 6) AS within_r2, n_obs, n_clusters, {_TIERS} FROM e"""
+
+
+def iv_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Specifications by use, with the strongest first-stage F of each."""
+    return base.rounded(_specified(spark, sf_dir).groupBy("use").agg(F.count("*").alias("n_specs"), F.max("f").alias("best_f"), F.max("n_clusters").alias("most_clusters")))
+
+
+IV_SUMMARY = f"""WITH {_SPECS}, r AS (SELECT (beta / se) * (beta / se) AS f, n_clusters, {_TIERS} FROM e) SELECT use, count(*) AS n_specs, round(max(f), 6) AS best_f, max(n_clusters) AS most_clusters FROM r GROUP BY use"""
+
+
+def surface(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M2, M3: the price surface on wage and outside option, the last year held out: errors on both sides."""
+    rows = base.county(spark, sf_dir).select("geo2", "year", "price", "wage", "outside", "population")
+    return base.rounded(moments.surface_quality(moments.price_surface(rows, "price", ["wage", "outside"], F.col("population"), "year"), "price"), 3)
+
+
+SURFACE = f"""WITH {base.COUNTY}, d AS (SELECT year, price AS y, wage AS a, outside AS b, population AS w, year = max(year) OVER () AS h FROM county WHERE wage IS NOT NULL AND outside IS NOT NULL AND price IS NOT NULL),
+s AS (SELECT sum(w) AS w, sum(w * a) / sum(w) AS ma, sum(w * b) / sum(w) AS mb, sum(w * y) / sum(w) AS my FROM d WHERE NOT h),
+c AS (SELECT any_value(ma) AS ma, any_value(mb) AS mb, any_value(my) AS my, sum(d.w * (a - ma) * (a - ma)) AS aa, sum(d.w * (a - ma) * (b - mb)) AS ab, sum(d.w * (b - mb) * (b - mb)) AS bb, sum(d.w * (a - ma) * (y - my)) AS ay, sum(d.w * (b - mb) * (y - my)) AS by_ FROM d, s WHERE NOT h),
+k AS (SELECT *, (bb * ay - ab * by_) / (aa * bb - ab * ab) AS b1, (aa * by_ - ab * ay) / (aa * bb - ab * ab) AS b2 FROM c), p AS (SELECT h, y, my + b1 * (a - ma) + b2 * (b - mb) AS p FROM d, k)
+SELECT count(*) AS n_obs, round(sqrt(avg((y - p) ** 2) FILTER (NOT h)), 3) AS rmse_train, round(1 - sum((y - p) ** 2) FILTER (NOT h) / (var_pop(y) FILTER (NOT h) * count(*) FILTER (NOT h)), 3) AS r2_train,
+  round(sqrt(avg((y - p) ** 2) FILTER (h)), 3) AS rmse_test, round(1 - sum((y - p) ** 2) FILTER (h) / (var_pop(y) FILTER (h) * count(*) FILTER (h)), 3) AS r2_test FROM p"""
+
+
 def demand_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = base.county(spark, sf_dir).withColumns({"hours": F.col("population"), "control": F.col("n").cast("double")})
     return moments.complete(rows, ["outside", "price", "hours"], "price").withColumn("rw", moments.regression_weight("population"))
@@ -297,6 +339,7 @@ r AS (SELECT s, f, price, wage * 400 * f * s / children_per_worker AS raw FROM d
 SELECT s AS staffing, f AS fringe, round(median(CASE WHEN raw IS NOT NULL THEN greatest(least(price, raw), 0) END), 4) AS median_direct, round(avg(CAST(raw > price AS DOUBLE)), 4) AS clip_share FROM r GROUP BY ALL"""
 
 REGISTERED = {
+    "iv_results": (iv_results, IV_RESULTS), "iv_summary": (iv_summary, IV_SUMMARY), "price_surface": (surface, SURFACE),
     "supply_slopes": (slopes, SLOPES), "supply_elasticity": (elasticity, ELASTICITY), "piecewise_supply": (piecewise, PIECEWISE), "rule_shocks": (rule_shocks, RULE_SHOCKS),
     "exposure_design": (exposure, EXPOSURE), "clustered_iv": (clustered, CLUSTERED), "leave_one_state_out_iv": (left_out, LEFT_OUT), "two_way_fixed_effects": (two_way, None),
     "weighted_fit": (weighted_fit, WEIGHTED_FIT), "threshold_sweep_iv": (instrumented, INSTRUMENTED), "demand_profiles": (demand_profiles, None), "held_out_demand": (held_out, None),

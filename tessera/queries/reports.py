@@ -180,7 +180,7 @@ SELECT p_type, array_to_string(list_filter({_WANT}, lambda x: list_contains(own,
 
 
 def parse_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw rows of each source and language of the web documents' orders of magnitude: events by kind, parsed where the value is a number of one or more."""
+    """Events by kind as files: raw rows, rows whose value counts as parsed (one or more), and a status."""
     events = base.table(spark, sf_dir, "events")
     return reporting.parse_inventory(events, ["event_type"], F.col("value") >= 1)
 
@@ -282,6 +282,10 @@ def methods_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.crossJoin(F.broadcast(s))
 
 
+METHODS = f"""WITH {base.STATE}, a AS (SELECT * FROM (VALUES ('demand_elasticity', 0.4), ('headline_alpha', 0.5), ('large_gap', 0.5), ('core_first', {base.CORE_FIRST}), ('core_last', {base.CORE_LAST})) t(name, value))
+SELECT name, value::DOUBLE AS value, (SELECT count(*) FROM state) AS rows, (SELECT count(*) FROM state WHERE price > 0) AS priced FROM a"""
+
+
 def validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Survey spending by market segment beside the panel's own prices by year, and their ratio."""
     m = base.micro(spark, sf_dir)
@@ -330,6 +334,6 @@ REGISTERED = {
     "fallback_summary": (fallback_summary, FALLBACK), "channel_table": (channel_table, CHANNEL_TABLE), "policy_quantities": (policy_quantities, POLICY_QUANTITIES), "publication_channels": (publication_channels, PUBLICATION_CHANNELS),
     "publication_fallbacks": (publication_fallbacks, PUBLICATION_FALLBACKS), "support_quality": (support_quality, QUALITY), "issue_breakdown": (issue_breakdown, ISSUES), "sheet_targets": (sheet_targets, SHEET_TARGETS),
     "parse_inventory": (parse_inventory, PARSE), "demographics": (demographics, DEMOGRAPHICS), "birth_counts": (birth_counts, BIRTHS), "rule_rows": (rule_rows, RULE_ROWS), "wide_rules": (wide_rules, WIDE_RULES),
-    "places_and_years": (places_and_years, PLACES), "feature_audit": (feature_audit, AUDIT), "proxy_gap_rows": (proxy_gap_rows, PROXY_GAPS), "validation": (validation, VALIDATION),
+    "places_and_years": (places_and_years, PLACES), "feature_audit": (feature_audit, AUDIT), "proxy_gap_rows": (proxy_gap_rows, PROXY_GAPS), "validation": (validation, VALIDATION), "methods_record": (methods_record, METHODS),
     "instrument_audit": (instrument_audit, INSTRUMENTS), "labour_sweep": (labour_sweep, SWEEP),
 }
