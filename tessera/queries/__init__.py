@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chains, models, panels, reports, simulations, sources_q
+from . import chains, models, overlays, panels, reports, simulations, sources_q
 
-_MODULES = (panels, sources_q, models, chains, simulations, reports)
+_MODULES = (panels, sources_q, models, chains, simulations, reports, overlays)
 
 
 def flagship(spark, sf_dir):
