@@ -113,7 +113,7 @@ def diagnostics(rows: DataFrame, geo: str, year: str) -> DataFrame:
     at = F.col("status").isin("root_at_low", "root_at_high")
     return rows.agg(
         F.count("*").alias("scenario_rows"), F.count_distinct(geo).alias("scenario_places"), F.min(year).alias("first_year"), F.max(year).alias("last_year"),
-        F.count_if(width == 0).alias("zero_width"), F.count_if(F.coalesce("unpaid", F.lit(0.0)) == 0).alias("zero_unpaid"),
+        F.count_if(width < 1e-6).alias("zero_width"), F.count_if(F.coalesce("unpaid", F.lit(0.0)) == 0).alias("zero_unpaid"),
         *[F.percentile(width, q).alias(f"width_p{int(q * 100)}") for q in (0.1, 0.5, 0.9)],
         F.count_if((F.col("status") != "converged") & ~at).alias("not_converged"), F.count_if(at).alias("at_boundary"), F.max("widenings").alias("most_widenings"),
         F.median("base_price").alias("median_base"), F.median(F.when(F.col("alpha") == 0.5, F.col("price"))).alias("median_half"),

@@ -132,7 +132,7 @@ def diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 DIAGNOSTICS = f"""WITH {FITS}, i AS (SELECT geo1, year, alpha, quantile_cont(dp, 0.9) - quantile_cont(dp, 0.1) AS w FROM bp GROUP BY ALL),
 r AS (SELECT sa.*, w, p0 * (1 + sa.alpha * u / q) ** (1 / (ed + es)) AS p FROM sa LEFT JOIN i ON i.geo1 = sa.geo1 AND i.year = sa.year AND i.alpha = sa.alpha)
-SELECT count(*) AS scenario_rows, count(DISTINCT geo1) AS scenario_places, min(year) AS first_year, max(year) AS last_year, count(*) FILTER (w = 0) AS zero_width, count(*) FILTER (u = 0) AS zero_unpaid, round(quantile_cont(w, 0.1), 3) AS width_p10, round(quantile_cont(w, 0.5), 3) AS width_p50, round(quantile_cont(w, 0.9), 3) AS width_p90,
+SELECT count(*) AS scenario_rows, count(DISTINCT geo1) AS scenario_places, min(year) AS first_year, max(year) AS last_year, count(*) FILTER (w < 1e-6) AS zero_width, count(*) FILTER (u = 0) AS zero_unpaid, round(quantile_cont(w, 0.1), 3) AS width_p10, round(quantile_cont(w, 0.5), 3) AS width_p50, round(quantile_cont(w, 0.9), 3) AS width_p90,
   count(*) FILTER (p > 128 * p0) AS not_converged, 0::BIGINT AS at_boundary, round(median(p0), 3) AS median_base, round(median(p) FILTER (alpha = 0.5), 3) AS median_half FROM r"""
 
 REGISTERED = {
