@@ -6,8 +6,8 @@ its host's paths that it has. A container's score is the text of its blocks
 without links, halved with each container in between; article and main elements
 and telling class names weigh more. Numbers in class names are generalised, so
 that ``post-17`` and ``post-18`` are one path. The ``PATHS_PER_HOST`` paths with
-most votes travel with a host; a page that has none of them joins its own paths
-with the votes of all.
+most votes travel with a host; pages that have none of them are found in a pass of
+their own and join their paths with the votes of all. No page is written on the way.
 
 Menus, page headers, footers, sidebars, notices, adverts, forms, scripts, styles
 and reader comments are dropped wherever they stand, by element, role, or a class
@@ -301,6 +301,14 @@ def host_paths(votes: DataFrame, n: int = PATHS_PER_HOST) -> DataFrame:
     return top.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("n", "path"))).alias("all")).select("host", F.transform("all", lambda x: x["path"]).alias("paths"))
 
 
+def _without_path(frames):
+    """Pages (_row, html, paths) that hold text, but under none of their host's paths."""
+    for frame in frames:
+        known = [list(p) if p is not None else [] for p in frame["paths"]]
+        lost = [Page(source).text(p, otherwise_best=False) is None for source, p in zip(frame["html"], known, strict=True)]
+        yield frame[["_row"]][lost]
+
+
 def _best_paths(pages: DataFrame, votes: DataFrame) -> DataFrame:
     """(_row, path): of all paths that a page (_row, host, html) has, the one with most votes of its host."""
 
@@ -325,24 +333,21 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", out: str = "
     rows = common.with_row_id(pages.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()], _host(url).alias("host"), F.col(f"`{html}`").alias("html")))
     kinds = ", ".join(f"{n} {rows.schema[n].dataType.simpleString()}" for n in names.values())
 
-    def cut(column: str, otherwise_best: bool):
-        def run(frames):
-            for frame in frames:
-                known = [list(p) if p is not None else [] for p in frame[column]]
-                text = [Page(source).text(p, otherwise_best) for source, p in zip(frame["html"], known, strict=True)]
-                yield frame[[*names.values(), "_row"]].assign(_text=text)
-
-        return run
+    def cut(frames):
+        for frame in frames:
+            known = [[*(p if p is not None else []), *([] if one is None else [int(one)])] for p, one in zip(frame["paths"], frame["path"], strict=True)]
+            text = [Page(source).text(p) for source, p in zip(frame["html"], known, strict=True)]
+            yield frame[list(names.values())].assign(_text=text)
 
     joined = rows.join(F.broadcast(paths) if few else paths, "host", "left")
-    first = common.staged(joined.mapInPandas(cut("paths", False), f"{kinds}, _row long, _text string"))
-    other = first.filter("_text is null").select("_row")
-    done = first.filter("_text is not null")
-    if not other.isEmpty():
-        left = common.staged(rows.join(other, "_row", "left_semi"))
-        best = _best_paths(left.select("_row", "host", "html"), votes)
-        left = left.join(best.select("_row", F.array("path").alias("paths")), "_row", "left")
-        done = done.unionByName(left.mapInPandas(cut("paths", True), f"{kinds}, _row long, _text string"))
+    other = common.staged(joined.select("_row", "html", "paths").mapInPandas(_without_path, "_row long"))
+    if other.isEmpty():
+        joined = joined.withColumn("path", F.lit(None).cast("string"))
+    else:
+        best = common.staged(_best_paths(rows.join(other, "_row", "left_semi").select("_row", "host", "html"), votes))
+        # as text, for pandas would make numbers with nulls inexact
+        joined = joined.join(best.withColumn("path", F.col("path").cast("string")), "_row", "left")
+    done = joined.select(*names.values(), "html", "paths", "path").mapInPandas(cut, f"{kinds}, _text string")
     return done.select(*[F.col(n).alias(c) for c, n in names.items()], F.col("_text").alias(out))
 
 
