@@ -90,18 +90,26 @@ def two_stage(m, n: int) -> dict[str, float | int | bool | None]:
     penalty[0, 0] = 0
     system, right = t.T @ a @ t + penalty, t.T @ a[:, y]
     b2 = np.linalg.solve(system, right) if np.linalg.matrix_rank(system) == len(system) else np.linalg.pinv(system) @ right
-    ols = fitted(a, [0, p, *controls], y)
+    reduced = [0, p, *controls]
+    ols = fitted(a, reduced, y)
     elasticity = float(b2[1] * a[0, p] / a[0, y]) if a[0, y] else None
     f = float(b1[1] / error) ** 2 if error > 0 else 0.0
+    # the second stage's errors come from residuals at the actual price
+    price_error = np.sqrt(max(sse(a, reduced, y, b2) / max(n - t.shape[1], 1), 0) * np.linalg.pinv(t.T @ a @ t)[1, 1])
     return {
-        "n_obs": int(n), "first_stage_f": f, "first_stage_r2": r2(a, p, e1), "first_stage_partial_r2": 1 - e1 / e0 if e0 > 0 else 0.0,
-        "price_coefficient": float(b2[1]), "ols_price_coefficient": float(ols[1]), "elasticity_at_mean": elasticity,
+        "n_obs": int(n), "first_stage_coefficient": float(b1[1]), "first_stage_se": float(error), "first_stage_f": f, "first_stage_r2": r2(a, p, e1), "first_stage_partial_r2": 1 - e1 / e0 if e0 > 0 else 0.0,
+        "price_coefficient": float(b2[1]), "price_se": float(price_error), "reduced_form_price_coefficient": float(ols[1]), "reduced_form_r2": r2(a, y, sse(a, reduced, y, ols)),
+        "elasticity_at_mean": elasticity, "avg_fitted": float(a[0] @ t @ b2 / a[0, 0]),
         "admissible": bool(b2[1] <= 0 and elasticity is not None and elasticity <= 0), "sign_consistent": bool(ols[1] <= 0),
         "_b1": b1, "_b2": b2, "_t": t,
     }
 
 
-FIT = "n_obs long, first_stage_f double, first_stage_r2 double, first_stage_partial_r2 double, price_coefficient double, ols_price_coefficient double, elasticity_at_mean double, admissible boolean, sign_consistent boolean"
+FIT = ", ".join(
+    ["n_obs long"]
+    + [f"{c} double" for c in "first_stage_coefficient first_stage_se first_stage_f first_stage_r2 first_stage_partial_r2 price_coefficient price_se reduced_form_price_coefficient reduced_form_r2 elasticity_at_mean avg_fitted".split()]
+    + ["admissible boolean", "sign_consistent boolean"]
+)
 
 
 def two_stage_fits(rows: DataFrame, by: list[tuple[str, str]]) -> DataFrame:
@@ -117,9 +125,6 @@ def two_stage_fits(rows: DataFrame, by: list[tuple[str, str]]) -> DataFrame:
     return rows.mapInPandas(fit, ", ".join([f"{b} {t}" for b, t in by] + [FIT]))
 
 
-HELD_OUT = "groups long, rmse double, r2 double, elasticity_min double, elasticity_max double"
-
-
 def price_surface(df: DataFrame, target: str, features: list[str], weight: Column, year: str) -> DataFrame:
     """M3: the complete rows with ``predicted`` and ``held_out``: weighted least squares without the last year, which is held out.
 
@@ -152,41 +157,69 @@ def surface_quality(df: DataFrame, target: str) -> DataFrame:
     return df.agg(*out)
 
 
-def leave_one_out(folds: DataFrame) -> DataFrame:
-    """M9: held-out errors from per-fold moments (fold, m, n): train = all - fold, so there is one scan and no refit.
+FOLD = "error double, total double, sum double, squares double, elasticity double, used boolean"
+
+
+def leave_one_out(folds: DataFrame, by: list[tuple[str, str]], fold: str) -> DataFrame:
+    """M9: per group of folds ``by`` (sample, kind of fold ...): held-out errors of two-stage fits, each without one fold.
 
-    The table has a row for each fold (states or years); it is combined in one task.
+    ``folds`` (staged) has the moments of each fold: a training set's are all folds' less
+    its own, and an error is bilinear in the moments, so the data are scanned once for
+    all folds of all kinds. Each fold is a row that is solved by itself; what is pooled
+    are five sums. Folds whose training set is too small count as groups only; with
+    fewer than ``LEAST_FOLDS`` groups there is no result.
     """
+    names = [b for b, _ in by]
+    each = folds.select(*names, "n", F.posexplode("m").alias("_at", "_v"))
+    whole = each.groupBy(*names, "_at").agg(F.sum("_v").alias("_v"), F.sum("n").alias("_all")).groupBy(*names).agg(F.array_sort(F.collect_list(F.struct("_at", "_v"))).alias("_m"), F.max("_all").alias("_all"))
+    rows = folds.join(whole.select(*names, F.transform("_m", lambda x: x["_v"]).alias("_whole"), "_all"), names)
+
+    def one(m, n, whole, total) -> tuple:
+        own, n = np.asarray(m, float), int(total) - int(n)
+        if n < LEAST_TRAIN:
+            return (None, None, None, None, None, False)
+        fit, a = two_stage(np.asarray(whole, float) - own, n), square(own)
+        b = fit["_t"] @ fit["_b2"]  # predictions as a map of (1, z, p, y, controls)
+        e = np.zeros(len(a))
+        e[3] = 1
+        elasticity = float(fit["_b2"][1] * a[0, 2] / a[0, 3]) if a[0, 3] else None
+        return (float((e - b) @ a @ (e - b)), a[0, 0], a[0, 3], a[3, 3], elasticity, True)
 
-    def combine(frame: pd.DataFrame) -> pd.DataFrame:
-        parts = [(np.asarray(m, float), int(n)) for m, n in zip(frame["m"], frame["n"])]
-        whole, total = sum(m for m, _ in parts), sum(n for _, n in parts)
-        groups = len(parts)
-        if groups < LEAST_FOLDS:
-            return pd.DataFrame([(groups, None, None, None, None)], columns=["groups", "rmse", "r2", "elasticity_min", "elasticity_max"])
-        error, used, elasticities = 0.0, np.zeros_like(whole), []
-        for m, n in parts:
-            if total - n < LEAST_TRAIN:
-                continue
-            fit, a = two_stage(whole - m, total - n), square(m)
-            b = fit["_t"] @ fit["_b2"]  # predictions as a map of (1, z, p, y, controls)
-            e = np.zeros(len(a))
-            e[3] = 1
-            error += float((e - b) @ a @ (e - b))
-            used = used + m
-            if a[0, 3]:
-                elasticities.append(float(fit["_b2"][1] * a[0, 2] / a[0, 3]))
-        if not used.any():
-            return pd.DataFrame([(groups, None, None, None, None)], columns=["groups", "rmse", "r2", "elasticity_min", "elasticity_max"])
-        a = square(used)
-        return pd.DataFrame([(groups, np.sqrt(error / a[0, 0]), r2(a, 3, error), min(elasticities, default=None), max(elasticities, default=None))], columns=["groups", "rmse", "r2", "elasticity_min", "elasticity_max"])
-
-    return folds.groupBy().applyInPandas(combine, HELD_OUT)
-
-
-def passes_headline(n="n_obs", groups="n_groups", years="n_years", f="first_stage_f") -> Column:
-    """The gates of a headline fit."""
-    return (F.col(n) >= 100) & (F.col(groups) >= 15) & (F.col(years) >= 6) & (F.col(f) >= 10) & F.col("admissible")
+    def solve(frames):
+        for frame in frames:
+            out = [one(*r) for r in zip(frame["m"], frame["n"], frame["_whole"], frame["_all"], strict=True)]
+            solved = pd.DataFrame(out, columns=[x.split(" ")[0] for x in FOLD.split(", ")])
+            yield pd.concat([frame[names].reset_index(drop=True), solved], axis=1)
+
+    held = rows.select(*names, "m", "n", "_whole", "_all").mapInPandas(solve, ", ".join([f"{b} {t}" for b, t in by] + [FOLD]))
+    spread = F.sum("squares") - F.sum("sum") * F.sum("sum") / F.sum("total")
+    enough = F.count("*") >= LEAST_FOLDS
+    return held.groupBy(*names).agg(
+        F.count("*").alias("groups"), F.when(enough, F.sqrt(F.sum("error") / F.sum("total"))).alias("rmse"), F.when(enough & (spread > 0), 1 - F.sum("error") / spread).alias("r2"),
+        F.when(enough, F.min("elasticity")).alias("elasticity_min"), F.when(enough, F.max("elasticity")).alias("elasticity_max"),
+    )
+
+
+#: The least rows, states, years and first-stage F of a headline fit.
+HEADLINE = {"n_obs": 100, "n_groups": 15, "n_years": 6, "first_stage_f": 10.0}
+
+
+def passes_headline(gates: dict[str, float] = HEADLINE) -> Column:
+    """The gates of a headline fit: support, first stage, and both signs."""
+    out = F.col("admissible") & F.col("sign_consistent")
+    for c, least in gates.items():
+        out = out & (F.col(c) >= least)
+    return F.coalesce(out, F.lit(False))
+
+
+def with_headline(fits: DataFrame, mode: str, order: list[str]) -> DataFrame:
+    """``headline_eligible``, ``headline_rank`` (place in ``order``) and which fit is ``selected``: the first in order that passes; a reason."""
+    rank = F.array_position(F.array(*map(F.lit, order)), F.col(mode))
+    rows = fits.withColumns({"headline_eligible": passes_headline() & (rank > 0), "headline_rank": F.when(rank > 0, rank).otherwise(len(order) + 1).cast("int")})
+    best = rows.filter("headline_eligible").agg(F.min("headline_rank").alias("_best"))
+    rows = rows.crossJoin(F.broadcast(best)).withColumn("selected", F.coalesce(F.col("headline_eligible") & (F.col("headline_rank") == F.col("_best")), F.lit(False)))
+    reason = F.when(F.col("selected"), "first_to_pass").when(F.col("headline_eligible"), "an_earlier_sample_passes").when(rank == 0, "not_a_headline_sample").otherwise("below_the_gates")
+    return rows.withColumn("reason", reason).drop("_best")
 
 
 def weighted_slope(y: str, x: str, w: Column) -> list[Column]:

@@ -80,26 +80,6 @@ def demeaned(df: DataFrame, columns: list[str], key: str | list[str]) -> DataFra
     return df.join(means, keys).withColumns({c: F.col(c) - F.col(f"_m_{c}") for c in columns}).drop(*[f"_m_{c}" for c in columns])
 
 
-def two_way_demeaned(df: DataFrame, columns: list[str], a: str, b: str, most: int = 50, tolerance: float = 1e-10, save=None) -> DataFrame:
-    """Alternating projections on two groupings, from the grand mean, until nothing moves.
-
-    ``a`` has many small groups (a window), ``b`` may have few and great ones (means first).
-    ``save`` (a function that writes and rereads, or checkpoint) cuts the lineage every round.
-    """
-    save = save or (lambda x: x.checkpoint())
-    means = df.agg(*[F.avg(c).alias(f"_g_{c}") for c in columns])
-    rows = df.crossJoin(F.broadcast(means)).withColumns({f"d_{c}": F.col(c) - F.col(f"_g_{c}") for c in columns}).drop(*[f"_g_{c}" for c in columns])
-    for _ in range(most):
-        rows = rows.withColumns({f"_b_{c}": F.col(f"d_{c}") for c in columns})
-        rows = save(rows.withColumns({f"d_{c}": F.col(f"d_{c}") - F.avg(f"d_{c}").over(Window.partitionBy(a)) for c in columns}))
-        rows = save(demeaned(rows, [f"d_{c}" for c in columns], b))
-        moved = rows.agg(*[F.max(F.abs(F.col(f"d_{c}") - F.col(f"_b_{c}"))).alias(c) for c in columns]).first()
-        rows = rows.drop(*[f"_b_{c}" for c in columns])
-        if all(x is None or x < tolerance for x in moved):
-            break
-    return rows
-
-
 def clustered_slope(df: DataFrame, y: str, x: str, cluster: str, by: list[str] | None = None) -> DataFrame:
     """Slope without intercept, cluster-robust error, t, F, within R2, from per-cluster sums in one scan."""
     by = by or []
@@ -117,7 +97,7 @@ def clustered_from_sums(sums: DataFrame, by: list[str]) -> DataFrame:
     fits = (F.col("n_obs") >= 3) & (F.col("sxx") > 0)
     out = total.withColumn("beta", F.when(fits, F.col("sxy") / F.col("sxx")))
     beta = F.col("beta")
-    out = out.withColumn("se", F.sqrt(F.greatest(F.col("a") - 2 * beta * F.col("b") + beta * beta * F.col("c"), F.lit(0.0))) / F.col("sxx"))
+    out = out.withColumn("se", F.sqrt(F.greatest(F.col("a") - 2 * beta * F.col("b") + beta * beta * F.col("c"), F.lit(0.0))) / F.nullif("sxx", F.lit(0.0)))
     out = out.withColumn("t", F.when(F.col("se") > 0, beta / F.col("se")))
     sse = F.col("syy") - 2 * beta * F.col("sxy") + beta * beta * F.col("sxx")
     return out.select(*by, "beta", "se", "t", (F.col("t") * F.col("t")).alias("f"), F.when(F.col("syy") > 0, 1 - sse / F.col("syy")).alias("within_r2"), "n_obs", "n_clusters")

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import scalars as S
-from tessera.functions import weighted as W
 from tessera.operators import lookups, moments, panel, rules, scenario, supply
 from tessera.sources import tables
 
@@ -132,13 +131,6 @@ o AS (SELECT DISTINCT CAST(geo1 AS VARCHAR) AS omitted FROM s0 UNION ALL SELECT
 SELECT omitted, round(beta, 6) AS beta, n_obs, n_clusters, round(beta - (SELECT beta FROM e WHERE omitted = 'none'), 6) AS delta FROM e"""
 
 
-def two_way(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The slope after county and year effects by alternating projections."""
-    rows = supply.exposure_design(base.county(spark, sf_dir), shocks(spark, sf_dir)).filter("instrument is not null").withColumn("lp", F.ln("price"))
-    out = supply.two_way_demeaned(rows.select("geo1", "geo2", "year", "lp", "instrument"), ["lp", "instrument"], "geo2", "year", save=tables.staged)
-    return base.rounded(supply.clustered_slope(out, "d_lp", "d_instrument", "geo1"))
-
-
 def _specified(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = supply.exposure_design(base.county(spark, sf_dir), shocks(spark, sf_dir)).filter("instrument is not null").withColumn("lp", F.ln("price"))
     core = F.col("year").between(base.CORE_FIRST, base.CORE_LAST) & (F.col("year") != base.SENSITIVITY)
@@ -214,21 +206,6 @@ c AS (SELECT threshold, n, p, y, zp - z * p / w AS zp, zy - z * y / w AS zy, zz
 SELECT threshold, n, round(zp / zz, 4) AS first_stage, round((zp / zz) * (zp / zz) * zz * (n - 2) / (pp - zp / zz * zp), 4) AS first_stage_f, round(zy / zp, 4) AS price_coefficient, round(zy / zp * p / y, 4) AS elasticity_at_mean FROM c"""
 
 
-def demand_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Full two-stage fits of three samples from one moments scan."""
-    rows = demand_rows(spark, sf_dir)
-    core = F.col("year").between(base.CORE_FIRST, base.CORE_LAST) & (F.col("year") != base.SENSITIVITY)
-    modes = F.array_compact(F.array(F.lit("broad"), F.when(core, "core"), F.when(core & (F.col("imputed_share") <= 0.25), "core_low_impute")))
-    rows = rows.withColumn("mode", F.explode(modes))
-    m = moments.moment_rows(rows, ["outside", "price", "hours", "control"], F.col("rw"), ["mode"])
-    return base.rounded(moments.two_stage_fits(m, [("mode", "string")]), 4)
-
-
-def held_out(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M9: leave-one-state-out errors from per-state moments, one scan."""
-    return base.rounded(moments.leave_one_out(moments.moment_rows(demand_rows(spark, sf_dir), ["outside", "price", "hours", "control"], F.col("rw"), ["geo1"])), 4)
-
-
 def switching(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Do-it-yourself share by job group and year, the saturated linear probability model, clipped to [0, 1]."""
     m = base.micro(spark, sf_dir)
@@ -341,8 +318,8 @@ SELECT s AS staffing, f AS fringe, round(median(CASE WHEN raw IS NOT NULL THEN g
 REGISTERED = {
     "iv_results": (iv_results, IV_RESULTS), "iv_summary": (iv_summary, IV_SUMMARY), "price_surface": (surface, SURFACE),
     "supply_slopes": (slopes, SLOPES), "supply_elasticity": (elasticity, ELASTICITY), "piecewise_supply": (piecewise, PIECEWISE), "rule_shocks": (rule_shocks, RULE_SHOCKS),
-    "exposure_design": (exposure, EXPOSURE), "clustered_iv": (clustered, CLUSTERED), "leave_one_state_out_iv": (left_out, LEFT_OUT), "two_way_fixed_effects": (two_way, None),
-    "weighted_fit": (weighted_fit, WEIGHTED_FIT), "threshold_sweep_iv": (instrumented, INSTRUMENTED), "demand_profiles": (demand_profiles, None), "held_out_demand": (held_out, None),
+    "exposure_design": (exposure, EXPOSURE), "clustered_iv": (clustered, CLUSTERED), "leave_one_state_out_iv": (left_out, LEFT_OUT),
+    "weighted_fit": (weighted_fit, WEIGHTED_FIT), "threshold_sweep_iv": (instrumented, INSTRUMENTED),
     "switching_model": (switching, SWITCHING), "first_component": (components, None), "stringency_index": (stringency, STRINGENCY), "equilibrium_prices": (equilibrium, EQUILIBRIUM),
     "dual_shift": (dual_shift, DUAL), "piecewise_scenario": (piecewise_scenario, PIECE_SC), "cluster_bootstrap": (bootstrap, BOOTSTRAP), "decomposition_sensitivity": (sensitivity, SENSITIVITY),
 }

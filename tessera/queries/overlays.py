@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import weighted as W
-from tessera.operators import lookups, moments, panel
+from tessera.operators import lookups, panel
 
-from . import base, models
+from . import base
 
 KEYS = ["geo1", "year"]
 CONTROLS = {"wage": "R", "outside": "A", "observed_share": "N"}
@@ -83,7 +83,7 @@ _COUNTED = ["price", "imputed_share", "observed_share", "n", "population", "wage
 
 
 def panel_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row on the county panel: rows, known and positive values of each column, places, years, and rows of each gap."""
+    """One row on the county panel: rows, known and positive values of each column, places, years, and rows of each gap."""
     rows = panel.with_benchmark_wages(panel.with_density(base.county(spark, sf_dir)))
     gaps = {"both_firms": F.col("establishments").isNotNull() & F.col("nonemployers").isNotNull(), "no_wage_at_all": F.col("wage").isNull() & F.col("outside").isNull(), "core": F.col("year").between(base.CORE_FIRST, base.CORE_LAST), "mostly_imputed": F.col("imputed_share") > 0.5, "all_observed": F.col("observed_share") == 1}
     keys = [F.count_distinct("geo1").alias("n_states"), F.count_distinct("geo2").alias("n_counties"), F.min("year").alias("first_year"), F.max("year").alias("last_year")]
@@ -96,21 +96,7 @@ SELECT count(*) AS n_rows, {", ".join(f"count({c}) AS n_{c}, count(*) FILTER ({c
   count(*) FILTER (establishments IS NOT NULL AND nonemployers IS NOT NULL) AS n_both_firms, count(*) FILTER (wage IS NULL AND outside IS NULL) AS n_no_wage_at_all, count(*) FILTER (year BETWEEN {base.CORE_FIRST} AND {base.CORE_LAST}) AS n_core, count(*) FILTER (imputed_share > 0.5) AS n_mostly_imputed, count(*) FILTER (observed_share = 1) AS n_all_observed FROM r"""
 
 
-def specification_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two-stage fits under four control sets, each on its own complete rows, and the preferred one (admissible sign first, then strength)."""
-    rows = models.demand_rows(spark, sf_dir)
-    sets = {"none": [], "control": ["control"], "wage": ["wage"], "wage_and_control": ["wage", "control"]}
-    fits = None
-    for name, controls in sets.items():
-        own = moments.complete(rows, ["outside", "price", "hours", *controls], "price").withColumn("profile", F.lit(name))
-        fit = moments.two_stage_fits(moments.moment_rows(own, ["outside", "price", "hours", *controls], F.col("rw"), ["profile"]), [("profile", "string")])
-        fits = fit if fits is None else fits.unionByName(fit)
-    best = F.max(F.struct((F.col("elasticity_at_mean") <= 0).alias("admissible"), "first_stage_f", "profile")).alias("best")
-    best = fits.agg(best).select(F.col("best.profile").alias("_best"))
-    return base.rounded(fits.crossJoin(F.broadcast(best)).withColumn("preferred", F.col("profile") == F.col("_best")).drop("_best"), 4)
-
-
 REGISTERED = {
     "control_overlay": (control_overlay, CONTROL_OVERLAY), "rates_on_both_grains": (both_grains, BOTH_GRAINS), "school_options": (school_options, SCHOOL),
-    "state_support": (state_support, STATE_SUPPORT), "panel_coverage": (panel_coverage, PANEL_COVERAGE), "specification_sweep": (specification_sweep, None),
+    "state_support": (state_support, STATE_SUPPORT), "panel_coverage": (panel_coverage, PANEL_COVERAGE),
 }

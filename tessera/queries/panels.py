@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import weighted as W
-from tessera.operators import account, impute, ladders, lookups, panel
+from tessera.operators import account, impute, ladders, lookups, panel, quantiles
 
 from . import base
 
@@ -175,7 +175,7 @@ SELECT metro, year, round(rate, 6) AS rate, load, n_counties, round(load / max(l
 
 
 def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row of counts about the panel and its key coverage."""
+    """One row of counts about the panel, and how many of its place-years another table has."""
     c = base.county(spark, sf_dir)
     counts = c.agg(*panel.coverage_counts(c, ["price", "wage", "outside", "establishments"]))
     held = c.join(base.table(spark, sf_dir, "nation").filter("n_regionkey < 3").select(F.col("n_nationkey").alias("geo1")), "geo1", "left_semi")
@@ -213,10 +213,9 @@ HOURS = f"""WITH {base.MICRO} SELECT geo1, year, round(sum(price * weight) / sum
 
 
 def medians(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact and weighted medians, quantiles."""
+    """Exact and weighted medians, quantiles, by distributed selection."""
     m = base.micro(spark, sf_dir)
-    plain = m.groupBy("geo1").agg(F.median("price").alias("median"), F.percentile("price", 0.1).alias("p10"), F.percentile("price", 0.9).alias("p90"))
-    return base.rounded(plain.join(W.weighted_median(m, ["geo1"], "price", "weight"), "geo1"))
+    return base.rounded(quantiles.summary(m, ["geo1"], "price", "weight", {"median": 0.5, "p10": 0.1, "p90": 0.9}))
 
 
 MEDIAN_SQL = f"""WITH {base.MICRO}, v AS (SELECT geo1, price, sum(weight) AS w FROM micro GROUP BY ALL),
@@ -279,7 +278,7 @@ SELECT count(*) FILTER ({_IN}) AS n_window_years, min(year) FILTER ({_IN}) AS fi
 REGISTERED = {
     "flagship_state_prices": (flagship, FLAGSHIP), "county_panel": (county_panel, COUNTY_PANEL), "weighted_means": (weighted_variants, VARIANTS),
     "labour_ladder": (labour_ladder, LABOUR), "median_imputation": (median_imputation, MEDIANS), "sample_ladder": (sample_ladder, LADDER),
-    "year_maps": (year_maps, YEAR_MAPS), "bridge_rollup": (bridge, BRIDGE), "panel_coverage": (coverage, COVERAGE), "home_jobs": (home_jobs, HOME),
+    "year_maps": (year_maps, YEAR_MAPS), "bridge_rollup": (bridge, BRIDGE), "key_coverage": (coverage, COVERAGE), "home_jobs": (home_jobs, HOME),
     "state_hours": (state_hours, HOURS), "price_medians": (medians, MEDIAN_SQL), "label_counts": (value_counts, COUNTS),
     "priority_states": (top_states, TOP), "satellite_account": (satellite, SATELLITE), "window_summary": (window_summary, WINDOW),
 }

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import scalars as S
 from tessera.functions import weighted as W
-from tessera.operators import eav, impute, ladders, lookups, moments, rules, scenario, supply
+from tessera.operators import eav, effects, impute, ladders, lookups, moments, rules, scenario, supply
 
 
 def one(spark, expression):
@@ -92,7 +92,7 @@ def test_two_stage_and_held_out_equal_refits(spark):
     fit = moments.two_stage_fits(moments.moment_rows(df.withColumn("all", F.lit("a")), ["z", "p", "y", "c"], F.col("w"), ["all"]), [("all", "string")]).first()
     _, b2 = two_stage_directly(z, p, y, c, w)
     assert fit.price_coefficient == pytest.approx(b2[1], rel=1e-6) and fit.n_obs == n
-    out = moments.leave_one_out(moments.moment_rows(df, ["z", "p", "y", "c"], F.col("w"), ["g"])).first()
+    out = moments.leave_one_out(moments.moment_rows(df.withColumn("all", F.lit("a")), ["z", "p", "y", "c"], F.col("w"), ["all", "g"]), [("all", "string")], "g").first()
     error, elasticities = 0.0, []
     for k in range(8):
         a, b = g != k, g == k
@@ -105,12 +105,10 @@ def test_two_stage_and_held_out_equal_refits(spark):
 
 
 def test_two_way_demeaning_and_clustered_errors(spark):
-    from tessera.sources import tables
-
     r = np.random.default_rng(2)
     rows = [(int(a), int(b), float(r.normal() + a + 2 * b), float(r.normal())) for a in range(6) for b in range(5) if r.random() < 0.8]
     df = spark.createDataFrame(rows, "a int, b int, y double, x double")
-    got = {(q.a, q.b): q.d_y for q in supply.two_way_demeaned(df, ["y"], "a", "b", save=tables.staged).collect()}
+    got = {(q.a, q.b): q.d_y for q in effects.absorbed(df, ["y"], "a", "b").collect()}
     dummies = np.array([[*(a == i for i in range(6)), *(b == j for j in range(5))] for a, b, *_ in rows], float)
     y = np.array([q[2] for q in rows])
     want = y - dummies @ np.linalg.lstsq(dummies, y, rcond=None)[0]
