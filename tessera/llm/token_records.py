@@ -42,7 +42,10 @@ from .crc32c import checksums, masked
 CLOSING = 0
 #: Bytes of text that are tokenised together, and of a file that one reading task takes in a row.
 _TOGETHER, _RANGE = 8_000_000, 32_000_000
-_CACHE, _LONGEST_CACHED = 400_000, 64
+#: Words of the cache; what is not in the batch at hand goes when they are more.
+_CACHE = 1_500_000
+#: Fixed value: how a byte-level vocabulary writes a space.
+_SPACE = "\u0120"
 _FRAME = 16
 #: White space around a space: there the tokenizer's words do not begin at every space.
 _RUNS = re.compile(r"\s \s|\s $")
@@ -54,13 +57,14 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-class _Ids(dict):
-    """Word, with the space before it, to its ids as bytes.
+class _Ids:
+    """Ids of many texts at once, by a bounded cache of words.
 
-    This vocabulary's words begin at a space that stands before a letter, a digit or
-    a sign, so a text's ids are those of its space-separated parts, looked up in two
-    generations of a bounded cache; texts with runs of white space that end in a
-    space go to the tokenizer whole.
+    A byte-level vocabulary's words begin at a space that stands before a letter, a digit
+    or a sign, so a text's ids are those of its space-separated parts. Words and ids of the
+    cache are flat arrays; new words are tokenised as one text, whose tokens with a leading
+    space tell where each begins. Texts with runs of white space that end in a space, words
+    with white space at an end and first words go to the tokenizer one by one.
     """
 
     def __init__(self, path: str):
@@ -69,46 +73,73 @@ class _Ids(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.old: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.begins[[i for t, i in vocabulary.items() if t.startswith(_SPACE)]] = True
+        self._keep(pa.array([], pa.large_string()), np.empty(0, np.int64), np.empty(0, np.uint32))
+
+    def _keep(self, words: pa.Array, size: np.ndarray, ids: np.ndarray) -> None:
+        self.words, self.size, self.ids = words, size, ids
 
     def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the texts one behind the other, and where each text's begin (and the last one's end)."""
-        whole = [i for i, t in enumerate(texts) if _RUNS.search(t)]
-        for i, found in zip(whole, self._learned([texts[i] for i in whole]), strict=True):
-            texts[i] = found
-        plain = ["" if isinstance(t, bytes) else t for t in texts]
-        split = pc.split_pattern(pa.array(plain, pa.large_string()), " ")
-        coded = split.values.dictionary_encode()
-        words = [f" {w}" for w in coded.dictionary.to_pylist()]
-        # a text's first word has no space before it
-        code, first = coded.indices.to_numpy().copy(), split.offsets.to_numpy()
-        code[first[:-1]] = len(words) + np.arange(len(texts))
-        found = self._known(words + [t.split(" ", 1)[0] for t in plain])
-        for i in whole:
-            found[len(words) + i] = texts[i]
-        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        ids, begin = np.frombuffer(b"".join(found), "<u4"), np.cumsum(size) - size
-        n = size[code]
+        whole = [bool(_RUNS.search(t)) for t in texts]
+        split = pc.split_pattern(pa.array(["" if w else t for t, w in zip(texts, whole, strict=True)], pa.large_string()), " ")
+        coded, first = split.values.dictionary_encode(), split.offsets.to_numpy()
+        place = self._places(coded.dictionary)
+        code = place[coded.indices.to_numpy()]
+        # a text's first word has no space before it; a text that is taken whole has no other
+        own_size, own_ids = self._one_by_one([t if w else t.split(" ", 1)[0] for t, w in zip(texts, whole, strict=True)])
+        code[first[:-1]] = len(self.size) + np.arange(len(texts))
+        size, ids = np.concatenate([self.size, own_size]), np.concatenate([self.ids, own_ids])
+        n, begin = size[code], (np.cumsum(size) - size)[code]
         ends = np.concatenate([[0], np.cumsum(n)])
-        at = np.repeat(begin[code] - ends[:-1], n) + np.arange(ends[-1])
+        at = np.repeat(begin - ends[:-1], n)
+        at += np.arange(ends[-1])
         return ids[at], ends[first]
 
-    def _known(self, words: list[str]) -> list[bytes]:
-        missing = {w for w in words if w not in self}
-        if len(self) + len(missing) > _CACHE:
-            self.old = dict(self)
-            self.clear()
-        self.update({w: self.old[w] for w in missing if w in self.old})
-        new = [w for w in missing if w not in self.old]
-        long = {}
-        for w, own in zip(new, self._learned(new), strict=True):
-            (self if len(w) <= _LONGEST_CACHED else long)[w] = own
-        # words of the generation that has just gone are still in the old one
-        return [self[w] if w in self else self.old[w] if w in self.old else long[w] for w in words]
-
-    def _learned(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
+    def _places(self, words: pa.Array) -> np.ndarray:
+        """The places of the words in the cache, new ones learned."""
+        if len(self.words) + len(words) > _CACHE:
+            self._only(words)
+        found = pc.index_in(words, value_set=self.words)
+        missing = pc.is_null(found)
+        places = pc.fill_null(found, 0).to_numpy().astype(np.int64)
+        new = words.filter(missing)
+        if len(new):
+            places[missing.to_numpy(zero_copy_only=False)] = len(self.words) + np.arange(len(new))
+            size, ids = self._learned(new.to_pylist())
+            self._keep(pa.concat_arrays([self.words, new]), np.concatenate([self.size, size]), np.concatenate([self.ids, ids]))
+        return places
+
+    def _only(self, words: pa.Array) -> None:
+        """Forgets all but these words."""
+        kept = pc.is_in(self.words, value_set=words)
+        mask = kept.to_numpy(zero_copy_only=False).astype(bool)
+        self._keep(self.words.filter(kept), self.size[mask], self.ids[np.repeat(mask, self.size)])
+
+    def _learned(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and ids of words that stand behind a space."""
+        odd = np.fromiter((not w or w[0].isspace() or w[-1].isspace() for w in words), bool, len(words))
+        plain = [w for w, o in zip(words, odd, strict=True) if not o]
+        ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(plain)], add_special_tokens=False)[0].ids if plain else [], np.uint32)
+        at = np.flatnonzero(self.begins[ids])
+        if len(at) != len(plain):
+            raise ValueError("the vocabulary does not mark the space before a word")
+        if not odd.any():
+            return np.diff(np.append(at, len(ids))), ids
+        size = np.empty(len(words), np.int64)
+        size[~odd] = np.diff(np.append(at, len(ids)))
+        size[odd], rest = self._one_by_one([f" {w}" for w, o in zip(words, odd, strict=True) if o])
+        out = np.empty(int(size.sum()), np.uint32)
+        mine = np.repeat(odd, size)
+        out[~mine], out[mine] = ids, rest
+        return size, out
+
+    def _one_by_one(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        return size, np.fromiter((i for own in found for i in own), np.uint32, int(size.sum()))
 
 
 @lru_cache(1)
@@ -186,8 +217,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str | None = None, key: str
     Returns the index: key, file, offset, length, n_tokens, start (ids of all records before it).
     """
     vocabulary = vocabulary or default_vocabulary()
-    size = _ids_of(vocabulary).tokenizer.get_vocab_size()
-    form = "<u2" if max(size, closing + 1) <= 1 << 16 else "<u4"
+    form = "<u2" if max(len(_ids_of(vocabulary).begins), closing + 1) <= 1 << 16 else "<u4"
     store, root = _files(folder)
     store.create_dir(root, recursive=True)
     kind = dict(docs.dtypes)[key]
