@@ -122,8 +122,3 @@ def proxy_gaps(df: DataFrame, proxy: str, known: str, large: float) -> DataFrame
     gap = F.col(proxy) - F.col(known)
     rows = df.filter(F.col(proxy).isNotNull() & F.col(known).isNotNull()).withColumns({"gap": gap, "gap_share": F.try_divide(F.abs(gap), F.nullif(F.abs(known), F.lit(0.0)))})
     return rows.withColumn("size", F.when(F.col("gap_share") > large, "large").otherwise("small"))
-
-
-def bundle_index(manifest: DataFrame, present: DataFrame, key: str) -> DataFrame:
-    """Every artifact that belongs to a bundle, whether it exists, and its checksum."""
-    return manifest.join(present, key, "left").withColumn("exists", F.col("checksum").isNotNull())

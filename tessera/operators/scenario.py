@@ -122,6 +122,50 @@ def median_columns(columns: list[str], low: float | None = None, high: float | N
     return out
 
 
+STEPS, LOW_END, HIGH_END = 60, 0.92, 1.08
+
+
+def curve_points(rows: DataFrame, keys: list[str], alphas: list[tuple[float, str]], steps: int = STEPS) -> DataFrame:
+    """Per row of ``rows`` its demand and supply curve on a price grid, and the solved points.
+
+    ``rows``: keys, base_price, market, demand_elasticity, supply_elasticity and a solved price column for each
+    (alpha, column) of ``alphas``; the grid runs from a little below the base price to a little above the base
+    or the price at the first of the alphas, whichever is higher. Rows: keys, kind (demand, supply, alpha),
+    place, alpha, price, quantity.
+    """
+    p0, q0 = F.col("base_price"), F.col("market")
+    low, high = p0 * LOW_END, F.greatest(F.col(alphas[0][1]), p0) * HIGH_END
+    grid = F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda i: low + i * (high - low) / float(steps - 1))
+    at = lambda price, power: q0 * F.pow(price / p0, power)
+    curve = rows.select("*", F.posexplode(grid).alias("place", "price"))
+    kinds = F.explode(F.array(
+        F.struct(F.lit("demand").alias("kind"), at(F.col("price"), -F.col("demand_elasticity")).alias("quantity")),
+        F.struct(F.lit("supply").alias("kind"), at(F.col("price"), F.col("supply_elasticity")).alias("quantity")),
+    ))
+    lines = curve.select(*keys, "place", "price", kinds.alias("_k")).select(*keys, "_k.kind", "place", F.lit(None).cast("double").alias("alpha"), "price", "_k.quantity")
+    points = F.posexplode(F.array(*[F.struct(F.lit(float(a)).alias("alpha"), F.col(c).alias("price")) for a, c in alphas]))
+    solved_ = rows.select("*", points.alias("place", "_a")).select(*keys, F.lit("alpha").alias("kind"), "place", "_a.alpha", "_a.price", at(F.col("_a.price"), F.col("supply_elasticity")).alias("quantity"))
+    return lines.unionByName(solved_)
+
+
+def local_scenario(base: DataFrame, treated: DataFrame, elasticity: DataFrame, place: str, alphas: tuple[float, ...] = (0.0, 0.5, 1.0)) -> DataFrame:
+    """Prices and quantities at each alpha of the median treated place under the local supply elasticity.
+
+    ``base``: place, year, base_price, market, unpaid, demand_elasticity; ``treated``: places; ``elasticity``: one row with
+    supply_elasticity. Only rows of treated places count, one for each place and year. An elasticity that is not positive is no
+    supply curve: the rows then have a status and no price.
+    """
+    columns = ["base_price", "market", "unpaid", "demand_elasticity"]
+    own = base.join(treated, place, "left_semi").dropDuplicates([place, "year"]).dropna(subset=columns[:3])
+    middle = own.agg(*[F.median(c).alias(c) for c in columns], F.count("*").alias("n_rows"), F.count_distinct(place).alias("n_places"))
+    row = middle.crossJoin(F.broadcast(elasticity.select("supply_elasticity"))).withColumn("alpha", F.explode(F.array(*map(F.lit, alphas))))
+    usable = (F.col("supply_elasticity") > 0) & (F.col("base_price") > 0) & (F.col("market") > 0) & (F.col("demand_elasticity") > 0)
+    status = F.when(F.col("n_rows") == 0, "no_treated_rows").when(F.coalesce(usable, F.lit(False)), "solved").otherwise("no_supply_curve")
+    price = F.when(F.col("status") == "solved", F.when(F.col("alpha") == 0, F.col("base_price")).otherwise(solved()["price"]))
+    out = row.withColumn("status", status).withColumn("price", price)
+    return out.withColumn("quantity", F.col("market") * F.pow(F.col("price") / F.col("base_price"), F.col("supply_elasticity")))
+
+
 def draw_multiplicities(groups: DataFrame, group: str, draws: int, seed: int) -> DataFrame:
     """(draw, group, times): each draw picks as many groups as there are, with replacement.
 

@@ -41,14 +41,15 @@ _FLAT = ", ".join(
     + [f"max({f}) FILTER (outcome = '{k}') AS {k}_{f}" for k in effects.OUTCOMES for f in ("n_obs", "n_clusters")]
     + [f"round(max(beta) FILTER (outcome = '{k}') / max(beta) FILTER (outcome = 'price'), 4) AS wald_{k}" for k in ("provider", "employer")]
 )
-SUPPLY_IV = f"""WITH RECURSIVE {models.EXPOSURE_CTE},
+SUPPLY_IV_CTES = f"""{models.EXPOSURE_CTE},
 pan0 AS (SELECT ex.*, shock, {panels._DENSITY} AS density FROM ex JOIN shocks USING (geo1, year)),
 pan AS (SELECT geo1, geo2, year, shock, base_year, instrument AS x, ln(price) AS price, ln(density) AS provider, CASE WHEN establishments > 0 THEN ln(establishments * 1000 / population) END AS employer
   FROM pan0 WHERE instrument IS NOT NULL AND price > 0 AND density > 0),
 {linear_sql.two_way("d", "pan", ["geo1", "geo2", "year"], ["x", "price", "provider", "employer"], "geo2", "geo1, year")},
 o AS (SELECT geo1, x, unnest(['price', 'provider', 'employer']) AS outcome, unnest([price, provider, employer]) AS y FROM d),
 c AS (SELECT outcome, geo1, sum(x * y) AS xy, sum(x * x) AS xx, sum(y * y) AS yy, count(*) AS n FROM o WHERE y IS NOT NULL GROUP BY ALL), {_CLUSTERS.format(g="outcome, ", group="GROUP BY outcome")},
-r AS (SELECT *, beta / se AS t, (beta / se) * (beta / se) AS f, 1 - (syy - 2 * beta * sxy + beta * beta * sxx) / syy AS within_r2 FROM fit),
+r AS (SELECT *, beta / se AS t, (beta / se) * (beta / se) AS f, 1 - (syy - 2 * beta * sxy + beta * beta * sxx) / syy AS within_r2 FROM fit)"""
+SUPPLY_IV = f"""WITH RECURSIVE {SUPPLY_IV_CTES},
 flat AS (SELECT {_FLAT} FROM r),
 facts AS (SELECT count(*) AS n_panel, count(DISTINCT geo2) AS n_counties, count(DISTINCT geo1) AS n_states, min(year) AS first_year, max(year) AS last_year, min(base_year) AS first_base_year, max(base_year) AS last_base_year,
   count(DISTINCT geo1) FILTER (abs(shock) > 0) AS n_treated_states, array_to_string(list_sort(list(DISTINCT geo1) FILTER (abs(shock) > 0)), ',') AS treated_states FROM pan)

@@ -12,16 +12,21 @@ from pyspark.sql import types as T
 FORMATS = {"csv": ("csv", ","), "tsv": ("csv", "\t"), "psv": ("csv", "|"), "json": ("json", None), "parquet": ("parquet", None)}
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """Writes the rows to the folder all executors share (spark.checkpoint.dir) and reads them back."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share (spark.checkpoint.dir); a folder of this machine only where the master is local and none is set."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root}/{uuid.uuid4().hex}"
+    return root
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """Writes the rows to the shared folder and reads them back."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
