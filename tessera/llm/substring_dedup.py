@@ -14,8 +14,9 @@ a batch's first windows are shuffled, so a value that a third of all texts hold
 is a few rows of each batch. A pair of texts is a candidate where windows of two
 functions overlap by a passage's length in both, or where one agrees also in its
 surroundings. Candidates are verified on the texts: the alignment is grown from
-c to both sides over edits (of 16 shingles, or a quarter of what has been
-aligned so far), and the passages' shingle sets must have 50 words or more and
+c to both sides over edits of any length that the threshold allows (a passage has
+edits of a quarter of its common shingles at most, and what lies behind an edit is
+a passage with windows of its own unless it is shorter than one), and the passages' shingle sets must have 50 words or more and
 a Jaccard similarity of 0.8 or more.
 
 Where a link that agreed in its surroundings fails this test (the first window
@@ -54,8 +55,8 @@ FUNCTIONS, SEED = 4, 10
 LEAST_WORDS, THRESHOLD = 50, 0.8
 LEAST = LEAST_WORDS - shingles.WORDS + 1
 _ASIDE = LEAST // 2
-#: Shingles that an edit may replace before the alignment must go on; later in a passage a share of it.
-_EDIT, _EDIT_SHARE = 16, 4
+#: Shingles within which the next common one is looked for first; how far beyond is bounded by the threshold alone.
+_EDIT = 32
 #: Shingles of texts that are looked at together.
 _TOGETHER = 1_000_000
 #: Parts in which the rows of one class of copies are joined.
@@ -311,9 +312,17 @@ def _nearest(x: np.ndarray, y: np.ndarray) -> tuple[int, int] | None:
     return int(p[k]), int(q[k])
 
 
-def _ahead(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int]]:
-    """Equal blocks (place in a, place in b, length) from the start on, with edits between them."""
-    i = j = same = 0
+def _longest_edit(same: int) -> int:
+    """How long an edit can be behind so many common shingles, if less than a passage of common ones lies beyond it.
+
+    The shingles of either text that the other lacks are a share of the common ones, and the words around an edit are in a few more.
+    """
+    return int((same + LEAST) * (1 / THRESHOLD - 1)) + shingles.WORDS
+
+
+def _ahead(a: np.ndarray, b: np.ndarray, same: int = 0) -> list[tuple[int, int, int]]:
+    """Equal blocks (place in a, place in b, length) from the start on, with edits between them; ``same`` shingles agree behind the start."""
+    i = j = 0
     out = []
     while True:
         run = _run(a[i:], b[j:])
@@ -321,8 +330,9 @@ def _ahead(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int]]:
             out.append((i, j, run))
             i, j, same = i + run, j + run, same + run
         near = None
-        for edit in (_EDIT, same // _EDIT_SHARE):
-            if near is None and edit >= _EDIT and i < len(a) and j < len(b):
+        longest = _longest_edit(same)
+        for edit in (_EDIT, longest) if longest > _EDIT else (longest,):
+            if near is None and i < len(a) and j < len(b):
                 near = _nearest(a[i : i + edit], b[j : j + edit])
         if near is None:
             return out
@@ -331,8 +341,18 @@ def _ahead(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int]]:
 
 def _alignment(s1: np.ndarray, s2: np.ndarray, c1: int, c2: int) -> np.ndarray:
     """The blocks around a common place, in order: rows (start1, start2, length)."""
-    back = [(c1 - i - n + 1, c2 - j - n + 1, n) for i, j, n in _ahead(s1[: c1 + 1][::-1], s2[: c2 + 1][::-1])][::-1]
-    on = [(c1 + i, c2 + j, n) for i, j, n in _ahead(s1[c1:], s2[c2:])]
+    left, right = (s1[: c1 + 1][::-1], s2[: c2 + 1][::-1]), (s1[c1:], s2[c2:])
+    # what agrees on one side of the place allows longer edits on the other, until neither side goes on
+    ahead = [(0, 0, _run(*right))]
+    while True:
+        common_ahead = sum(n for *_, n in ahead)
+        behind = _ahead(*left, common_ahead - 1)
+        common_behind = sum(n for *_, n in behind)
+        ahead = _ahead(*right, common_behind - 1)
+        if sum(n for *_, n in ahead) == common_ahead:
+            break
+    back = [(c1 - i - n + 1, c2 - j - n + 1, n) for i, j, n in behind][::-1]
+    on = [(c1 + i, c2 + j, n) for i, j, n in ahead]
     # both hold the place itself: their blocks there are one
     first = (back[-1][0], back[-1][1], back[-1][2] + on[0][2] - 1)
     return np.array([*back[:-1], first, *on[1:]])

@@ -146,3 +146,44 @@ def test_values_meet_over_batches(table, prose, monkeypatch):
     got = sd.repeated_passages(table(docs)).collect()
     found = classes([(x.key1, x.key2) for x in got])
     assert len({found(i) for i in range(60)}) == 1 and len(got) < 60 * 8
+
+
+def jaccard(a, b):
+    x, y = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_long_insertions_and_deletions(table):
+    """Passages whose halves are too short alone, with one long edit between them or several: all that reach the threshold are found."""
+    r = random.Random(21)
+    vocabulary = ["".join(r.choices("abcdefghij", k=r.randint(3, 8))) for _ in range(4000)]
+    words = lambda n: r.choices(vocabulary, k=n)
+    texts, want = [], []
+
+    def pair(one, two):
+        if jaccard(one, two) >= 0.8:
+            want.append((len(texts), len(texts) + 1))
+        texts.extend(words(r.randint(20, 80)) + x + words(r.randint(20, 80)) for x in (one, two))
+
+    for n, k in ((96, 12), (98, 14), (100, 16), (110, 17), (120, 18), (130, 18), (130, 22), (200, 36), (90, 10)) * 12:
+        p, at = words(n), n // 2 + r.randint(-4, 4)
+        one, two = p, p[:at] + words(k) + p[at:]
+        pair(*((one, two) if r.random() < 0.5 else (two, one)))
+    for n in (100, 140, 300) * 8:  # replaced, deleted and inserted words
+        p = words(n)
+        q = p[: n // 3] + words(r.randint(0, 4)) + p[n // 3 + r.randint(0, 3) : 2 * n // 3] + words(r.randint(1, 6)) + p[2 * n // 3 :]
+        pair(p, q)
+    near = len(want)
+    for n in (60, 80):  # the edit is too long: neither half is a passage
+        for _ in range(6):
+            p = words(n)
+            pair(p, p[: n // 2] + words(30) + p[n // 2 :])
+    assert near > 90 and len(want) == near
+    got = {}
+    for x in sd.repeated_passages(table([(i, " ".join(t)) for i, t in enumerate(texts)])).collect():
+        got.setdefault(tuple(sorted((x.key1, x.key2))), []).append(x)
+        a, b = texts[x.key1][x.start1 : x.end1], texts[x.key2][x.start : x.end]
+        assert min(len(a), len(b)) >= 50 and jaccard(a, b) >= 0.8
+    assert [p for p in want if p not in got] == []
+    # of the others a half may be a passage, but none of the last twelve
+    assert all(i % 2 == 0 and j == i + 1 and i < len(texts) - 24 for i, j in got)
