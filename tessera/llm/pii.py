@@ -143,33 +143,38 @@ def occurrences(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def _parts(runs: DataFrame) -> DataFrame:
-    """The single tokens of runs of several, with their own places and surroundings."""
-    in_run = Window.partitionBy("_row", "run_start").orderBy("i")
+    """The single tokens of runs of several, with their own places and surroundings.
+
+    A token carries its run's place, not its text: a run may be as long as the document.
+    """
+    in_run = Window.partitionBy("_row", "run").orderBy("i")
     size = F.length("tok") + 1
-    out = runs.withColumnsRenamed({"start": "run_start", "core": "run_core"}).select(
-        "_row", "run_start", "from", "run_core", "before", "after", F.posexplode(F.split("match", " ")).alias("i", "tok")
-    )
+    tokens = F.split("match", " ")
+
+    def own(tok, i):
+        # what stands around the run goes with its first two tokens and its last
+        return F.struct(tok.alias("tok"), F.when(i < 2, F.rtrim("before")).alias("before"), F.when(i == F.size(tokens) - 1, F.col("after")).alias("after"))
+
+    out = runs.select("_row", F.col("start").alias("run"), F.posexplode(F.transform(tokens, own)).alias("i", "x")).select("_row", "run", "i", "x.*")
     near = {"b2": F.lag("tok", 2).over(in_run), "b1": F.lag("tok", 1).over(in_run), "a1": F.lead("tok", 1).over(in_run)}
     out = out.withColumns({"at": F.sum(size).over(in_run.rowsBetween(Window.unboundedPreceding, 0)) - size, **near})
     return out.select(
-        "_row", (F.col("from") + F.col("at")).alias("start"), F.col("tok").alias("match"), F.lit(True).alias("counted"), "run_core",
-        F.concat_ws(" ", F.when(F.col("i") < 2, F.rtrim("before")), "b2", "b1").alias("before"),
-        F.coalesce("a1", "after").alias("after"),
+        "_row", (F.col("run") + F.col("at")).alias("start"), F.col("tok").alias("match"), F.lit(True).alias("counted"), "run", F.lit(True).alias("part"),
+        F.concat_ws(" ", "before", "b2", "b1").alias("before"), F.coalesce("a1", "after").alias("after"),
     )
 
 
 def instances(tokens: DataFrame) -> DataFrame:
     """Tokens cut to their core, with its place, seed kind and patterns.
 
-    A run of tokens is an instance as a whole; where it is no seed, each of its tokens is one too, with the
-    run's core as run_core. The first token shares the run's pattern, and is the one that counts there.
+    A run of tokens is an instance as a whole; where it is no seed, each of its tokens is one too: then both have
+    the run's place as ``run``, and the tokens are marked ``part``. The first token shares the run's pattern, and is
+    the one that counts there.
     """
-    whole = tokens.withColumns({"from": F.col("start"), "core": F.regexp_extract("match", CORE, 0)})
-    some = whole.filter(F.col("match").contains(" ") & _seed_kind(F.col("core")).isNull())
-    columns = ["_row", "start", "match", "counted", "run_core", "before", "after"]
+    columns = ["_row", "start", "match", "counted", "run", "part", "before", "after"]
     several = F.col("match").contains(" ") & _seed_kind(F.regexp_extract("match", CORE, 0)).isNull()
-    whole = tokens.withColumns({"counted": ~several, "run_core": F.lit(None).cast("string")}).select(*columns)
-    out = whole.unionByName(_parts(some).select(*columns)).withColumn("core", F.regexp_extract("match", CORE, 0)).filter(F.col("core") != "")
+    whole = tokens.withColumns({"counted": ~several, "run": F.when(several, F.col("start")), "part": F.lit(False)}).select(*columns)
+    out = whole.unionByName(_parts(tokens.filter(several)).select(*columns)).withColumn("core", F.regexp_extract("match", CORE, 0)).filter(F.col("core") != "")
     out = out.withColumns({
         "start": F.col("start") + F.call_function("locate", F.col("core"), F.col("match")) - 1,
         "words": F.split(F.translate(F.lower(F.trim("before")), "0123456789", "0000000000"), r"\s+"),
@@ -180,7 +185,7 @@ def instances(tokens: DataFrame) -> DataFrame:
         F.concat(F.lit("1 "), last), F.concat(F.lit("2 "), last2, F.lit(" "), last), F.concat(F.lit("3 "), last, F.lit(" _ "), F.col("next"))
     )
     patterns = F.when(last != "", F.array_compact(patterns)).alias("patterns")
-    return out.select("_row", "start", "core", "counted", "run_core", _seed_kind(F.col("core")).alias("seed"), patterns)
+    return out.select("_row", "start", "core", "counted", "run", "part", _seed_kind(F.col("core")).alias("seed"), patterns)
 
 
 def believed(found: DataFrame) -> DataFrame:
@@ -234,8 +239,10 @@ def pii_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     enough = (F.length(F.regexp_replace("core", "[^0-9]", "")) >= 4) | F.col("core").contains("@")
     kinds = common.staged(believed(tokens).filter(enough).select("core", "kind"))
     # a token has its own kind, or its run's: where a run meets a base span, its other tokens stay
-    of_run = common.join_groups(tokens.filter("run_core is not null").filter(enough), kinds.withColumnRenamed("core", "run_core"), ["run_core"])
-    both = common.join_groups(tokens, kinds, ["core"]).select("_row", "start", "core", "kind").unionByName(of_run.select("_row", "start", "core", "kind"))
+    own = common.staged(common.join_groups(tokens, kinds, ["core"]).select("_row", "start", "core", "kind", "run", "part"))
+    runs = own.filter("run is not null and not part").select("_row", "run", "kind")
+    of_run = tokens.filter("part").filter(enough).select("_row", "start", "core", "run").join(runs, ["_row", "run"])
+    both = own.select("_row", "start", "core", "kind").unionByName(of_run.select("_row", "start", "core", "kind"))
     added = both.select("_row", "kind", "start", (F.col("start") + F.length("core")).alias("end"), F.lit(False).alias("base"))
     in_row = Window.partitionBy("_row").orderBy("start", "end")
     earlier = F.max(F.when(F.col("base"), F.col("end"))).over(in_row.rowsBetween(Window.unboundedPreceding, -1))

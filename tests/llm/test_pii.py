@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import time
 
 import pytest
 
@@ -105,3 +107,18 @@ def test_long_neighbours_are_whole_words(table):
     docs = [(i, f"{'z' * 100}token = {k} end") for i, k in enumerate(keys)]
     (patterns,) = {tuple(r.patterns[:2]) for r in pii.instances(pii.occurrences(table(docs)).filter("kind = 'token'")).collect()}
     assert patterns == ("1 =", "2 " + "z" * 100 + "token =")
+
+
+def test_a_long_row_of_numbers_costs_what_it_is_long(table):
+    """A megabyte of numbers is one run: its tokens carry its place, not its text."""
+    r = random.Random(3)
+    row = " ".join(str(r.randrange(10**5, 10**8)) for _ in range(110_000))
+    assert len(row) > 900_000
+    docs = table([(1, row), (2, "call +49 (30) 1234-5678 now"), (3, row[:200_000] + " mail a.b@example.com " + row[:100])])
+    start = time.time()
+    spans = pii.pii_spans(docs).collect()
+    assert time.time() - start < 120
+    assert sum(s.kind == "phone" and s.base for s in spans) == 1 and sum(s.kind == "email" and s.base for s in spans) == 1
+    tokens = pii.instances(pii.occurrences(docs).filter("kind = 'token'"))
+    # the run itself and each of its numbers, whose rows are short
+    assert tokens.filter("part").count() > 130_000 and tokens.filter("part").selectExpr("max(length(core)) AS n").first().n < 40
