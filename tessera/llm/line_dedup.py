@@ -115,11 +115,12 @@ def _between(lines: str, gone: str) -> Column:
 
 
 def dedup_lines(
-    docs: DataFrame, min_chars: int = MIN_CHARS, key: str = "doc_id", text: str = "text", counts: bool = False
+    docs: DataFrame, min_chars: int = MIN_CHARS, key: str = "doc_id", text: str = "text", counts: bool | tuple[str, str] = False
 ) -> DataFrame:
     """``docs`` with later copies of repeated runs deleted from ``text``.
 
-    ``counts`` adds n_lines (all lines) and n_removed. ``docs`` must be read from files.
+    ``counts`` adds n_lines (all lines) and n_removed, under the two names where they are given.
+    ``docs`` must be read from files.
     """
     lines = common.staged(_lines(docs, key, text))
     places, starts = repeated_runs(lines, min_chars)
@@ -139,7 +140,8 @@ def dedup_lines(
     kept = F.when(F.col("gone").isNull(), F.col(names[text])).otherwise(F.array_join(_between("_split", "gone"), "\n"))
     out = [kept.alias(c) if c == text else F.col(n).alias(c) for c, n in names.items()]
     if counts:
-        out += [F.size("_split").cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed")]
+        n_lines, n_removed = ("n_lines", "n_removed") if counts is True else counts
+        out += [F.size("_split").cast("long").alias(n_lines), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias(n_removed)]
     return joined.select(*out)
 
 

@@ -19,7 +19,8 @@ that are null or for unknown documents count nothing, a document labelled twice
 is good if any label says so; repeated rows are counted and scored each; without
 labelled documents the target model is uniform smoothing. A caller may ask for a
 vocabulary of the ``size`` most frequent words (ties: by the word), all others
-are then one unknown word; the query does not.
+are then one unknown word; the query does not. Other columns are ignored, whatever their
+names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -81,7 +82,8 @@ def train(docs: DataFrame, good: DataFrame, key: str = "doc_id", text: str = "te
     if marked.count() <= MOST_BROADCAST_LABELS:
         marked = F.broadcast(marked)
     weight = F.when(F.col("_good").isNull(), 1).otherwise(2)
-    rows = docs.join(marked, docs[key] == F.col("_good"), "left").select(F.col(key).alias("key"), F.col(text).alias("t"), weight.alias("weight"))
+    slim = docs.select(F.col(key).alias("key"), F.col(text).alias("t"))
+    rows = slim.join(marked, F.col("key") == F.col("_good"), "left").select("key", "t", weight.alias("weight"))
     return Model(docs, rows, None if size is None else vocabulary(docs, size, text))
 
 

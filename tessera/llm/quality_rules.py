@@ -162,9 +162,10 @@ def judge(docs: DataFrame, rules=RULES, text: str = "text") -> DataFrame:
 def keep(docs: DataFrame, rules=RULES, text: str = "text") -> DataFrame:
     """The documents that break no rule, with the input's columns only."""
     broken = common.free_name(docs, "broken_rules_of_text")
-    figures = with_figures(docs.select(*[F.col(c).alias(f"_in_{c}") for c in docs.columns]), f"_in_{text}")
+    held = {c: f"_in_{i}" for i, c in enumerate(docs.columns)}
+    figures = with_figures(docs.select(*[F.col(f"`{c}`").alias(n) for c, n in held.items()]), held[text])
     passed = common.filter_after(figures.withColumn(broken, compiled(rules)), F.size(broken) == 0)
-    return passed.select(*[F.col(f"_in_{c}").alias(c) for c in docs.columns])
+    return passed.select(*[F.col(n).alias(c) for c, n in held.items()])
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

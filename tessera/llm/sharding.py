@@ -22,8 +22,6 @@ from pyspark.sql import functions as F
 from . import common
 
 ROUNDS = 6
-#: Points above the count in a walk's cycle are few (under 1/sqrt(N) of the domain); a longer walk raises an error.
-WALK = 64
 
 
 def domain(n: int) -> tuple[int, int]:
@@ -57,12 +55,15 @@ def permuted(number: Column, n: int, seed: int = 0, back: bool = False) -> Colum
     a, b = domain(n)
     limit = F.lit(n).cast("long")
     first = _once(number, a, b, seed, back)
+    if a * b == n:
+        return first
+    # a walk meets each of the points above the count once at most; one number in about sqrt(n) walks at all
     walked = F.aggregate(
-        F.sequence(F.lit(1), F.lit(WALK)),
+        F.sequence(F.lit(1), F.lit(a * b - n)),
         first,
         lambda v, _: F.when(v < limit, v).otherwise(_once(v, a, b, seed, back)),
     )
-    return F.when(walked < limit, walked).otherwise(F.raise_error(F.lit("cycle walk did not end")).cast("long"))
+    return F.when(first < limit, first).otherwise(walked)
 
 
 def shard_table(docs: DataFrame, shards: int, seed: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -74,7 +75,8 @@ def shard_table(docs: DataFrame, shards: int, seed: int = 0, key: str = "doc_id"
         F.crc32(t).alias("text_crc32"),
         F.xxhash64(t).alias("_hash"),
     )
-    rows = common.numbered(slim, ["doc_id", "_hash"], "row_number").drop("_hash")
+    # the place parts even rows that agree in both
+    rows = common.numbered(common.with_row_id(slim), ["doc_id", "_hash", "_row"], "row_number").drop("_hash", "_row")
     n = rows.count()
     place = permuted(F.col("row_number"), n, seed)
     total = F.lit(shards).cast("long")
@@ -86,25 +88,29 @@ def shard_table(docs: DataFrame, shards: int, seed: int = 0, key: str = "doc_id"
     )
 
 
-def write_shards(docs: DataFrame, path: str, shards: int, seed: int = 0, key: str = "doc_id", text: str = "text") -> None:
+def write_shards(docs: DataFrame, path: str, shards: int, seed: int = 0, key: str = "doc_id", text: str = "text") -> tuple[str, str]:
     """Writes whole rows, one folder for each shard, its files in slot order (a shard may be many tasks' work).
 
     The plan is joined back on (key, hash of the text); rows that agree in both
-    are told apart by their order, as they are interchangeable.
+    are told apart by their order, as they are interchangeable. Returns the names
+    of the two new columns: shard and slot, with underscores where the table has such.
     """
     from pyspark.sql import Window
 
+    shard, slot = common.free_name(docs, "shard"), common.free_name(docs, "slot")
     t = common.text_or_empty(text)
     same = Window.partitionBy("_key", "_crc", "_size")
     plan = shard_table(docs, shards, seed, key, text).select(
-        F.col("doc_id").alias("_key"), F.col("text_crc32").alias("_crc"), F.col("size").alias("_size"), "shard", "slot"
+        F.col("doc_id").alias("_key"), F.col("text_crc32").alias("_crc"), F.col("size").alias("_size"), F.col("shard").alias("_shard"), F.col("slot").alias("_slot")
     )
-    plan = plan.withColumn("_n", F.row_number().over(same.orderBy("slot")))
-    rows = docs.withColumns({"_key": F.col(key), "_crc": F.crc32(t), "_size": F.octet_length(t).cast("long") + 16})
-    rows = rows.withColumn("_n", F.row_number().over(same.orderBy(F.xxhash64(t))))
+    plan = plan.withColumn("_n", F.row_number().over(same.orderBy("_slot")))
+    names = {c: f"_in_{i}" for i, c in enumerate(docs.columns)}
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()], F.col(key).alias("_key"), F.crc32(t).alias("_crc"), (F.octet_length(t).cast("long") + 16).alias("_size"))
+    rows = rows.withColumn("_n", F.row_number().over(same.orderBy(F.xxhash64(F.col(names[text])))))
     on = [rows[c].eqNullSafe(plan[c]) for c in ("_key", "_crc", "_size", "_n")]
-    joined = rows.join(plan, on).select(*[rows[c] for c in docs.columns], plan["shard"], plan["slot"])
-    joined.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    joined = rows.join(plan, on).select(*[F.col(n).alias(c) for c, n in names.items()], F.col("_shard").alias(shard), F.col("_slot").alias(slot))
+    joined.repartitionByRange(shard, slot).sortWithinPartitions(shard, slot).write.partitionBy(shard).parquet(path)
+    return shard, slot
 
 
 def op5_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

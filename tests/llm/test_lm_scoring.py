@@ -84,3 +84,14 @@ def test_very_long_text(table, spark):
     rows = lm_scoring.scored(frame, lm_scoring.train(frame, good)).collect()
     assert sorted(r.n_tokens for r in rows) == [3, 3, 1_100_000]
     assert len({r.score for r in rows if r.key == 2}) == 1 and all(r.score is not None for r in rows)
+
+
+def test_any_other_columns(table, spark):
+    from pyspark.sql import functions as F
+
+    frame = table([(1, "a b a c"), (2, "x y"), (2, "x y"), (None, "a")])
+    good = spark.createDataFrame([(1,)], "doc_id long")
+    odd = frame.withColumns({"_good": F.lit(5), "key": F.lit("k"), "t": F.lit(1), "weight": F.lit(9), "a.b": F.lit(0)})
+    plain, other = (sorted(map(str, lm_scoring.scored(f, lm_scoring.train(f, good)).collect())) for f in (frame, odd))
+    assert plain == other and len(plain) == 4
+    assert lm_scoring.scored(frame.filter("doc_id > 9"), lm_scoring.train(frame.filter("doc_id > 9"), good)).count() == 0

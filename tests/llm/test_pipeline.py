@@ -83,3 +83,15 @@ def test_empty_and_odd_tables(table, spark, tmp_path):
         spark.createDataFrame([], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
         out = corpus_pipeline.run(spark, path)
         assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and out.count() == 0
+
+
+def test_line_stage_with_odd_columns(table, spark):
+    """Columns that the stage has inside, a name with a dot, and none of n_chars."""
+    line = "a line that is long enough to be looked at as a copy"
+    docs = table([(1, line + "\nown words of the first"), (2, line + "\nown words of the second"), (3, line), (4, None)])
+    odd = docs.withColumnsRenamed({"n_chars": "n_removed", "key": "a.b", "rank": "n_lines"})
+    for frame in (docs, odd):
+        out = corpus_pipeline.drop_copied_lines(spark, frame, "")
+        assert out.columns == frame.columns
+        assert {r.doc_id: r.text for r in out.collect()} == {1: line + "\nown words of the first", 2: "own words of the second", 4: None}
+    assert {r.doc_id: r.n_removed for r in corpus_pipeline.drop_copied_lines(spark, odd, "").collect()} == {r.doc_id: r.n_removed for r in odd.collect() if r.doc_id != 3}

@@ -44,3 +44,12 @@ def test_long_text_in_linear_memory(table):
     text = " ".join(f"w{i % 5000}" for i in range(60_000))
     (r,) = quality_rules.judge(table([(1, text)])).collect()
     assert r.n_words == 60_000 and r.n_repeat_words == 60_000
+
+
+def test_kept_rows_keep_odd_columns(table):
+    text = "the words of a text that is kept and to be in it for long " * 5
+    docs = table([(1, text), (2, "short"), (1, text), (None, None)]).withColumnsRenamed({"key": "a.b", "rank": "stop_words"})
+    kept = quality_rules.keep(docs)
+    assert kept.columns == docs.columns
+    judged = quality_rules.judge(docs)
+    assert kept.count() == judged.filter("kept").count()

@@ -76,3 +76,23 @@ def test_places_match_plain_python(table):
     assert [r.doc_id for r in rows] == sorted(r.doc_id for r in rows)
     assert [(r.shard, r.slot) for r in rows] == [(p % 7, p // 7) for p in where]
     assert [r.size for r in rows if r.doc_id >= 1000] == [500_016, 16]
+
+
+def test_written_shards_keep_every_column(spark, tmp_path):
+    """Columns of the names that the writer uses inside, or writes, come back as they were."""
+    rows = [(i % 5, f"text {i % 3}", 100 + i, f"k{i}", f"n{i}", i * 2, "z") for i in range(40)] + [(None, None, 1, "k", "n", 2, None)] * 3
+    spark.createDataFrame(rows, "doc_id long, text string, shard int, _key string, _n string, slot int, `a.b` string").write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    names = sharding.write_shards(docs, str(tmp_path / "out"), 4)
+    assert names == ("shard_", "slot_")
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(map(str, back.select(*[f"`{c}`" for c in docs.columns]).collect())) == sorted(map(str, docs.collect()))
+    assert back.select(*names).distinct().count() == 43
+
+
+def test_walks_end_for_every_count(spark):
+    """Counts with the most points above them, forth and back."""
+    for n in (10, 26, 37, 101, 1000, 4097):
+        rows = spark.range(n).select("id", sharding.permuted(F.col("id"), n, 3).alias("p"))
+        rows = rows.withColumn("back", sharding.permuted(F.col("p"), n, 3, back=True)).collect()
+        assert sorted(r.p for r in rows) == list(range(n)) and all(r.back == r.id for r in rows)
