@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and works on all that the one before
 kept; ``run`` writes every stage's result as Parquet to the shared folder and
 reads it back, so a lost executor never goes back further than one stage.
+
+Defined results: a document with a null, empty or short text breaks a quality
+rule and goes; of repeated rows and near copies the first by doc_id stays (ties
+by place); null ids are kept as they are; an empty table or benchmark gives no
+pieces, or leaves out none; other columns go along unread, whatever their names
+(n_chars follows the text where it is there), until packing drops them.
 """
 
 from __future__ import annotations
@@ -20,10 +26,12 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_copied_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of repeated line runs are deleted; a document of which nothing is left goes. n_chars follows the text."""
-    done = line_dedup.dedup_lines(docs, counts=True)
-    left = (F.col("n_removed") == 0) | (F.trim(F.translate("text", "\t\n\x0b\f\r", "")) != "")
-    n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return common.filter_after(done.withColumn("n_chars", n_chars), left).select(*docs.columns)
+    n_lines, n_removed = common.free_name(docs, "n_lines_of_text"), common.free_name(docs, "n_removed_of_text")
+    done = line_dedup.dedup_lines(docs, counts=(n_lines, n_removed))
+    left = (F.col(n_removed) == 0) | (F.trim(F.translate("text", "\t\n\x0b\f\r", "")) != "")
+    if "n_chars" in docs.columns:
+        done = done.withColumn("n_chars", F.when(F.col(n_removed) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return common.filter_after(done, left).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
