@@ -148,19 +148,16 @@ def _parts(runs: DataFrame) -> DataFrame:
     A token carries its run's place, not its text: a run may be as long as the document.
     """
     in_run = Window.partitionBy("_row", "run").orderBy("i")
-    size = F.length("tok") + 1
-    tokens = F.split("match", " ")
-
-    def own(tok, i):
-        # what stands around the run goes with its first two tokens and its last
-        return F.struct(tok.alias("tok"), F.when(i < 2, F.rtrim("before")).alias("before"), F.when(i == F.size(tokens) - 1, F.col("after")).alias("after"))
-
-    out = runs.select("_row", F.col("start").alias("run"), F.posexplode(F.transform(tokens, own)).alias("i", "x")).select("_row", "run", "i", "x.*")
+    # what stands around the run is an entry before the first token and one behind the last
+    around = [F.array(F.coalesce(x, F.lit(""))) for x in (F.rtrim("before"), F.col("after"))]
+    entries = F.concat(around[0], F.split("match", " "), around[1])
+    out = runs.select("_row", F.col("start").alias("run"), F.posexplode(entries).alias("i", "tok"))
+    size = F.when(F.col("i") == 0, 0).otherwise(F.length("tok") + 1)
     near = {"b2": F.lag("tok", 2).over(in_run), "b1": F.lag("tok", 1).over(in_run), "a1": F.lead("tok", 1).over(in_run)}
-    out = out.withColumns({"at": F.sum(size).over(in_run.rowsBetween(Window.unboundedPreceding, 0)) - size, **near})
+    out = out.withColumns({"at": F.sum(size).over(in_run.rowsBetween(Window.unboundedPreceding, 0)) - size, **near}).filter("i > 0 and a1 is not null")
     return out.select(
         "_row", (F.col("run") + F.col("at")).alias("start"), F.col("tok").alias("match"), F.lit(True).alias("counted"), "run", F.lit(True).alias("part"),
-        F.concat_ws(" ", "before", "b2", "b1").alias("before"), F.coalesce("a1", "after").alias("after"),
+        F.concat_ws(" ", "b2", "b1").alias("before"), F.col("a1").alias("after"),
     )
 
 
