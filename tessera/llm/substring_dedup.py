@@ -320,42 +320,42 @@ def _longest_edit(same: int) -> int:
     return int((same + LEAST) * (1 / THRESHOLD - 1)) + shingles.WORDS
 
 
-def _ahead(a: np.ndarray, b: np.ndarray, same: int = 0) -> list[tuple[int, int, int]]:
-    """Equal blocks (place in a, place in b, length) from the start on, with edits between them; ``same`` shingles agree behind the start."""
-    i = j = 0
-    out = []
-    while True:
-        run = _run(a[i:], b[j:])
-        if run:
-            out.append((i, j, run))
-            i, j, same = i + run, j + run, same + run
-        near = None
-        longest = _longest_edit(same)
+def _extended(a: np.ndarray, b: np.ndarray, blocks: list[tuple[int, int, int]], same: int) -> int:
+    """Adds equal blocks (place in a, place in b, length), with edits between them, behind those at hand.
+
+    ``same`` shingles agree in all, on the other side of the start too; the number afterwards is returned.
+    """
+    i, j = blocks[-1][0] + blocks[-1][2], blocks[-1][1] + blocks[-1][2]
+    while i < len(a) and j < len(b):
+        near, longest = None, _longest_edit(same)
         for edit in (_EDIT, longest) if longest > _EDIT else (longest,):
-            if near is None and i < len(a) and j < len(b):
+            if near is None:
                 near = _nearest(a[i : i + edit], b[j : j + edit])
         if near is None:
-            return out
+            break
         i, j = i + near[0], j + near[1]
+        run = _run(a[i:], b[j:])
+        blocks.append((i, j, run))
+        i, j, same = i + run, j + run, same + run
+    return same
 
 
 def _alignment(s1: np.ndarray, s2: np.ndarray, c1: int, c2: int) -> np.ndarray:
     """The blocks around a common place, in order: rows (start1, start2, length)."""
-    left, right = (s1[: c1 + 1][::-1], s2[: c2 + 1][::-1]), (s1[c1:], s2[c2:])
-    # what agrees on one side of the place allows longer edits on the other, until neither side goes on
-    ahead = [(0, 0, _run(*right))]
-    while True:
-        common_ahead = sum(n for *_, n in ahead)
-        behind = _ahead(*left, common_ahead - 1)
-        common_behind = sum(n for *_, n in behind)
-        ahead = _ahead(*right, common_behind - 1)
-        if sum(n for *_, n in ahead) == common_ahead:
-            break
-    back = [(c1 - i - n + 1, c2 - j - n + 1, n) for i, j, n in behind][::-1]
-    on = [(c1 + i, c2 + j, n) for i, j, n in ahead]
+    sides = ((s1[: c1 + 1][::-1], s2[: c2 + 1][::-1]), (s1[c1:], s2[c2:]))
+    back, on = blocks = [[(0, 0, _run(*x))] for x in sides]
+    same, tried = back[0][2] + on[0][2] - 1, [0, 0]
+    # what is found on one side allows longer edits on the other, until no side can go on
+    while min(tried) < _longest_edit(same):
+        for k in (0, 1):
+            if tried[k] < _longest_edit(same):
+                same = _extended(*sides[k], blocks[k], same)
+                tried[k] = _longest_edit(same)
+    behind = [(c1 - i - n + 1, c2 - j - n + 1, n) for i, j, n in back][::-1]
+    ahead = [(c1 + i, c2 + j, n) for i, j, n in on]
     # both hold the place itself: their blocks there are one
-    first = (back[-1][0], back[-1][1], back[-1][2] + on[0][2] - 1)
-    return np.array([*back[:-1], first, *on[1:]])
+    first = (behind[-1][0], behind[-1][1], behind[-1][2] + ahead[0][2] - 1)
+    return np.array([*behind[:-1], first, *ahead[1:]])
 
 
 def _stretches(blocks: np.ndarray) -> list[tuple[int, int]]:
