@@ -97,6 +97,10 @@ def control_coverage(wide: DataFrame, names: list[str]) -> DataFrame:
 
 
 def promoted(wide: DataFrame, keys: list[str], names: list[str], least: float = 0.75) -> DataFrame:
-    """The columns whose coverage reaches the threshold; a handful of names is looked up first."""
-    kept = [r.control for r in control_coverage(wide, names).filter(F.col("coverage") >= least).orderBy("control").collect()]
-    return wide.select(*keys, *kept)
+    """(keys, control, value) of the controls whose coverage over all places reaches the threshold, known values only.
+
+    Which they are is a small table that is joined, so nothing is looked up on the driver.
+    """
+    kept = control_coverage(wide, names).filter(F.col("coverage") >= least).select("control")
+    long = wide.unpivot(keys, names, "control", "value").filter("value is not null")
+    return long.join(F.broadcast(kept), "control", "left_semi").select(*keys, "control", "value")

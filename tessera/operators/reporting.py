@@ -112,9 +112,19 @@ def wide_rules(df: DataFrame, keys: list[str], rules: list[str], order: str) ->
     return df.withColumn("_n", n).filter("_n = 1").select(*keys, *[F.col(c).try_cast("double").alias(c) for c in rules])
 
 
-def place_and_year(places: list[Column], years: list[Column], by_name: dict[str, str]) -> tuple[Column, Column]:
-    """The first of the candidate columns that names a place, and the first with a year in it."""
-    return F.coalesce(*[S.resolved_key(p, by_name) for p in places]), S.year_in(*years)
+def with_place_and_year(df: DataFrame, places: list[Column], years: list[Column], names: DataFrame, width: int = 2) -> DataFrame:
+    """``place``: the first candidate that is digits or a known name; ``found_year``: the first with a year in it.
+
+    ``names``: name and code, any number of them, in any case; of equal names the least code counts.
+    """
+    known = names.groupBy(F.upper(F.trim("name")).alias("_name")).agg(F.min("code").alias("_code"))
+    codes = []
+    for i, p in enumerate(places):
+        text = F.upper(F.trim(p.cast("string")))
+        df = df.withColumn(f"_p{i}", text).join(known.withColumnsRenamed({"_name": f"_p{i}", "_code": f"_c{i}"}), f"_p{i}", "left")
+        codes.append(F.coalesce(F.when(F.col(f"_p{i}").rlike(r"^\d+$"), S.padded_code(f"_p{i}", width)), F.col(f"_c{i}")))
+    own = [f"_{x}{i}" for i in range(len(places)) for x in "pc"]
+    return df.withColumns({"place": F.coalesce(*codes), "found_year": S.year_in(*years)}).drop(*own)
 
 
 def proxy_gaps(df: DataFrame, proxy: str, known: str, large: float) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chains, demand, identification, models, overlays, panels, reports, simulations, sinks, sources_q
+from . import chains, demand, details, identification, models, overlays, panels, reports, simulations, sinks, sources_q
 
-_MODULES = (panels, sources_q, models, chains, simulations, reports, overlays, identification, demand, sinks)
+_MODULES = (panels, sources_q, models, chains, simulations, reports, overlays, identification, demand, sinks, details)
 
 
 def flagship(spark, sf_dir):

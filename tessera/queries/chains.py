@@ -62,7 +62,7 @@ SELECT o_custkey, round(f, 4) AS F, round(o, 4) AS O, round(p, 4) AS P, round(f
 
 
 def program_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Open sites matched to places by a cleaned name, slots summed, sites counted, school flags as a share."""
+    """Open sites matched to places by a cleaned name, slots summed, sites counted, school flags as a share."""
     sites = base.table(spark, sf_dir, "supplier").filter("s_acctbal > 0").select("s_suppkey", (F.col("s_acctbal") / 100).alias("slots"), F.concat(F.lit("Nation_"), F.col("s_nationkey").cast("string"), F.lit(" County")).alias("place"))
     places = base.table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey", S.county_key("n_name").alias("key"))
     joined = sites.withColumn("key", S.county_key("place")).join(F.broadcast(places), "key")
@@ -90,7 +90,7 @@ SELECT year, subgroup, count(*) AS records, round(sum(p * f) / sum(p), 6) AS pai
 
 
 def storms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events to place-day loads: counts, damage from suffixed text, distinct days, exposure."""
+    """Events to place-day loads: counts, damage from suffixed text, distinct days, exposure."""
     e = base.table(spark, sf_dir, "events").withColumn("place", F.col("user_id") % 25)
     text = F.concat(F.col("value").cast("string"), F.when(F.col("event_id") % 2 == 0, "K").otherwise(""))
     bad = F.col("event_type").isin("error", "click")
@@ -300,35 +300,35 @@ l AS (SELECT *, CASE WHEN a IS NOT NULL AND b IS NOT NULL AND t IS NOT NULL AND
   CASE WHEN s <= 0.02 THEN 'all_other' WHEN s >= 0.98 THEN 'all_part' WHEN s IS NOT NULL THEN 'mixed' ELSE 'missing' END AS edge FROM r)
 SELECT label, proxy, edge, count(*) AS n, round(sum(coalesce(a, CASE WHEN t >= b THEN t - b END, CASE WHEN b IS NULL THEN t * s END)), 4) AS part, round(sum(coalesce(b, CASE WHEN t >= a THEN t - a END, CASE WHEN a IS NULL THEN t * (1 - s) END)), 4) AS other FROM l GROUP BY ALL"""
 
-_CONTROLS = ["copay", "rate", "wait", "visit"]
+CONTROLS = ["copay", "rate", "wait", "visit"]
 
 
-def _policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+def policy_wide_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = base.table(spark, sf_dir, "events").withColumns({"geo": F.col("user_id") % 25, "month": F.month("ts")})
-    name = F.element_at(F.array(*[F.lit(c) for c in _CONTROLS]), (F.col("user_id") % 4 + 1).cast("int"))
+    name = F.element_at(F.array(*[F.lit(c) for c in CONTROLS]), (F.col("user_id") % 4 + 1).cast("int"))
     # one control is known in few places only: its name is hidden elsewhere, no row is left out
     known = e.withColumn("control", F.when((name != "visit") | (F.col("geo") < 6), name))
-    return eav.policy_wide(known, ["geo"], "control", "value", "event_id", _CONTROLS)
+    return eav.policy_wide(known, ["geo"], "control", "value", "event_id", CONTROLS)
 
 
-_POLICY = "e AS (SELECT *, user_id % 25 AS geo, ['copay', 'rate', 'wait', 'visit'][user_id % 4 + 1] AS control FROM events), w AS (SELECT geo, " + ", ".join(f"arg_max(value, event_id) FILTER (control = '{c}') AS {c}" for c in _CONTROLS) + ", count(DISTINCT control) AS n_controls FROM (SELECT * REPLACE (CASE WHEN control <> 'visit' OR geo < 6 THEN control END AS control) FROM e) GROUP BY geo)"
+POLICY_CTE = "e AS (SELECT *, user_id % 25 AS geo, ['copay', 'rate', 'wait', 'visit'][user_id % 4 + 1] AS control FROM events), w AS (SELECT geo, " + ", ".join(f"arg_max(value, event_id) FILTER (control = '{c}') AS {c}" for c in CONTROLS) + ", count(DISTINCT control) AS n_controls FROM (SELECT * REPLACE (CASE WHEN control <> 'visit' OR geo < 6 THEN control END AS control) FROM e) GROUP BY geo)"
 
 
 def policy_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Last value of each control by state."""
-    return base.rounded(_policy(spark, sf_dir))
+    return base.rounded(policy_wide_rows(spark, sf_dir))
 
 
-POLICY = f"WITH {_POLICY} SELECT geo, {', '.join(f'round({c}, 6) AS {c}' for c in _CONTROLS)}, n_controls FROM w"
+POLICY = f"WITH {POLICY_CTE} SELECT geo, {', '.join(f'round({c}, 6) AS {c}' for c in CONTROLS)}, n_controls FROM w"
 
 
 def policy_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Coverage of each control; C13: which are promoted."""
-    wide = _policy(spark, sf_dir)
-    return base.rounded(eav.control_coverage(wide, _CONTROLS).withColumn("promoted", F.col("coverage") >= 0.75))
+    wide = policy_wide_rows(spark, sf_dir)
+    return base.rounded(eav.control_coverage(wide, CONTROLS).withColumn("promoted", F.col("coverage") >= 0.75))
 
 
-COVER = f"WITH {_POLICY}, c AS ({' UNION ALL '.join(f'''SELECT '{c}' AS control, count({c}) AS n_known, count({c}) / count(*) AS coverage FROM w''' for c in _CONTROLS)}) SELECT control, n_known, round(coverage, 6) AS coverage, coverage >= 0.75 AS promoted FROM c"
+COVER = f"WITH {POLICY_CTE}, c AS ({' UNION ALL '.join(f'''SELECT '{c}' AS control, count({c}) AS n_known, count({c}) / count(*) AS coverage FROM w''' for c in CONTROLS)}) SELECT control, n_known, round(coverage, 6) AS coverage, coverage >= 0.75 AS promoted FROM c"
 
 # ---- L: rules
 

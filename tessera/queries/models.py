@@ -302,7 +302,7 @@ SELECT count(*) AS draws, round(avg(CASE WHEN slope > 0 THEN 1.0 ELSE 0.0 END),
 
 
 def sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The decomposition under nine staffing and fringe assumptions, medians of each case."""
+    """The decomposition under nine staffing and fringe assumptions, medians of each case."""
     rows = panels.decomposition(spark, sf_dir).select("price", "wage", "children_per_worker")
     cases = scenario.grid(spark, staffing=(0.8, 1.0, 1.2), fringe=(1.0, 1.2, 1.4))
     rows = lookups.with_grid(rows, cases)

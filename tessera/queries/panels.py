@@ -109,7 +109,7 @@ SELECT geo1, geo2, year, round(wage, 6) AS wage, wage_source, round(coalesce(sta
 
 
 def median_imputation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Outside options filled from median ratios of state-year, state, year, then all."""
+    """Outside options filled from median ratios of state-year, state, year, then all."""
     rows = base.county(spark, sf_dir).withColumn("base_value", F.col("population")).withColumn("outside", F.when((F.col("geo1") % 5 != 2) & ((F.col("geo1") % 4 != 1) | (F.col("year") != 1999)), F.col("outside")))
     levels = [("state_year", ["geo1", "year"]), ("state", ["geo1"]), ("year", ["year"]), ("national", [])]
     out = impute.fill_from_group_medians(rows, "outside", "base_value", "outside_source", levels)
@@ -125,7 +125,7 @@ FROM r LEFT JOIN m0 USING (geo1, year) LEFT JOIN m1 USING (geo1) LEFT JOIN m2 US
 
 
 def sample_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exclusion reasons, core eligibility, and the support window of each state-year."""
+    """Exclusion reasons, core eligibility, and the support window of each state-year."""
     s = ladders.support_window(base.state(spark, sf_dir), base.micro(spark, sf_dir).filter(f"year <= {base.CORE_LAST}"))
     outside_window = ~F.col("year").between(base.CORE_FIRST, base.CORE_LAST)
     broad = [("outside_window", outside_window), ("sensitivity_year", F.col("year") == base.SENSITIVITY), ("no_price", F.col("price").isNull()), ("no_controls", F.col("outside").isNull())]

@@ -114,13 +114,13 @@ def policy_quantities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The state's policy controls beside its quantities; controls that are not known get the default 0."""
     parts, _, _ = chains._stack(spark, sf_dir)
     total = parts.groupBy(*KEYS).agg(F.sum("quantity").alias("quantity"))
-    policy = chains._policy(spark, sf_dir).withColumnRenamed("geo", "geo1")
-    out = reporting.with_defaults(total, policy, ["geo1"], {c: 0.0 for c in chains._CONTROLS} | {"n_controls": 0})
+    policy = chains.policy_wide_rows(spark, sf_dir).withColumnRenamed("geo", "geo1")
+    out = reporting.with_defaults(total, policy, ["geo1"], {c: 0.0 for c in chains.CONTROLS} | {"n_controls": 0})
     return base.rounded(out, 4)
 
 
-POLICY_QUANTITIES = f"""WITH {chains.STACK}, {chains._POLICY}, t AS (SELECT geo1, year, sum(quantity) AS quantity FROM parts GROUP BY ALL)
-SELECT geo1, year, round(quantity, 4) AS quantity, {", ".join(f"round(coalesce({c}, 0), 4) AS {c}" for c in chains._CONTROLS)}, coalesce(n_controls, 0) AS n_controls FROM t LEFT JOIN w ON geo = geo1"""
+POLICY_QUANTITIES = f"""WITH {chains.STACK}, {chains.POLICY_CTE}, t AS (SELECT geo1, year, sum(quantity) AS quantity FROM parts GROUP BY ALL)
+SELECT geo1, year, round(quantity, 4) AS quantity, {", ".join(f"round(coalesce({c}, 0), 4) AS {c}" for c in chains.CONTROLS)}, coalesce(n_controls, 0) AS n_controls FROM t LEFT JOIN w ON geo = geo1"""
 
 
 def publication_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -240,21 +240,20 @@ def places_and_years(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A nation and a year out of the first candidate column that has one."""
     n = base.table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     o = base.table(spark, sf_dir, "orders").join(base.table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
-    # the names of the given nations; a config in real use
-    names = {r.n_name: f"{r.n_nationkey:02d}" for r in n.orderBy("n_nationkey").limit(100).collect()}
+    names = n.select(F.col("n_name").alias("name"), F.lpad(F.col("n_nationkey").cast("string"), 2, "0").alias("code"))
     rows = o.join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey"))
     first = F.when(F.col("o_orderkey") % 3 == 0, F.col("n_name"))
     second = F.lpad(F.col("n_nationkey").cast("string"), 2, "0")
     sheet = F.concat(F.lit("FY20"), F.lpad((F.col("o_orderkey") % 30).cast("string"), 2, "0"))
-    place, year = reporting.place_and_year([first, second], [F.when(F.col("o_orderkey") % 2 == 0, sheet), F.lit("as of 2031")], names)
-    return rows.withColumns({"place": place, "found_year": year}).groupBy("place", "found_year").agg(F.count("*").alias("n"))
+    found = reporting.with_place_and_year(rows, [first, second], [F.when(F.col("o_orderkey") % 2 == 0, sheet), F.lit("as of 2031")], names)
+    return found.groupBy("place", "found_year").agg(F.count("*").alias("n"))
 
 
 PLACES = """SELECT lpad(c_nationkey::VARCHAR, 2, '0') AS place, CAST(CASE WHEN o_orderkey % 2 = 0 THEN 2000 + o_orderkey % 30 ELSE 2031 END AS INT) AS found_year, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL"""
 
 
 def feature_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every feature seen, with its rows, places, first and last value in order."""
+    """C14: every feature seen, with its rows, places, first and last value in order."""
     e = base.table(spark, sf_dir, "events").withColumn("place", F.col("user_id") % 25)
     out = e.groupBy("event_type").agg(F.count("*").alias("n_rows"), F.count_distinct("place").alias("n_places"), F.min_by("value", "event_id").alias("first_value"), F.max_by("value", "event_id").alias("last_value"))
     return base.rounded(out)
@@ -313,7 +312,7 @@ SELECT year, label, n, round(n / sum(n) OVER w, 6) AS share, round(1 - sum(CASE
 
 
 def labour_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two-stage fits over thresholds of the observed share, and which of the passing fits is the first by strength."""
+    """Two-stage fits over thresholds of the observed share, and which of the passing fits is the first by strength."""
     rows = models.demand_rows(spark, sf_dir)
     limits = F.array(*[F.lit(x) for x in (0.0, 0.25, 0.4, 0.5, 0.75)])
     rows = rows.withColumn("least_support", F.explode(F.filter(limits, lambda t: F.col("observed_share") >= t)))

@@ -72,7 +72,7 @@ HEADER = "SELECT c_nationkey, count(*) AS n, CAST(sum(c_custkey) AS BIGINT) AS k
 
 
 def props(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parsed event properties by type and month."""
+    """parsed event properties by type and month."""
     e = base.table(spark, sf_dir, "events").withColumn("k", F.from_json("props", "k int")["k"])
     return base.rounded(e.groupBy("event_type", F.month("ts").alias("month")).agg(F.count("k").alias("n"), F.sum("k").alias("k_sum"), F.avg("value").alias("mean")))
 
@@ -149,7 +149,7 @@ SELECT *, round(n / sum(n) OVER (PARTITION BY o_orderpriority), 6) AS share FROM
 
 
 def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Columns, positions, types and non-null rows of the artifacts."""
+    """Columns, positions, types and non-null rows of the artifacts."""
     names = ("nation", "customer", "orders", "part")
     out = account.schema_inventory({n: base.table(spark, sf_dir, n) for n in names})
     return out.select("artifact", "column_name", "position", "row_count", "non_null_rows")

@@ -114,6 +114,11 @@ def write_json_summary(df: DataFrame, path: str) -> None:
     df.select(*sorted(df.columns)).write.mode("overwrite").json(path)
 
 
+def read_json_summary(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """S3: the records of a summary, typed by the given schema; fields that a record lacks are null."""
+    return spark.read.schema(schema).json(path)
+
+
 def with_provenance(df: DataFrame, registry: DataFrame, key: str) -> DataFrame:
     """Each artifact's mode from its own record, else the registry's latest."""
     latest = registry.groupBy(key).agg(F.max_by("mode", "fetched").alias("_mode"))
