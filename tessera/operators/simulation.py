@@ -2,11 +2,12 @@
 
 A draw's fits are sums over clusters, weighted by how often the draw holds each, so
 a hundred draws cost one scan of the data and a small join; prices are then solved
-for every row, alpha and accepted draw as one column.
+for every row and alpha over all accepted draws together, as an array beside the row.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,23 +62,49 @@ def bootstrap_fits(demand: DataFrame, supply: DataFrame, group: str, draws: int,
     return d.join(s, "draw").select("draw", scenario.demand_magnitude(F.col("signed")).alias("demand_elasticity"), "supply_elasticity", reason.alias("reason"))
 
 
-def bootstrap_prices(rows: DataFrame, fits: DataFrame, alphas: DataFrame, save, **names) -> tuple[DataFrame, DataFrame]:
-    """Rows by alpha and accepted draw with ``draw_price``; and the fits with their final reason.
+def bootstrap_prices(rows: DataFrame, fits: DataFrame, alphas: DataFrame, save, entry: str | None = None, cost: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows by alpha with ``draws`` and ``draw_prices``, arrays over the accepted draws; and the fits with their final reason.
 
-    A draw of which one row has no root is rejected as a whole. ``fits`` has a row for
-    each draw and is broadcast; ``save`` writes and rereads, as the prices are read twice.
+    A row's draws are solved together where the row lies: nothing is crossed or shuffled. A draw of which one
+    row has no root is rejected as a whole. ``fits`` has a row for each draw, three numbers that go with the
+    task; ``save`` writes and rereads the arrays, as they are read twice.
     """
-    good = fits.filter("reason is null").drop("reason")
-    each = lookups.with_grid(rows.drop("demand_elasticity", "supply_elasticity"), alphas).crossJoin(F.broadcast(good))
-    solved = save(each.withColumn("_s", scenario.solved(**names)).withColumns({"draw_price": F.col("_s.price"), "solver_status": F.col("_s.status")}).drop("_s"))
-    lost = solved.groupBy("draw").agg(F.bool_or(F.col("draw_price").isNull()).alias("lost"))
-    fits = fits.join(lost, "draw", "left").withColumn("reason", F.coalesce("reason", F.when(F.col("lost"), "solver"))).drop("lost")
-    return solved.join(F.broadcast(fits.filter("reason is null").select("draw")), "draw"), fits
+    good = [(r.draw, r.demand_elasticity, r.supply_elasticity) for r in fits.filter("reason is null").orderBy("draw").collect()]
+    numbers, demand, supply = (np.array(x, float) for x in (zip(*good) if good else ([], [], [])))
+    inputs = lookups.with_grid(rows.drop("demand_elasticity", "supply_elasticity"), alphas)
+    names = ["base_price", "market", "unpaid", "alpha", *[c for c in (entry, cost) if c]]
+
+    def solve(frames):
+        for frame in frames:
+            n, d = len(frame), len(numbers)
+            x = {c: np.repeat(frame[c].to_numpy(float), d) for c in names}
+            zero = np.zeros(n * d)
+            es = np.tile(supply, n)
+            price, _, _ = scenario._solve(x["base_price"], x["market"], x["unpaid"], x["alpha"], np.tile(demand, n), es, es, x[entry] if entry else zero, x[cost] if cost else zero)
+            yield frame.assign(draw_prices=list(price.reshape(n, d)))
+
+    form = ", ".join(f"`{c}` {t}" for c, t in inputs.dtypes) + ", draw_prices array<double>"
+    solved = save(inputs.mapInPandas(solve, form))
+    each = solved.select(F.posexplode("draw_prices").alias("i", "p")).groupBy("i").agg(F.bool_or(F.col("p").isNull() | F.isnan("p")).alias("lost"))
+    lost = {int(numbers[r.i]) for r in each.filter("lost").collect()}
+    kept = [i for i, k in enumerate(numbers.astype(int).tolist()) if k not in lost]
+    at = F.lit([int(numbers[i]) for i in kept]) if kept else F.array().cast("array<int>")
+    prices = F.transform(F.lit(kept) if kept else F.array().cast("array<int>"), lambda i: F.get("draw_prices", i))
+    reason = F.coalesce("reason", F.when(F.col("draw").isin(*lost) if lost else F.lit(False), "solver"))
+    return solved.withColumns({"draws": at, "draw_prices": prices}), fits.withColumn("reason", reason)
+
+
+def _quantile(sorted_: Column, q: float) -> Column:
+    """The quantile of a sorted array, between the two nearest ranks; null of an empty one."""
+    place = (F.size(sorted_) - 1) * F.lit(float(q))
+    low, high = F.get(sorted_, F.floor(place).cast("int")), F.get(sorted_, F.ceil(place).cast("int"))
+    return low + (high - low) * (place - F.floor(place))
 
 
 def intervals(draws: DataFrame, keys: list[str], low: float = 0.1, high: float = 0.9) -> DataFrame:
-    """Each row's interval over the accepted draws."""
-    return draws.groupBy(*keys).agg(F.percentile("draw_price", low).alias("price_lower"), F.percentile("draw_price", high).alias("price_upper"), F.count("*").alias("n_draws"))
+    """Each row's interval over the accepted draws; without any there is no row."""
+    rows = draws.filter(F.size("draw_prices") > 0).select(*keys, F.array_sort("draw_prices").alias("_p"))
+    return rows.select(*keys, _quantile(F.col("_p"), low).alias("price_lower"), _quantile(F.col("_p"), high).alias("price_upper"), F.size("_p").cast("long").alias("n_draws"))
 
 
 def bootstrap_record(fits: DataFrame, least_rate: float = 0.8) -> DataFrame:
@@ -102,7 +129,8 @@ def headline_table(rows: DataFrame, axes: list[str], base: str = "base_price", p
 
 def headline_intervals(draws: DataFrame, axes: list[str], base: str = "base_price", low: float = 0.1, high: float = 0.9) -> DataFrame:
     """The headline of every draw, then its quantiles over the draws."""
-    each = draws.groupBy(*axes, "draw").agg(*_headline(base, "draw_price"))
+    long = draws.select(*axes, base, F.explode(F.arrays_zip("draws", "draw_prices")).alias("_x")).select(*axes, base, F.col("_x.draws").alias("draw"), F.col("_x.draw_prices").alias("draw_price"))
+    each = long.groupBy(*axes, "draw").agg(*_headline(base, "draw_price"))
     columns = [F.percentile(c, q).alias(f"{c}_{name}") for c in ("median_price", "median_change", "share_up", "share_down") for name, q in (("lower", low), ("upper", high))]
     return each.groupBy(*axes).agg(*columns)
 

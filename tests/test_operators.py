@@ -161,4 +161,4 @@ def test_bootstrap_rejects_draws_by_reason(spark):
     # no root within 128 times the price: the whole draw goes
     steep = spark.createDataFrame([(0, 0.001, 0.001, None), (1, 0.5, 1.0, None)], fits.schema)
     draws, record = simulation.bootstrap_prices(rows, steep, scenario.grid(spark, alpha=(1.0,)), tables.staged)
-    assert {r.draw for r in draws.collect()} == {1} and {r.reason for r in record.collect()} == {None, "solver"}
+    assert {tuple(r.draws) for r in draws.collect()} == {(1,)} and {r.reason for r in record.collect()} == {None, "solver"}

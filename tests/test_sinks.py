@@ -116,3 +116,35 @@ def test_bundle_index(spark, tmp_path):
     assert index["many"].n_files == len(files) == 3 and index["many"].sha256 == hashlib.sha256("".join(hashlib.sha256(f.read_bytes()).hexdigest() for f in files).encode()).hexdigest()
     assert (index["none"].file_exists, index["none"].sha256, index["none"].n_files) == (False, "", 0)
     assert {json.loads(line)["artifact"] for f in (tmp_path / "bundle" / "_index").glob("part-*") for line in f.read_text().splitlines()} == {"one", "many", "none"}
+
+
+def test_json_summaries_keep_sorted_keys(spark, tmp_path):
+    from tessera.sources import tables
+
+    path = str(tmp_path / "s")
+    tables.write_json_summary(spark.createDataFrame([(2, "b", None), (1, "a", 5)], "z int, k string, m int"), path)
+    lines = [line for f in (tmp_path / "s").glob("part-*") for line in f.read_text().splitlines()]
+    assert sorted(lines) == ['{"k":"a","m":5,"z":1}', '{"k":"b","z":2}']
+    assert sorted(map(tuple, tables.read_json_summary(spark, path, "k string, m int, new double").collect())) == [("a", 5, None), ("b", None, None)]
+
+
+def test_places_come_from_any_number_of_names(spark):
+    from tessera.operators import reporting
+
+    names = spark.createDataFrame([(f"Place {i}", f"{i:02d}") for i in range(300)] + [("place 7", "99")], "name string, code string")
+    rows = spark.createDataFrame([(1, "place 250 ", None, "FY2021"), (2, None, "6", "none"), (3, "elsewhere", "Place 7", "2019 and 2020"), (4, "elsewhere", None, None)], "id int, a string, b string, y string")
+    out = reporting.with_place_and_year(rows, [F.col("a"), F.col("b")], [F.col("y"), F.lit("as of 2030")], names)
+    assert out.columns == [*rows.columns, "place", "found_year"]
+    assert {(r.id, r.place, r.found_year) for r in out.collect()} == {(1, "250", 2021), (2, "06", 2030), (3, "07", 2019), (4, None, 2030)}
+
+
+def test_program_capacity_is_filled_by_level(spark, tmp_path):
+    from tessera.operators import eav, panel
+    from tessera.sources import tables
+
+    df = tables.staged(spark.createDataFrame([(1, 10, 2000, 100.0), (1, 11, 2000, 50.0), (1, 11, 2001, 60.0), (2, 20, 2001, 10.0), (3, 30, 2002, 0.0)], "geo1 int, geo2 int, year int, population double"))
+    slots = spark.createDataFrame([(10, 20.0), (99, 1.0)], "geo2 int, slots double")
+    out = {(r.geo2, r.year): (r.slots, r.slots_source, r.capacity_share) for r in panel.with_share_fill(df, slots, "geo2").collect()}
+    assert out == {(10, 2000): (20.0, "observed", 0.2), (11, 2000): (10.0, "state_year", 0.2), (11, 2001): (12.0, "state", 0.2), (20, 2001): (2.0, "national", 0.2), (30, 2002): (0.0, "national", None)}
+    wide = spark.createDataFrame([(1, 1.0, None), (2, 2.0, 5.0), (3, 3.0, None), (4, None, None)], "geo int, a double, b double")
+    assert {tuple(r) for r in eav.promoted(wide, ["geo"], ["a", "b"]).collect()} == {(1, "a", 1.0), (2, "a", 2.0), (3, "a", 3.0)}
