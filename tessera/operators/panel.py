@@ -80,7 +80,8 @@ def with_share_fill(df: DataFrame, slots: DataFrame, geo: str) -> DataFrame:
     """A year-less cross-section joined by place; missing slots are the population times a median ratio of the group; ``capacity_share`` of the population, 1 at most."""
     rows = df.join(slots, geo, "left")
     out = impute.fill_from_group_medians(rows, "slots", "population", "slots_source", [("state_year", ["geo1", "year"]), ("state", ["geo1"]), ("year", ["year"]), ("national", [])])
-    return out.withColumn("capacity_share", F.least(F.try_divide(F.col("slots"), F.nullif(F.col("population"), F.lit(0.0))), F.lit(1.0)))
+    share = F.try_divide(F.col("slots"), F.nullif(F.col("population"), F.lit(0.0)))
+    return out.withColumn("capacity_share", F.when(share > 1, 1.0).otherwise(share))
 
 
 def coverage_counts(df: DataFrame, columns: list[str]) -> list[Column]:
