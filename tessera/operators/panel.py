@@ -84,6 +84,25 @@ def with_share_fill(df: DataFrame, slots: DataFrame, geo: str) -> DataFrame:
     return out.withColumn("capacity_share", F.when(share > 1, 1.0).otherwise(share))
 
 
+#: The measures of the support metadata, all weighted by population (A2).
+SUPPORT = [
+    "price", "density", "benchmark_wage", "specialist_wage", "outside", "imputed_share", "direct_price", "direct_raw", "residual_price", "direct_share", "clip",
+    "workers_per_child", "implied_wage", "wage_observed", "employment_observed", "labour_observed",
+]
+
+
+def support_metadata(df: DataFrame, keys: list[str], wage_source: str, employment_source: str, weight: str = "population") -> DataFrame:
+    """The sixteen measures of a place and year: prices and their parts, wages, and the shares of rows whose labour sources are observed; the inverse staffing ratio; whether the clip binds anywhere.
+
+    ``df`` is the decomposed county panel with densities and wages; a source is observed if its label ends so.
+    """
+    seen = {n: F.coalesce(F.col(c).endswith("observed"), F.lit(False)).cast("double") for n, c in (("wage_observed", wage_source), ("employment_observed", employment_source))}
+    rows = df.withColumns({**seen, "clip": F.col("clip_binds").cast("double"), "specialist_wage": F.coalesce("outside", "benchmark_wage")})
+    rows = rows.withColumn("labour_observed", F.least("wage_observed", "employment_observed"))
+    out = W.to_groups(rows, keys, SUPPORT, weight, weight)
+    return out.withColumns({"children_per_worker": F.try_divide(F.lit(1.0), F.nullif("workers_per_child", F.lit(0.0))), "clip_binds": F.col("clip") > 0})
+
+
 def coverage_counts(df: DataFrame, columns: list[str]) -> list[Column]:
     """Aggregates for a one-row summary: rows, rows with each value, positive rows."""
     out = [F.count("*").alias("n_rows")]

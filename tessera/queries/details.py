@@ -28,6 +28,60 @@ f AS (SELECT geo1, geo2, year, b, coalesce(v, b * coalesce(m0, m1, m2, m3)) AS s
   FROM q LEFT JOIN m0 USING (geo1, year) LEFT JOIN m1 USING (geo1) LEFT JOIN m2 USING (year) CROSS JOIN m3)
 SELECT geo1, geo2, year, round(s, 9) AS slots, l AS slots_source, round(least(s / b, 1), 9) AS capacity_share FROM f"""
 
+def _labour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The decomposed county panel with densities, benchmark wages and the labels of its labour sources."""
+    rows = panel.with_benchmark_wages(panel.with_density(panels.decomposition(spark, sf_dir)))
+    wage = F.when(F.col("wage").isNotNull(), "county_observed").otherwise("state_fallback")
+    employment = F.when(F.col("establishments").isNotNull(), "employment_observed").when(F.col("nonemployers").isNotNull(), "nonemployer_proxy")
+    return rows.withColumns({"wage_source": wage, "employment_source": employment})
+
+
+_LABOUR = f"""{panels.DECOMPOSED}, lab AS (SELECT geo1, geo2, year, n, population, establishments, nonemployers, price, wage, {panels._DENSITY} AS density, coalesce(wage, outside) AS benchmark_wage, coalesce(outside, wage) AS specialist_wage, outside, imputed_share, observed_share,
+  direct_price, direct_raw, price - direct_price AS residual_price, direct_price / nullif(price, 0) AS direct_share, CAST(coalesce(direct_raw > price, false) AS DOUBLE) AS clip, workers_per_child, direct_price * children_per_worker / (400.0 * 1.2) AS implied_wage,
+  CASE WHEN wage IS NOT NULL THEN 1.0 ELSE 0.0 END::DOUBLE AS wage_observed, CASE WHEN establishments IS NOT NULL THEN 1.0 ELSE 0.0 END::DOUBLE AS employment_observed,
+  CASE WHEN wage IS NOT NULL AND establishments IS NOT NULL THEN 1.0 ELSE 0.0 END::DOUBLE AS labour_observed FROM dec)"""
+
+
+def support_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The support metadata of every state-year, sixteen measures in one pass."""
+    return base.rounded(panel.support_metadata(_labour(spark, sf_dir), ["geo1", "year"], "wage_source", "employment_source"))
+
+
+SUPPORT_METADATA = f"""WITH {_LABOUR}, s AS (SELECT geo1, year, sum(population) AS population, {", ".join(f"{base.a2(m, 'population')} AS {m}" for m in panel.SUPPORT)} FROM lab GROUP BY geo1, year)
+SELECT geo1, year, round(population, 6) AS population, {", ".join(f"round({m}, 6) AS {m}" for m in panel.SUPPORT)}, round(1 / nullif(workers_per_child, 0), 6) AS children_per_worker, clip > 0 AS clip_binds FROM s"""
+
+_COUNTED = ["price", "wage", "outside", "density", "benchmark_wage", "establishments", "nonemployers", "direct_price", "direct_raw", "residual_price", "direct_share", "workers_per_child", "implied_wage", "imputed_share", "observed_share", "population"]
+_STATE_COUNTED = ["price", "wage", "outside", "imputed_share", "observed_share"]
+
+
+def pipeline_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row of sixty-odd counts: rows, places and years of both grains, known and positive values of each measure, rows by source label, and state-years that a source has."""
+    c, s = tables.staged(_labour(spark, sf_dir)), base.state(spark, sf_dir)
+    when = lambda name, cond: F.count_if(cond).alias(name)
+    county = c.agg(
+        *panel.coverage_counts(c, _COUNTED), F.count_distinct("geo2").alias("n_counties"), F.count_distinct("geo1").alias("n_county_states"), F.min("year").alias("first_year"), F.max("year").alias("last_year"),
+        when("wage_county_observed", F.col("wage_source") == "county_observed"), when("wage_state_fallback", F.col("wage_source") == "state_fallback"), when("employment_observed", F.col("employment_source") == "employment_observed"),
+        when("employment_proxy", F.col("employment_source") == "nonemployer_proxy"), when("employment_missing", F.col("employment_source").isNull()), when("clip_binds", F.col("clip_binds")), when("low_imputed", F.col("imputed_share") <= 0.25),
+        when("core_years", F.col("year").between(base.CORE_FIRST, base.CORE_LAST)), when("sensitivity_year", F.col("year") == base.SENSITIVITY),
+    )
+    names = ["n_state_rows", *[f"n_state_{m}{x}" for m in _STATE_COUNTED for x in ("", "_positive")]]
+    state = s.agg(*panel.coverage_counts(s, _STATE_COUNTED)).toDF(*names)
+    more = s.agg(F.count_distinct("geo1").alias("n_states"), F.count_distinct("year").alias("n_years"))
+    held = lookups.coverage(s, c.filter("wage is not null"), ["geo1", "year"]).toDF("n_state_years", "n_state_years_with_wage")
+    return county.crossJoin(state).crossJoin(more).crossJoin(held)
+
+
+def _both(columns: list[str], prefix: str) -> str:
+    return ", ".join(f"count({c}) AS {prefix}{c}, count(*) FILTER ({c} > 0) AS {prefix}{c}_positive" for c in columns)
+
+
+DIAGNOSTICS = f"""WITH {_LABOUR}, st AS (SELECT geo1, year, {", ".join(f"{base.a2(m, 'population')} AS {m}" for m in _STATE_COUNTED)} FROM county GROUP BY geo1, year),
+c AS (SELECT count(*) AS n_rows, {_both(_COUNTED, "n_")}, count(DISTINCT geo2) AS n_counties, count(DISTINCT geo1) AS n_county_states, min(year) AS first_year, max(year) AS last_year, count(wage) AS wage_county_observed, count(*) FILTER (wage IS NULL) AS wage_state_fallback,
+  count(establishments) AS employment_observed, count(*) FILTER (establishments IS NULL AND nonemployers IS NOT NULL) AS employment_proxy, count(*) FILTER (establishments IS NULL AND nonemployers IS NULL) AS employment_missing, count(*) FILTER (clip > 0) AS clip_binds,
+  count(*) FILTER (imputed_share <= 0.25) AS low_imputed, count(*) FILTER (year BETWEEN {base.CORE_FIRST} AND {base.CORE_LAST}) AS core_years, count(*) FILTER (year = {base.SENSITIVITY}) AS sensitivity_year FROM lab),
+s AS (SELECT count(*) AS n_state_rows, {_both(_STATE_COUNTED, "n_state_")}, count(DISTINCT geo1) AS n_states, count(DISTINCT year) AS n_years FROM st)
+SELECT c.*, s.*, (SELECT count(*) FROM st) AS n_state_years, (SELECT count(*) FROM st SEMI JOIN (SELECT DISTINCT geo1, year FROM lab WHERE wage IS NOT NULL) k USING (geo1, year)) AS n_state_years_with_wage FROM c, s"""
+
 #: The most imputed share, and the least observed share, of the samples that are compared.
 IMPUTED, OBSERVED = [0.20, 0.25, 0.30, 0.35, 0.40, 0.45, 0.50], [0.95, 0.96, 0.98, 0.99, 1.00]
 
@@ -101,5 +155,6 @@ JSON_SUMMARIES = """SELECT CAST(year(o_orderdate) AS INT) AS year, count(*) AS n
   'customers,' || CASE WHEN max(o_orderkey) FILTER (o_orderstatus = 'P') IS NULL THEN '' ELSE 'last_pending,' END || 'n_orders,year' AS keys FROM orders GROUP BY 1"""
 
 REGISTERED = {
+    "support_metadata": (support_metadata, SUPPORT_METADATA), "pipeline_diagnostics": (pipeline_diagnostics, DIAGNOSTICS),
     "program_capacity": (program_capacity, CAPACITY), "threshold_pick": (threshold_pick, THRESHOLDS), "price_by_alpha": (price_by_alpha, BY_ALPHA), "promoted_controls": (promoted_controls, PROMOTED), "json_summaries": (json_summaries, JSON_SUMMARIES),
 }
