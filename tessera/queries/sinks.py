@@ -70,6 +70,8 @@ SELECT kind, count(*) AS rows, count(*) FILTER (bad) AS rejected, true AS has_fi
   count(DISTINCT l_linestatus) FILTER (NOT bad) AS statuses FROM l GROUP BY kind"""
 
 _PART = T.StructType([T.StructField("p_partkey", T.LongType()), T.StructField("p_type", T.StringType()), T.StructField("p_size", T.IntegerType()), T.StructField("p_retailprice", T.DoubleType())])
+#: Fixed value: keys of one JSON payload's range; a layout holds one in six of them.
+_PAYLOAD_KEYS = 16384
 
 
 def formats_by_extension(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,8 +82,8 @@ def formats_by_extension(spark: SparkSession, sf_dir: str) -> DataFrame:
     own(0).drop("p_size").write.option("header", True).csv(f"{folder}/a.csv")
     own(1).write.option("header", True).option("sep", "\t").option("compression", "gzip").csv(f"{folder}/b.tsv.gz")
     own(2).write.parquet(f"{folder}/c.parquet")
-    # a payload is one file, so parts are dealt to many
-    packed = lambda i, c: own(i).groupBy(F.pmod(F.xxhash64("p_type", "p_size"), F.lit(16)).alias("g")).agg(c.alias("value"))
+    # a payload is one file and one value, so it takes a range of keys: more parts give more payloads, not longer ones
+    packed = lambda i, c: own(i).groupBy(F.floor(F.col("p_partkey") / _PAYLOAD_KEYS).alias("g")).agg(c.alias("value"))
     whole = F.struct(*p.columns)
     of = lambda c: lambda x: x[c]
     layouts = {

@@ -38,14 +38,19 @@ def accepted(checked: DataFrame) -> DataFrame:
 
 
 def json_records(text: Column) -> Column:
-    """The records of a JSON payload as maps: a list of objects, an object with ``rows``, or an object of equally long lists."""
+    """The records of a JSON payload as maps: a list of objects, an object with ``rows``, or an object of equally long lists.
+
+    A payload is parsed once for each layout, however many records it has: what a lambda
+    names is a value, while an expression inside one is evaluated for each record.
+    """
     as_list = F.from_json(text, "array<map<string,string>>")
     as_rows = F.from_json(text, "struct<rows:array<map<string,string>>>")["rows"]
-    lists = F.from_json(text, "map<string,array<string>>")
-    longest = F.array_max(F.transform(F.map_values(lists), lambda x: F.size(x)))
-    as_lists = F.transform(F.sequence(F.lit(0), longest - 1), lambda i: F.transform_values(lists, lambda _, x: F.get(x, i)))
-    kind = F.when(F.trim(text).startswith("["), as_list).when(as_rows.isNotNull(), as_rows)
-    return kind.when(longest > 0, as_lists)
+    each = lambda lists, n: F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.transform_values(lists, lambda _, x: F.get(x, i))))
+    longest = lambda lists: F.array_max(F.transform(F.map_values(lists), lambda x: F.size(x)))
+    named = lambda value, of: F.get(F.transform(F.array(value), of), F.lit(0))
+    as_lists = named(F.from_json(text, "map<string,array<string>>"), lambda lists: named(longest(lists), lambda n: each(lists, n)))
+    others = named(as_rows, lambda rows: F.coalesce(rows, as_lists))
+    return F.when(F.trim(text).startswith("["), as_list).otherwise(others)
 
 
 def read_json_payloads(spark: SparkSession, paths: list[str], columns: list[str]) -> DataFrame:

@@ -1,11 +1,13 @@
 import gzip
 import hashlib
+import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.sources import tables
+from tessera.sources import checked, tables
 from tessera.streaming import upserts
 
 SCHEMA = T.StructType([T.StructField("code", T.StringType()), T.StructField("n", T.LongType()), T.StructField("x", T.DoubleType())])
@@ -73,3 +75,16 @@ def test_gates(spark):
     assert sorted(map(tuple, out.collect())) == [("a", "real"), ("b", "real")]
     last = tables.latest_records(reg, ["k"], [F.desc("fetched")])
     assert sorted((r.k, r["mode"]) for r in last.collect()) == [("a", "real"), ("b", "sample")]
+
+
+def test_a_long_payload_is_parsed_once(spark, tmp_path):
+    n = 20000
+    rows = [{"a": str(i), "b": f"x{i}"} for i in range(n)]
+    layouts = {"list": rows, "rows": {"rows": rows}, "lists": {"a": [r["a"] for r in rows], "b": [r["b"] for r in rows][:-1]}, "empty": {"a": []}, "none": 7}
+    for name, value in layouts.items():
+        (tmp_path / f"{name}.json").write_text(json.dumps(value))
+    start = time.monotonic()
+    got = checked.read_json_payloads(spark, [str(tmp_path)], ["a", "b"]).groupBy().agg(F.count("*"), F.count("b"), F.count_distinct("a"), F.sum(F.col("a").cast("long"))).first()
+    assert tuple(got) == (3 * n, 3 * n - 1, n, 3 * n * (n - 1) // 2)
+    # a parse for each record took minutes
+    assert time.monotonic() - start < 30
