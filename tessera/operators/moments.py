@@ -48,20 +48,41 @@ def square(m) -> np.ndarray:
     return out + np.triu(out, 1).T
 
 
-def fitted(a: np.ndarray, x: list[int], y: int) -> np.ndarray:
-    """M1: coefficients of y on x (place 0 is the constant, unpenalised)."""
-    penalty = RIDGE * np.eye(len(x))
-    penalty[0, 0] = 0
-    system = a[np.ix_(x, x)] + penalty
-    try:
-        return np.linalg.solve(system, a[x, y])
-    except np.linalg.LinAlgError:
-        return np.linalg.pinv(system) @ a[x, y]
+def centred(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The means, and the moments about them: the constant is eliminated first, as no penalty concerns it."""
+    means = a[0] / a[0, 0] if a[0, 0] else np.zeros(len(a))
+    return means, a - np.outer(a[0], means)
 
 
-def sse(a: np.ndarray, x: list[int], y: int, b: np.ndarray) -> float:
-    """The weighted sum of squared errors of given coefficients, which is bilinear in the moments."""
-    return float(a[y, y] - 2 * b @ a[x, y] + b @ a[np.ix_(x, x)] @ b)
+#: The least share of a column's size, or of its variance, that is told from the rounding of sums over data (of many equal terms, which round to one side) and of products of them.
+ROUNDING, REPEATED, EXACT = 1e-12, 1e-9, 1e-14
+
+
+def ridge(c: np.ndarray, right: np.ndarray, size: np.ndarray | None = None, least: float = ROUNDING, penalty: float = RIDGE) -> np.ndarray:
+    """M1 on centred moments: a direction in which the columns do not vary gets 0, as in exact arithmetic only the penalty would decide it.
+
+    Columns are brought to one scale first. ``size``: the columns' raw sums of squares, which tell a constant column from its rounding.
+    """
+    out, own = np.zeros(len(c)), np.diag(c)
+    vary = np.flatnonzero(own > (least * size if size is not None else 0))
+    if not len(vary):
+        return out
+    c, scale = c[np.ix_(vary, vary)], np.sqrt(own[vary])
+    value, vector = np.linalg.eigh(c / np.outer(scale, scale))
+    still = vector[:, value <= least] / scale[:, None]
+    basis = np.linalg.qr(still, mode="complete")[0][:, still.shape[1] :] if still.shape[1] else np.eye(len(vary))
+    system = basis.T @ c @ basis + penalty * np.eye(basis.shape[1])
+    d = np.sqrt(np.diag(system))
+    out[vary] = basis @ (np.linalg.solve(system / np.outer(d, d), basis.T @ right[vary] / d) / d)
+    return out
+
+
+def fitted(a: np.ndarray, x: list[int], y: int, around: np.ndarray | float = 0.0, least: float = ROUNDING) -> np.ndarray:
+    """M1: coefficients of y on x (place 0 is the constant, unpenalised); ``around``: what was taken off each column before its moments."""
+    means, c = centred(a)
+    inner, raw = x[1:], means + around
+    b = ridge(c[np.ix_(inner, inner)], c[inner, y], np.diag(c)[inner] + a[0, 0] * raw[inner] ** 2, least)
+    return np.array([raw[y] - b @ raw[inner], *b])
 
 
 def r2(a: np.ndarray, y: int, error: float) -> float | None:
@@ -75,33 +96,37 @@ def two_stage(m, n: int) -> dict[str, float | int | bool | None]:
     a = square(m)
     k = len(a)
     z, p, y, controls = 1, 2, 3, list(range(4, k))
-    first = [0, z, *controls]
-    b1 = fitted(a, first, p)
-    e1, e0 = sse(a, first, p, b1), sse(a, [0, *controls], p, fitted(a, [0, *controls], p))
-    inverse = np.linalg.pinv(a[np.ix_(first, first)])
-    error = np.sqrt(max(e1 / max(n - len(first), 1), 0) * inverse[1, 1])
+    means, c = centred(a)
+    size, few = np.diag(a), [z, *controls]
+    coefficients = lambda x, target: ridge(c[np.ix_(x, x)], c[x, target], size[x])
+    left = lambda x, b, target: float(c[target, target] - 2 * b @ c[x, target] + b @ c[np.ix_(x, x)] @ b)
+    inverse = lambda m, sizes, least: float(ridge(m, np.eye(len(m))[0], sizes, least, 0.0)[0])
+    g = coefficients(few, p)
+    e1, e0 = left(few, g, p), left(controls, coefficients(controls, p), p)
+    b1 = np.array([means[p] - g @ means[few], *g])
+    error = np.sqrt(max(e1 / max(n - len(b1), 1), 0) * inverse(c[np.ix_(few, few)], size[few], ROUNDING))
     # the second stage's regressors are a linear map of (1, z, p, y, controls)
     t = np.zeros((k, 2 + len(controls)))
     t[0, 0] = 1
-    t[first, 1] = b1
-    for i, c in enumerate(controls):
-        t[c, 2 + i] = 1
-    penalty = RIDGE * np.eye(t.shape[1])
-    penalty[0, 0] = 0
-    system, right = t.T @ a @ t + penalty, t.T @ a[:, y]
-    b2 = np.linalg.solve(system, right) if np.linalg.matrix_rank(system) == len(system) else np.linalg.pinv(system) @ right
-    reduced = [0, p, *controls]
-    ols = fitted(a, reduced, y)
-    elasticity = float(b2[1] * a[0, p] / a[0, y]) if a[0, y] else None
-    f = float(b1[1] / error) ** 2 if error > 0 else 0.0
+    t[[0, *few], 1] = b1
+    for i, control in enumerate(controls):
+        t[control, 2 + i] = 1
+    own = t[:, 1:]
+    system = own.T @ c @ own
+    h = ridge(system, own.T @ c[:, y], None, EXACT)
+    b2 = np.array([means[y] - h @ (means @ own), *h])
+    reduced = [p, *controls]
+    ols = coefficients(reduced, y)
+    elasticity = float(h[0] * a[0, p] / a[0, y]) if a[0, y] else None
+    f = float(g[0] / error) ** 2 if error > 0 else 0.0
     # the second stage's errors come from residuals at the actual price
-    price_error = np.sqrt(max(sse(a, reduced, y, b2) / max(n - t.shape[1], 1), 0) * np.linalg.pinv(t.T @ a @ t)[1, 1])
+    price_error = np.sqrt(max(left(reduced, h, y), 0) / max(n - t.shape[1], 1) * inverse(system, None, EXACT))
     return {
         "n_obs": int(n), "first_stage_coefficient": float(b1[1]), "first_stage_se": float(error), "first_stage_f": f, "first_stage_r2": r2(a, p, e1), "first_stage_partial_r2": 1 - e1 / e0 if e0 > 0 else 0.0,
-        "price_coefficient": float(b2[1]), "price_se": float(price_error), "reduced_form_price_coefficient": float(ols[1]), "reduced_form_r2": r2(a, y, sse(a, reduced, y, ols)),
+        "price_coefficient": float(b2[1]), "price_se": float(price_error), "reduced_form_price_coefficient": float(ols[0]), "reduced_form_r2": r2(a, y, left(reduced, ols, y)),
         "elasticity_at_mean": elasticity, "avg_fitted": float(a[0] @ t @ b2 / a[0, 0]),
-        "admissible": bool(b2[1] <= 0 and elasticity is not None and elasticity <= 0), "sign_consistent": bool(ols[1] <= 0),
-        "_b1": b1, "_b2": b2, "_t": t,
+        "admissible": bool(b2[1] <= 0 and elasticity is not None and elasticity <= 0), "sign_consistent": bool(ols[0] <= 0),
+        "_b2": b2, "_t": t, "_means": means,
     }
 
 
@@ -179,11 +204,13 @@ def leave_one_out(folds: DataFrame, by: list[tuple[str, str]], fold: str) -> Dat
         if n < LEAST_TRAIN:
             return (None, None, None, None, None, False)
         fit, a = two_stage(np.asarray(whole, float) - own, n), square(own)
-        b = fit["_t"] @ fit["_b2"]  # predictions as a map of (1, z, p, y, controls)
-        e = np.zeros(len(a))
-        e[3] = 1
+        # errors about the training set's means, where the prediction is the mean: large constants do not meet
+        move = np.eye(len(a))
+        move[1:, 0] = -fit["_means"][1:]
+        e = -(fit["_t"][:, 1:] @ fit["_b2"][1:])
+        e[0], e[3] = 0, e[3] + 1
         elasticity = float(fit["_b2"][1] * a[0, 2] / a[0, 3]) if a[0, 3] else None
-        return (float((e - b) @ a @ (e - b)), a[0, 0], a[0, 3], a[3, 3], elasticity, True)
+        return (float(e @ move @ a @ move.T @ e), a[0, 0], a[0, 3], a[3, 3], elasticity, True)
 
     def solve(frames):
         for frame in frames:

@@ -47,16 +47,24 @@ def wide_moments(df: DataFrame, columns: list[str], weight: Column | None = None
 
 
 def coefficients(df: DataFrame, y: str, features: list[str], weight: Column | None = None) -> DataFrame:
-    """(place, name, value): least squares of y on a constant and the features; no row where there are no data."""
-    names = ["constant", *features]
+    """(place, name, value): least squares of y on a constant and the features; no row where there are no data.
+
+    Sums are taken about the columns' means, so that a column that is constant (and its
+    products with a status, which repeat that status) is told from rounding: it gets 0,
+    or the share of the status that the least coefficients give. ``df`` is read twice.
+    """
+    names, columns = ["constant", *features], [*features, y]
+    # one row of as many numbers as there are columns
+    means = df.agg(F.array(*[F.avg(F.col(c).cast("double")) for c in columns]).alias("_means"))
+    about = df.crossJoin(F.broadcast(means)).withColumns({c: F.col(c) - F.get("_means", F.lit(i)) for i, c in enumerate(columns)})
 
     def solve(frame: pd.DataFrame) -> pd.DataFrame:
         a = np.stack(frame.sort_values("place")["sums"].to_numpy())
-        b = moments.fitted(a, list(range(len(names))), len(names))
+        b = moments.fitted(a, list(range(len(names))), len(names), np.array([0.0, *frame["_means"].iloc[0]]), moments.REPEATED)
         return pd.DataFrame({"place": range(len(names)), "name": names, "value": b})
 
     # as many rows as there are columns
-    return wide_moments(df, [*features, y], weight).groupBy().applyInPandas(solve, "place int, name string, value double")
+    return wide_moments(about, columns, weight).crossJoin(F.broadcast(means)).groupBy().applyInPandas(solve, "place int, name string, value double")
 
 
 def with_probability(df: DataFrame, fit: DataFrame, features: list[str]) -> DataFrame:

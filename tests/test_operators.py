@@ -1,10 +1,12 @@
+from fractions import Fraction as Q
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import scalars as S
 from tessera.functions import weighted as W
-from tessera.operators import eav, effects, impute, ladders, lookups, moments, rules, scenario, supply
+from tessera.operators import eav, effects, impute, ladders, lookups, moments, rules, scenario, supply, switching
 
 
 def one(spark, expression):
@@ -162,3 +164,28 @@ def test_bootstrap_rejects_draws_by_reason(spark):
     steep = spark.createDataFrame([(0, 0.001, 0.001, None), (1, 0.5, 1.0, None)], fits.schema)
     draws, record = simulation.bootstrap_prices(rows, steep, scenario.grid(spark, alpha=(1.0,)), tables.staged)
     assert {tuple(r.draws) for r in draws.collect()} == {(1,)} and {r.reason for r in record.collect()} == {None, "solver"}
+
+
+def test_fits_keep_their_digits_with_a_weak_instrument():
+    """Moments of whole numbers far from 0 against fractions: first-stage F and second stage."""
+    n = 400
+    z = [100_000 + i % 20 for i in range(n)]
+    p = [100_000 + 50 * (i * i % 101) + z[i] % 20 // 6 for i in range(n)]
+    y = [100_000 + (i * 7 % 31) - 3 * (p[i] - 100_000) for i in range(n)]
+    columns = [[1] * n, z, p, y]
+    m = [float(sum(a * b for a, b in zip(columns[i], columns[j], strict=True))) for i in range(4) for j in range(i, 4)]
+    mean = lambda v: Q(sum(v), n)
+    s = lambda u, v: sum(Q(a) * b for a, b in zip(u, v, strict=True)) - n * mean(u) * mean(v)
+    slope = s(z, y) / s(z, p)
+    got = moments.two_stage(m, n)
+    e1 = s(p, p) - s(z, p) ** 2 / s(z, z)
+    assert got["first_stage_f"] == pytest.approx(float(s(z, p) ** 2 / s(z, z) * (n - 2) / e1), rel=1e-6)
+    assert got["price_coefficient"] == pytest.approx(float(slope), rel=1e-6)
+
+
+def test_a_column_that_does_not_vary_gets_nothing(spark):
+    """A constant regressor gets 0, and one that repeats a status shares its effect by least coefficients."""
+    rows = spark.range(3000).selectExpr("cast(id % 7 as double) as x", "cast(0.3 as double) as days", "cast(id % 3 = 0 as double) as late", "0.3 * cast(id % 3 = 0 as double) as late_days", "2.0 + 0.5 * (id % 7) + 1.09 * cast(id % 3 = 0 as double) as y")
+    got = {r["name"]: r["value"] for r in switching.coefficients(rows, "y", ["x", "days", "late", "late_days"]).collect()}
+    want = {"constant": 2.0, "x": 0.5, "days": 0.0, "late": 1.0, "late_days": 0.3}
+    assert got == pytest.approx(want, abs=1e-6)
