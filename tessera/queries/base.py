@@ -79,9 +79,9 @@ def a2(value: str, weight: str) -> str:
 STATE_MEASURES = ["price", "imputed_share", "observed_share", "wage", "outside"]
 
 
-def state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The state-year panel: population-weighted county measures."""
-    return W.to_groups(county(spark, sf_dir), ["geo1", "year"], STATE_MEASURES, "population", "population")
+def state(spark: SparkSession, sf_dir: str, panel: DataFrame | None = None) -> DataFrame:
+    """The state-year panel: population-weighted county measures. ``panel``: the county panel, where a query has it staged."""
+    return W.to_groups(county(spark, sf_dir) if panel is None else panel, ["geo1", "year"], STATE_MEASURES, "population", "population")
 
 
 STATE = f"""{COUNTY},

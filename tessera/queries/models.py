@@ -173,8 +173,8 @@ SELECT count(*) AS n_obs, round(sqrt(avg((y - p) ** 2) FILTER (NOT h)), 3) AS rm
   round(sqrt(avg((y - p) ** 2) FILTER (h)), 3) AS rmse_test, round(1 - sum((y - p) ** 2) FILTER (h) / (var_pop(y) FILTER (h) * count(*) FILTER (h)), 3) AS r2_test FROM p"""
 
 
-def demand_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = base.county(spark, sf_dir).withColumns({"hours": F.col("population"), "control": F.col("n").cast("double")})
+def demand_rows(spark: SparkSession, sf_dir: str, county: DataFrame | None = None) -> DataFrame:
+    rows = (base.county(spark, sf_dir) if county is None else county).withColumns({"hours": F.col("population"), "control": F.col("n").cast("double")})
     return moments.complete(rows, ["outside", "price", "hours"], "price").withColumn("rw", moments.regression_weight("population"))
 
 
@@ -218,7 +218,7 @@ SWITCHING = f"WITH {base.MICRO} SELECT age, channel, round(avg(CASE WHEN flag =
 
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First principal component and equal-weight index of state-year measures."""
-    s = base.state(spark, sf_dir)
+    s = tables.staged(base.state(spark, sf_dir))  # read four times, and small
     pc = moments.principal_component(s, ["price", "imputed_share", "outside"], ["geo1", "year"])
     z = rules.stringency(s, ["price", "imputed_share", "outside"]).select("geo1", "year", "stringency", "coverage")
     return base.rounded(pc.join(z, ["geo1", "year"]))
@@ -234,8 +234,8 @@ STRINGENCY = f"""WITH {base.STATE}, z AS (SELECT geo1, year, list_filter([{", ".
 SELECT geo1, year, round(list_avg(z), 6) AS stringency, round(len(z) / 3, 6) AS coverage FROM z"""
 
 
-def scenario_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = base.state(spark, sf_dir)
+def scenario_inputs(spark: SparkSession, sf_dir: str, county: DataFrame | None = None) -> DataFrame:
+    s = base.state(spark, sf_dir, county)
     rows = s.select("geo1", "year", F.col("price").alias("base_price"), F.col("population").alias("market"), (F.col("population") * F.col("imputed_share")).alias("unpaid"), F.lit(0.4).alias("demand_elasticity"), (0.5 + F.col("geo1") % 4).alias("supply_elasticity"))
     return scenario.prepared(rows)
 
