@@ -28,9 +28,9 @@ f AS (SELECT geo1, geo2, year, b, coalesce(v, b * coalesce(m0, m1, m2, m3)) AS s
   FROM q LEFT JOIN m0 USING (geo1, year) LEFT JOIN m1 USING (geo1) LEFT JOIN m2 USING (year) CROSS JOIN m3)
 SELECT geo1, geo2, year, round(s, 9) AS slots, l AS slots_source, round(least(s / b, 1), 9) AS capacity_share FROM f"""
 
-def _labour(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _labour(spark: SparkSession, sf_dir: str, county: DataFrame | None = None) -> DataFrame:
     """The decomposed county panel with densities, benchmark wages and the labels of its labour sources."""
-    rows = panel.with_benchmark_wages(panel.with_density(panels.decomposition(spark, sf_dir)))
+    rows = panel.with_benchmark_wages(panel.with_density(panels.decomposition(spark, sf_dir, county)))
     wage = F.when(F.col("wage").isNotNull(), "county_observed").otherwise("state_fallback")
     employment = F.when(F.col("establishments").isNotNull(), "employment_observed").when(F.col("nonemployers").isNotNull(), "nonemployer_proxy")
     return rows.withColumns({"wage_source": wage, "employment_source": employment})
@@ -56,7 +56,9 @@ _STATE_COUNTED = ["price", "wage", "outside", "imputed_share", "observed_share"]
 
 def pipeline_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row of sixty-odd counts: rows, places and years of both grains, known and positive values of each measure, rows by source label, and state-years that a source has."""
-    c, s = tables.staged(_labour(spark, sf_dir)), base.state(spark, sf_dir)
+    # the county panel feeds both, and the state panel is read three times
+    rows = tables.staged(base.county(spark, sf_dir))
+    c, s = tables.staged(_labour(spark, sf_dir, rows)), tables.staged(base.state(spark, sf_dir, rows))
     when = lambda name, cond: F.count_if(cond).alias(name)
     county = c.agg(
         *panel.coverage_counts(c, _COUNTED), F.count_distinct("geo2").alias("n_counties"), F.count_distinct("geo1").alias("n_county_states"), F.min("year").alias("first_year"), F.max("year").alias("last_year"),

@@ -24,8 +24,8 @@ STAFFING = f"""staffing AS (SELECT geo1, geo2, year, sum(({_RATIO_SQL}) * weight
   FROM micro JOIN part ON partkey = p_partkey GROUP BY geo1, geo2, year)"""
 
 
-def decomposition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = base.county(spark, sf_dir).join(staffing(spark, sf_dir), ["geo1", "geo2", "year"])
+def decomposition(spark: SparkSession, sf_dir: str, county: DataFrame | None = None) -> DataFrame:
+    rows = (base.county(spark, sf_dir) if county is None else county).join(staffing(spark, sf_dir), ["geo1", "geo2", "year"])
     return panel.decomposed(rows.withColumn("price", F.col("price")), hours=400.0)
 
 
