@@ -166,6 +166,8 @@ def _stack(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
     public = segments.public_slots(program, admin, s.select(*keys, "population"), keys)
     public = public.select(*keys, "public_slots", "slot_status", (F.col("public_slots") * 0.3).alias("subsidised_slots"))
     seg = segments.segment_prices(base.micro(spark, sf_dir), _segments(spark), DIMENSIONS, keys).filter("segment_id like '%/*' and segment_id <> '*/*'")
+    # as many rows as state-years and segments, read for the shares and their totals
+    seg = tables.staged(seg)
     shares = segments.shares_of_total(seg, keys, "segment_weight", "segment_rows")
     return segments.quantities(targets, public, shares, keys), targets, s
 

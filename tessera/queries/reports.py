@@ -16,8 +16,8 @@ PAID = ["private_unsubsidised", "private_subsidised"]
 _QUOTED = ", ".join(f"'{c}'" for c in PAID)
 
 
-def _scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts, _, s = chains._stack(spark, sf_dir)
+def _scenarios(spark: SparkSession, sf_dir: str, stack: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> DataFrame:
+    parts, _, s = stack or chains._stack(spark, sf_dir)
     wide = segments.channel_wide(parts, KEYS)
     s = s.select(*KEYS, F.col("price").alias("base_price"), (F.col("population") * F.col("imputed_share")).alias("unpaid"), F.lit(0.4).alias("demand_elasticity"), F.lit(1.5).alias("supply_elasticity"))
     return segments.channel_scenarios(segments.channel_inputs(wide, s, KEYS), scenario.grid(spark, alpha=scenario.ALPHAS))
@@ -63,8 +63,8 @@ RESPONSE = f"""WITH {SCENARIOS}, r AS (SELECT channel, alpha, sum(q) AS base_qua
 SELECT channel, alpha, round(base_quantity, 4) AS base_quantity, round(quantity, 4) AS quantity, price_invariant, n, round(quantity - base_quantity, 4) AS delta, round((quantity - base_quantity) / nullif(base_quantity, 0), 4) AS change FROM r"""
 
 
-def _support(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = base.state(spark, sf_dir)
+def _support(spark: SparkSession, sf_dir: str, state: DataFrame | None = None) -> DataFrame:
+    s = tables.staged(base.state(spark, sf_dir)) if state is None else state
     program = s.select(*KEYS, F.when(F.col("geo1") % 3 != 0, F.col("population") * 0.05).alias("program_slots"))
     admin = s.select(*KEYS, F.when(F.col("geo1") % 2 == 0, F.col("population") * F.col("imputed_share") * 2).alias("admin_slots"))
     return segments.public_slots(program, admin, s.select(*KEYS, "population"), KEYS).withColumn("tier", S.support_tier("slot_status"))
@@ -88,9 +88,10 @@ SELECT geo1, explicit, proxy, missing, round(slots, 6) AS slots, CASE WHEN missi
 
 def fallback_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The summary row nearest the headline alpha of each state and year, with support metadata and typed defaults."""
-    rows = segments.scenario_summary(_scenarios(spark, sf_dir), KEYS)
+    stack = chains._stack(spark, sf_dir)
+    rows = segments.scenario_summary(_scenarios(spark, sf_dir, stack), KEYS)
     near = segments.nearest_alpha(rows, KEYS)
-    known = _support(spark, sf_dir).filter("tier <> 'missing'").select(*KEYS, "slot_status", "public_slots", F.lit(True).alias("has_support"))
+    known = _support(spark, sf_dir, stack[2]).filter("tier <> 'missing'").select(*KEYS, "slot_status", "public_slots", F.lit(True).alias("has_support"))
     out = reporting.with_defaults(near, known, KEYS, {"slot_status": "missing", "public_slots": 0.0, "has_support": False})
     return base.rounded(out.select(*KEYS, "alpha", "private_price", "private_quantity", "slot_status", "public_slots", "has_support"), 3)
 
