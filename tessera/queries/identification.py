@@ -28,9 +28,11 @@ c AS (SELECT geo1, sum(x * y) AS xy, sum(x * x) AS xx, sum(y * y) AS yy, count(*
 SELECT round(beta, 6) AS beta, round(se, 6) AS se, round(beta / se, 6) AS t, round((beta / se) * (beta / se), 6) AS f, round(1 - (syy - 2 * beta * sxy + beta * beta * sxx) / syy, 6) AS within_r2, n_obs, n_clusters FROM fit"""
 
 
-def supply_iv(spark: SparkSession, sf_dir: str) -> DataFrame:
+def supply_iv(spark: SparkSession, sf_dir: str, county: DataFrame | None = None, shocks: DataFrame | None = None) -> DataFrame:
     """First stage, reduced forms of provider and employer density, Wald ratios and identification with county and state-year effects."""
-    design = supply.exposure_design(panel.with_density(base.county(spark, sf_dir)), models.shocks(spark, sf_dir))
+    # the panel is read for the rows and for their base years
+    county = tables.staged(base.county(spark, sf_dir)) if county is None else county
+    design = supply.exposure_design(panel.with_density(county), models.shocks(spark, sf_dir) if shocks is None else shocks)
     rows = effects.supply_iv_panel(design).select("geo1", "geo2", "year", "shock", "base_year", "instrument", *effects.OUTCOMES.values())
     return base.rounded(effects.supply_iv(tables.staged(rows)), 4)
 

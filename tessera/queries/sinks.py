@@ -183,9 +183,11 @@ UNION ALL SELECT geo1, year, 'alpha', CAST(place AS INT), alpha, round(price, 4)
 
 def local_scenario(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prices at alpha 0, 0.5 and 1 of the median state-year of those with a rule shock, under the size of the local Wald elasticity of the supply IV."""
-    iv = tables.staged(identification.supply_iv(spark, sf_dir).select(F.abs("wald_provider").alias("supply_elasticity")))
-    treated = models.shocks(spark, sf_dir).filter(F.abs("shock") > 0).select("geo1").distinct()
-    rows = models.scenario_inputs(spark, sf_dir).drop("supply_elasticity")
+    # both panels are computed once, not once for each use
+    county, shocks = tables.staged(base.county(spark, sf_dir)), tables.staged(models.shocks(spark, sf_dir))
+    iv = tables.staged(identification.supply_iv(spark, sf_dir, county, shocks).select(F.abs("wald_provider").alias("supply_elasticity")))
+    treated = shocks.filter(F.abs("shock") > 0).select("geo1").distinct()
+    rows = models.scenario_inputs(spark, sf_dir, county).drop("supply_elasticity")
     return base.rounded(scenario.local_scenario(rows, treated, iv, "geo1"), 2)
 
 
