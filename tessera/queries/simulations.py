@@ -32,16 +32,23 @@ DECOMPOSITION = f"""WITH {models.SCENARIO}, e AS (SELECT sa.geo1, sa.year, alpha
   FROM sa JOIN state s ON s.geo1 = sa.geo1 AND s.year = sa.year) SELECT geo1, year, alpha, {", ".join(map(_parts_sql, ("base_price", "marginal_price", "price")))} FROM e"""
 
 
-def _fits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = models.demand_rows(spark, sf_dir).withColumn("hours", F.col("population") * F.col("imputed_share"))
-    county = panel.with_density(base.county(spark, sf_dir)).filter("price > 0 and density > 0")
+def _fits(spark: SparkSession, sf_dir: str, panel_: DataFrame) -> DataFrame:
+    """``panel_``: the county panel, staged."""
+    rows = models.demand_rows(spark, sf_dir, panel_).withColumn("hours", F.col("population") * F.col("imputed_share"))
+    county = panel.with_density(panel_).filter("price > 0 and density > 0")
     demand = simulation.demand_moments(rows, "geo1", "hours", "price", "outside", F.col("rw"))
     return tables.staged(simulation.bootstrap_fits(demand, simulation.supply_moments(county, "geo1", "price", "density"), "geo1", DRAWS, SEED))
 
 
-def _drawn(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The scenario's rows (as many as state-years) and the county panel, each computed once and staged."""
+    county = tables.staged(base.county(spark, sf_dir))
+    return tables.staged(models.scenario_inputs(spark, sf_dir, county)), county
+
+
+def _drawn(spark: SparkSession, sf_dir: str, inputs: DataFrame, county: DataFrame) -> tuple[DataFrame, DataFrame]:
     alphas = scenario.grid(spark, alpha=scenario.ALPHAS)
-    return simulation.bootstrap_prices(models.scenario_inputs(spark, sf_dir), _fits(spark, sf_dir), alphas, tables.staged)
+    return simulation.bootstrap_prices(inputs, _fits(spark, sf_dir, county), alphas, tables.staged)
 
 
 def _draws_sql(moments: str, seed: int) -> str:
@@ -65,7 +72,7 @@ bp AS (SELECT * FROM b0 WHERE draw NOT IN (SELECT draw FROM lost))"""
 
 def bootstrap_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """States and counties resampled, both sides refitted, every row solved again: 10-90 % intervals by row and alpha."""
-    draws, _ = _drawn(spark, sf_dir)
+    draws, _ = _drawn(spark, sf_dir, *_inputs(spark, sf_dir))
     return base.rounded(simulation.intervals(draws, ["geo1", "year", "alpha"]), 3)
 
 
@@ -74,7 +81,7 @@ INTERVALS = f"WITH {FITS} SELECT geo1, year, alpha, round(quantile_cont(dp, 0.1)
 
 def bootstrap_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accepted and rejected draws by reason, and the gate at 80 %."""
-    _, fits = _drawn(spark, sf_dir)
+    _, fits = _drawn(spark, sf_dir, *_inputs(spark, sf_dir))
     return base.rounded(simulation.bootstrap_record(fits))
 
 
@@ -86,10 +93,10 @@ KQ, KC = (0.0, 0.5, 1.0), (0.0, 0.25)
 
 def dual_headline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The dual-shift headline with each figure's 10-90 % interval over the bootstrap's draws."""
-    inputs = models.scenario_inputs(spark, sf_dir)
+    inputs, county = _inputs(spark, sf_dir)
     axes = scenario.grid(spark, kq=KQ, kc=KC).withColumn("alpha", F.lit(0.5))
     own = lookups.with_grid(inputs, axes).withColumn("price", scenario.solved(entry="kq", cost="kc")["price"])
-    draws, _ = simulation.bootstrap_prices(inputs, _fits(spark, sf_dir), axes, tables.staged, entry="kq", cost="kc")
+    draws, _ = simulation.bootstrap_prices(inputs, _fits(spark, sf_dir, county), axes, tables.staged, entry="kq", cost="kc")
     out = simulation.headline_table(own, ["kq", "kc"]).join(simulation.headline_intervals(draws, ["kq", "kc"]), ["kq", "kc"], "left")
     return base.rounded(out, 4)
 
@@ -124,8 +131,9 @@ SELECT family, geo1, year, alpha, kq, kc, round(p0, 4) AS base_price, round(p, 4
 
 def diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row about the scenario rows, their solver and their intervals."""
-    draws, _ = _drawn(spark, sf_dir)
-    rows = lookups.with_grid(models.scenario_inputs(spark, sf_dir), scenario.grid(spark, alpha=scenario.ALPHAS)).withColumn("s", scenario.solved())
+    inputs, county = _inputs(spark, sf_dir)
+    draws, _ = _drawn(spark, sf_dir, inputs, county)
+    rows = lookups.with_grid(inputs, scenario.grid(spark, alpha=scenario.ALPHAS)).withColumn("s", scenario.solved())
     rows = rows.select("*", "s.*").join(simulation.intervals(draws, ["geo1", "year", "alpha"]), ["geo1", "year", "alpha"], "left")
     return base.rounded(simulation.diagnostics(rows, "geo1", "year").drop("most_widenings"), 3)
 
