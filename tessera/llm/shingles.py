@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import lru_cache
+
 import numpy as np
 import xxhash
 
@@ -33,11 +36,62 @@ def hash_words(words: list[str]) -> np.ndarray:
     return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
 
 
+#: White space as ``str.split`` has it, by code point; all beyond the table is none. The same for bytes of Latin-1.
+_SPACE = np.array([chr(c).isspace() for c in range(0x3002)])
+_SPACE_BYTES = _SPACE[:256].tobytes()
+_BASE = np.uint64(0xD1342543DE82EF95)
+#: Characters that are looked at together.
+_PIECE = 1 << 18
+_space = re.compile(r"\s")
+
+
+@lru_cache(1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The base's powers modulo 2^64, and their inverses."""
+    inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
+    return tuple(np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n, x)])) for x in (_BASE, inverse))
+
+
+def hash_text(text: str | None) -> np.ndarray:
+    """A 64-bit hash for each of ``words_of`` a text, from a running sum over its code points, without a string for each word.
+
+    Long texts go piece by piece, cut at white space.
+    """
+    out, at, text = [], 0, text or ""
+    while at < len(text):
+        cut = _space.search(text, at + _PIECE) if len(text) - at > _PIECE else None
+        end = cut.end() if cut else len(text)
+        out.append(_hashed_words(text[at:end].lower()))
+        at = end
+    return out[0] if len(out) == 1 else np.concatenate([np.empty(0, np.uint64), *out])
+
+
+def _hashed_words(text: str) -> np.ndarray:
+    text = f" {text} "
+    try:
+        held = text.encode("latin-1")
+        c, space = np.frombuffer(held, np.uint8), np.frombuffer(held.translate(_SPACE_BYTES), bool)
+    except UnicodeEncodeError:
+        c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        space = _SPACE.take(c, mode="clip")
+    edges = np.flatnonzero(space[1:] != space[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    power, inverse = _powers(max(2 * _PIECE, 1 << len(c).bit_length() if len(c) > 2 * _PIECE else 0))
+    # a code point of 0 counts too
+    total = np.add(c, 1, dtype=np.uint64)
+    total *= power[: len(c)]
+    np.cumsum(total, out=total)
+    return mixed((total[ends] - total[starts]) * inverse[starts])
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads all bits."""
-    x = (x ^ (x >> _SHIFT)) * _MIX
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> _SHIFT)
+    x = x ^ (x >> _SHIFT)
+    x *= _MIX
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> _SHIFT
+    return x
 
 
 def shingle_hashes(word_hashes: np.ndarray, n: int = WORDS) -> np.ndarray:
@@ -48,7 +102,8 @@ def shingle_hashes(word_hashes: np.ndarray, n: int = WORDS) -> np.ndarray:
     m = len(word_hashes) - n + 1
     out = np.full(m, n, np.uint64)
     for i in range(n):
-        out = out * _MULTIPLIER + word_hashes[i : i + m]
+        out *= _MULTIPLIER
+        out += word_hashes[i : i + m]
     return mixed(out)
 
 

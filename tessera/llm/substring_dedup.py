@@ -43,6 +43,7 @@ ignored.
 from __future__ import annotations
 
 from functools import lru_cache
+from itertools import accumulate, pairwise
 
 import numpy as np
 import pandas as pd
@@ -55,10 +56,13 @@ FUNCTIONS, SEED = 4, 10
 LEAST_WORDS, THRESHOLD = 50, 0.8
 LEAST = LEAST_WORDS - shingles.WORDS + 1
 _ASIDE = LEAST // 2
-#: Shingles within which the next common one is looked for first; how far beyond is bounded by the threshold alone.
-_EDIT = 32
+#: Shingles within which the next common one is looked for first, and then; how far beyond is bounded by the threshold alone.
+_EDITS = (8, 32)
+#: Shingles of two texts that are compared as Python numbers, and blocks.
+_FEW, _FEW_BLOCKS = 256, 32
 #: Shingles of texts that are looked at together.
 _TOGETHER = 1_000_000
+_AT_ONCE = 131_072
 #: Parts in which the rows of one class of copies are joined.
 _SALTS = 16
 #: Rows of copies that are broadcast; beyond it the join shuffles.
@@ -90,18 +94,32 @@ def compact_windows(h: np.ndarray, least: int = LEAST) -> np.ndarray:
     low = _slide(h, least, True)
     edge = np.zeros(least - 1, np.uint64)
     places = np.flatnonzero(_slide(np.concatenate([edge, low, edge]), least, False) == h)
-    values = h[places].tolist()
-    left, right, stack = [-1] * len(values), [len(h)] * len(values), []
-    at = places.tolist()
-    for i, v in enumerate(values):
-        while stack and values[stack[-1]] > v:
-            right[stack.pop()] = at[i]
-        left[i] = at[stack[-1]] if stack else -1
-        stack.append(i)
-    out = np.column_stack([np.array(left) + 1, places, np.array(right) - 1])
+    values = h[places]
+    # neighbours that are equal are one, so that "la la la" is no long way
+    new = np.ones(len(values), bool)
+    new[1:] = values[1:] != values[:-1]
+    heads, run = np.flatnonzero(new), np.cumsum(new) - 1
+    ends, of_run = np.append(heads[1:], len(values)) - 1, values[heads]
+    left = np.append(-1, places[ends])[_bound(of_run, np.less_equal)][run]
+    left[~new] = places[np.flatnonzero(~new) - 1]
+    right = np.append(places[heads], len(h))[len(heads) - _bound(of_run[::-1], np.less)[::-1]][run]
+    out = np.column_stack([left + 1, places, right - 1])
     return out[out[:, 2] - out[:, 0] + 1 >= least]
 
 
+def _bound(values: np.ndarray, stops) -> np.ndarray:
+    """For each value how many places the last one before it that stops it is from the start, from 1; 0 if there is none.
+
+    All values before which the nearest one is too great go on to where that one's own look has got to, in rounds.
+    """
+    to, going = np.arange(len(values)), np.arange(1, len(values))
+    while len(going):
+        going = going[~stops(values[to[going] - 1], values[going])]
+        to[going] = to[to[going] - 1]
+        going = going[to[going] > 0]
+    return to
+
+
 def _place(c: np.ndarray, left: np.ndarray | int, right: np.ndarray | int, f: np.ndarray | int) -> np.ndarray:
     """A window's place, its reach to both sides (as far as that matters) and its function, in one number."""
     return c.astype(np.int64) << 32 | np.minimum(left, _FAR) << 17 | np.minimum(right, _FAR) << 2 | f
@@ -135,7 +153,15 @@ def _thinned(values: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 def _windows_of(rows: list[int], texts: list[np.ndarray]) -> dict[str, np.ndarray]:
-    """Windows of several texts at once: the zeros between them are smaller than any hash, so no window crosses."""
+    """Windows of texts, of so many at once as a processor's cache holds."""
+    sizes = np.cumsum([len(t) for t in texts])
+    cuts = [0, *np.flatnonzero(np.diff(sizes // _AT_ONCE)) + 1, len(texts)]
+    found = [_windows_at_once(rows[a:b], texts[a:b]) for a, b in pairwise(cuts)]
+    return {k: np.concatenate([w[k] for w in found]) for k in found[0]}
+
+
+def _windows_at_once(rows: list[int], texts: list[np.ndarray]) -> dict[str, np.ndarray]:
+    """Windows of several texts: the zeros between them are smaller than any hash, so no window crosses."""
     s, starts = _joined(texts, _ASIDE)
     inside = s != 0
     a, b = shingles.permutations(FUNCTIONS, SEED)
@@ -274,14 +300,15 @@ def _supported(seeds: dict[str, np.ndarray]) -> np.ndarray:
 
     Seeds stand in order of c; windows that overlap around one passage are near each other there.
     """
-    out, two, one = seeds["sure"] > 0, _place_of(seeds["place"]), _place_of(seeds["place1"])
-    for d in range(1, min(2 * FUNCTIONS, len(out) - 1) + 1):
-        a, b = slice(None, -d), slice(d, None)
-        met = two["f"][a] != two["f"][b]
-        for w in (two, one):
-            met &= np.minimum(w["r"][a], w["r"][b]) - np.maximum(w["l"][a], w["l"][b]) >= LEAST - 1
-        out[a] |= met
-        out[b] |= met
+    out = seeds["sure"] > 0
+    if not out.all():
+        w = _place_of(np.array([seeds["place"], seeds["place1"]]))
+        l, r, f = w["l"], w["r"], w["f"][0]
+        for d in range(1, min(2 * FUNCTIONS, len(out) - 1) + 1):
+            near = np.minimum(r[:, :-d], r[:, d:]) - np.maximum(l[:, :-d], l[:, d:]) >= LEAST - 1
+            met = near[0] & near[1] & (f[:-d] != f[d:])
+            out[:-d] |= met
+            out[d:] |= met
     return np.flatnonzero(out)
 
 
@@ -291,27 +318,41 @@ def _run(a: np.ndarray, b: np.ndarray) -> int:
     while at < n:
         end = min(at + step, n)
         differ = a[at:end] != b[at:end]
-        if differ.any():
-            return at + int(differ.argmax())
+        first = int(differ.argmax())
+        if differ[first]:
+            return at + first
         at, step = end, step * 4
     return n
 
 
 def _nearest(x: np.ndarray, y: np.ndarray) -> tuple[int, int] | None:
     """The nearest places (p, q) with x[p] == y[q]."""
-    if len(x) * len(y) <= 4 * _EDIT * _EDIT:
-        p, q = np.nonzero(x[:, None] == y[None, :])
-    else:
-        values, at = np.unique(y, return_index=True)
-        near = np.minimum(np.searchsorted(values, x), len(values) - 1)
-        p = np.flatnonzero(values[near] == x)
-        q = at[near[p]]
+    if len(x) + len(y) <= _FEW:
+        return _nearest_of_few(x.tolist(), y.tolist())
+    values, at = np.unique(y, return_index=True)
+    near = np.minimum(np.searchsorted(values, x), len(values) - 1)
+    p = np.flatnonzero(values[near] == x)
+    q = at[near[p]]
     if not len(p):
         return None
     k = int(np.argmin(np.maximum(p, q) * (len(x) + len(y)) + p + q))
     return int(p[k]), int(q[k])
 
 
+def _nearest_of_few(x: list[int], y: list[int]) -> tuple[int, int] | None:
+    """The same; what is found bounds how far is looked."""
+    last = len(y) - 1
+    at = dict(zip(reversed(y), range(last, -1, -1)))
+    found, best = None, (len(x) + len(y), 0)
+    for p, v in enumerate(x):
+        if p > best[0]:
+            break
+        q = at.get(v)
+        if q is not None and (far := (max(p, q), p + q)) < best:
+            found, best = (p, q), far
+    return found
+
+
 def _longest_edit(same: int) -> int:
     """How long an edit can be behind so many common shingles, if less than a passage of common ones lies beyond it.
 
@@ -328,9 +369,10 @@ def _extended(a: np.ndarray, b: np.ndarray, blocks: list[tuple[int, int, int]],
     i, j = blocks[-1][0] + blocks[-1][2], blocks[-1][1] + blocks[-1][2]
     while i < len(a) and j < len(b):
         near, longest = None, _longest_edit(same)
-        for edit in (_EDIT, longest) if longest > _EDIT else (longest,):
-            if near is None:
-                near = _nearest(a[i : i + edit], b[j : j + edit])
+        for edit in (*[e for e in _EDITS if e < longest], longest):
+            near = _nearest(a[i : i + edit], b[j : j + edit])
+            if near is not None:
+                break
         if near is None:
             break
         i, j = i + near[0], j + near[1]
@@ -360,25 +402,55 @@ def _alignment(s1: np.ndarray, s2: np.ndarray, c1: int, c2: int) -> np.ndarray:
 
 def _stretches(blocks: np.ndarray) -> list[tuple[int, int]]:
     """Runs of blocks, as long as they can be from each start, that agree at the threshold and have a passage's length."""
+    if len(blocks) <= _FEW_BLOCKS:
+        return _stretches_of_few(blocks.tolist())
     a, b, n = blocks.T
-    total, out, s = np.concatenate([[0], np.cumsum(n)]), [], 0
-    if total[-1] < THRESHOLD * LEAST:
-        return out
-    while s < len(n):
-        span1, span2 = a[s:] + n[s:] - a[s], b[s:] + n[s:] - b[s]
-        same = total[s + 1 :] - total[s]
-        good = np.flatnonzero((same >= THRESHOLD * (span1 + span2 - same)) & (np.minimum(span1, span2) >= LEAST))
-        if len(good):
-            out.append((s, s + int(good[-1])))
-            s += int(good[-1]) + 1
+    total, out, s, rows = np.concatenate([[0], np.cumsum(n)]), [], 0, 1
+    # no start from which less than this is left has a passage
+    most = int(np.searchsorted(-(total[-1] - total), -THRESHOLD * LEAST, "right"))
+    while s < min(most, len(n)):
+        # a start by itself, then more and more at once while none has a passage
+        at = np.arange(s, min(s + rows, most, len(n)))[:, None]
+        span1, span2 = a[s:] + n[s:] - a[at], b[s:] + n[s:] - b[at]
+        same = total[s + 1 :] - total[at]
+        good = (same >= THRESHOLD * (span1 + span2 - same)) & (np.minimum(span1, span2) >= LEAST)
+        some = good.any(axis=1)
+        k = int(some.argmax())
+        if some[k]:
+            end = len(n) - 1 - int(good[k, ::-1].argmax())
+            out.append((s + k, end))
+            s, rows = end + 1, 1
         else:
-            s += 1
+            s, rows = s + len(at), min(4 * rows, 64)
+    return out
+
+
+def _stretches_of_few(blocks: list[list[int]]) -> list[tuple[int, int]]:
+    total = [0, *accumulate(n for _, _, n in blocks)]
+    out, s = [], 0
+    while s < len(blocks) and total[-1] - total[s] >= THRESHOLD * LEAST:
+        a, b, _ = blocks[s]
+        for end in range(len(blocks) - 1, s - 1, -1):
+            a2, b2, n = blocks[end]
+            span1, span2, same = a2 + n - a, b2 + n - b, total[end + 1] - total[s]
+            if span1 < LEAST or span2 < LEAST:
+                end = s
+                break
+            if same >= THRESHOLD * (span1 + span2 - same):
+                out.append((s, end))
+                break
+        else:
+            end = s
+        s = end + 1
     return out
 
 
 def _similarity(a: np.ndarray, b: np.ndarray) -> float:
+    if np.array_equal(a, b):
+        return 1.0
     x, y = np.unique(a), np.unique(b)
-    shared = len(np.intersect1d(x, y, assume_unique=True))
+    both = np.sort(np.concatenate([x, y]))
+    shared = int((both[1:] == both[:-1]).sum())
     return shared / (len(x) + len(y) - shared)
 
 
@@ -391,8 +463,7 @@ def passages(s1: np.ndarray, s2: np.ndarray, c2: np.ndarray, c1: np.ndarray, wit
     """
     out, done = [], -1
     left, right = np.full(len(c2), -1), np.full(len(c2), -1)
-    for k in range(len(c2)):
-        x2, x1 = int(c2[k]), int(c1[k])
+    for k, (x2, x1) in enumerate(zip(c2.tolist(), c1.tolist(), strict=True)):
         if left[k] >= 0 or x2 <= done or x1 >= len(s1) or x2 >= len(s2) or s1[x1] != s2[x2]:
             continue
         blocks = _alignment(s1, s2, x1, x2)
@@ -423,33 +494,36 @@ def _reach(blocks: np.ndarray, c2: np.ndarray, c1: np.ndarray) -> tuple[np.ndarr
 
 
 def _shingles_of(text: str | None) -> np.ndarray:
-    return shingles.shingle_hashes(shingles.hash_words(shingles.words_of(text)))
+    return shingles.shingle_hashes(shingles.hash_text(text))
 
 
 _shingled = lru_cache(64)(_shingles_of)
-_PASSAGE = "row1:long,row2:long,start:long,end:long,start1:long,end1:long,similarity:double"
-_VERIFIED = f"passages array<struct<{_PASSAGE}>>, seeds array<struct<value:long,row:long,row1:long,c:int,c1:int,left:int,right:int,failed:boolean>>"
+_PASSAGE = ("row1", "row2", "start", "end", "start1", "end1", "similarity")
+_VERIFIED = "row1 long, row2 long, start long, end long, start1 long, end1 long, similarity double, value long, failed byte"
 
 
 def _verify(frames):
-    """For each candidate pair its passages, and the sure links with their reach; such a link has failed if it lies in no passage."""
+    """For each candidate pair its passages (``failed`` is -1), and the sure links with their reach, as other rows; such a link has failed if it lies in no passage."""
     for frame in frames:
         found, looked_at = [], []
         for pair in frame.itertuples():
-            seeds = {k: np.asarray(getattr(pair, k)) for k in _SEED}
+            seeds = {k: getattr(pair, k) for k in _SEED}
             chosen = _supported(seeds)
-            own, tried = [], []
-            if len(chosen):
-                c2, c1 = seeds["place"][chosen] >> 32, seeds["place1"][chosen] >> 32
-                own, left, right = passages(_shingled(pair.t1), _shingled(pair.t2), c2, c1, pair.row1 == pair.row2)
-                failed = np.ones(len(c2), bool)
-                for start, end, *_ in own:
-                    failed &= (c2 < start) | (c2 > end - shingles.WORDS)
-                sure = (seeds["sure"][chosen] > 0) & (left >= 0)
-                tried = list(zip(*[x[sure].tolist() for x in (seeds["value"][chosen], c2, c1, left, right, failed)], strict=True))
-            found.append([(pair.row1, pair.row2, *p) for p in own])
-            looked_at.append([(v, pair.row2, pair.row1, *x) for v, *x in tried])
-        yield pd.DataFrame({"passages": found, "seeds": looked_at})
+            if not len(chosen):
+                continue
+            c2, c1 = seeds["place"][chosen] >> 32, seeds["place1"][chosen] >> 32
+            own, left, right = passages(_shingled(pair.t1), _shingled(pair.t2), c2, c1, pair.row1 == pair.row2)
+            failed = np.ones(len(c2), bool)
+            for start, end, *_ in own:
+                failed &= (c2 < start) | (c2 > end - shingles.WORDS)
+            sure = (seeds["sure"][chosen] > 0) & (left >= 0)
+            found += [(pair.row1, pair.row2, *p) for p in own]
+            rows = [np.full(int(sure.sum()), r) for r in (pair.row1, pair.row2)]
+            looked_at.append(np.array([*rows, *[x[sure] for x in (c2, left, c1, right, seeds["value"][chosen], failed)]]))
+        yield pd.DataFrame(found, columns=_PASSAGE).assign(value=0, failed=-1)
+        if looked_at:
+            row1, row2, c, left, c1, right, value, failed = np.concatenate(looked_at, axis=1)
+            yield pd.DataFrame({"row1": row1, "row2": row2, "start": c, "end": left, "start1": c1, "end1": right, "similarity": 0.0, "value": value, "failed": failed})
 
 
 def _verified(links: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -460,7 +534,9 @@ def _verified(links: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     pairs = found.join(two, "row2").join(one, "row1").select("row1", "row2", "t1", "t2", *_SEED)
     out = common.staged(pairs.mapInPandas(_verify, _VERIFIED))
     common.release(found)
-    return out.select(F.inline("passages")), out.select(F.inline("seeds"))
+    of_seed = {"row1": "row1", "row2": "row", "start": "c", "end": "left", "start1": "c1", "end1": "right", "value": "value"}
+    seeds = out.filter("failed >= 0").select(*[F.col(a).alias(b) for a, b in of_seed.items()], (F.col("failed") == 1).alias("failed"))
+    return out.filter("failed < 0").select(*_PASSAGE), seeds
 
 
 def _ends_of(rows, texts, values, places, lows, highs) -> dict[str, np.ndarray]:
@@ -546,7 +622,8 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text")
     common.release(links)
     found = first.union(second)
     n_words = F.size(F.split(F.trim(F.regexp_replace("t", r"(?U)\s+", " ")), " ")).cast("long")
-    whole = rows.join(same, "_row").withColumn("end", n_words).filter(F.col("end") >= LEAST_WORDS)
+    # the words of copies only: a plain filter would count those of all texts, below the join
+    whole = common.filter_after(rows.join(same, "_row").withColumn("end", n_words), F.col("end") >= LEAST_WORDS)
     whole = whole.select(F.col("first").alias("row1"), F.col("_row").alias("row2"), F.lit(0).cast("long").alias("start"), "end", F.lit(0).cast("long").alias("start1"), F.col("end").alias("end1"), F.lit(1.0).alias("similarity"))
     found = found.distinct().unionByName(whole)
     keys = rows.select("_row", "key")

@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import numpy as np
@@ -187,3 +188,75 @@ def test_long_insertions_and_deletions(table):
     assert [p for p in want if p not in got] == []
     # of the others a half may be a passage, but none of the last twelve
     assert all(i % 2 == 0 and j == i + 1 and i < len(texts) - 24 for i, j in got)
+
+
+def test_words_are_hashed_where_they_lie(monkeypatch):
+    """Hashes from running sums tell words apart as ``words_of`` does, in any script, over white space of any kind and over pieces."""
+    odd = [None, "", " ", " A b　c\x1cd\x85e\xa0 F", "\x00 \x00\x00 x", "İ ǅ \ud800 \U0001f600 stra\xdfe Stra\xdfe", "x" * 3000 + " y " + "z " * 2000, "ab cd " * 1000]
+    for piece in (1 << 18, 64):
+        monkeypatch.setattr(sd.shingles, "_PIECE", piece)
+        known = {}
+        for t in odd:
+            words, hashes = sd.shingles.words_of(t), sd.shingles.hash_text(t).tolist()
+            assert len(words) == len(hashes)
+            assert all(known.setdefault(w, h) == h for w, h in zip(words, hashes))
+        assert len(set(known.values())) == len(known) > 10
+
+
+def test_repeated_values_are_no_long_way():
+    """Windows of texts that repeat a word or a period are the tree's, with the leftmost of equal values on top, and no round goes value by value."""
+    r = np.random.default_rng(4)
+    for h in (np.full(3000, 7, np.uint64), np.tile(r.integers(0, 2**63, 7, np.uint64), 300), np.repeat(r.integers(0, 9, 40).astype(np.uint64), 60)):
+        assert sorted(map(tuple, sd.compact_windows(h, 46).tolist())) == sorted(x for x in by_stack(h) if x[2] - x[0] >= 45)
+    looks = 0
+
+    def stops(a, b):
+        nonlocal looks
+        looks += 1
+        return a < b
+
+    sd._bound(np.arange(100_000)[::-1], stops)
+    assert looks < 50
+
+
+def by_stack(h):
+    left, right, stack = [0] * len(h), [len(h) - 1] * len(h), []
+    for i, v in enumerate(h.tolist()):
+        while stack and h[stack[-1]] > v:
+            right[stack.pop()] = i - 1
+        left[i] = stack[-1] + 1 if stack else 0
+        stack.append(i)
+    return list(zip(left, range(len(h)), right))
+
+
+def test_alignments_by_numbers_and_by_arrays_agree(monkeypatch):
+    """Few shingles and blocks are compared as Python numbers, many as arrays: both find the same."""
+    r = np.random.default_rng(6)
+    found = []
+    for few in (10_000, 0):
+        monkeypatch.setattr(sd, "_FEW", few)
+        monkeypatch.setattr(sd, "_FEW_BLOCKS", few)
+        r = np.random.default_rng(6)
+        some = []
+        for _ in range(60):
+            a = r.integers(0, 2**63, r.integers(60, 900), np.uint64)
+            b = a.copy()
+            for at in r.integers(0, len(a), r.integers(0, 40)):
+                b = np.concatenate([b[:at], r.integers(0, 2**63, r.integers(0, 9), np.uint64), b[at + r.integers(0, 9) :]])
+            same = np.flatnonzero(a[: len(b)] == b[: len(a)])
+            some.append([x.tolist() if isinstance(x, np.ndarray) else x for x in sd.passages(a, b, same, same)])
+        found.append(some)
+    assert found[0] == found[1] and sum(len(x[0]) for x in found[0]) > 30
+
+
+def test_words_are_counted_for_copies_only(table, prose):
+    """The texts' words are counted above the join with the copies, not for every row below it."""
+    docs = [(i, prose(60 + i % 3, 70)) for i in range(4)] + [(9, "short"), (10, "short")]
+    got = sd.repeated_passages(table(docs))
+    assert [(x.key1, x.key2, x.end) for x in got.collect()] == [(0, 3, 70)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    depth = lambda line: len(line) - len(line.lstrip(" :+-|"))
+    for i, line in enumerate(plan):
+        if "regexp_replace" in line:
+            below = list(itertools.takewhile(lambda x, line=line: depth(x) > depth(line), plan[i + 1 :]))
+            assert any("Join" in x for x in below)
