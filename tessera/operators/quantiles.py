@@ -1,8 +1,9 @@
 """Exact quantiles and weighted medians by distributed selection; no task holds a group.
 
 Equal values of a group are counted first. The counts are range-partitioned by
-(group, value), so partitions are buckets whose bounds follow the data, and a group
-of any size lies in as many of them as it fills. One small table of sums by group
+(group, value) into as many parts as their number asks for and sorted there; so many
+rows one after the other are a bucket, and a group of any size lies in as many of them
+as it fills, while no bucket grows. One small table of sums by group
 and bucket tells which bucket holds a wanted rank; only those buckets' rows of the
 group are ranked, and the value is exact.
 """
@@ -15,6 +16,12 @@ from pyspark.sql import functions as F
 from tessera.sources import tables
 
 
+#: Cells in a range partition, and the bits of the number of cells in a bucket.
+PART, BUCKET_BITS = 250_000, 16
+#: Buckets that are broadcast; beyond it the join shuffles.
+MOST_BROADCAST = 100_000
+
+
 def _joined(a: DataFrame, b: DataFrame, names: list[str], how: str = "inner") -> DataFrame:
     """A join on keys that may be null; ``b``'s keys go."""
     b = b.withColumnsRenamed({n: f"_own_{n}" for n in names})
@@ -30,7 +37,10 @@ def _cells(df: DataFrame, keys: list[str], value: str, weight: str | None) -> Da
     if weight:
         sums.append(F.sum(F.greatest(F.coalesce(F.col(weight).cast("double"), F.lit(0.0)), F.lit(0.0))).alias("_w"))
     cells = known.groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(*sums)
-    return tables.staged(cells.repartitionByRange(*keys, "_v").withColumn("_bucket", F.spark_partition_id()))
+    # staged, for their number and the bounds' sample each read them
+    cells = tables.staged(cells)
+    parts = cells.repartitionByRange(cells.count() // PART + 1, *keys, "_v").sortWithinPartitions(*keys, "_v")
+    return tables.staged(parts.withColumn("_bucket", F.shiftright(F.monotonically_increasing_id(), BUCKET_BITS)))
 
 
 def _ranked(cells: DataFrame, keys: list[str], size: str, targets: Column, reaches: bool) -> DataFrame:
@@ -47,7 +57,8 @@ def _ranked(cells: DataFrame, keys: list[str], size: str, targets: Column, reach
     wanted = buckets.select("*", F.posexplode(targets).alias("_place", "_target"))
     hit = wanted.filter(passes(F.col("_upto"), F.col("_target")) & ~passes(F.col("_before"), F.col("_target")) & (F.col("_total") > 0))
     hit = hit.groupBy(*keys, "_bucket", "_before").agg(F.collect_list(F.struct("_place", "_target")).alias("_wanted"))
-    inside = _joined(cells, hit, [*keys, "_bucket"]).select(*keys, "_bucket", "_v", F.col(size).alias("_size"), "_before", "_wanted")
+    hit = tables.staged(hit)
+    inside = _joined(cells, F.broadcast(hit) if hit.count() <= MOST_BROADCAST else hit, [*keys, "_bucket"]).select(*keys, "_bucket", "_v", F.col(size).alias("_size"), "_before", "_wanted")
     own = Window.partitionBy(*keys, "_bucket").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     inside = inside.withColumn("_run", F.col("_before") + F.sum("_size").over(own)).withColumn("_earlier", F.col("_run") - F.col("_size"))
     here = inside.select(*keys, "_v", "_run", "_earlier", F.explode("_wanted").alias("_t"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import scalars as S
 from tessera.functions import weighted as W
-from tessera.operators import eav, effects, impute, ladders, lookups, moments, rules, scenario, supply, switching
+from tessera.operators import eav, effects, impute, ladders, lookups, moments, quantiles, rules, scenario, supply, switching
 
 
 def one(spark, expression):
@@ -189,3 +189,18 @@ def test_a_column_that_does_not_vary_gets_nothing(spark):
     got = {r["name"]: r["value"] for r in switching.coefficients(rows, "y", ["x", "days", "late", "late_days"]).collect()}
     want = {"constant": 2.0, "x": 0.5, "days": 0.0, "late": 1.0, "late_days": 0.3}
     assert got == pytest.approx(want, abs=1e-6)
+
+
+def test_buckets_do_not_grow(spark, monkeypatch):
+    """However many values a group has, no bucket holds more than its share, and the quantiles stay exact."""
+    monkeypatch.setattr(quantiles, "BUCKET_BITS", 6)
+    monkeypatch.setattr(quantiles, "PART", 500)
+    df = spark.range(6000).selectExpr("if(id % 3 = 0, null, id % 3) as g", "cast((id * 7919) % 6007 as double) as v", "cast(id % 5 as double) as w")
+    cells = quantiles._cells(df, ["g"], "v", "w")
+    assert cells.groupBy("_bucket").count().agg(F.max("count")).first()[0] <= 64
+    got = {r.g: (r.low, r.m, r.half) for r in quantiles.summary(df, ["g"], "v", "w", {"low": 0.1, "m": 0.5}, "half").collect()}
+    rows = df.collect()
+    for g in (None, 1, 2):
+        own = sorted((r.v, r.w) for r in rows if r.g == g)
+        v, w = np.array(own).T
+        assert np.allclose(got[g], (np.quantile(v, 0.1), np.median(v), v[np.searchsorted(np.cumsum(w), w.sum() / 2)]))
